@@ -6,7 +6,6 @@ zstandard reader gives the ids of all documents. A frame holds whole documents.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,7 +25,7 @@ SEEK_FRAME = 0x184D2A5E
 SEEK_FOOTER = 0x8F92EAB1
 INDEX_FRAME = 0x184D2A50
 
-_odd_space = re.compile(r"^\s|\s$|\s \S|\S \s|\s{2} ")
+_encoders: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
@@ -36,7 +35,7 @@ class PieceEncoder:
     turn. Texts with spaces beside other white space are encoded whole. At most `most` pieces are remembered.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
@@ -59,19 +58,33 @@ class PieceEncoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.most:
             self.known.clear()
-        whole = [_odd_space.search(t) is not None or not t for t in texts]
-        split = [None if w else t.split(" ") for t, w in zip(texts, whole)]
-        firsts = {s[0] for s in split if s}
-        rest = {p for s in split if s for p in s[1:]}
-        fresh = [f"\0{p}" for p in firsts if f"\0{p}" not in self.known]
-        self.known.update(zip(fresh, self._ids([p[1:] for p in fresh])))
+        split = [t.split(" ") for t in texts]
+        rest = {p for s in split for p in s[1:]}
+        odd = {p for p in rest if _odd(p)}
+        whole = [_odd(s[0]) or bool(odd and not odd.isdisjoint(s)) for s in split]
+        if odd:
+            rest = {p for s, w in zip(split, whole) if not w for p in s[1:]}
+        firsts = {s[0] for s, w in zip(split, whole) if not w}
+        heads = dict(zip(firsts, self._ids(list(firsts))))
         fresh = [p for p in rest if p not in self.known]
         for a in range(0, len(fresh), 5_000):
             part = fresh[a : a + 5_000]
             self.known.update(zip(part, self._spaced_ids(part)))
         plain = iter(self._ids([t for t, w in zip(texts, whole) if w]))
         get = self.known.__getitem__
-        return [next(plain) if s is None else b"".join([get(f"\0{s[0]}"), *map(get, s[1:])]) for s in split]
+        return [next(plain) if w else b"".join([heads[s[0]], *map(get, s[1:])]) for s, w in zip(split, whole)]
+
+
+def _odd(piece: str) -> bool:
+    """Whether a piece between single spaces is empty or has white space at an end."""
+    return not piece or piece[0].isspace() or piece[-1].isspace()
+
+
+def encoder_of(path: str) -> PieceEncoder:
+    """This worker process's encoder: the pieces that it knows serve its later tasks too."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def _skippable(magic: int, data: bytes) -> bytes:
@@ -170,7 +183,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str =
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, task, made = PieceEncoder(tokenizer), struct.pack("<I", end_id), TaskContext.get().partitionId(), []
+        encoder, end, task, made = encoder_of(tokenizer), struct.pack("<I", end_id), TaskContext.get().partitionId(), []
 
         def encoded():
             for b in batches:
