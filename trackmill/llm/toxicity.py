@@ -21,7 +21,7 @@ _core = re.compile(r"^\W*(.*?)(\W*)$", re.S)
 def terms_of(token: str) -> tuple[str, ...]:
     """What a lower-cased token shows: its core, the core's first characters, and what stands behind it."""
     core, tail = _core.match(token).groups()
-    return (f"w:{core}", f"4:{core[:4]}", f"5:{core[:5]}", f"t:{tail}") if len(core) > 4 else (f"w:{core}", f"t:{tail}")
+    return (f"w:{core}", f"4:{core[:4]}", f"5:{core[:5]}", f"7:{core[:7]}", f"t:{tail}") if len(core) > 4 else (f"w:{core}", f"t:{tail}")
 
 
 def document_terms(text: str | None) -> set[str]:
@@ -32,7 +32,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 300) -> np.ndarray:
     """Weights of a logistic regression (the last is the bias, which isn't penalised), by accelerated gradient steps.
     Without both classes only the bias is fitted."""
     share = (y.sum() + 0.5) / (len(y) + 1)
