@@ -95,15 +95,23 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndar
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int, base: int) -> np.ndarray:
-    """A polynomial hash of each data[start : start + size]."""
-    power = np.full(len(data) + 1, base, np.uint64)
-    back = np.full(len(data) + 1, pow(base, -1, 1 << 64), np.uint64)
+def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """A polynomial hash of each data[start : start + size], starts rising; about SLICE bytes are worked on at once."""
+    out = np.empty(len(starts), np.uint64)
+    widest = int(sizes.max(initial=0))
+    power, back = np.full(SLICE + widest + 1, base, np.uint64), np.full(SLICE + widest + 1, pow(base, -1, 1 << 64), np.uint64)
     power[0] = back[0] = 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[:-1], out=sums[1:])
-    h = (sums[starts + sizes] - sums[starts]) * np.cumprod(back)[starts]
-    return (h ^ (h >> np.uint64(31))) * _M2
+    power, back = np.cumprod(power), np.cumprod(back)
+    a = 0
+    while a < len(starts):
+        low = int(starts[a])
+        z = int(np.searchsorted(starts, low + SLICE, "left"))
+        at, part = starts[a:z] - low, data[low : int(starts[z - 1]) + widest]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        out[a:z] = (sums[at + sizes[a:z]] - sums[at]) * back[at]
+        a = z
+    return (out ^ (out >> np.uint64(31))) * _M2
 
 
 def _groups(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +159,7 @@ def _dealt(rows: DataFrame, column: str) -> DataFrame:
     return rows.repartition(column).sortWithinPartitions(column)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, chunk_bytes: int = 1 << 24, buckets: int | None = None, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, chunk_bytes: int = 1 << 23, buckets: int | None = None, texts: bool = True) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end in bytes), kept.
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller id; texts are UTF-8
@@ -251,7 +259,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             starts = _spread(np.cumsum(size) - size, count)
             least = np.repeat(low, count)
             if len(starts):
-                order, start = _groups(_hashes(data, starts, length, 0x9E3779B97F4A7C15), _hashes(data, starts, length, 0xC2B2AE3D27D4EB4F))
+                wide = np.full(len(starts), length)
+                order, start = _groups(_hashes(data, starts, wide, 0x9E3779B97F4A7C15), _hashes(data, starts, wide, 0xC2B2AE3D27D4EB4F))
                 least[order] = np.repeat(np.minimum.reduceat(least[order], start), np.diff(start, append=len(order)))
             ends = np.concatenate([[0], np.cumsum(count)])
             at, rows = 0, []
@@ -272,17 +281,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             many = size.astype(np.int64) - length + 1
             begin = np.zeros(len(own), np.int64)
             begin[own] = np.cumsum(many) - many
-            doc = known[np.searchsorted(bounds, first, "right") - 1]
-            least, doc = low[_spread(begin[number], count)], np.repeat(doc, count)
-            starts = _spread(first, count)[(least < doc) & (doc != NO_ID)]
-            edge = np.bincount(starts, minlength=len(data) + length + 1)[: len(data) + length] - np.concatenate([np.zeros(length, np.int64), np.bincount(starts, minlength=len(data) + 1)[: len(data)]])
-            gone = np.cumsum(edge)[: len(data)] > 0
+            place = np.searchsorted(bounds, first, "right") - 1
+            doc = np.repeat(known[place], count)
+            gone = (low[_spread(begin[number], count)] < doc) & (doc != NO_ID)
+            starts, place = _spread(first, count)[gone], np.repeat(place, count)[gone]
+            new = np.flatnonzero((np.diff(starts, prepend=-length - 1) > length) | (np.diff(place, prepend=-1) != 0))  # strings that go on without a gap are one span
+            low, high = starts[new], (np.append(starts[new[1:] - 1], starts[-1:]) if len(new) else starts) + length
+            edges = np.searchsorted(place[new], np.arange(len(known) + 1)).tolist()
             rows, held_bytes = [], 0
-            for i, a, z in zip(known.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                mask = gone[a:z]
-                turn = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist()
-                kept = (data[a:z][~mask] if turn else data[a:z]).tobytes()
-                rows.append((None if i == NO_ID else i, z - a, z - a - len(kept), len(turn) // 2, hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in zip(turn[::2], turn[1::2])], kept if texts else None))
+            for i, a, z, x, y in zip(known.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), edges, edges[1:]):
+                spans = list(zip((low[x:y] - a).tolist(), (high[x:y] - a).tolist()))
+                whole = data[a:z].tobytes()
+                kept = b"".join(whole[p:q] for p, q in zip([0, *(q for _, q in spans)], [*(p for p, _ in spans), len(whole)])) if spans else whole
+                rows.append((None if i == NO_ID else i, len(whole), len(whole) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": p, "end": q} for p, q in spans], kept if texts else None))
                 held_bytes += len(kept)
                 if held_bytes > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
