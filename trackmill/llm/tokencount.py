@@ -37,7 +37,7 @@ class UnigramCounter:
     are one token a byte. Of equal scores fewer tokens win.
     """
 
-    def __init__(self, pieces: dict[str, float], most: int = 1_000_000):
+    def __init__(self, pieces: dict[str, float], most: int = 600_000):
         self.pieces, self.most, self.counts = pieces, most, {}
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - 10.0

@@ -35,7 +35,7 @@ class PieceEncoder:
     turn. Texts with spaces beside other white space are encoded whole. At most `most` pieces are remembered.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
@@ -56,8 +56,9 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.most:
-            self.known.clear()
+        if len(self.known) > self.most:  # short pieces come back most often
+            short = {p: ids for p, ids in self.known.items() if len(p) <= 6}
+            self.known = short if len(short) < self.most // 2 else {}
         split = [t.split(" ") for t in texts]
         rest = {p for s in split for p in s[1:]}
         odd = {p for p in rest if _odd(p)}
