@@ -47,9 +47,9 @@ def weighted_vote(df: DataFrame, by: list[str], probs: str, allowed: Column | No
     such a row has a null class and share 0. The sums go by (key, class), so no row array is gathered.
     """
     rows = df.select(*by, renormalised(F.col(probs), allowed).alias("_p"))
-    sums = rows.where(F.array_max("_p") >= least).select(*by, F.posexplode("_p").alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
-    best = sums.groupBy(*by).agg(F.max(F.struct("s", (-F.col("k")).alias("k"))).alias("b"), F.sum("s").alias("all"), F.max("n").alias("rows"))
-    return df.select(*by).distinct().join(best, by, "left").select(*by, (-F.col("b.k")).alias("class"), F.coalesce(F.try_divide("b.s", "all"), F.lit(0.0)).alias("share"), F.coalesce("rows", F.lit(0)).alias("rows"))
+    sums = rows.where(F.array_max("_p") >= least).select(*by, F.posexplode("_p").alias("_k", "_v")).groupBy(*by, "_k").agg(F.sum("_v").alias("_s"), F.count("*").alias("_n"))
+    best = sums.groupBy(*by).agg(F.max(F.struct("_s", (-F.col("_k")).alias("_k"))).alias("_b"), F.sum("_s").alias("_all"), F.max("_n").alias("_rows"))
+    return df.select(*by).distinct().join(best, by, "left").select(*by, (-F.col("_b._k")).alias("class"), F.coalesce(F.try_divide("_b._s", "_all"), F.lit(0.0)).alias("share"), F.coalesce("_rows", F.lit(0)).alias("rows"))
 
 
 def rosters(df: DataFrame, team: str, probs: str, k: int = 3, least: float = 0.5, unknown: str = "?") -> DataFrame:

@@ -18,9 +18,9 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], left_at: str, ri
     width = width or max(below + above, 1e-9)
     first, last = (F.floor((F.col(left_at) + d) / F.lit(width)) for d in (-below, above))
     looking = left.withColumn("_bucket", F.explode_outer(F.sequence(first, last)))
-    standing = right.withColumn("_bucket", F.floor(F.col(right_at) / F.lit(width)))
-    near = [looking[c] == standing[c] for c in [*on, "_bucket"]] + [(standing[right_at] - looking[left_at]).between(-below, above)]
-    pairs = looking.join(standing, near, "inner").drop(standing["_bucket"], *(standing[c] for c in on)).drop("_bucket")
+    standing = right.select(*(F.col(c).alias(f"_on_{c}") for c in on), *(c for c in right.columns if c not in on), F.floor(F.col(right_at) / F.lit(width)).alias("_at"))
+    near = [F.col(c) == F.col(f"_on_{c}") for c in on] + [F.col("_bucket") == F.col("_at"), (F.col(right_at) - F.col(left_at)).between(-below, above)]
+    pairs = looking.join(standing, near, "inner").drop("_bucket", "_at", *(f"_on_{c}" for c in on))
     if how == "inner":
         return pairs
     keys = [*left.columns]

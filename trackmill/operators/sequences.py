@@ -114,7 +114,8 @@ def fill_gaps(df: DataFrame, by: list[str], frame: str, values: list[str], most:
     w = Window.partitionBy(*by).orderBy(frame)
     rows = df.withColumn("_next", F.lead(frame).over(w)).withColumn("_near", F.collect_list(F.struct(frame, *values)).over(w.rowsBetween(-3, 4)))
     gaps = rows.where((F.col("_next") - F.col(frame)).between(2, most))
-    t0 = (F.col(frame) + F.col("_next")) / 2.0
+    gaps = gaps.withColumn("_t0", (F.col(frame) + F.col("_next")) / 2.0)
+    t0 = F.col("_t0")  # a column of its own: within lambdas the frame's name would be the new frame
     total = lambda f: F.aggregate("_near", F.lit(0.0), lambda s, r: s + f(r))
     t = lambda r: r[frame] - t0
     s = [total(lambda r, k=k: F.pow(t(r), F.lit(float(k)))) for k in range(5)]
