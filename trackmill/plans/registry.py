@@ -131,12 +131,12 @@ def g18_median_percentile(spark, sf_dir):
 
 @query("""WITH c AS (SELECT user_id, event_id, us FROM (%s) WHERE event_type = 'click'), p AS (SELECT user_id, event_id AS other_id, us AS other_us FROM (%s) WHERE event_type = 'purchase'),
 m AS (SELECT c.user_id, event_id, other_id, abs(other_us - us) AS d FROM c JOIN p ON c.user_id = p.user_id AND abs(other_us - us) <= 7200000000), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, other_id) AS k FROM m)
-SELECT c.user_id, c.event_id, r.other_id FROM c LEFT JOIN r ON c.event_id = r.event_id AND k = 1""" % (_E, _E))
+SELECT c.user_id, c.event_id, coalesce(r.other_id, -1) AS other_id FROM c LEFT JOIN r ON c.event_id = r.event_id AND k = 1""" % (_E, _E))
 def j5_nearest_asof(spark, sf_dir):
     events = _events(spark, sf_dir)
     left = events.where("event_type = 'click'").select("user_id", "event_id", "us")
     right = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("other_id"), F.col("us").alias("other_us"))
-    return matching.nearest(left, right, ["user_id"], ["event_id"], "us", "other_us", 7_200_000_000, "other_id").select("user_id", "event_id", "other_id")
+    return matching.nearest(left, right, ["user_id"], ["event_id"], "us", "other_us", 7_200_000_000, "other_id").select("user_id", "event_id", F.coalesce("other_id", F.lit(-1)).alias("other_id"))
 
 
 _MATCH = f"""WITH RECURSIVE e AS ({_E}), c AS (SELECT g.user_id, g.event_id AS i, p.event_id AS j, abs(p.us - g.us) AS d FROM e g JOIN e p ON g.user_id = p.user_id AND g.event_type = 'click' AND p.event_type = 'purchase' AND abs(p.us - g.us) <= 3600000000),
@@ -176,20 +176,20 @@ def j2_labels_left(spark, sf_dir):
 
 
 def _boxes(spark, sf_dir):
-    """A box for each part: 40 frames, placed by its numbers."""
+    """A box for each part: frames of 50, placed by its numbers."""
     p = F.col("p_partkey")
-    return _read(spark, sf_dir, "part").select(F.pmod(p, F.lit(40)).alias("frame"), p.alias("id"), geometry.box((p * 37) % 200, (p * 53) % 150, F.col("p_size") + 20, (p % 30) + 40).alias("box"))
+    return _read(spark, sf_dir, "part").select(F.floor(p / 50).cast("long").alias("frame"), p.alias("id"), geometry.box((p * 37) % 200, (p * 53) % 150, F.col("p_size") + 20, (p % 30) + 40).alias("box"))
 
 
-_B = "SELECT p_partkey % 40 AS frame, p_partkey AS id, CAST((p_partkey * 37) % 200 AS DOUBLE) AS x, CAST((p_partkey * 53) % 150 AS DOUBLE) AS y, CAST(p_size + 20 AS DOUBLE) AS w, CAST(p_partkey % 30 + 40 AS DOUBLE) AS h FROM part"
+_B = "SELECT p_partkey // 50 AS frame, p_partkey AS id, CAST((p_partkey * 37) % 200 AS DOUBLE) AS x, CAST((p_partkey * 53) % 150 AS DOUBLE) AS y, CAST(p_size + 20 AS DOUBLE) AS w, CAST(p_partkey % 30 + 40 AS DOUBLE) AS h FROM part"
 _PAIR = f"WITH b AS ({_B}), p AS (SELECT a.frame, a.id, o.id AS other, greatest(0, least(a.x + a.w, o.x + o.w) - greatest(a.x, o.x)) * greatest(0, least(a.y + a.h, o.y + o.h) - greatest(a.y, o.y)) AS s, a.w * a.h AS aa, o.w * o.h AS oa FROM b a JOIN b o ON a.frame = o.frame AND a.id <> o.id)"
 
 
-@query(f"{_PAIR}, q AS (SELECT frame, id, other, s / (aa + oa - s) AS iou FROM p WHERE id % 2 = 0 AND other % 2 = 1 AND s / (aa + oa - s) >= 0.3) SELECT b.frame, b.id, arg_max(other, (iou, other)) AS gid, round(max(iou), 6) AS iou FROM (SELECT frame, id FROM b WHERE id % 2 = 0) b LEFT JOIN q ON q.frame = b.frame AND q.id = b.id GROUP BY b.frame, b.id")
+@query(f"{_PAIR}, q AS (SELECT frame, id, other, s / (aa + oa - s) AS iou FROM p WHERE id % 2 = 0 AND other % 2 = 1 AND s / (aa + oa - s) >= 0.3) SELECT b.frame, b.id, coalesce(arg_max(other, (iou, other)), -1) AS gid, round(max(iou), 6) AS iou FROM (SELECT frame, id FROM b WHERE id % 2 = 0) b LEFT JOIN q ON q.frame = b.frame AND q.id = b.id GROUP BY b.frame, b.id")
 def j7_iou_argmax(spark, sf_dir):
-    boxes = _boxes(spark, sf_dir).withColumn("frame", F.pmod(F.col("id"), F.lit(40)))
+    boxes = _boxes(spark, sf_dir)
     left, right = boxes.where("id % 2 = 0"), boxes.where("id % 2 = 1").select("frame", F.col("id").alias("gid"), F.col("box").alias("gbox"))
-    return spatial.best_overlap(left, right, ["frame"], "id", "box", "gid", "gbox", 0.3).withColumn("iou", _R("iou", 6))
+    return spatial.best_overlap(left, right, ["frame"], "id", "box", "gid", "gbox", 0.3).withColumns({"iou": _R("iou", 6), "gid": F.coalesce("gid", F.lit(-1))})
 
 
 @query(f"{_PAIR} SELECT b.frame, b.id, round(coalesce(max(s / greatest(aa, 1)), 0), 6) AS overlap FROM b LEFT JOIN p ON p.id = b.id GROUP BY b.frame, b.id")
