@@ -395,3 +395,21 @@ def test_contamination(spark, docs, nothing):
     assert sorted(r.doc_id for r in decontam.drop_contaminated(texts, bench).collect()) == [12, 15, 17, 18, 19]
     assert decontam.contaminated(docs, bench).count() == 0 and decontam.contaminated(nothing, bench).count() == 0
     assert decontam.contaminated(texts, bench.limit(0)).count() == 0
+
+
+def test_collection_transform_is_that_of_sorted_suffixes():
+    from trackmill.llm.repeats import collection_bwt, least_of_equals
+
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        size = r.integers(3, 12, r.integers(1, 25))
+        data = r.integers(97, 97 + r.integers(1, 4), size.sum()).astype(np.uint8)
+        ends, text = np.cumsum(size), data.tobytes()
+        suffixes = sorted(((text[p:e] + b"\0", k, p, text[p - 1] if p > e - n else 0xFF) for k, (e, n) in enumerate(zip(ends.tolist(), size.tolist())) for p in range(e - n, e + 1)), key=lambda s: s[:2])
+        common = [0] + [min(5, next((k for k, (x, y) in enumerate(zip(a[0][:-1], b[0][:-1])) if x != y), min(len(a[0]), len(b[0])) - 1)) for a, b in zip(suffixes, suffixes[1:])]
+        place, bwt, lcp = collection_bwt(data, size, 5)
+        assert (place.tolist(), bwt.tolist(), lcp.tolist()) == ([s[2] for s in suffixes], [s[3] for s in suffixes], common)
+        low = r.integers(0, 9, len(size))
+        strings = [(text[p : p + 3], k) for k, (e, n) in enumerate(zip(ends.tolist(), size.tolist())) for p in range(e - n, e - 2)]
+        least = {w: min(low[k] for v, k in strings if v == w) for w, _ in strings}
+        assert least_of_equals(data, size, low, 3).tolist() == [least[w] for w, _ in strings]

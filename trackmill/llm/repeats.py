@@ -3,8 +3,11 @@
 Texts are kept once in sequential files of the shared folder, a chunk of documents each. Every 50-byte string has a
 minimizer (the 16-byte string in it with the smallest hash, the leftmost of equals), and equal strings have it at the
 same place. So documents are cut into segments, the runs of strings with one minimizer, and strings are compared only
-where the minimizer occurs in more than one document. All work between the shuffles is on whole columns of a chunk or
-of a bucket of minimizers; a minimizer or a segment counts once a chunk, however often it occurs there.
+where the minimizer occurs in more than one document. The different segments of some minimizers are a collection whose
+Burrows-Wheeler transform and common prefixes are built column by column, from the last symbols to the first: there are
+at most as many rounds as a segment has bytes, however long the documents are. Strings with a common prefix of `length`
+are equal. All work between the shuffles is on whole columns of a chunk or of a bucket of minimizers; a minimizer or a
+segment counts once a chunk, however often it occurs there.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ KMER = 16  # bytes of a minimizer
 SLICE = 1 << 20  # bytes that are hashed at once
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 NO_ID = (1 << 63) - 1
+END = 0xFF  # stands before a segment's first byte; no byte of UTF-8
+COLLECTION = 1 << 18  # bytes of segments that are sorted together, but for a minimizer with more
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -129,6 +134,72 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
 
 
+def _range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of values[a : b] for each pair, a < b: the smaller of two overlapping runs of a power of two."""
+    level = np.frexp((b - a).astype(float))[1] - 1
+    top, out = int(level.max(initial=0)), np.empty(len(a), values.dtype)
+    by = np.argsort(level.astype(np.uint8), kind="stable")
+    edges = np.searchsorted(level[by], np.arange(top + 2))
+    for k in range(top + 1):
+        mine = by[edges[k] : edges[k + 1]]
+        out[mine] = np.minimum(values[a[mine]], values[b[mine] - (1 << k)])
+        if k < top:
+            values = np.minimum(values[: -(1 << k)], values[1 << k :])
+    return out
+
+
+def collection_bwt(data: np.ndarray, size: np.ndarray, cap: int = 255) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, bwt, lcp) of all suffixes of data's strings, sorted: where it starts, the byte before it, the prefix in common
+    with the suffix before (up to cap). Empty suffixes come first, in the order of the strings.
+
+    Each round inserts one symbol of every string that has one left. A row is the place, the common prefix and the byte
+    before, in one number. A suffix's place in the order is that of its first symbol in the sorted transform, and its
+    common prefix is one more than that of the two suffixes without the symbol.
+    """
+    ends, n = np.cumsum(size), len(size)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[ends - size] = True
+    row = (ends.astype(np.uint64) << np.uint64(16)) | data[ends - 1]
+    front = np.arange(n)
+    while True:
+        columns = row.view(np.uint8).reshape(-1, 8)
+        bwt, lcp = columns[:, 0].copy(), columns[:, 1].copy()
+        order = np.argsort(bwt, kind="stable")[: np.count_nonzero(bwt != END)]
+        fresh = np.zeros(len(row), bool)
+        fresh[front] = True
+        new = np.flatnonzero(fresh[order])
+        if not len(new):
+            return (row >> np.uint64(16)).astype(np.int64), bwt, lcp
+        start = (row[order[new]] >> np.uint64(16)).astype(np.int64) - 1
+        touched = np.zeros(len(order) + 1, bool)
+        touched[new] = touched[new + 1] = True
+        at = np.flatnonzero(touched[1 : len(order)]) + 1
+        a, b = order[at - 1], order[at]
+        same = bwt[a] == bwt[b]
+        at, a, b = at[same], a[same], b[same]
+        old = np.ones(n + len(order), bool)
+        old[n + new] = False
+        longer = np.empty(len(old), np.uint64)
+        longer[old] = row
+        longer[n + new] = (start.astype(np.uint64) << np.uint64(16)) | np.where(begins[start], END, data[start - 1]).astype(np.uint64)
+        longer.view(np.uint8).reshape(-1, 8)[n + at, 1] = np.minimum(_range_min(lcp, a + 1, b + 1), cap - 1) + 1
+        row, front = longer, n + new
+
+
+def least_of_equals(data: np.ndarray, size: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
+    """For each string of `length` bytes of data's segments, in order, the smallest low of a segment that has it."""
+    place, _, lcp = collection_bwt(data, size, length)
+    ends = np.cumsum(size)
+    owner = np.minimum(np.searchsorted(ends, place, "right"), len(size) - 1)
+    whole = np.flatnonzero(ends[owner] - place >= length)  # an empty suffix's place is the next segment's start
+    whole = whole[whole >= len(size)]
+    group = np.flatnonzero(lcp[whole] < length)
+    least = np.minimum.reduceat(low[owner[whole]], group)
+    out = np.empty(len(data), low.dtype)
+    out[place[whole]] = np.repeat(least, np.diff(group, append=len(whole)))
+    return out[_spread(ends - size, size - length + 1)]
+
+
 def _keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
@@ -165,7 +236,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller id; texts are UTF-8
     bytes, compared as they came in. Rows without an id lose nothing and don't count as a source; rows with one id don't
     count against each other. Null and empty texts have no bytes. kept is null without `texts`. Other columns of docs
-    don't matter. Texts are compared by two 64-bit hashes of each string. buckets (at least the shuffle partitions) bounds
+    don't matter. Strings are compared by their common prefixes; whole segments that are equal by two 64-bit hashes count
+    as one. length is KMER to 127. buckets (at least the shuffle partitions) bounds
     what a task holds of the minimizers.
     """
     spark = docs.sparkSession
@@ -226,10 +298,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             wanted = np.sort(np.concatenate([(np.int64(bucket) << 32) | _unpack(blob)[0].astype(np.int64) for bucket, blob in held]))
             first, count, h = segments(data, bounds, length)
             bucket, rest = _keys(h, buckets)
+            part = (rest >> np.uint32(24)).astype(np.uint8)
             key = (bucket << 32) | rest.astype(np.int64)
             at = np.searchsorted(wanted, key)
             mine = np.flatnonzero((at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == key)) if len(wanted) else np.zeros(0, np.int64)
-            first, count, bucket = first[mine], count[mine], bucket[mine]
+            first, count, bucket, part = first[mine], count[mine], bucket[mine], part[mine]
             size = count + length - 1
             one = _hashes(data, first, size, 0x9E3779B97F4A7C15) + size.astype(np.uint64) * _M3
             order, start = _groups(one, _hashes(data, first, size, 0xC2B2AE3D27D4EB4F)) if len(first) else (mine, mine)
@@ -245,7 +318,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for b, x, y in zip(range(buckets), edges, edges[1:]):
                 if x < y or not b:
                     own = by[x:y]
-                    rows.append((b, name, _pack(data[_spread(first[head[own]], size[head[own]])], size[head[own]].astype(np.uint8 if length + KMER < 200 else np.uint32), low[own], own.astype(np.uint32))))
+                    rows.append((b, name, _pack(data[_spread(first[head[own]], size[head[own]])], size[head[own]].astype(np.uint8 if 2 * length < 256 else np.uint32), low[own], own.astype(np.uint32), part[head[own]])))
             yield _rows(rows)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +328,26 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             data = np.concatenate([p[0] for p in parts])
             size = np.concatenate([p[1] for p in parts]).astype(np.int64)
             low = np.concatenate([p[2] for p in parts])
-            count = size - length + 1
-            starts = _spread(np.cumsum(size) - size, count)
-            least = np.repeat(low, count)
-            if len(starts):
-                wide = np.full(len(starts), length)
-                order, start = _groups(_hashes(data, starts, wide, 0x9E3779B97F4A7C15), _hashes(data, starts, wide, 0xC2B2AE3D27D4EB4F))
-                least[order] = np.repeat(np.minimum.reduceat(least[order], start), np.diff(start, append=len(order)))
+            sub = np.concatenate([p[4] for p in parts])
+            count, begin = size - length + 1, np.cumsum(size) - size
+            order, start = _groups(_hashes(data, begin, size, 0x9E3779B97F4A7C15) + size.astype(np.uint64) * _M3, _hashes(data, begin, size, 0xC2B2AE3D27D4EB4F)) if len(size) else (size, size)
+            number = np.empty(len(size), np.int64)
+            number[order] = np.repeat(np.arange(len(start)), np.diff(start, append=len(order)))
+            head = order[start]  # the different segments, each with its smallest id
+            own = np.minimum.reduceat(low[order], start) if len(start) else low
+            by = np.argsort(sub[head], kind="stable")
+            filled = np.cumsum(size[head[by]])
+            stops = np.flatnonzero(np.diff(sub[head[by]].astype(np.int64), append=-1)) + 1
+            found, where, x, at = [], np.zeros(len(head), np.int64), 0, 0
+            for z, more in zip(stops.tolist(), [*stops[1:].tolist(), 0]):
+                if more and filled[more - 1] - (filled[x - 1] if x else 0) <= COLLECTION:
+                    continue
+                mine = by[x:z]
+                segs = head[mine]
+                found.append(least_of_equals(data[_spread(begin[segs], size[segs])], size[segs], own[mine], length))
+                where[mine] = at + np.cumsum(count[segs]) - count[segs]
+                x, at = z, at + len(found[-1])
+            least = np.concatenate(found)[_spread(where[number], count)] if found else low
             ends = np.concatenate([[0], np.cumsum(count)])
             at, rows = 0, []
             for (chunk, _), part in zip(held, parts):
