@@ -48,3 +48,22 @@ def team_colours(df: DataFrame, vector: str, bins: int = 18, seed: int = 1) -> d
     centres = sorted((c.tolist() for c in model.clusterCenters()), key=lambda c: (hue(c), c))
     far = F.least(*(F.sqrt(F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)) for c in centres))
     return {"centres": centres, "reject": rows.agg(F.percentile(far, 0.975)).first()[0] * 1.25}
+
+
+def batch_scores(df: DataFrame, image: str, load, classes: int) -> DataFrame:
+    """df with probs: load() gives a model in each task, which turns a list of images (bytes) into rows of probabilities.
+
+    A batch is an Arrow batch (spark.sql.execution.arrow.maxRecordsPerBatch); null images have null probs.
+    """
+
+    def run(parts):
+        model = load()
+        for rows in parts:
+            known = rows[image].notna()
+            probs = pd.Series([None] * len(rows), index=rows.index, dtype=object)
+            if known.any():
+                found = np.asarray(model(rows[image][known].tolist()), float).reshape(-1, classes)
+                probs[known] = pd.Series(found.tolist(), index=rows.index[known], dtype=object)
+            yield rows.assign(probs=probs)
+
+    return df.mapInPandas(run, df.select("*", F.lit(None).cast("array<double>").alias("probs")).schema)

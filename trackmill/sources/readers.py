@@ -78,3 +78,26 @@ def read_model(text: str, features: list[str]) -> dict:
 def read_index(spark: SparkSession, paths: list[str], schema: str, key: str = "file") -> DataFrame:
     """The rows of several CSV files whose key occurs once; keys that occur more often are left out altogether."""
     return only_once(spark.read.option("header", True).csv(paths, schema=schema), [key])
+
+
+def read_keypoints(spark: SparkSession, path: str) -> DataFrame:
+    """(name, x, y) from the first line of a newline-delimited JSON export: its first project's first label's points."""
+    point = "struct<name:string,value:string,point:struct<x:double,y:double>>"
+    label = f"struct<annotations:struct<objects:array<{point}>>>"
+    first = spark.read.json(path, schema=f"projects map<string,struct<labels:array<{label}>>>").limit(1)
+    objects = F.get(F.get(F.map_values("projects"), F.lit(0))["labels"], F.lit(0))["annotations"]["objects"]
+    return first.select(F.explode(objects).alias("o")).select(F.coalesce("o.value", "o.name").alias("name"), "o.point.x", "o.point.y")
+
+
+def read_video_info(spark: SparkSession, path: str) -> DataFrame:
+    """(file, width, height, fps, n_frames, duration_s, codec) from probe reports in JSON, one a file.
+
+    The rate is a fraction; where the number of frames isn't told it is the rounded duration times rate.
+    """
+    stream = "struct<codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string,nb_frames:string,duration:string>"
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", f"streams array<{stream}>, format struct<duration:string>").alias("j"))
+    s = F.get(F.filter("j.streams", lambda v: F.coalesce(v["codec_type"], F.lit("video")) == "video"), F.lit(0))
+    rate = F.split(s["r_frame_rate"], "/")
+    fps = F.try_divide(F.get(rate, F.lit(0)).cast("double"), F.coalesce(F.get(rate, F.lit(1)).cast("double"), F.lit(1.0)))
+    seconds = F.coalesce(s["duration"].try_cast("double"), F.col("j.format.duration").try_cast("double"))
+    return whole.select("file", s["width"].alias("width"), s["height"].alias("height"), fps.alias("fps"), F.coalesce(s["nb_frames"].try_cast("long"), F.round(seconds * fps).cast("long")).alias("n_frames"), seconds.alias("duration_s"), s["codec_name"].alias("codec"))
