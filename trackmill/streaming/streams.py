@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from trackmill.operators.tracking import Linker
 
 
 def live_statistics(events: DataFrame, at: str, team: str, made: str, width: str = "1 minute", late: str = "2 minutes") -> DataFrame:
@@ -16,3 +24,29 @@ def live_matches(gt: DataFrame, pred: DataFrame, on: str, gt_at: str, pred_at: s
     a, b = gt.withWatermark(gt_at, late), pred.withWatermark(pred_at, late).withColumnRenamed(on, "_on")
     near = (F.col(on) == F.col("_on")) & F.col(pred_at).between(F.col(gt_at) - F.expr(f"INTERVAL {tolerance}"), F.col(gt_at) + F.expr(f"INTERVAL {tolerance}"))
     return a.join(b, near).drop("_on")
+
+
+def live_tracks(cands: DataFrame) -> DataFrame:
+    """(video, track, frame, x, y, size, conf) for each candidate that joins or starts a track, as its batch comes.
+
+    cands is as link_tracks takes it. A video's state is its open tracks, those of the last few frames. Its frames must come
+    in order over the batches, and a frame whole in one batch; a row of a frame that is past has track -1. Tracks of too few
+    hits are in it, as a stream can't know them beforehand.
+    """
+
+    def link(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        linker, past = Linker(), -1
+        if state.exists:
+            opened, linker.made, past = json.loads(state.get[0])
+            linker.open = [t | {"at": np.array(t["at"]), "v": np.array(t["v"])} for t in opened]
+        rows, out = pd.concat(list(parts)).sort_values(["frame", "det_seq"], kind="stable"), []
+        for frame, part in rows.groupby("frame", sort=True):
+            cx, cy, d, conf = (part[c].to_numpy() for c in ("cx", "cy", "d", "conf"))
+            pairs = linker.step(int(frame), cx, cy, conf) if frame > past else [(-1, j) for j in range(len(part))]
+            past = max(past, int(frame))
+            out += [(key[0], track, int(frame), cx[j], cy[j], d[j], conf[j]) for track, j in pairs]
+        state.update((json.dumps([[t | {"at": t["at"].tolist(), "v": t["v"].tolist()} for t in linker.open], linker.made, past]),))
+        yield pd.DataFrame(out, columns=["video", "track", "frame", "x", "y", "size", "conf"])
+
+    schema = "video string, track long, frame int, x double, y double, size double, conf double"
+    return cands.groupBy("video").applyInPandasWithState(link, schema, "open string", "append", GroupStateTimeout.NoTimeout)
