@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackmill.functions import court, pixels
-from trackmill.operators import composites, models
+from trackmill.operators import analysis, composites, models, shots
 from trackmill.sources import readers
 
 PERSON = "video string, frame int, track int, box struct<x:double,y:double,w:double,h:double>"
@@ -71,11 +71,11 @@ def test_errors_of_shots(spark):
 def test_features_and_model(spark):
     rows = spark.createDataFrame([(0.5, 1.0, None), (None, 1.0, 2.0), (-0.5, float("nan"), 3.0)], "dx double, vx double, vy double")
     none, f = F.lit(None).cast("double"), F.col
-    features = composites.make_features(f("dx"), f("vx"), F.lit(3.0), f("vy"), none, none, none, F.lit(True), none.cast("boolean"), none)
+    features = shots.make_features(f("dx"), f("vx"), F.lit(3.0), f("vy"), none, none, none, F.lit(True), none.cast("boolean"), none)
     got = [r.f for r in rows.select(features.alias("f")).collect()]
     assert got == [[0.5, 0.0, 0.0, 1.5, 0.0, 3.0, 1.0, 0.0, 1.0], None, [0.5, 0.0, 3.0, 1.5, 0.0, 3.0, 1.0, 0.0, 1.0]]
     model = {"mean": [0] * 9, "std": [1] * 9, "w": [-4] + [0] * 8, "b": 1.0, "threshold": 0.4}
-    scored = [r.m for r in rows.select(composites.made_by_model(features, model).alias("m")).collect()]
+    scored = [r.m for r in rows.select(shots.made_by_model(features, model).alias("m")).collect()]
     assert [m.made for m in scored] == [False, False, False] and scored[1].confidence == 0.7 and scored[0].confidence == pytest.approx(2 * abs(1 / (1 + np.e) - 0.5))
 
 

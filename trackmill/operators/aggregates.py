@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from trackmill.functions.values import ratio, renormalised
 
 
-def zone_statistics(df: DataFrame, team: str, zone: str, made: Column, points: Column | None = None, zones: list[str] | None = None, digits: int = 3) -> DataFrame:
-    """(team, zone, attempts, made, pct, points) by grouping sets: team and zone, team, zone, all; '*' is a total.
+def zone_statistics(df: DataFrame, team: str, zone: str, made: Column, points: Column | None = None, zones: list[str] | None = None, digits: int = 3, by: list[str] | None = None) -> DataFrame:
+    """(by, team, zone, attempts, made, pct, points) by grouping sets: team and zone, team, zone, all; '*' is a total.
 
     Every zone is there for every team, with no attempts if need be. One aggregation feeds all four levels.
     """
-    rows = df.select(F.col(team).alias("team"), F.col(zone).alias("zone"), made.cast("int").alias("m"), (points if points is not None else F.lit(0)).alias("p"))
-    base = rows.groupBy("team", "zone").agg(F.count("*").alias("a"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
+    by = by or []
+    rows = df.select(*by, F.col(team).alias("team"), F.col(zone).alias("zone"), made.cast("int").alias("m"), (points if points is not None else F.lit(0)).alias("p"))
+    base = rows.groupBy(*by, "team", "zone").agg(F.count("*").alias("a"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
     if zones:
-        domain = base.select("team").distinct().withColumn("zone", F.explode(F.array(*map(F.lit, zones))))
-        base = base.unionByName(domain.select("team", "zone", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("m"), F.lit(0).cast(base.schema["p"].dataType).alias("p")))
-    cube = base.groupingSets([[F.col("team"), F.col("zone")], [F.col("team")], [F.col("zone")], []], "team", "zone").agg(F.grouping("team").alias("gt"), F.grouping("zone").alias("gz"), F.sum("a").alias("attempts"), F.sum("m").alias("made"), F.sum("p").alias("points"))
-    return cube.select(F.when(F.col("gt") == 1, "*").otherwise(F.col("team")).alias("team"), F.when(F.col("gz") == 1, "*").otherwise(F.col("zone")).alias("zone"), "attempts", "made", ratio(F.col("made"), F.col("attempts"), digits).alias("pct"), "points")
+        domain = base.select(*by, "team").distinct().withColumn("zone", F.explode(F.array(*map(F.lit, zones))))
+        base = base.unionByName(domain.select(*by, "team", "zone", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("m"), F.lit(0).cast(base.schema["p"].dataType).alias("p")))
+    own, t, z = [F.col(c) for c in by], F.col("team"), F.col("zone")
+    cube = base.groupingSets([[*own, t, z], [*own, t], [*own, z], own], *by, "team", "zone").agg(F.grouping("team").alias("gt"), F.grouping("zone").alias("gz"), F.sum("a").alias("attempts"), F.sum("m").alias("made"), F.sum("p").alias("points"))
+    return cube.select(*by, F.when(F.col("gt") == 1, "*").otherwise(F.col("team")).alias("team"), F.when(F.col("gz") == 1, "*").otherwise(F.col("zone")).alias("zone"), "attempts", "made", ratio(F.col("made"), F.col("attempts"), digits).alias("pct"), "points")
 
 
-def player_table(df: DataFrame, team: str = "team", player: str = "player", made: str = "made", points: str = "points") -> DataFrame:
+def player_table(df: DataFrame, team: str = "team", player: str = "player", made: str = "made", points: str = "points", by: list[str] | None = None) -> DataFrame:
     """Attempts, makes, share and points of each player; unknown teams and numbers ('?') come last in the order columns."""
-    known = df.select(F.coalesce(team, F.lit("?")).alias("team"), F.coalesce(F.nullif(F.col(player), F.lit("")), F.lit("?")).alias("player"), F.col(made).cast("int").alias("m"), F.col(points).alias("p"))
-    return known.groupBy("team", "player").agg(F.count("*").alias("attempts"), F.sum("m").alias("made"), ratio(F.sum("m"), F.count("*")).alias("fg_pct"), F.sum("p").alias("points"))
+    by = by or []
+    known = df.select(*by, F.coalesce(team, F.lit("?")).alias("team"), F.coalesce(F.nullif(F.col(player), F.lit("")), F.lit("?")).alias("player"), F.col(made).cast("int").alias("m"), F.col(points).alias("p"))
+    return known.groupBy(*by, "team", "player").agg(F.count("*").alias("attempts"), F.sum("m").alias("made"), ratio(F.sum("m"), F.count("*")).alias("fg_pct"), F.sum("p").alias("points"))
 
 
 def in_player_order(table: DataFrame) -> DataFrame:

@@ -2,42 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.functions.values import logistic
 from trackmill.operators.matching import band_join
 from trackmill.operators.sequences import fold, rising_segments
 
 
-def detect_shots(track: DataFrame, rims: DataFrame, fps: float = 30.0) -> DataFrame:
-    """(video, release, apex, cross, dx, made, confidence) of shots.
+BALL_TO_RIM = 0.53  # fixed value: a ball is 24 cm wide, a rim 45 cm
 
-    track has (video, frame, x, y), rims (video, rx, ry, rr) with a row a video. A flight rises for four frames and 150
-    px at least, from 2.5 rim radii below the rim to 10 px above it, and comes near the rim on its way down. Windows are
-    joins on integer frames; only the rule that shots don't overlap looks at a video's few shots in order.
+
+def make_features(dx: Column, vx_in: Column, vx_out: Column, vy_in: Column, vy_out: Column, apex: Column, depth: Column, bounced: Column, under: Column, size: Column) -> Column:
+    """The nine numbers of the make model, in its order; what isn't a number takes its default. Null without a crossing."""
+    real = lambda v, default: F.when(v.isNull() | F.isnan(v.cast("double")) | (F.abs(v) == float("inf")), default).otherwise(v.cast("double"))
+    zero = F.lit(0.0)
+    into, down = real(vx_in, zero), real(vy_in, zero)
+    bit = lambda v: F.coalesce(v, F.lit(False)).cast("double")
+    kept = F.least(F.lit(2.0), F.abs(real(vx_out, zero)) / F.greatest(F.lit(2.0), F.abs(into)))
+    return F.when(dx.isNotNull(), F.array(F.abs(real(dx, zero)), real(vy_out, down) - down, down, kept, real(apex, zero), real(depth, F.lit(3.0)), bit(bounced), bit(under), real(size, F.lit(1.0))))
+
+
+def made_by_model(features: Column, model: dict) -> Column:
+    """(made, confidence) by a fitted model (mean, std, w, b, threshold); null features are a miss of confidence 0.7."""
+    p = logistic([features[k] for k in range(len(model["w"]))], model["mean"], model["std"], model["w"], model["b"])
+    known = features.isNotNull()
+    return F.struct(F.when(known, p >= float(model.get("threshold", 0.5))).otherwise(False).alias("made"), F.when(known, 2 * F.abs(p - 0.5)).otherwise(0.7).alias("confidence"))
+
+
+def detect_shots(track: DataFrame, rims: DataFrame, fps: float = 30.0, model: dict | None = None) -> DataFrame:
+    """(video, release, apex, cross, dx, made, confidence, features) of shots.
+
+    track has (video, frame, x, y) and may have size, rims (video, rx, ry, rr) with a row a video. A flight rises for four
+    frames and 150 px at least, from 2.5 rim radii below the rim to 10 px above it, and comes near the rim on its way down.
+    Windows are joins on integer frames; only the rule that shots don't overlap looks at a video's few shots in order.
+    features holds the make model's nine numbers, null for a shot that never came down through the rim's level. With a model
+    (mean, std, w, b, threshold) it decides made and confidence instead of the rule. Rows without a place are left out, as
+    are videos without a rim.
     """
+    if "size" not in track.columns:
+        track = track.withColumn("size", F.lit(None).cast("double"))
+    track = track.where("frame is not null and x is not null and y is not null").select("video", "frame", "x", "y", "size")
     down, after = int(1.5 * fps), int(0.5 * fps)
-    runs = rising_segments(track, ["video"], "frame", "y", 3, 0.5).join(rims, "video")
-    flights = runs.where((F.col("end") - F.col("start") + 1 >= 4) & (F.col("y_start") - F.col("y_end") >= 150) & (F.col("y_start") - F.col("ry") >= 2.5 * F.col("rr")) & (F.col("ry") - F.col("y_end") >= 10)).select("video", F.col("start").alias("release"), F.col("end").alias("apex"), "rx", "ry", "rr")
-    fall = band_join(flights, track.select("video", "frame", "x", "y"), ["video"], "apex", "frame", 0, down - 1)
-    near = (F.abs(F.col("x") - F.col("rx")) <= 4 * F.col("rr")) & (F.abs(F.col("y") - F.col("ry")) <= 3 * F.col("rr"))
-    top = (F.col("frame") == F.col("apex")) & (F.abs(F.col("x") - F.col("rx")) <= 9 * F.col("rr"))
-    by = ["video", "release", "apex", "rx", "ry", "rr"]
+    rx, ry, rr = F.col("rx"), F.col("ry"), F.col("rr")
+    runs = rising_segments(track, ["video"], "frame", "y", 3, 0.5).join(rims.select("video", "rx", "ry", "rr"), "video")
+    long = (F.col("end") - F.col("start") + 1 >= 4) & (F.col("y_start") - F.col("y_end") >= 150)
+    flights = runs.where(long & (F.col("y_start") - ry >= 2.5 * rr) & (ry - F.col("y_end") >= 10))
+    flights = flights.select("video", F.col("start").alias("release"), F.col("end").alias("apex"), (F.col("y_end") - ry).alias("height"), "rx", "ry", "rr")
+
+    fall = band_join(flights, track.drop("size"), ["video"], "apex", "frame", 0, down - 1)
+    near = (F.abs(F.col("x") - rx) <= 4 * rr) & (F.abs(F.col("y") - ry) <= 3 * rr)
+    top = (F.col("frame") == F.col("apex")) & (F.abs(F.col("x") - rx) <= 9 * rr)
+    by = ["video", "release", "apex", "height", "rx", "ry", "rr"]
     w = Window.partitionBy("video", "release").orderBy("frame")
     steps = fall.withColumn("y0", F.lag("y").over(w)).withColumn("x0", F.lag("x").over(w))
-    at = F.try_divide(F.col("ry") - F.col("y0"), F.col("y") - F.col("y0"))
-    passes = (F.col("y0") < F.col("ry")) & (F.col("ry") <= F.col("y"))
-    shots = steps.groupBy(*by).agg(F.bool_or(near | top).alias("close"), F.min(F.when(passes, F.struct(F.col("frame").alias("cross"), (F.col("x0") + at * (F.col("x") - F.col("x0")) - F.col("rx")).alias("dx")))).alias("c")).where("close").select(*by, "c.cross", "c.dx").withColumn("until", F.coalesce("cross", "apex"))
-    kept = fold(shots, ["video"], ["release"], ["release", "apex", "rx", "ry", "rr", "cross", "dx", "until"], lambda s, r: (F.size(s) == 0) | (r["release"] > F.element_at(F.concat(s, F.array(r)), F.greatest(F.size(s), F.lit(1)))["until"]))
+    at = F.try_divide(ry - F.col("y0"), F.col("y") - F.col("y0"))
+    first = F.min(F.when((F.col("y0") < ry) & (ry <= F.col("y")), F.struct(F.col("frame").alias("cross"), (F.col("x0") + at * (F.col("x") - F.col("x0")) - rx).alias("dx"))))
+    shots = steps.groupBy(*by).agg(F.bool_or(near | top).alias("close"), first.alias("c")).where("close").select(*by, "c.cross", "c.dx").withColumn("until", F.coalesce("cross", "apex"))
+    kept = fold(shots, ["video"], ["release"], ["release", *by[2:], "cross", "dx", "until"], lambda s, r: (F.size(s) == 0) | (r["release"] > F.element_at(F.concat(s, F.array(r)), F.greatest(F.size(s), F.lit(1)))["until"]))
     kept = kept.select("video", F.inline("kept"))
-    near_cross = band_join(kept.where("cross is not null").select("video", "release", "cross", "rx", "ry", "rr"), track.select("video", "frame", "x", "y"), ["video"], "cross", "frame", 6, max(after - 1, 12))
-    t = F.col("frame") - F.col("cross")
-    deep = t.between(0, after - 1) & (F.col("y") - F.col("ry") >= 2.5 * F.col("rr"))
-    ends = lambda a, b: [f(F.when(t.between(a, b), F.struct("frame", "x"))) for f in (F.min, F.max)]
-    (i0, i1), (o0, o1) = ends(-6, 0), ends(3, 12)
-    seen = near_cross.groupBy("video", "release").agg(F.bool_or(deep).alias("deep"), F.bool_or(deep & (F.abs(F.col("x") - F.col("rx")) <= 1.6 * F.col("rr"))).alias("under"), F.bool_or(t.between(0, after - 1) & (F.col("ry") - F.col("y") >= 0.5 * F.col("rr"))).alias("bounce"), F.try_divide(i1["x"] - i0["x"], i1["frame"] - i0["frame"]).alias("vin"), F.try_divide(o1["x"] - o0["x"], o1["frame"] - o0["frame"]).alias("vout"))
+
+    near_cross = band_join(kept.where("cross is not null").select("video", "release", "cross", "rx", "ry", "rr"), track, ["video"], "cross", "frame", 6, max(after - 1, 12))
+    t, below = F.col("frame") - F.col("cross"), F.col("y") - ry
+    net = t.between(0, after - 1)
+    deep = net & (below >= 2.5 * rr)
+
+    def mean_speed(value: str, a: int, b: int):
+        ends = [f(F.when(t.between(a, b), F.struct("frame", value))) for f in (F.min, F.max)]
+        return F.try_divide(ends[1][value] - ends[0][value], ends[1]["frame"] - ends[0]["frame"])
+
+    size = F.max(F.when(t == 0, F.try_divide(F.col("size"), rr * (2 * BALL_TO_RIM))))
+    seen = near_cross.groupBy("video", "release").agg(
+        F.bool_or(deep).alias("deep"), F.bool_or(deep & (F.abs(F.col("x") - rx) <= 1.6 * rr)).alias("under"), F.bool_or(net & (-below >= 0.5 * rr)).alias("bounce"),
+        mean_speed("x", -6, 0).alias("vin"), mean_speed("x", 3, 12).alias("vout"), mean_speed("y", -6, 0).alias("fin"), mean_speed("y", 3, 12).alias("fout"),
+        F.max(F.when(net, below / rr)).alias("depth"), size.alias("size"),
+    )
     full = kept.join(seen, ["video", "release"], "left")
     braked = F.coalesce((F.abs("vin") > 4) & (F.abs("vout") <= 0.5 * F.abs("vin")), F.lit(False))
-    off = F.abs("dx") / F.col("rr")
-    made = F.col("cross").isNotNull() & (off <= 0.85) & F.col("deep") & (F.col("under") | braked) & ~F.col("bounce")
-    return full.select("video", "release", "apex", "cross", "dx", F.coalesce(made, F.lit(False)).alias("made"), F.when(F.col("cross").isNull(), 0.7).otherwise(F.least(F.lit(1.0), F.abs(off - 0.85) / 0.85 + 0.3)).alias("confidence"))
+    off = F.abs("dx") / rr
+    made = F.coalesce(F.col("cross").isNotNull() & (off <= 0.85) & F.col("deep") & (F.col("under") | braked) & ~F.col("bounce"), F.lit(False))
+    sure = F.when(F.col("cross").isNull(), 0.7).otherwise(F.least(F.lit(1.0), F.abs(off - 0.85) / 0.85 + 0.3))
+    features = make_features(F.col("dx") / rr, F.col("vin"), F.col("vout"), F.col("fin"), F.col("fout"), F.col("height"), F.col("depth"), F.col("bounce"), F.col("under"), F.col("size"))
+    out = full.select("video", "release", "apex", "cross", "dx", made.alias("made"), sure.alias("confidence"), features.alias("features"))
+    if model is None:
+        return out
+    by_model = made_by_model(F.col("features"), model)
+    return out.withColumn("_m", by_model).withColumn("made", F.col("_m.made")).withColumn("confidence", F.col("_m.confidence")).drop("_m")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackmill.functions import court, geometry
-from trackmill.operators import composites, matching, spatial
+from trackmill.operators import composites, matching, shots, spatial
 from trackmill.plans.registry import QUERIES, SQL, _P, _R, _probabilities, _read, query  # noqa: F401
 
 _FLOOR = [[0.0125, 0.0, -7.0], [0.0, 0.025, 0.0], [0.0, 0.0, 1.0]]
@@ -43,7 +43,8 @@ def _near(spark, sf_dir):
 
 @query(f"WITH {_BASE} SELECT video, shot, track, round(dist, 6) AS dist, n, CAST(rank AS INTEGER) AS rank FROM ranked")
 def t1_ranked_shooters(spark, sf_dir):
-    return composites.ranked_shooters(_near(spark, sf_dir)).withColumn("dist", _R("dist", 6))
+    exact = composites.near_release(_shots(spark, sf_dir), _persons(spark, sf_dir), _ball(spark, sf_dir)).withColumn("exact", F.col("dist"))
+    return composites.ranked_shooters(exact.withColumn("dist", F.round("dist", 9))).withColumn("dist", _R("exact", 6)).drop("exact")
 
 
 _CALM = """now AS (SELECT video, shot, release, track, fx AS x0, fy AS y0 FROM (SELECT best.video, shot, release, best.track, fx, fy, row_number() OVER (PARTITION BY best.video, shot ORDER BY abs(f.frame - release), f.frame) AS k FROM best JOIN f ON f.video = best.video AND f.track = best.track AND abs(f.frame - release) <= 3) WHERE k = 1),
@@ -194,7 +195,7 @@ FROM (SELECT *, CASE WHEN l_linenumber > 1 THEN l_tax * 100 - l_quantity END AS
 def h20_make_features(spark, sf_dir):
     c = F.col
     none = F.lit(None).cast("double")
-    f = composites.make_features(F.when(c("l_linenumber") != 7, c("l_discount") * 20 - 1), c("l_discount") * 40, c("l_tax") * 40, c("l_quantity"), F.when(c("l_linenumber") > 1, c("l_tax") * 100), -c("l_quantity") * 2, F.lit(float("inf")), c("l_returnflag") == "R", c("l_linestatus") == "O", none)
+    f = shots.make_features(F.when(c("l_linenumber") != 7, c("l_discount") * 20 - 1), c("l_discount") * 40, c("l_tax") * 40, c("l_quantity"), F.when(c("l_linenumber") > 1, c("l_tax") * 100), -c("l_quantity") * 2, F.lit(float("inf")), c("l_returnflag") == "R", c("l_linestatus") == "O", none)
     rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", f.alias("f"))
     return rows.select("l_orderkey", "l_linenumber", _R(F.aggregate("f", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), _R(F.get("f", F.lit(3)), 6).alias("kept"))
 
@@ -206,3 +207,36 @@ def h12_crop_boxes(spark, sf_dir):
     rows = rows.withColumn("left", geometry.crop_origin(F.col("b.x") + 20, 640, 1920)).withColumn("top", geometry.crop_origin(F.col("b.y") + 20, 640, 1080))
     inside = geometry.clipped_box(F.col("b"), F.col("left"), F.col("top"), 640, 640)
     return rows.select("l_orderkey", "l_linenumber", "left", "top", _R(inside["cx"], 6).alias("cx"), _R(inside["h"], 6).alias("h"))
+
+
+_FLIGHTS = """o AS (SELECT o_orderkey AS video, o_custkey % 41 AS skew, o_orderkey % 7 AS lift, CAST(o_totalprice * 100 AS BIGINT) % 90 AS drift FROM orders),
+t AS (SELECT video, CAST(k AS INTEGER) AS frame, 1400.0 + (drift + 330) * k / 30.0 + CASE WHEN k > 46 THEN (skew - 60) * (k - 46) / 5.0 ELSE 0 END AS x,
+CASE WHEN k <= 25 THEN 440.0 + lift * 70 + (1060 - lift * 70) * (25 - k) * (25 - k) / 625.0 ELSE 440.0 + lift * 70 + 1060 * (k - 25) * (k - 25) / 900.0 END AS y FROM o, unnest(range(0, 61)) AS u(k) WHERE (video + k) % 11 <> 3)"""
+
+
+def _flights(spark, sf_dir):
+    """A ball thrown for each order: how high, how far and how it drifts after the rim come from the order's numbers."""
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), F.pmod("o_custkey", F.lit(41)).alias("skew"), F.pmod("o_orderkey", F.lit(7)).alias("lift"), F.pmod((F.col("o_totalprice") * 100).cast("decimal(20,0)").cast("long"), F.lit(90)).alias("drift"))
+    k, lift = F.col("frame"), F.col("lift") * 70
+    rows = o.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(60)))).where((F.col("video") + k) % 11 != 3)
+    x = 1400.0 + (F.col("drift") + 330) * k / 30.0 + F.when(k > 46, (F.col("skew") - 60) * (k - 46) / 5.0).otherwise(0)
+    y = F.when(k <= 25, 440.0 + lift + (1060 - lift) * (25 - k) * (25 - k) / 625.0).otherwise(440.0 + lift + 1060 * (k - 25) * (k - 25) / 900.0)
+    return rows.select("video", "frame", x.alias("x"), y.alias("y"))
+
+
+@query(f"""WITH {_FLIGHTS},
+st AS (SELECT *, lag(frame) OVER w AS f0, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM t WINDOW w AS (PARTITION BY video ORDER BY frame)),
+ru AS (SELECT *, sum(CASE WHEN frame - f0 <= 4 AND y0 - y > 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY video ORDER BY frame) AS run FROM st),
+fl AS (SELECT video, min(frame) AS release, max(frame) AS apex, min(y) AS top FROM ru GROUP BY video, run HAVING count(*) > 1 AND max(frame) - min(frame) >= 3 AND max(y) - min(y) >= 150 AND max(y) - 840 >= 82.5 AND 840 - min(y) >= 10),
+fa AS (SELECT fl.video, release, apex, top, st.frame, st.x, st.y, CASE WHEN st.frame > apex THEN x0 END AS x0, CASE WHEN st.frame > apex THEN y0 END AS y0 FROM fl JOIN st ON st.video = fl.video AND st.frame BETWEEN apex AND apex + 44),
+cr AS (SELECT video, release, apex, top, min(frame) FILTER (y0 < 840 AND 840 <= y) AS crossed, arg_min(x0 + (840 - y0) / (y - y0) * (x - x0) - 1800, frame) FILTER (y0 < 840 AND 840 <= y) AS dx FROM fa
+GROUP BY ALL HAVING bool_or((abs(x - 1800) <= 132 AND abs(y - 840) <= 99) OR (frame = apex AND abs(x - 1800) <= 297))),
+se AS (SELECT cr.video, release, bool_or(g BETWEEN 0 AND 14 AND y - 840 >= 82.5) AS deep, bool_or(g BETWEEN 0 AND 14 AND y - 840 >= 82.5 AND abs(x - 1800) <= 52.8) AS under, bool_or(g BETWEEN 0 AND 14 AND 840 - y >= 16.5) AS bounce,
+(arg_max(x, g) FILTER (g <= 0) - arg_min(x, g) FILTER (g <= 0)) / nullif(max(g) FILTER (g <= 0) - min(g) FILTER (g <= 0), 0) AS vin, (arg_max(x, g) FILTER (g BETWEEN 3 AND 12) - arg_min(x, g) FILTER (g BETWEEN 3 AND 12)) / nullif(max(g) FILTER (g BETWEEN 3 AND 12) - min(g) FILTER (g BETWEEN 3 AND 12), 0) AS vout,
+max((y - 840) / 33.0) FILTER (g BETWEEN 0 AND 14) AS depth FROM (SELECT cr.*, t.x, t.y, t.frame - crossed AS g FROM cr JOIN t ON t.video = cr.video AND t.frame BETWEEN crossed - 6 AND crossed + 14) cr GROUP BY ALL)
+SELECT cr.video, cr.release, cr.apex, crossed AS "cross", round(dx, 4) AS dx, coalesce(crossed IS NOT NULL AND abs(dx) / 33 <= 0.85 AND deep AND (under OR coalesce(abs(vin) > 4 AND abs(vout) <= 0.5 * abs(vin), false)) AND NOT bounce, false) AS made,
+CASE WHEN crossed IS NOT NULL THEN round(least(2.0, abs(coalesce(vout, 0)) / greatest(2.0, abs(coalesce(vin, 0)))), 4) END AS kept, CASE WHEN crossed IS NOT NULL THEN round(coalesce(depth, 3.0), 4) END AS depth FROM cr LEFT JOIN se USING (video, release)""")
+def z1_detect_shots(spark, sf_dir):
+    rims = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), F.lit(1800.0).alias("rx"), F.lit(840.0).alias("ry"), F.lit(33.0).alias("rr"))
+    found = shots.detect_shots(_flights(spark, sf_dir), rims)
+    return found.select("video", "release", "apex", "cross", _R("dx", 4).alias("dx"), "made", _R(F.get("features", F.lit(3)), 4).alias("kept"), _R(F.get("features", F.lit(5)), 4).alias("depth"))

@@ -11,14 +11,17 @@ from trackmill.sources.readers import EVENT_COLUMNS
 
 
 def write_events(df: DataFrame, path: str) -> None:
-    """CSV in the fixed order of columns, flags as 0 and 1, nulls blank."""
-    df.select(*(F.col(c).cast("int").alias(c) if c == "made" else F.col(c) for c in EVENT_COLUMNS)).write.mode("overwrite").option("header", True).csv(path)
+    """CSV in the fixed order of columns, flags as 0 and 1, nulls blank; by video if df has that column."""
+    by = [c for c in df.columns if c == "video"]
+    rows = df.select(*by, *(F.col(c).cast("int").alias(c) if c == "made" else F.col(c) for c in EVENT_COLUMNS))
+    rows.write.mode("overwrite").option("header", True).partitionBy(*by).csv(path)
 
 
 def write_statistics(stats: DataFrame, path: str) -> None:
-    """A line of JSON for each team, its zones as a map."""
+    """A line of JSON for each team (of each video, if stats has that column), its zones as a map."""
+    by = [c for c in ("video", "team") if c in stats.columns]
     zone = F.struct("attempts", "made", "pct", "points")
-    stats.groupBy("team").agg(F.map_from_entries(F.collect_list(F.struct("zone", zone))).alias("zones")).select(F.to_json(F.struct("team", "zones")).alias("value")).write.mode("overwrite").text(path)
+    stats.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("zone", zone))).alias("zones")).select(F.to_json(F.struct(*by, "zones")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_players(table: DataFrame, path: str) -> None:
