@@ -155,9 +155,21 @@ def j1_match_one_to_one(spark, sf_dir):
     return matching.one_to_one(gt, pred, ["user_id"], "gt_id", "pred_id", "gt_us", "pred_us", 3_600_000_000)
 
 
-@query()
+_PAIRS = f"""e AS ({_E}), t AS (SELECT *, us / 1e6 AS at FROM e), c AS (SELECT g.user_id, g.event_id AS i, p.event_id AS j, abs(p.at - g.at) AS d FROM t g JOIN t p ON g.user_id = p.user_id AND g.event_type = 'click' AND p.event_type = 'purchase' AND p.at - g.at BETWEEN -3600 AND 3600),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d, i, j) AS k FROM c),
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gi, CAST([] AS BIGINT[]) AS pj, NULL::BIGINT AS i, NULL::BIGINT AS j FROM (SELECT DISTINCT user_id FROM r)
+UNION ALL SELECT w.user_id, r.k, CASE WHEN ok THEN list_append(gi, r.i) ELSE gi END, CASE WHEN ok THEN list_append(pj, r.j) ELSE pj END, CASE WHEN ok THEN r.i END, CASE WHEN ok THEN r.j END
+FROM w JOIN r ON r.user_id = w.user_id AND r.k = w.k + 1, LATERAL (SELECT NOT list_contains(gi, r.i) AND NOT list_contains(pj, r.j) AS ok)),
+m AS (SELECT user_id, i, j FROM w WHERE i IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_PAIRS},
+x AS (SELECT user_id, event_id, event_type, CASE WHEN value > 50 THEN 'A' ELSE 'B' END AS team, CASE WHEN event_id % 3 = 0 THEN 'ft' ELSE 'inside_arc' END AS zone, value > 30 AS made FROM e),
+n AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS g, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'click' AND team = 'A') AS ga, count(*) FILTER (event_type = 'click' AND team = 'B') AS gb, count(*) FILTER (event_type = 'purchase' AND team = 'A') AS pa, count(*) FILTER (event_type = 'purchase' AND team = 'B') AS pb FROM x WHERE event_type IN ('click', 'purchase') GROUP BY 1),
+o AS (SELECT m.user_id, count(*) AS matched, count(*) FILTER (a.made = b.made) AS made_ok, count(*) FILTER (a.zone = b.zone) AS zone_ok, count(*) FILTER (a.team = b.team) AS same, count(*) FILTER (a.team <> b.team) AS other FROM m JOIN x a ON a.event_id = i JOIN x b ON b.event_id = j GROUP BY 1)
+SELECT user_id, coalesce(matched, 0) AS matched, coalesce(matched, 0) / nullif(g, 0) AS recall, coalesce(matched, 0) / nullif(p, 0) AS "precision", made_ok / matched AS made_accuracy, zone_ok / matched AS zone_accuracy, greatest(same, other) / matched AS team_accuracy, coalesce(other > same, false) AS swapped,
+CASE WHEN coalesce(other > same, false) THEN pb ELSE pa END - ga AS points_error_a, CASE WHEN coalesce(other > same, false) THEN pa ELSE pb END - gb AS points_error_b, p - g AS points_error FROM n LEFT JOIN o USING (user_id)""")
 def g7_alignment_eval(spark, sf_dir):
-    """No SQL: it builds on the rounds of j1_match_one_to_one, whose pairs SQL checks."""
     rows = _events(spark, sf_dir).select("user_id", "event_id", "event_type", (F.col("us") / 1e6).alias("timestamp_s"), F.when(F.col("value") > 50, "A").otherwise("B").alias("team"), F.when(F.col("event_id") % 3 == 0, "ft").otherwise("inside_arc").alias("zone"), (F.col("value") > 30).alias("made"), F.lit(1).alias("points"))
     return matching.evaluate(rows.where("event_type = 'click'"), rows.where("event_type = 'purchase'"), ["user_id"], 3600.0)
 
@@ -202,7 +214,20 @@ def j11_occlusion(spark, sf_dir):
     return spatial.occlusion(_boxes(spark, sf_dir), ["frame"], "id", "box")
 
 
-@query()
+def _greedy(key: str, start: str, kept: str, out: str, ok: str) -> str:
+    """SQL's form of a fold: r's rows of a key in order of k; each that is `ok` against w.kept joins it."""
+    return f"""w AS (SELECT {key}, CAST(0 AS BIGINT) AS k, {start} AS kept, NULL::{out} AS got FROM (SELECT DISTINCT {key} FROM r)
+UNION ALL SELECT w.{key}, r.k, CASE WHEN {ok} THEN list_append(w.kept, {kept}) ELSE w.kept END, CASE WHEN {ok} THEN r.id END FROM w JOIN r ON r.{key} = w.{key} AND r.k = w.k + 1)"""
+
+
+def _share(a: str, b: str) -> str:
+    """SQL's form of the overlap of two boxes."""
+    s = f"(greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))"
+    return f"({s} / ({a}.w * {a}.h + {b}.w * {b}.h - {s}))"
+
+
+@query(f"""WITH RECURSIVE b AS ({_B}), r AS (SELECT a.frame, {{'t': a.id, 'f': o.id}} AS id, row_number() OVER (PARTITION BY a.frame ORDER BY a.id, {_share("a", "o")} DESC, o.id) AS k FROM b a JOIN b o ON a.frame = o.frame AND a.id % 2 = 0 AND o.id % 2 = 1 AND {_share("a", "o")} >= 0.3),
+{_greedy("frame", "CAST([] AS STRUCT(t BIGINT, f BIGINT)[])", "r.id", "STRUCT(t BIGINT, f BIGINT)", "len(list_filter(w.kept, lambda m: m.t = r.id.t OR m.f = r.id.f)) = 0")} SELECT frame, got.t AS id, got.f AS gid FROM w WHERE got IS NOT NULL""")
 def j8_greedy_boxes(spark, sf_dir):
     boxes = _boxes(spark, sf_dir)
     return spatial.greedy_boxes(boxes.where("id % 2 = 0"), boxes.where("id % 2 = 1").select("frame", F.col("id").alias("gid"), F.col("box").alias("gbox")), ["frame"], "id", "box", "gid", "gbox", 0.3)
@@ -284,18 +309,27 @@ def d3_thin_out(spark, sf_dir):
     return sequences.thin_out(rows, ["k"], "a", 60)
 
 
-@query()
+_KEPT = "STRUCT(id BIGINT, x DOUBLE, y DOUBLE, d DOUBLE, conf DOUBLE)"
+
+
+@query(f"""WITH RECURSIVE b AS ({_B}), r AS (SELECT frame, CAST({{'id': id, 'x': x + w / 2, 'y': y + h / 2, 'd': (w + h) / 2, 'conf': ((id * 7) % 100) / 100}} AS {_KEPT}) AS c, row_number() OVER (PARTITION BY frame ORDER BY id) AS k FROM b),
+w AS (SELECT frame, CAST(0 AS BIGINT) AS k, CAST([] AS {_KEPT}[]) AS kept FROM (SELECT DISTINCT frame FROM r)
+UNION ALL SELECT frame, k, CASE WHEN hit = 0 THEN list_append(kept, c) WHEN c.conf > kept[hit].conf THEN list_concat(list_append(kept[1:hit - 1], c), kept[hit + 1:]) ELSE kept END
+FROM (SELECT w.frame, r.k, w.kept, r.c, coalesce(list_position(list_transform(w.kept, lambda m: sqrt((m.x - r.c.x) * (m.x - r.c.x) + (m.y - r.c.y) * (m.y - r.c.y)) < 0.7 * greatest(m.d, r.c.d)), true), 0) AS hit FROM w JOIN r ON r.frame = w.frame AND r.k = w.k + 1))
+SELECT frame, m.id, m.x, m.y, m.d, m.conf FROM (SELECT frame, unnest(kept) AS m FROM (SELECT frame, arg_max(kept, k) AS kept FROM w GROUP BY frame))""")
 def d1_greedy_merge(spark, sf_dir):
     rows = _boxes(spark, sf_dir).select("frame", "id", (F.col("box.x") + F.col("box.w") / 2).alias("x"), (F.col("box.y") + F.col("box.h") / 2).alias("y"), ((F.col("box.w") + F.col("box.h")) / 2).alias("d"), (F.pmod(F.col("id") * 7, F.lit(100)) / 100).alias("conf"))
     return sequences.merge_candidates(rows, ["frame"], "id", "x", "y", "d", "conf")
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS ({_B}), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY (id * 7) % 100 DESC, id) AS k FROM b),
+{_greedy("frame", "CAST([] AS STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[])", "{'x': r.x, 'y': r.y, 'w': r.w, 'h': r.h}", "BIGINT", f"len(w.kept) < 3 AND len(list_filter(w.kept, lambda m: {_share('m', 'r')} > 0.3)) = 0")} SELECT frame, got AS id FROM w WHERE got IS NOT NULL""")
 def d2_best_boxes(spark, sf_dir):
     return sequences.best_boxes(_boxes(spark, sf_dir).withColumn("conf", F.pmod(F.col("id") * 7, F.lit(100)) / 100), ["frame"], "id", "conf", "box").select("frame", "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({_E}), r AS (SELECT user_id, {{'minute': s // 60, 'value': value}} AS id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, s // 60) AS k FROM e WHERE value >= 60),
+{_greedy("user_id", "CAST([] AS BIGINT[])", "r.id.minute", "STRUCT(minute BIGINT, value DOUBLE)", "len(list_filter(w.kept, lambda m: abs(m - r.id.minute) <= 180)) = 0")} SELECT user_id, got.minute AS minute, got.value AS value FROM w WHERE got IS NOT NULL""")
 def d4_peaks(spark, sf_dir):
     rows = _events(spark, sf_dir).select("user_id", F.floor(F.col("s") / 60).alias("minute"), "value")
     return sequences.peaks(rows, ["user_id"], "minute", "value", 60.0, 180)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions import court, geometry
 from trackmill.operators import composites, matching, shots, spatial
-from trackmill.plans.registry import QUERIES, SQL, _P, _R, _probabilities, _read, query  # noqa: F401
+from trackmill.plans.registry import _E, _PAIRS, QUERIES, SQL, _P, _R, _probabilities, _read, query  # noqa: F401
 
 _FLOOR = [[0.0125, 0.0, -7.0], [0.0, 0.025, 0.0], [0.0, 0.0, 1.0]]
 
@@ -168,9 +168,12 @@ def z12_team_results(spark, sf_dir):
     return composites.team_results(_read(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("video"), F.when(F.col("o_orderkey") % 2 == 0, "A").otherwise("B").alias("truth"), guess.alias("guess")))
 
 
-@query()
+@query(f"""WITH RECURSIVE ends AS (SELECT user_id, max(us / 1e6) * 29.97 AS frames FROM ({_E}) GROUP BY 1),
+{_PAIRS.replace("g.event_type = 'click'", "g.event_type = 'click' AND g.at * 29.97 < (SELECT frames FROM ends WHERE ends.user_id = g.user_id) - 45")}
+SELECT m.user_id AS video, CASE WHEN (a.value > 30) = (b.value > 30) THEN 'right' ELSE 'wrong' END AS kind, i AS gt_id, j AS pred_id, b.at - a.at AS "offset" FROM m JOIN t a ON a.event_id = i JOIN t b ON b.event_id = j
+UNION ALL SELECT t.user_id, 'missed', event_id, NULL, NULL FROM t JOIN ends ON ends.user_id = t.user_id WHERE event_type = 'click' AND t.at * 29.97 < frames - 45 AND event_id NOT IN (SELECT i FROM m)
+UNION ALL SELECT user_id, 'extra', NULL, event_id, NULL FROM t WHERE event_type = 'purchase' AND event_id NOT IN (SELECT j FROM m)""")
 def z14_shot_errors(spark, sf_dir):
-    """No SQL: it builds on the rounds of j1_match_one_to_one, whose pairs SQL checks."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("id"), seconds.alias("at"), (F.col("value") > 30).alias("made"), "event_type")
     ends = rows.groupBy("video").agg((F.max("at") * 29.97).alias("frames"))
