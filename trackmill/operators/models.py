@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,39 @@ def scores(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-((x - model["mean"]) / model["std"] @ model["w"] + model["b"])))
 
 
+def fit_choice(x: np.ndarray, chosen: np.ndarray, group: np.ndarray, rounds: int = 3000, rate: float = 0.1, penalty: float = 1.0) -> dict:
+    """A conditional logit over the candidates (rows) of each group, one of them chosen: standardised, by full gradient
+    steps. Groups without a chosen row are left out; without any group every weight is 0."""
+    order = np.argsort(group, kind="stable")
+    x, chosen, group = x[order], chosen[order].astype(float), group[order]
+    _, at = np.unique(group, return_inverse=True)
+    has = np.bincount(at, chosen) > 0 if len(at) else np.zeros(0, bool)
+    keep = has[at]
+    x, chosen, at = x[keep], chosen[keep], np.unique(at[keep], return_inverse=True)[1]
+    if not len(x):
+        return {"mean": [0.0] * x.shape[1], "std": [1.0] * x.shape[1], "w": [0.0] * x.shape[1]}
+    mean, std = x.mean(0), x.std(0) + 1e-6
+    z, w, starts = (x - mean) / std, np.zeros(x.shape[1]), np.flatnonzero(np.diff(at, prepend=-1))
+    for _ in range(rounds):
+        u = z @ w
+        p = np.exp(u - np.maximum.reduceat(u, starts)[at])
+        p /= np.add.reduceat(p, starts)[at]
+        w -= rate * (penalty * w + z.T @ (p - chosen)) / len(starts)
+    return {"mean": mean.tolist(), "std": std.tolist(), "w": w.tolist()}
+
+
+def ranked_by_choice(df: DataFrame, by: list[str], row_id: str, features: list[Column], model: dict) -> DataFrame:
+    """df with p, each candidate's probability within its key, and its rank; equals go by row_id. A null feature counts
+    as the mean."""
+    from pyspark.sql import Window
+
+    terms = [F.coalesce((f.cast("double") - m) / s * w, F.lit(0.0)) for f, m, s, w in zip(features, *(map(float, model[k]) for k in ("mean", "std", "w")))]
+    over = Window.partitionBy(*by)
+    rows = df.withColumn("_u", sum(terms, F.lit(0.0)))
+    rows = rows.withColumn("_e", F.exp(F.col("_u") - F.max("_u").over(over)))
+    return rows.withColumn("p", F.col("_e") / F.sum("_e").over(over)).withColumn("rank", F.row_number().over(over.orderBy(F.desc("_u"), row_id))).drop("_u", "_e")
+
+
 def leave_one_out(df: DataFrame, fold: str, features: str, label: str) -> DataFrame:
     """(fold, n, right): accuracy on each fold of a model fitted on the others. Rows of all folds but one go to each
     task, so the table must be small (hand-labelled events)."""

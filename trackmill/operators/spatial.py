@@ -17,17 +17,17 @@ def best_overlap(left: DataFrame, right: DataFrame, on: list[str], left_id: str,
 
 def overlap_of_others(df: DataFrame, on: list[str], row_id: str, box: str) -> DataFrame:
     """For each box the largest share of its area that another box of the frame covers; 0 without others."""
-    other = df.select(*on, F.col(row_id).alias("_id"), F.col(box).alias("_b"))
+    other = df.select(*on, F.col(row_id).alias("_id"), F.col(others or box).alias("_b"))
     pairs = df.select(*on, row_id, F.col(box).alias("_a")).join(other, on).where(F.col(row_id) != F.col("_id"))
     found = pairs.groupBy(*on, row_id).agg(F.max(overlap_share(F.col("_a"), F.col("_b"))).alias("overlap"))
     return df.select(*on, row_id).join(found, [*on, row_id], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
 
 
-def occlusion(df: DataFrame, on: list[str], row_id: str, box: str, grid: int = 16) -> DataFrame:
-    """For each box the share of a grid of its points that lie in any other box of the frame."""
+def occlusion(df: DataFrame, on: list[str], row_id: str, box: str, grid: int = 16, others: str | None = None) -> DataFrame:
+    """For each box the share of a grid of its points that lie in any other row's box (`others`, if it is another column)."""
     cells = F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1)))
     points = df.select(*on, row_id, F.col(box).alias("_a"), cells.alias("_k")).select(*on, row_id, "_k", (F.col("_a.x") + (F.pmod("_k", F.lit(grid)) + 0.5) / grid * F.col("_a.w")).alias("_x"), (F.col("_a.y") + (F.floor(F.col("_k") / grid) + 0.5) / grid * F.col("_a.h")).alias("_y"))
-    other = df.select(*on, F.col(row_id).alias("_id"), F.col(box).alias("_b"))
+    other = df.select(*on, F.col(row_id).alias("_id"), F.col(others or box).alias("_b"))
     inside = (F.col(row_id) != F.col("_id")) & F.col("_x").between(F.col("_b.x"), F.col("_b.x") + F.col("_b.w")) & F.col("_y").between(F.col("_b.y"), F.col("_b.y") + F.col("_b.h"))
     covered = points.join(other, on).where(inside).select(*on, row_id, "_k").distinct().groupBy(*on, row_id).agg(F.count("*").alias("_n"))
     return df.select(*on, row_id).join(covered, [*on, row_id], "left").select(*on, row_id, (F.coalesce("_n", F.lit(0)) / float(grid * grid)).alias("occlusion"))

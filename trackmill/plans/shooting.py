@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackmill.functions import court, geometry
-from trackmill.operators import composites, matching, shots, spatial
+from trackmill.operators import composites, datasets, matching, models, shots, spatial
 from trackmill.plans.registry import _E, _PAIRS, QUERIES, SQL, _P, _R, _probabilities, _read, query  # noqa: F401
 
 _FLOOR = [[0.0125, 0.0, -7.0], [0.0, 0.025, 0.0], [0.0, 0.0, 1.0]]
@@ -243,3 +243,26 @@ def z1_detect_shots(spark, sf_dir):
     rims = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), F.lit(1800.0).alias("rx"), F.lit(840.0).alias("ry"), F.lit(33.0).alias("rr"))
     found = shots.detect_shots(_flights(spark, sf_dir), rims)
     return found.select("video", "release", "apex", "cross", _R("dx", 4).alias("dx"), "made", _R(F.get("features", F.lit(3)), 4).alias("kept"), _R(F.get("features", F.lit(5)), 4).alias("depth"))
+
+
+_CHOICE = {"mean": [0.8, 4.0], "std": [0.5, 1.0], "w": [-2.0, 0.5]}
+
+
+@query(f"""WITH {_BASE}, u AS (SELECT video, shot, track, (dist - 0.8) / 0.5 * -2.0 + (n - 4.0) * 0.5 AS u FROM near), e AS (SELECT *, exp(u - max(u) OVER (PARTITION BY video, shot)) AS e FROM u)
+SELECT video, shot, track, round(e / sum(e) OVER (PARTITION BY video, shot), 5) AS p, row_number() OVER (PARTITION BY video, shot ORDER BY round(u, 9) DESC, track) AS rank FROM e""")
+def m4_choice_rank(spark, sf_dir):
+    near = composites.near_release(_shots(spark, sf_dir), _persons(spark, sf_dir), _ball(spark, sf_dir))
+    found = models.ranked_by_choice(near, ["video", "shot"], "track", [F.round("dist", 10), F.col("n")], _CHOICE)
+    return found.select("video", "shot", "track", _R("p", 5).alias("p"), F.col("rank").cast("long").alias("rank"))
+
+
+_TALL = "SELECT *, x + 0 AS tx, y + 0.15 * h AS ty, w AS tw, 0.4 * h AS th FROM p WHERE frame % 6 = 0"
+
+
+@query(f"""WITH {_BASE}, q6 AS ({_TALL}), g AS (SELECT q6.*, unnest(range(0, 256)) AS k FROM q6),
+hid AS (SELECT g.video, g.frame, g.track, count(DISTINCT g.k) / 256.0 AS occl FROM g JOIN q6 o ON o.video = g.video AND o.frame = g.frame AND o.track <> g.track AND g.tx + (k % 16 + 0.5) / 16 * g.tw BETWEEN o.x AND o.x + o.w AND g.ty + (k // 16 + 0.5) / 16 * g.th BETWEEN o.y AND o.y + o.h GROUP BY ALL)
+SELECT format('{{}}_f{{:06d}}_t{{}}.jpg', q6.video, q6.frame, q6.track) AS file, q6.frame, CASE WHEN q6.track % 2 = 0 THEN 'A' ELSE '' END AS team, q6.track * 3 AS number, round(coalesce(occl, 0), 3) AS occl, CAST(w AS INTEGER) AS box_w, CAST(h AS INTEGER) AS box_h FROM q6 LEFT JOIN hid USING (video, frame, track) WHERE q6.track < 7 AND h >= 120""")
+def b11_crop_index(spark, sf_dir):
+    persons = _persons(spark, sf_dir)
+    players = persons.select("video", "track").distinct().select("video", "track", F.when(F.col("track") % 2 == 0, "A").alias("team"), F.when(F.col("track") < 7, F.col("track") * 3).alias("number"))
+    return datasets.crop_index(persons, players, every=6, least=120).drop("video", "track")
