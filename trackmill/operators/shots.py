@@ -62,7 +62,7 @@ def detect_shots(track: DataFrame, rims: DataFrame, fps: float = 30.0, model: di
     kept = fold(shots, ["video"], ["release"], ["release", *by[2:], "cross", "dx", "until"], lambda s, r: (F.size(s) == 0) | (r["release"] > F.element_at(F.concat(s, F.array(r)), F.greatest(F.size(s), F.lit(1)))["until"]))
     kept = kept.select("video", F.inline("kept"))
 
-    near_cross = band_join(kept.where("cross is not null").select("video", "release", "cross", "rx", "ry", "rr"), track, ["video"], "cross", "frame", 6, max(after - 1, 12))
+    around = band_join(kept, track, ["video"], "until", "frame", 6, max(after - 1, 12))  # the apex at least: no shot is lost
     t, below = F.col("frame") - F.col("cross"), F.col("y") - ry
     net = t.between(0, after - 1)
     deep = net & (below >= 2.5 * rr)
@@ -72,12 +72,11 @@ def detect_shots(track: DataFrame, rims: DataFrame, fps: float = 30.0, model: di
         return F.try_divide(ends[1][value] - ends[0][value], ends[1]["frame"] - ends[0]["frame"])
 
     size = F.max(F.when(t == 0, F.try_divide(F.col("size"), rr * (2 * BALL_TO_RIM))))
-    seen = near_cross.groupBy("video", "release").agg(
+    full = around.groupBy(*by, "cross", "dx").agg(
         F.bool_or(deep).alias("deep"), F.bool_or(deep & (F.abs(F.col("x") - rx) <= 1.6 * rr)).alias("under"), F.bool_or(net & (-below >= 0.5 * rr)).alias("bounce"),
         mean_speed("x", -6, 0).alias("vin"), mean_speed("x", 3, 12).alias("vout"), mean_speed("y", -6, 0).alias("fin"), mean_speed("y", 3, 12).alias("fout"),
         F.max(F.when(net, below / rr)).alias("depth"), size.alias("size"),
     )
-    full = kept.join(seen, ["video", "release"], "left")
     braked = F.coalesce((F.abs("vin") > 4) & (F.abs("vout") <= 0.5 * F.abs("vin")), F.lit(False))
     off = F.abs("dx") / rr
     made = F.coalesce(F.col("cross").isNotNull() & (off <= 0.85) & F.col("deep") & (F.col("under") | braked) & ~F.col("bounce"), F.lit(False))
