@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from tests.llm.conftest import prose
-from trackmill.llm import audio, components, decontam, mixing, repeats, sharding, simhash, tokencount, tokenfiles, toxicity, warc
+from trackmill.llm import audio, components, decontam, mixing, repeats, resemblance, sharding, simhash, tokencount, tokenfiles, toxicity, warc
 from trackmill.llm.common import shared_dir
 
 
@@ -210,6 +210,39 @@ def test_near_duplicates_are_dropped(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == list(range(40))
 
 
+def test_near_duplicates_are_decided_on_their_shingles(spark, monkeypatch):
+    """Sets of a planted resemblance on both sides of 0.8, a large group of copies, and a line that outweighs the rest."""
+    monkeypatch.setattr(resemblance, "BLOCK", 20)
+
+    def pair(k, n, replaced):  # one replaced word at the end of the text replaces one shingle, each further one too
+        tokens = [f"w{k}x{i}" for i in range(n + 4)]
+        return " ".join(tokens), " ".join(tokens[: n + 4 - replaced] + [f"z{k}x{i}" for i in range(replaced)])
+
+    texts = []
+    for k in range(60):
+        texts += pair(k, 180, (20, 19, 21, 25, 18, 12)[k % 6])  # 0.8 exactly, above, below, ...
+    line = "all of this line is said again and again "
+    texts += [line * 30 + " ".join(f"a{k}b{i}" for i in range(200)) for k in range(6)]
+    cluster = [f"c{i}" for i in range(104)]
+    texts += [" ".join(cluster[:k] + [f"d{k}"] + cluster[k + 1 :]) for k in range(0, 90, 2)]
+    texts += ["Only three words", "only  three WORDS", "", None]
+    sets = [set(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else set() for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept == {i for i in range(len(texts)) if find(i) == i}
+    assert {2 * k + 1 for k in range(60) if k % 6 in (2, 3)} <= kept and not {2 * k + 1 for k in range(60) if k % 6 not in (2, 3)} & kept
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (41, 40), (60, 60)] + [(100, k) for k in range(101, 160)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), shared_dir(spark)).collect()}

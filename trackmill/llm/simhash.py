@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from trackmill.llm.common import binary_parts, shared_dir, written
 from trackmill.llm.components import components
+from trackmill.llm.resemblance import resemblance_classes
 
 SEED = 42
 SUB_BITS = 11  # widest piece of a partition whose values are counted
@@ -340,16 +341,11 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the rows whose component has a smaller id; all columns stay.
 
-    Sets of word shingles of resemblance r have a cosine of about 2r / (1 + r), and a share arccos(cosine) / pi of
-    their SimHash bits differs. 512 bits tell a resemblance of 0.8 from one of 0.7 (64 bits can't: pairs of 0.8 differ
-    in 2 to 16 of them), and links end at this share and half a standard deviation. 32 partitions of 16 bits make sure
-    of pairs of up to 31 bits; those of resemblance 0.8 (about 77 bits) are met with a probability of about 0.9, those
-    of 0.9 with 0.998. Rows without an id stay, repeated rows of a kept id too.
+    Rows link by the exact resemblance of their sets of shingles (resemblance_classes). SimHash can't stand for it: at a
+    resemblance of 0.8 about 77 of 512 bits differ, give or take 8, and no affordable probe is sure to meet such a pair.
+    Rows without an id stay, repeated rows of a kept id too.
     """
-    width = 8
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    distance = int(64 * width * share + 0.5 * math.sqrt(64 * width * share * (1 - share)))
-    found = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, words=words, distance=distance, width=width, partitions=[32], sure=31, reach=1)
+    found = resemblance_classes(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
