@@ -198,3 +198,18 @@ def test_entry_queries_have_columns(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_peaks_of_one_busy_key(spark):
+    r = random.Random(5)
+    rows = [(None if k % 50 == 0 else 1, r.randrange(6000), float(r.randrange(30))) for k in range(1500)]
+    want = []
+    for key in (None, 1):
+        kept = []
+        for at, score in sorted(((a, v) for u, a, v in rows if u == key and v >= 5), key=lambda x: (-x[1], x[0])):
+            if all(abs(at - other) > 40 for other, _ in kept):
+                kept.append((at, score))
+        want += [(key, *x) for x in kept]
+    found = sequences.peaks(spark.createDataFrame(rows, "user long, at long, score double"), ["user"], "at", "score", 5.0, 40)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert "collect_list" not in found._jdf.queryExecution().toString()

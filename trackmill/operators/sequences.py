@@ -69,10 +69,32 @@ def thin_out(df: DataFrame, by: list[str], at: str, apart: int) -> DataFrame:
 
 
 def peaks(df: DataFrame, by: list[str], at: str, score: str, least: float, apart: float) -> DataFrame:
-    """The highest scores first, down to `least`, each more than `apart` from all kept ones."""
-    ranked = df.where(F.col(score) >= least).withColumn("_down", -F.col(score))
-    kept = fold(ranked, by, ["_down", at], ["_down", at, score], lambda s, r: ~F.exists(s, lambda k: F.abs(k[at] - r[at]) <= apart))
-    return kept.select(*by, F.inline("kept")).drop("_down")
+    """The highest scores first, down to `least`, each more than `apart` from all kept ones; equal scores by `at`.
+
+    In each round the rows that are the best within their reach are taken, and those that they reach fall away; that gives
+    the same rows as taking them one by one. Rows meet within buckets of the axis, so a busy key is spread, and rounds are
+    written tables. Of rows at the same place one can be kept. Rows without a place are left out.
+    """
+    from trackmill.operators.common import scratch, written
+
+    width = max(float(apart), 1.0)
+    near = lambda c: F.explode(F.array(*(F.floor(F.col(c) / width) + k for k in (-1, 0, 1))))
+    keys, reach = ", ".join(f"`{c}`" for c in [*by, "_b"]), f"{float(apart)!r}D"
+    best = F.expr(f"max(struct(`{score}`, -`{at}`)) OVER (PARTITION BY {keys} ORDER BY CAST(`{at}` AS DOUBLE) RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)")
+    rows = df.where((F.col(score) >= least) & F.col(at).isNotNull()).groupBy(*by, at).agg(F.max(score).alias(score))
+    folder, done, k = scratch(df.sparkSession), None, 0
+    left = written(rows, f"{folder}/left-0")
+    while k == 0 or not left.isEmpty():
+        k += 1
+        met = left.withColumn("_b", near(at)).withColumn("_best", best).where((F.floor(F.col(at) / width) == F.col("_b")) & (F.col("_best") == F.struct(F.col(score), -F.col(at))))
+        taken = written(met.select(*by, at, score), f"{folder}/taken-{k}")
+        done = taken if done is None else done.unionByName(taken)
+        beside = taken.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(at).alias("_at"), near(at).alias("_b"))
+        same = (F.floor(F.col(at) / width) == F.col("_b")) & (F.abs(F.col(at) - F.col("_at")) <= apart)
+        for c in by:
+            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        left = written(left.join(beside, same, "left_anti"), f"{folder}/left-{k}")
+    return done
 
 
 def moving_sum(df: DataFrame, by: list[str], order: str, value: str, reach: int, name: str) -> DataFrame:
