@@ -5,9 +5,11 @@ import collections
 import hashlib
 import io
 import itertools
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -377,7 +379,11 @@ def test_piece_encoder_is_exact():
     path = public_tokenizers.path("byte_bpe_50k.json")
     real, own = Tokenizer.from_file(path), tokenfiles.PieceEncoder(path)
     texts = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "don't do  it", "x  y z", "\0a b \0a", "é ñ 漢字 1,000 $%", "a b <|endoftext|> c d<|endoftext|>"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [real.encode(t, add_special_tokens=False).ids for t in texts]
+    r, signs = random.Random(5), ["a", "b", " ", "  ", "\n", "\t", "\xa0", "\u3000", "é", "à", "\u2009", "日", "の", "'s", "1", "22", "!", "\x1c", "…", "\x85", "\u200b"]
+    texts += ["".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(5000)]
+    for part in (texts, texts, [None, "", None], []):  # the second time from memory
+        ids, offsets = own.encode(pa.array(part, pa.string()))
+        assert [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:])] == [real.encode(t or "", add_special_tokens=False).ids for t in part]
 
 
 # toxicity

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import committed_file, open_fs, shared_dir, written
+from trackmill.llm.common import binary_parts, committed_file, open_fs, shared_dir, windows_of, written
 
 # Fixed values of the seekable format: the skippable frame of the seek table, its footer, and our index's frame.
 SEEK_FRAME = 0x184D2A5E
@@ -28,57 +28,83 @@ INDEX_FRAME = 0x184D2A50
 _encoders: dict[str, PieceEncoder] = {}
 
 
+# UTF-8 of white space beyond ASCII is C2 85, C2 A0, E1 9A 80, E2 80 80-8A, E2 80 A8/A9/AF, E2 81 9F, E3 80 80.
+_space = np.zeros(256, bool)  # ASCII white space
+_space[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_lead = _space.copy()  # and bytes that white space may start with
+_lead[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_last = np.zeros(256, bool)  # bytes that white space beyond ASCII may end with
+_last[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_leads, _lasts = frozenset(np.flatnonzero(_lead).tolist()), frozenset(np.flatnonzero(_space | _last).tolist())
+
+
 class PieceEncoder:
-    """Encodes texts with a byte-level BPE tokenizer, each distinct piece between single spaces once.
+    """Encodes texts with a byte-level BPE tokenizer, each distinct piece once for each call.
 
     A single space between two other characters always starts a pre-token, so a text's ids are those of its pieces in
-    turn. Texts with spaces beside other white space are encoded whole. At most `most` pieces are remembered.
+    turn; a piece begins at such a space. The ids of pieces of up to `short` bytes that a call has more than once are
+    remembered for later calls, at most `most`.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 300_000, short: int = 24):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.known, self.most, self.short = Tokenizer.from_file(path), {}, most, short
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each token: a byte-level token has a character for each
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, encoded by itself."""
+        return [np.asarray(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
-    def _spaced_ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece with a space before it, encoded as one text and cut at the pieces' bytes."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([f" {' '.join(pieces)}"], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        cuts = [0, *(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1).tolist()]
+    def _joined_ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces that begin with a space, encoded as one text and cut at the pieces' bytes."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = [0, *(np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p) for p in pieces])) + 1).tolist()]
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.most:  # short pieces come back most often
-            short = {p: ids for p, ids in self.known.items() if len(p) <= 6}
-            self.known = short if len(short) < self.most // 2 else {}
-        split = [t.split(" ") for t in texts]
-        rest = {p for s in split for p in s[1:]}
-        odd = {p for p in rest if _odd(p)}
-        whole = [_odd(s[0]) or bool(odd and not odd.isdisjoint(s)) for s in split]
-        if odd:
-            rest = {p for s, w in zip(split, whole) if not w for p in s[1:]}
-        firsts = {s[0] for s, w in zip(split, whole) if not w}
-        heads = dict(zip(firsts, self._ids(list(firsts))))
-        fresh = [p for p in rest if p not in self.known]
-        for a in range(0, len(fresh), 5_000):
-            part = fresh[a : a + 5_000]
-            self.known.update(zip(part, self._spaced_ids(part)))
-        plain = iter(self._ids([t for t, w in zip(texts, whole) if w]))
-        get = self.known.__getitem__
-        return [next(plain) if w else b"".join([heads[s[0]], *map(get, s[1:])]) for s, w in zip(split, whole)]
-
-
-def _odd(piece: str) -> bool:
-    """Whether a piece between single spaces is empty or has white space at an end."""
-    return not piece or piece[0].isspace() or piece[-1].isspace()
+    def _learnt(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        spaced, rest = [], []
+        for p in pieces:
+            (spaced if p[0] == 0x20 and len(p) > 1 and p[1] not in _leads and p[-1] not in _lasts else rest).append(p)
+        out = dict(zip(rest, self._ids(rest))) if rest else {}
+        for a in range(0, len(spaced), 5_000):
+            part = spaced[a : a + 5_000]
+            out.update(zip(part, self._joined_ids(part)))
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of all texts of a string array, and where each text's begin; null texts have none."""
+        data, starts, ends = binary_parts(texts)
+        before, after = data[:-2], data[2:]
+        cut = (data[1:-1] == 0x20) & ~_space[before] & ~_lead[after]
+        at = np.flatnonzero(cut) + 1
+        maybe = at[_last[data[at - 1]]]  # what stands before may be white space beyond ASCII
+        if len(maybe):
+            at = np.setdiff1d(at, maybe[(data[maybe - 2] == 0xC2) | np.isin(data[maybe - 3], (0xE1, 0xE2, 0xE3))], assume_unique=True)
+        begin = np.zeros(len(data), bool)
+        begin[at] = begin[starts[ends > starts]] = True
+        begins = np.flatnonzero(begin)
+        bounds = np.append(begins, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        different, where = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        found = list(map(self.known.get, different))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
+            learnt = self._learnt([different[k] for k in new])
+            for k in new:
+                found[k] = learnt[different[k]]
+            again = (np.bincount(where, minlength=len(found))[new] > 1).nonzero()[0].tolist()
+            if len(self.known) + len(again) > self.most:
+                self.known.clear()
+            self.known.update((different[new[k]], found[new[k]]) for k in again[: self.most] if len(different[new[k]]) <= self.short)
+        edges = np.concatenate([[0], np.cumsum(list(map(len, found)))]).astype(np.int32) // 4
+        values = pa.Array.from_buffers(pa.uint32(), int(edges[-1]), [None, pa.py_buffer(b"".join(found))])
+        ids = pa.ListArray.from_arrays(pa.array(edges), values).take(pieces.indices).flatten().to_numpy()
+        stops = np.concatenate([[0], np.cumsum(np.diff(edges)[where])])
+        return ids, stops[np.searchsorted(begins, np.append(starts, len(data)))]
 
 
 def encoder_of(path: str) -> PieceEncoder:
@@ -188,9 +214,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str =
 
         def encoded():
             for b in batches:
-                for a in range(0, b.num_rows, 256):
-                    part = b.slice(a, 256)
-                    yield from zip(part.column(0).to_pylist(), (x + end for x in encoder.encode(part.column(1).to_pylist())))
+                for part in windows_of(b, ["text"]):
+                    ids, offsets = encoder.encode(part.column(1))
+                    for i, x, y in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                        yield i, ids[x:y].tobytes() + end
 
         def until(limit: int, first: tuple):
             nonlocal document
