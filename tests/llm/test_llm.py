@@ -428,14 +428,64 @@ def test_contamination(spark, docs, nothing):
     rows = [(10, "Xx, " + prose(20, 50).upper() + "!"), (11, " ".join(swapped)), (12, " ".join(far)), (13, prose(300, 53) + " " + prose(14, 51)), (14, prose(7, 52)), (15, " ".join(prose(7, 52).split()[:6])), (16, " ".join(prose(20, 50).split()[3:16])), (17, None), (18, prose(90, 60)), (19, prose(10, 1) + " too short")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (8 << 20, 40):
-        found = {(r.doc_id, r.item_id): (r.tokens, r.matches) for r in decontam.contaminated(texts, bench, block_bytes=block).collect()}
-        assert found == {(10, 1): (20, 20), (11, 1): (20, 18), (13, 2): (14, 14), (14, 5): (7, 7), (16, 1): (13, 13)}
+    found = {(r.doc_id, r.item_id): (r.tokens, r.matches) for r in decontam.contaminated(texts, bench).collect()}
+    whole = {(10, 1): (20, 20), (11, 1): (20, 18), (13, 2): (14, 14), (14, 5): (7, 7), (16, 1): (13, 13)}
+    assert found == whole | {(19, 4): (2, 2)}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(texts, bench, shortest=5).collect()} == set(whole)
     assert sorted(r.doc_id for r in decontam.drop_contaminated(texts, bench).collect()) == [12, 15, 17, 18, 19]
     assert decontam.contaminated(docs, bench).count() == 0 and decontam.contaminated(nothing, bench).count() == 0
     assert decontam.contaminated(texts, bench.limit(0)).count() == 0
 
 
+def brute_overlap(text, item):
+    """The longest overlap by trying all stretches of all diagonals: (tokens, matches), with the most matches."""
+    best, n = None, len(item)
+    for shift in range(-n + 1, len(text)):
+        a, b = max(shift, 0), min(shift + n, len(text))
+        same = [text[k] == item[k - shift] for k in range(a, b)]
+        if n < 12:
+            some = b - a == n and sum(same) >= n - (n // 5 if n > 5 else 0)
+            stretches = [(0, n)] if some else []
+        else:
+            stretches = [(x, y) for x in range(len(same)) for y in range(x + 12, len(same) + 1) if same[x] and same[y - 1] and 5 * sum(same[x:y]) >= 4 * (y - x)]
+        for x, y in stretches:
+            best = max(best or (0, 0), (y - x, sum(same[x:y])))
+    return best
+
+
+def test_contamination_against_all_stretches(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "STEP", 300)
+    r = random.Random(8)
+    few = ["on", "and", "off"]
+    items = [[r.choice(few if k % 3 == 0 else list("abcdefghijklmnopqrstuvwxyz")) for _ in range(r.choice((1, 3, 4, 5, 6, 9, 11, 12, 15, 30)))] for k in range(40)]
+    texts = []
+    for k in range(60):
+        t = [r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(0, 30))]
+        for i in r.sample(items, 2):
+            t += [w if r.random() > 0.12 else "new" for w in i] + [r.choice("xyz") for _ in range(3)]
+        texts.append(t)
+    texts += [["on"] * 50, ["on", "and"] * 20, []]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " - ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {(x.doc_id, x.item_id): x for x in decontam.contaminated(docs, bench).collect()}
+    want = {(d, i): b for d, t in enumerate(texts) for i, item in enumerate(items) if (b := brute_overlap(t, item))}
+    # seeds are sure to meet two replaced of twelve tokens; a longer overlap whose replaced ones stand closer may have no seed
+    assert set(found) <= set(want)
+    seen = {k for k in want if any(m and decontam.diagonals(*(decontam.tokens_of(pa.array([" ".join(x)]))[0] for x in (texts[k[0]], items[k[1]]))).size for m in [1])}
+    assert {k: (x.tokens, x.matches) for k, x in found.items()} == {k: want[k] for k in seen}
+    assert len(seen) > 50 and len(set(want) - seen) < 0.05 * len(want)
+
+
+def test_one_word_said_again_and_again(spark):
+    import time
+
+    bench = spark.createDataFrame([(1, "word " * 2000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "word " * 200_000), (2, "word " * 3000 + "end")], "doc_id long, text string")
+    start = time.perf_counter()
+    assert {(r.doc_id, r.tokens, r.matches) for r in decontam.contaminated(docs, bench).collect()} == {(1, 2000, 2000), (2, 2000, 2000)}
+    assert time.perf_counter() - start < 60
+
+
 def test_collection_transform_is_that_of_sorted_suffixes():
     from trackmill.llm.repeats import collection_bwt, least_of_equals
 

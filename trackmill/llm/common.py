@@ -102,3 +102,60 @@ def windows_of(batch, columns: list[str], limit: int = 1 << 23):
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+
+
+_BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
+_C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1, modulo 2^64."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 16), base, np.uint64)
+        held[0] = 1
+        held = np.cumprod(held)
+        if n <= 1 << 23:
+            _powers[base] = held
+    return held[:n]
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each data[start : stop], in rising order and not overlapping; about `block` bytes are worked on at once."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        low = int(starts[a])
+        z = max(a + 1, int(np.searchsorted(stops, low + block, "right")))
+        n = int(stops[z - 1]) - low
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[low : low + n] + np.uint64(1)) * _powers_of(_BASE, n), out=sums[1:])
+        h = (sums[stops[a:z] - low] - sums[starts[a:z] - low]) * _powers_of(pow(_BASE, -1, 1 << 64), n + 1)[starts[a:z] - low]
+        h = (h ^ (h >> np.uint64(29))) * _C1
+        out[a:z] = h ^ (h >> np.uint64(32))
+        a = z
+    return out
+
+
+def joined_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width neighbours."""
+    n = max(0, len(h) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out = (out + h[k : k + n]) * _C2
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def word_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, stops, edges) of the runs of bytes that belong to words, in texts data[begins[i] : ends[i]] that stand side
+    by side; the words of text i are those from edges[i] to edges[i + 1]. inside tells for each byte whether it belongs."""
+    within = inside[data]
+    first, last = within.copy(), within.copy()
+    first[1:] &= ~within[:-1]
+    last[:-1] &= ~within[1:]
+    filled = ends > begins
+    for edge, at in ((first, begins[filled]), (last, ends[filled] - 1)):
+        edge[at] = within[at]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.append(np.searchsorted(starts, begins), len(starts))

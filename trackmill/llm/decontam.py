@@ -1,163 +1,236 @@
-"""Benchmark decontamination by spaced-seed hashing."""
+"""Benchmark decontamination by spaced-seed hashing: seeds of test and training texts are joined, and what surrounds a hit
+is verified token by token."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmill.llm.common import binary_parts, run_hashes, shared_dir, windows_of, word_spans, written
+
 # Fixed masks: 1 is a token that counts. With 12 tokens and any two of them replaced, one of the first two masks still hits.
 MASKS = ("11111", "111011", "1101011")
-LEAST = 12  # tokens of an overlap (or the whole item, if shorter)
+LEAST = 12  # tokens of an overlap; shorter items have to be there as a whole
+SHORT = ("1", "11", "111", "1111")  # masks of items of so few tokens; those of more, but under LEAST, have the third
 REPLACED = 0.2  # largest share of replaced tokens
 STEP = 1 << 20  # bytes of text that are worked on at once
-_BASE = 0x9E3779B97F4A7C15 | 1
+FILTER = 27  # at most so many bits as a power of two, to keep seeds apart from the join that no item has
 _kind = np.zeros(256, bool)  # bytes that make up tokens: ASCII letters and digits, and all of other scripts
 _kind[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n + 1, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of each lower-cased token of the texts, in turn; whatever stands between tokens is ignored."""
-    data = [(t or "").lower().encode() for t in texts]
-    ends = np.cumsum([len(d) + 1 for d in data])
-    raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
-    inside = _kind[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw), _BASE)[:-1], out=sums[1:])
-    back = _powers(len(raw), pow(_BASE, -1, 1 << 64))
-    h = (sums[stops] - sums[starts]) * back[starts]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32)), np.searchsorted(ends, starts, "right")
-
-
-def seeds(tokens: np.ndarray, owner: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the mask at each place where it lies within one text."""
-    n = len(tokens) - len(mask) + 1
-    if n <= 0:
-        return tokens[:0], np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, edges): the lower-cased tokens of all texts of a string array, and where each text's begin; whatever stands
+    between tokens is ignored, null texts have none."""
+    data, begins, ends = binary_parts(pc.utf8_lower(texts))
+    starts, stops, edges = word_spans(data, begins, ends, _kind)
+    return run_hashes(data, starts, stops), edges
+
+
+def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
+    """The mask's hash at each place, as if all tokens were of one text."""
+    n = max(0, len(tokens) - len(mask) + 1)
+    h = np.full(n, int(mask, 2) << 8, np.uint64)
     for k, c in enumerate(mask):
         if c == "1":
             h = (h + tokens[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
-    at = np.flatnonzero(owner[:n] == owner[len(mask) - 1 :])
-    return h[at], at
-
-
-class Items:
-    """Benchmark items as tokens and, for each mask, sorted seed hashes with a table of their top bits."""
-
-    def __init__(self, ids: list, texts: list[str | None]):
-        self.ids = ids
-        self.tokens, self.owner = tokens_of(texts)
-        self.first = np.searchsorted(self.owner, np.arange(len(ids)))
-        self.size = np.bincount(self.owner, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
-        self.masks = []
-        for mask in MASKS:
-            h, at = seeds(self.tokens, self.owner, mask)
-            order = np.argsort(h, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.masks.append((mask, h[order], at[order], seen))
-
-    def hits(self, tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """[text, item, diagonal] of each seed that a text and an item share, each once."""
-        found = []
-        for mask, hashes, places, seen in self.masks:
-            h, at = seeds(tokens, owner, mask)
-            maybe = seen[(h >> np.uint64(44)).astype(np.int64)]
-            h, at = h[maybe], at[maybe]
-            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
-            n = high - low
-            rows = np.repeat(np.arange(len(h)), n)
-            place = places[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            item = self.owner[place]
-            found.append(np.stack([owner[at[rows]], item, at[rows] - (place - self.first[item])], 1))
-        return np.unique(np.concatenate(found), axis=0)
+    return h
+
+
+def masks_of(size: int) -> tuple[str, ...]:
+    """The masks that an item of so many tokens is looked up with."""
+    if size >= LEAST:
+        return MASKS
+    return (SHORT[size - 1] if size < 5 else SHORT[2],)
+
+
+def replaceable(size: int) -> int:
+    """How many tokens of an item that has to be there as a whole may be replaced: any so many leave three in a row."""
+    return int(REPLACED * size) if size > 5 else 0
 
 
 def overlap(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
     """(start, tokens, matches) of the longest stretch of at least `least` tokens with a share of at most REPLACED
     replaced, that begins and ends with a match; the first of equal length. None if there is none."""
-    score = np.concatenate([[0], np.cumsum(np.where(same, REPLACED, REPLACED - 1.0))])  # not falling over the stretch
     at = np.flatnonzero(same)
-    best = None
-    for a in at.tolist():
-        ends = at[(score[at + 1] >= score[a] - 1e-9) & (at >= a)]
-        n = int(ends[-1]) + 1 - a if len(ends) else 0
-        if n >= least and (best is None or n > best[1]):
-            best = (a, n, int(same[a : a + n].sum()))
+    if not len(at):
+        return None
+    score = np.concatenate([[0], np.cumsum(np.where(same, REPLACED, REPLACED - 1.0))])  # not falling over the stretch
+    lowest = np.minimum.accumulate(score[at])
+    begin = at[np.searchsorted(-lowest, -(score[at + 1] + 1e-9))]  # the first start that lies no higher
+    size = at + 1 - begin
+    k = int(size.argmax())
+    a, n = int(begin[k]), int(size[k])
+    return (a, n, int(same[a : a + n].sum())) if n >= least else None
+
+
+def diagonals(tokens: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The shifts of the item against the tokens at which they share a seed, each once, longest common range first.
+
+    Shifts are marked in an array of both lengths, so that texts of few different words need no more memory.
+    """
+    marked = np.zeros(len(tokens) + len(item), bool)
+    for mask in masks_of(len(item)):
+        mine, theirs = seeds(item, mask), seeds(tokens, mask)
+        wanted = np.sort(mine)
+        theirs_at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, theirs), max(len(wanted) - 1, 0))] == theirs) if len(wanted) else np.zeros(0, np.int64)
+        theirs_at = theirs_at[np.argsort(theirs[theirs_at], kind="stable")]
+        held = theirs[theirs_at]
+        for q, (low, high) in enumerate(zip(np.searchsorted(held, mine).tolist(), np.searchsorted(held, mine, "right").tolist())):
+            marked[theirs_at[low:high] - q + len(item)] = True
+    shifts = np.flatnonzero(marked) - len(item)
+    common = np.minimum(shifts + len(item), len(tokens)) - np.maximum(shifts, 0)
+    return shifts[np.argsort(-common, kind="stable")]
+
+
+def best_overlap(tokens: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int] | None:
+    """(text start, item start, tokens, matches) of the longest overlap, with the most matches, on the first shift of
+    those with the longest range. None if there is none."""
+    best, size = None, len(item)
+    for shift in diagonals(tokens, item).tolist():
+        a, b = max(shift, 0), min(shift + size, len(tokens))
+        if best and (b - a, b - a) <= best[2:]:
+            break  # no shift from here on can do better
+        same = tokens[a:b] == item[a - shift : b - shift]
+        if size >= LEAST:
+            got = overlap(same, LEAST)
+        else:
+            matches = int(same.sum())
+            got = (0, size, matches) if b - a == size and matches >= size - replaceable(size) else None
+        if got and (best is None or got[1:] > best[2:]):
+            best = (a + got[0], a + got[0] - shift, got[1], got[2])
     return best
 
 
-def verified(items: Items, tokens: np.ndarray, owner: np.ndarray) -> Iterator[tuple]:
-    """(text, item, text start, item start, tokens, matches): the best overlap of each pair that shares a seed."""
-    texts = int(owner[-1]) + 1 if len(owner) else 0
-    first = np.searchsorted(owner, np.arange(texts + 1))
-    best: dict[tuple[int, int], tuple] = {}
-    for text, item, shift in items.hits(tokens, owner).tolist():
-        size = int(items.size[item])
-        a, b = max(shift, int(first[text])), min(shift + size, int(first[text + 1]))
-        begin = int(items.first[item]) + a - shift
-        got = overlap(tokens[a:b] == items.tokens[begin : begin + b - a], min(LEAST, size))
-        if got and (size >= LEAST or got[1] == size):
-            row = (text, item, a + got[0] - int(first[text]), a + got[0] - shift, got[1], got[2])
-            if (text, item) not in best or row[4:] > best[text, item][4:]:
-                best[text, item] = row
-    yield from best.values()
+class Filter:
+    """Which seeds some item may have: a bit for each value of a few of their bits."""
+
+    def __init__(self, hashes: DataFrame):
+        n = hashes.count()
+        self.bits = min(FILTER, max(20, (16 * n).bit_length()))
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        place = hashes.select(F.shiftrightunsigned("h", 64 - self.bits).alias("place"))
+        found = place.groupBy(F.shiftright("place", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+        table = found.toArrow()
+        self.words[table.column(0).to_numpy()] = table.column(1).to_numpy().view(np.uint64)
+
+    def may_have(self, h: np.ndarray) -> np.ndarray:
+        place = h >> np.uint64(64 - self.bits)
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _tokens(column: pa.Array) -> list[np.ndarray]:
+    data, starts, ends = binary_parts(column)
+    return [data[a:z].view(np.uint64) for a, z in zip(starts.tolist(), ends.tolist())]
+
+
+def _rows(ids, numbers: list[int], tokens: list[bytes], found: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))
+    return pa.RecordBatch.from_arrays([ids, pa.array(numbers, pa.int64()), pa.array(tokens, pa.binary()), lists], ["id", "row", "tokens", "seeds"])
+
+
+_SCHEMA = "id long, row long, tokens binary, seeds array<long>"
+
+
+def hashed_items(items: DataFrame) -> DataFrame:
+    """(id, row, tokens, seeds) of each item (id, text) with tokens: its number, its tokens' hashes and its different seeds."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for b in batches:
+            h, edges = tokens_of(b.column(1))
+            own = [h[a:z] for a, z in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            found = [np.unique(np.concatenate([seeds(t, m) for m in masks_of(len(t))])) if len(t) else t for t in own]
+            yield _rows(b.column(0), list(range(number, number + len(own))), [t.tobytes() for t in own], found)
+            number += len(own)
+
+    return items.mapInArrow(of, _SCHEMA).where(F.size("seeds") > 0)
+
+
+def hashed_texts(docs: DataFrame, masks: list[str], known: Filter) -> DataFrame:
+    """(id, row, tokens, seeds) of each text (id, text) that may share a seed with an item, and these seeds."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for b in windows_of(batch, ["text"], STEP):
+                h, edges = tokens_of(b.column(1))
+                owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+                values, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for mask in masks:
+                    s = seeds(h, mask)
+                    at = np.flatnonzero(known.may_have(s))
+                    at = at[owner[at] == owner[at + len(mask) - 1]]
+                    values.append(s[at])
+                    whose.append(owner[at])
+                values, whose = np.concatenate(values), np.concatenate(whose)
+                order = np.argsort(whose, kind="stable")
+                values, whose = values[order], whose[order]
+                some = np.flatnonzero(np.bincount(whose, minlength=b.num_rows))
+                cuts = np.append(np.searchsorted(whose, some), len(whose))
+                found = [np.unique(values[a:z]) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                yield _rows(b.column(0).take(pa.array(some)), (number + some).tolist(), [h[edges[i] : edges[i + 1]].tobytes() for i in some.tolist()], found)
+                number += b.num_rows
+
+    return docs.mapInArrow(of, _SCHEMA)
 
 
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, tokens long, matches long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = 1) -> DataFrame:
     """SCHEMA: a row for each document and item that overlap, with the longest overlap.
 
-    An overlap is a stretch of one diagonal with at least LEAST tokens, at most REPLACED of them replaced; items of 5 to
-    11 tokens must be there as a whole, shorter ones can't be told from chance and are left out. Every place of every
-    document is hashed with every mask and looked up among the items' hashes, and each diagonal that is hit is verified.
+    An overlap is a stretch of one diagonal with at least LEAST tokens, at most REPLACED of them replaced, that begins and
+    ends with a match. Items of 6 to 11 tokens have to be there as a whole with at most REPLACED of them replaced, shorter
+    ones unchanged; items of fewer than `shortest` tokens are left out, if a caller wishes so. Every place of every
+    document is hashed with every mask. Seeds that a bit filter over the items' seeds (at most 2^FILTER bits, whatever
+    their number) lets pass are joined with the items' seeds; each diagonal of each pair that shares one is verified.
 
-    The items are a query set: they go to the tasks in blocks of about block_bytes of text, so that what is sent doesn't
-    grow, and each block meets all documents. Null texts have no tokens; null ids stay null; repeated rows give repeated
-    results; an empty table on either side gives none.
+    A document's tokens go to one task once, whatever the number of its items; a seed that many texts share is split by
+    adaptive execution's skew joins. Null texts have no tokens; null ids stay null; repeated rows give repeated results;
+    an empty table on either side gives none.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for k in range(blocks):
-        held = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id").collect()
-        known = Items([r["item_id"] for r in held], [r["text"] for r in held])
-
-        def search(batches: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                cuts = np.cumsum([len(t or "") for t in texts]) // STEP
-                edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(texts)]
-                found = [(ids[a + r[0]], known.ids[r[1]], *r[2:]) for a, z in zip(edges, edges[1:]) for r in verified(known, *tokens_of(texts[a:z]))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(6)], ["doc_id", "item_id", "doc_start", "item_start", "tokens", "matches"])
-
-        part = rows.mapInArrow(search, SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out
+    folder = shared_dir(docs.sparkSession)
+    items = hashed_items(benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text"))).where(F.octet_length("tokens") >= 8 * shortest)
+    items = written(items, f"{folder}/items")
+    hashes = items.select(F.explode("seeds").alias("h"), F.col("row").alias("item"))
+    size = (F.octet_length("tokens") / 8).cast("int")
+    masks = sorted({m for r in items.select(F.least(size, F.lit(LEAST)).alias("n")).distinct().collect() for m in masks_of(r["n"])})
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = written(hashed_texts(texts, masks, Filter(hashes.select("h").distinct())), f"{folder}/texts")
+    pairs = texts.select("row", F.explode("seeds").alias("h")).join(hashes, "h").select("row", "item").distinct()
+    sides = texts.select("row", F.lit(-1).cast("long").alias("item"), "id", "tokens")
+    sides = sides.union(pairs.join(items.select(F.col("row").alias("item"), "id", "tokens"), "item").select("row", "item", "id", "tokens"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = None
+        for b in batches:
+            found = []
+            for item, i, tokens in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), _tokens(b.column(3))):
+                if item < 0:
+                    doc = i, tokens.copy()
+                else:
+                    best = best_overlap(doc[1], tokens)
+                    if best:
+                        found.append((doc[0], i, *best))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(6)], ["doc_id", "item_id", "doc_start", "item_start", "tokens", "matches"])
+
+    return sides.repartition("row").sortWithinPartitions("row", "item").mapInArrow(verify, SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that overlap a benchmark item; rows without an id stay."""
-    leaks = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_leak")).distinct()
+    """docs without the documents that overlap a benchmark item of at least 5 tokens; rows without an id stay. Shorter
+    items are common phrases, which clean documents have too."""
+    leaks = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, shortest=5).select(F.col("doc_id").alias("_leak")).distinct()
     return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")
 
 

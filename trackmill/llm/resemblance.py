@@ -4,7 +4,7 @@ Under any one order of all shingles, two sets of resemblance t or more share one
 of each. So those prefixes are joined, which misses no pair. The order puts shingles that are common in a sample last;
 it decides how many candidates there are, never which pairs are found. Candidates are then counted out: a pair whose
 prefixes share too few shingles for t can't have it. What is left is decided on the whole sets.
-Shingles are told apart by 57 bits of their XXH64, sets by 64 bits.
+Shingles are told apart by 57 bits of a hash, sets by 64 bits.
 """
 
 from __future__ import annotations
@@ -17,30 +17,52 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import shared_dir, windows_of, written
-from trackmill.llm.components import components
+from trackmill.llm.common import binary_parts, joined_hashes, run_hashes, windows_of, word_spans, written
 
-SEED = 42
 BITS = 57  # of a shingle's hash; the level of its frequency stands above them
-SAMPLE = 1 << 26  # characters of the sample that frequencies are taken from
+SAMPLE = 1 << 25  # characters of the sample that frequencies are taken from
 HOT = 1 << 19  # shingles at most that have a frequency
-STAR = 16  # groups of more sets are first tied to one of theirs
 BLOCK = 2048  # sets of a group that are compared with each other at once
-_lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_lower = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_inside = np.ones(256, bool)  # bytes of words: all but ASCII white space
+_inside[[*range(0x09, 0x0E), 0x20]] = False
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The hashes of a text's distinct shingles, ascending: words between ASCII white space, A-Z lower-cased (fewer words
-    than a shingle: all of them; none: no shingle)."""
-    tokens = (text or "").encode().translate(_lower).split()
-    if not tokens:
-        return np.zeros(0, np.int64)
-    whole = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    last = (ends[words - 1 :] if len(tokens) >= words else ends[-1:]).tolist()
-    hashed = xxhash.xxh64_intdigest
-    return np.unique((np.fromiter((hashed(whole[i:j], SEED) for i, j in zip(starts.tolist(), last)), np.uint64, len(last)) >> np.uint64(64 - BITS)).astype(np.int64))
+def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the shingles of all texts of a string array, in turn and with repeats, and where each text's begin.
+
+    Words stand between ASCII white space, A-Z lower-cased; a text of fewer words than a shingle has one of all of them,
+    and one without words has none.
+    """
+    data, begins, ends = binary_parts(texts)
+    data = _lower[data]
+    starts, stops, edges = word_spans(data, begins, ends, _inside)
+    h = run_hashes(data, starts, stops)
+    n = np.diff(edges)
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.flatnonzero(owner[: max(0, len(h) - words + 1)] == owner[words - 1 :])
+    found, whose = joined_hashes(h, words)[at], owner[at]
+    for few in range(1, words):
+        short = np.flatnonzero(n == few)
+        if len(short):
+            found, whose = np.concatenate([found, joined_hashes(h, few)[edges[short]]]), np.concatenate([whose, short])
+    if np.any(whose[1:] < whose[:-1]):
+        order = np.argsort(whose, kind="stable")
+        found, whose = found[order], whose[order]
+    return found, np.searchsorted(whose, np.arange(len(n) + 1))
+
+
+def ascending(x: np.ndarray) -> np.ndarray:
+    """The different values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The set of shingles of each text, ascending: the top BITS of their hashes."""
+    h, at = shingles(texts, words)
+    keys = (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return [ascending(keys[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def node_of(found: np.ndarray) -> int:
@@ -102,7 +124,7 @@ def frequent(docs: DataFrame, text_col: str, words: int, folder: str) -> tuple[n
     def each(batches):
         for batch in batches:
             for part in windows_of(batch, ["text"]):
-                yield _longs({"h": np.concatenate([shingles(t, words) for t in part.column(0).to_pylist()])})
+                yield _longs({"h": np.concatenate(sets_of(part.column(0), words))})
 
     counts = written(sample.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/frequent")
     least, total = 1001, 0
@@ -117,31 +139,35 @@ def frequent(docs: DataFrame, text_col: str, words: int, folder: str) -> tuple[n
     return h[order], np.frexp(n[order].astype(float))[1].astype(np.int64)
 
 
-def prefixes(docs: DataFrame, text_col: str, words: int, share: Fraction, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, node, n, last, prefix) of each row of docs: its set, the set's size and prefix, and where the prefix ends."""
+def sketches(docs: DataFrame, words: int, share: Fraction, hot: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
+    """(doc_id, mark, node, n, last, prefix, print) of each row of docs (doc_id, mark, text): the number of its set, the
+    set's size and prefix, where the prefix ends, and the SimHash of its shingles, repeats included."""
     common, levels = hot
 
     def of(batches):
         for batch in batches:
             for part in windows_of(batch, ["text"]):
-                nodes, sizes, lasts, kept = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    found = shingles(text, words)
+                h, at = shingles(part.column(2), words)
+                keys_of = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                nodes, sizes, lasts, kept, prints = [], [], [], [], []
+                for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+                    found = ascending(keys_of[a:z])
                     keys = found
                     if len(common) and len(found):
-                        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                        keys = np.sort(found | np.where(common[at] == found, levels[at], 0) << BITS)
+                        place = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                        keys = np.sort(found | np.where(common[place] == found, levels[place], 0) << BITS)
                     own = keys[: prefix_length(len(found), share)]
                     nodes.append(node_of(found))
                     sizes.append(len(found))
                     lasts.append(own[-1] if len(own) else 0)
                     kept.append(own)
+                    prints.append(print_of(h[a:z], width))
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept)))
-                own = [part.column(0), *(pa.array(np.asarray(c, np.int64)) for c in (nodes, sizes, lasts)), prefix]
-                yield pa.RecordBatch.from_arrays(own, ["doc_id", "node", "n", "last", "prefix"])
+                own = [part.column(0), part.column(1), *(pa.array(np.asarray(c, np.int64)) for c in (nodes, sizes, lasts)), prefix, pa.array(prints, pa.binary())]
+                yield pa.RecordBatch.from_arrays(own, ["doc_id", "mark", "node", "n", "last", "prefix", "print"])
 
-    return docs.mapInArrow(of, "doc_id long, node long, n long, last long, prefix array<long>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(of, "doc_id long, mark long, node long, n long, last long, prefix array<long>, print binary")
 
 
 def shared_only(entries: DataFrame) -> DataFrame:
@@ -157,22 +183,6 @@ def shared_only(entries: DataFrame) -> DataFrame:
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(keep, entries.schema)
 
 
-def star_pairs(entries: DataFrame, share: Fraction) -> DataFrame:
-    """(a, b, need): each set of a large group with the group's first one."""
-
-    def tie(batches):
-        for key, node, n, last in _groups(batches, 1):
-            if not len(key):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.concatenate([first, [len(key)]]))
-            centre, large = np.repeat(first, size), np.repeat(size > STAR, size)
-            at = np.flatnonzero(large & (np.arange(len(key)) != centre))
-            yield _candidates(node, n, last, centre[at], at, share)
-
-    return entries.select("key", "node", "n", "last").repartition("key").sortWithinPartitions("key", "node").mapInArrow(tie, "a long, b long, need long")
-
-
 def _candidates(node, n, last, x, y, share: Fraction) -> pa.RecordBatch:
     fits = share.denominator * np.minimum(n[x], n[y]) >= share.numerator * np.maximum(n[x], n[y])
     x, y = x[fits], y[fits]
@@ -188,46 +198,51 @@ def all_pairs(entries: DataFrame, share: Fraction) -> DataFrame:
     blocks = F.coalesce("blocks", F.lit(1))
     both = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.least("mine", other) * (1 << 31) + F.greatest("mine", other))
     dealt = entries.join(large, "key", "left").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
-    dealt = dealt.select("key", F.explode(both).alias("pair"), "node", "n", "last", "root", "mine").repartition("key", "pair").sortWithinPartitions("key", "pair")
+    dealt = dealt.select("key", F.explode(both).alias("pair"), "root", "node", "n", "last", "mine").repartition("key", "pair").sortWithinPartitions("key", "pair", "root")
 
     def compare(batches):
-        for key, pair, node, n, last, root, mine in _groups(batches, 2):
-            run = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])) if len(key) else key
+        for key, pair, root, node, n, last, mine in _groups(batches, 2):
+            if not len(key):
+                continue
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]), [True]])
+            end = np.flatnonzero(new)[1:][np.cumsum(new[:-1]) - 1]  # of a row's group
+            new[1:-1] |= root[1:] != root[:-1]
+            other = np.flatnonzero(new)[1:][np.cumsum(new[:-1]) - 1]  # the next row with another root
             within = pair >> 31 == pair & ((1 << 31) - 1)
-            rows, step = np.arange(len(key)), 1
+            rows = np.flatnonzero(other < end)
             while len(rows):
-                rows = rows[rows + step < len(key)]
-                rows = rows[run[rows] == run[rows + step]]
-                x = rows[(root[rows] != root[rows + step]) & (within[rows] | (mine[rows] != mine[rows + step]))]
-                if len(x):
-                    yield _candidates(node, n, last, x, x + step, share)
-                step += 1
+                at = other[rows]
+                fits = within[rows] | (mine[rows] != mine[at])
+                if fits.any():
+                    yield _candidates(node, n, last, rows[fits], at[fits], share)
+                other[rows] += 1
+                rows = rows[other[rows] < end[rows]]
 
     return dealt.mapInArrow(compare, "a long, b long, need long")
 
 
-def resembling(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, share: Fraction, folder: str) -> DataFrame:
-    """(a, b): the pairs (a, b, need), given once for each key that they share, whose sets have the resemblance."""
-    asked = written(pairs.groupBy("a", "b", "need").count().where("count >= need").select("a", "b"), f"{folder}/candidates")
-    nodes = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
-    mask = (1 << 18) - 1
-    asked_bits = np.zeros(1 << 18, np.uint64)  # a filter before the exact join, so that few sets are shuffled
-    word, bit = F.shiftright("node", 6).bitwiseAND(F.lit(mask)), F.expr("shiftleft(1L, cast(node & 63 as int))")
-    for k, bits in nodes.groupBy(word.alias("k")).agg(F.bit_or(bit)).collect():
-        asked_bits[k] = bits & ((1 << 64) - 1)
+def resembling(asked: DataFrame, docs: DataFrame, marks: DataFrame, words: int, share: Fraction, folder: str) -> DataFrame:
+    """(a, b): those of the different pairs asked for whose sets have the resemblance.
+
+    marks (node, mark) tells a text for each set. Only the texts of sets that are asked for are read again as sets: a
+    filter of 2^24 bits, whatever the input's size, comes before the exact join.
+    """
+    asked = written(asked, f"{folder}/asked")
+    nodes = written(asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct().join(marks, "node"), f"{folder}/nodes")
+    top = (1 << 18) - 1
+    filter_bits = np.zeros(1 << 18, np.uint64)
+    word, bit = F.shiftright("mark", 6).bitwiseAND(F.lit(top)), F.expr("shiftleft(1L, cast(mark & 63 as int))")
+    found = nodes.groupBy(word.alias("k")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    filter_bits[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
 
     def sets(batches):
         for batch in batches:
+            mark = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((filter_bits[mark >> 6 & top] >> (mark & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             for part in windows_of(batch, ["text"]):
-                kept = []
-                for text in part.column(1).to_pylist():
-                    found = shingles(text, words)
-                    node = node_of(found)
-                    if int(asked_bits[(node >> 6) & mask]) >> (node & 63) & 1:
-                        kept.append((node, found.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], ["node", "set"])
-
-    held = docs.mapInArrow(sets, "node long, set binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets_of(part.column(1), words)], pa.binary())], ["mark", "set"])
+
+    held = docs.select("mark", "text").mapInArrow(sets, "mark long, set binary").join(nodes, "mark").select("node", "set").dropDuplicates(["node"])
     held = written(held, f"{folder}/sets")
     both = asked.join(held.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
@@ -244,28 +259,28 @@ def resembling(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, sha
     return written(both.mapInArrow(decide, "a long, b long"), f"{folder}/near")
 
 
-def resemblance_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, node, component_id) for each row of docs.
-
-    Rows link when the sets of their shingles have a resemblance of `similarity` or more: exactly those, none is left to
-    chance. component_id is the smallest id that a row reaches over links, its own included. Equal sets are one node.
-    Texts without words are equal to each other. Rows without an id take part, and get the smallest id of their
-    component (null if none has one). Repeated rows come back as often.
-
-    The work grows with the sets that share a shingle of their prefixes. Large groups are first tied to one of their
-    sets, so that sets of a large cluster needn't be compared with each other again; the pairs left are all compared.
-    """
-    folder, share = shared_dir(docs.sparkSession), Fraction(str(similarity))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(prefixes(docs, "text", words, share, frequent(docs, "text", words, folder)), f"{folder}/prefixes")
-    entries = rows.where("n > 0").dropDuplicates(["node"]).select(F.explode("prefix").alias("key"), "node", "n", "last")
-    entries = written(shared_only(entries), f"{folder}/entries")
-    links = resembling(star_pairs(entries, share), docs, "text", words, share, f"{folder}/star")
-    roots = components(links, f"{folder}/star/links")
+def prefix_links(entries: DataFrame, roots: DataFrame, docs: DataFrame, marks: DataFrame, words: int, share: Fraction, folder: str) -> DataFrame:
+    """(a, b): links between sets of different roots, all that there are. entries are those of shared_only; roots (node,
+    root) tells which sets are known to be tied."""
     tied = entries.join(roots, "node", "left").select("key", "node", "n", "last", F.coalesce("root", "node").alias("root"))
-    links = links.union(resembling(all_pairs(tied, share), docs, "text", words, share, f"{folder}/all"))
-    roots = components(links, f"{folder}/links")
-    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
-    least = distinct.join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = distinct.join(roots.join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "component_id")
+    pairs = all_pairs(tied, share).groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
+    return resembling(pairs, docs, marks, words, share, folder)
+
+
+def print_of(h: np.ndarray, width: int) -> bytes:
+    """SimHash of hashes in width little-endian 64-bit words: a bit is set if it is in over half of them."""
+    votes = np.zeros((width, 64), np.int64)
+    for a in range(0, len(h), 1 << 14):
+        for k in range(width):
+            votes[k] += np.unpackbits(spread(h[a : a + (1 << 14)], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * votes.ravel() > len(h), bitorder="little").tobytes()
+
+
+def spread(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64-bit word that hashes are spread to; the first is the hash itself."""
+    if not k:
+        return h
+    h = h + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trackmill.llm.common import binary_parts, shared_dir, written
 from trackmill.llm.components import components
-from trackmill.llm.resemblance import resemblance_classes
+from trackmill.llm.resemblance import frequent, prefix_links, print_of, resembling, shared_only, sketches
 
 SEED = 42
 SUB_BITS = 11  # widest piece of a partition whose values are counted
@@ -29,16 +30,6 @@ BLOCK = 2048  # rows of a bucket that are compared with each other at once
 _lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _more(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th 64-bit word that a hash is spread to; the first is the hash itself."""
-    if not k:
-        return h
-    h = h + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def simhash(text: str | None, words: int, width: int = 1) -> bytes:
     """The fingerprint of a text in width little-endian 64-bit words: see fingerprints."""
     tokens = (text or "").encode().translate(_lower).split()
@@ -49,12 +40,8 @@ def simhash(text: str | None, words: int, width: int = 1) -> bytes:
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     first, last = starts[:n].tolist(), (ends[words - 1 :] if len(tokens) >= words else ends[-1:]).tolist()
-    hashed, votes = xxhash.xxh64_intdigest, np.zeros((width, 64), np.int64)
-    for a in range(0, n, 1 << 14):
-        h = np.fromiter((hashed(whole[i:j], SEED) for i, j in zip(first[a : a + (1 << 14)], last[a : a + (1 << 14)])), np.uint64)
-        for k in range(width):
-            votes[k] += np.unpackbits(_more(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * votes.ravel() > n, bitorder="little").tobytes()
+    hashed = xxhash.xxh64_intdigest
+    return print_of(np.fromiter((hashed(whole[i:j], SEED) for i, j in zip(first, last)), np.uint64, n), width)
 
 
 def fingerprints(text_col: str, words: int, width: int = 1) -> F.Column:
@@ -285,7 +272,7 @@ def link_prints(distinct: DataFrame, plan: Plan, width: int, distance: int, fold
     entries = written(distinct.mapInArrow(index, "key long, print binary"), f"{folder}/entries")
     large = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("print"), F.coalesce("blocks", F.lit(1))).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda other: F.least("mine", other) * 65536 + F.greatest("mine", other))
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda other: F.least("mine", other).cast("long") * (1 << 31) + F.greatest("mine", other))
     dealt = entries.join(large, "key", "left").withColumn("mine", mine).select("key", "print", F.explode(pairs).alias("pair")).repartition("key", "pair").sortWithinPartitions("key", "pair")
 
     def compare(batches):
@@ -338,11 +325,46 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     return rows.join(classes, "print").select("doc_id", "print", "component_id")
 
 
+def resemblance_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, width: int = 2) -> DataFrame:
+    """(doc_id, node, component_id) for each row of docs.
+
+    Rows link when the sets of their shingles have a resemblance of `similarity` or more: exactly those, none is left to
+    chance. component_id is the smallest id that a row reaches over links, its own included. Equal sets are one node.
+    Texts without words are equal to each other. Rows without an id take part, and get the smallest id of their
+    component (null if none has one). Repeated rows come back as often; an empty table gives an empty one.
+
+    First the SimHash fingerprints of the sets (64 * width bits) are probed by the pigeonhole principle. The number of
+    partitions falls with the logarithm of the sets, so that a partition's values stay nearly one a set. Pairs met
+    within a third of the bits that unrelated sets differ in are candidates, and decided on their sets. No affordable
+    probe is sure to meet a resemblance of 0.8, at which 15 % of the bits differ. So the pairs that the fingerprints
+    haven't tied are then found by prefix filtering, which misses none; it needs no pairs within what is tied already.
+    """
+    folder, share = shared_dir(docs.sparkSession), Fraction(str(similarity))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    rows = written(sketches(docs, words, share, frequent(docs, "text", words, folder), width), f"{folder}/sketches")
+    distinct = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("mark", "n", "print")).alias("one")).select("node", "first", "one.*"), f"{folder}/distinct")
+    filled, marks = distinct.where("n > 0"), distinct.select("node", "mark")
+    prints = written(filled.groupBy("print").agg(F.min("node").alias("head")), f"{folder}/prints")
+    bits = max(16, math.ceil(math.log2(max(prints.count(), 1))) + 2)  # of a partition
+    parts = max(2, 64 * width // bits)
+    links = link_prints(prints.select("print"), make_plan(prints.select("print"), width, [parts], parts, 1), width, 64 * width // 6, folder)
+    heads = prints.select(F.col("print").alias("a"), F.col("head").alias("head_a")), prints.select(F.col("print").alias("b"), F.col("head").alias("head_b"))
+    asked = links.join(heads[0], "a").join(heads[1], "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    asked = asked.union(filled.join(prints, "print").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct()
+    near = resembling(asked, docs, marks, words, share, f"{folder}/met")
+    roots = components(near, f"{folder}/met/links")
+    entries = rows.where("n > 0").dropDuplicates(["node"]).select(F.explode("prefix").alias("key"), "node", "n", "last")
+    entries = written(shared_only(entries), f"{folder}/shared")
+    rest = prefix_links(entries, roots, docs, marks, words, share, f"{folder}/rest")
+    roots = components(near.union(rest), f"{folder}/links")
+    least = distinct.join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = distinct.join(roots.join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the rows whose component has a smaller id; all columns stay.
+    """docs without the rows whose component (resemblance_classes) has a smaller id; all columns stay.
 
-    Rows link by the exact resemblance of their sets of shingles (resemblance_classes). SimHash can't stand for it: at a
-    resemblance of 0.8 about 77 of 512 bits differ, give or take 8, and no affordable probe is sure to meet such a pair.
     Rows without an id stay, repeated rows of a kept id too.
     """
     found = resemblance_classes(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)

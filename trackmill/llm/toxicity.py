@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmill.llm.common import shared_dir, written
+
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}  # in the order of the chain
 SAMPLE = 8_000  # labelled documents that the models are fitted on, about
 TERMS = 400  # terms that the models know, for each category
@@ -41,16 +43,20 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 300) -
     if not 0 < y.sum() < len(y):
         return w
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+
+    def product(m: np.ndarray, v: np.ndarray) -> np.ndarray:  # in the matrix's own precision, so that it isn't copied
+        return (m @ v.astype(m.dtype)).astype(float)
+
     probe = np.ones(x.shape[1])
     for _ in range(20):  # the largest eigenvalue bounds the step
-        probe = x.T @ (x @ probe)
+        probe = product(x.T, product(x, probe))
         probe /= np.linalg.norm(probe)
-    step = 1 / (0.25 * np.linalg.norm(x.T @ (x @ probe)) + penalty)
+    step = 1 / (0.25 * np.linalg.norm(product(x.T, product(x, probe))) + penalty)
     keep = np.full(x.shape[1], penalty)
     keep[-1] = 0
     ahead = w.copy()
     for k in range(rounds):
-        new = ahead - step * (x.T @ (sigmoid(x @ ahead) - y) + keep * ahead)
+        new = ahead - step * (product(x.T, sigmoid(product(x, ahead)) - y) + keep * ahead)
         ahead = new + k / (k + 3) * (new - w)
         w = new
     return w
@@ -70,7 +76,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.n
     models that were fitted without the row's fold; so what later models learn to trust is what they will see."""
     models, earlier = [], np.zeros((len(x), 0))
     for c in range(labels.shape[1]):
-        seen = np.concatenate([x, earlier], 1)
+        seen = np.concatenate([x, earlier.astype(x.dtype)], 1)
         models.append(fit(seen, labels[:, c]))
         out = np.zeros(len(x))
         for f in np.unique(folds):
@@ -124,8 +130,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     ids whose hash falls below a share of its range, so it is the same in each run. Tasks count the sample's terms; for
     each category those whose shares in and out of it differ most, in units of their standard error, are kept. What
     comes to the driver is bounded by sample and terms. Labels without a document and documents without a label are left
-    out; a null condition is false; of repeated labels any that holds counts. Null texts have no terms. Without any
-    labelled document every probability is one half.
+    out; a null condition is false; of repeated labels any that holds counts, of repeated ids the text that sorts first.
+    Null texts have no terms. Without any labelled document every probability is one half. The sample is written once
+    below the shared folder.
     """
     categories = categories or CATEGORIES
     names = list(categories)
@@ -133,7 +140,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     n = truth.count()
     parts = 1 << 20
     chosen = truth.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(parts)) < int(min(1.0, sample / max(n, 1)) * parts))
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").dropDuplicates(["id"])
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").groupBy("id", *names).agg(F.min("text").alias("text"))
+    ready = written(picked.select("id", "text", *names), f"{shared_dir(docs.sparkSession)}/sample")
     k = len(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +156,6 @@ def train_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
                         inside[c].update(found)
         yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), *(pa.array([c[t] for t in every], pa.int64()) for c in inside)], ["term", "n", *(f"n{c}" for c in range(k))])
 
-    ready = picked.select("id", "text", *names)
     counted = ready.mapInArrow(count, "term string, n long, " + ", ".join(f"n{c} long" for c in range(k))).groupBy("term").agg(*(F.sum(x).alias(x) for x in ("n", *(f"n{c}" for c in range(k)))))
     sizes = chosen.agg(F.count("*").alias("all"), *(F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in names)).first()
     kept: dict[str, None] = {}
@@ -164,14 +171,14 @@ def train_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
             x = chain.matrix(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.flatnonzero(r).tolist() for r in x], pa.list_(pa.int32())), *b.columns[2:]], ["id", "at", *names])
 
-    known = sorted(ready.mapInArrow(rows, "id long, at array<int>, " + ", ".join(f"`{x}` double" for x in names)).collect())
-    x = np.zeros((len(known), len(kept)), np.float32)
-    for row, r in zip(x, known):
-        row[r["at"]] = 1
-    if not known:
+    known = ready.mapInArrow(rows, "id long, at array<int>, " + ", ".join(f"`{x}` double" for x in names)).toArrow().sort_by("id").combine_chunks()
+    if not known.num_rows:
         chain.models = [np.zeros(len(kept) + c + 1) for c in range(k)]
-    else:
-        chain.models = fit_chain(x, np.array([[r[m] for m in names] for r in known]), np.arange(len(known)) % folds)
+        return chain
+    at = known.column("at").combine_chunks()
+    x = np.zeros((known.num_rows, len(kept)), np.float32)
+    x[np.repeat(np.arange(known.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = 1
+    chain.models = fit_chain(x, np.stack([known.column(m).to_numpy() for m in names], 1), np.arange(known.num_rows) % folds)
     return chain
 
 
