@@ -214,7 +214,8 @@ def test_near_duplicates_are_dropped(spark):
 
 def test_near_duplicates_are_decided_on_their_shingles(spark, monkeypatch):
     """Sets of a planted resemblance on both sides of 0.8, a large group of copies, and a line that outweighs the rest."""
-    monkeypatch.setattr(resemblance, "BLOCK", 20)
+    for name, size in (("BLOCK", 20), ("LARGE", 4), ("KNOWN", 6)):
+        monkeypatch.setattr(resemblance, name, size)
 
     def pair(k, n, replaced):  # one replaced word at the end of the text replaces one shingle, each further one too
         tokens = [f"w{k}x{i}" for i in range(n + 4)]
@@ -228,6 +229,10 @@ def test_near_duplicates_are_decided_on_their_shingles(spark, monkeypatch):
     cluster = [f"c{i}" for i in range(104)]
     texts += [" ".join(cluster[:k] + [f"d{k}"] + cluster[k + 1 :]) for k in range(0, 90, 2)]
     texts += ["Only three words", "only  three WORDS", "", None]
+    r = random.Random(4)  # close relatives that share far more groups than a set names
+    for k in range(3):
+        base = [f"e{k}x{i}" for i in range(150)]
+        texts += [" ".join(w if r.random() > 0.02 else f"f{k}y{j}z{i}" for i, w in enumerate(base)) for j in range(25)]
     sets = [set(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else set() for t in texts]
     parent = list(range(len(texts)))
 

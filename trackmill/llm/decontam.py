@@ -110,20 +110,24 @@ def best_overlap(tokens: np.ndarray, item: np.ndarray) -> tuple[int, int, int, i
 
 
 class Filter:
-    """Which seeds some item may have: a bit for each value of a few of their bits."""
+    """Which seeds some item may have: a Bloom filter of 2^24 to 2^FILTER bits, four of them for each seed."""
 
     def __init__(self, hashes: DataFrame):
-        n = hashes.count()
-        self.bits = min(FILTER, max(20, (16 * n).bit_length()))
+        self.bits = min(FILTER, max(24, (32 * hashes.count()).bit_length()))
+        self.shifts = [round(k * (64 - self.bits) / 3) for k in range(4)]
         self.words = np.zeros(1 << (self.bits - 6), np.uint64)
-        place = hashes.select(F.shiftrightunsigned("h", 64 - self.bits).alias("place"))
-        found = place.groupBy(F.shiftright("place", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+        each = F.array(*(F.shiftrightunsigned("h", k).bitwiseAND(F.lit((1 << self.bits) - 1)) for k in self.shifts))
+        found = hashes.select(F.explode(each).alias("place")).groupBy(F.shiftright("place", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
         table = found.toArrow()
         self.words[table.column(0).to_numpy()] = table.column(1).to_numpy().view(np.uint64)
 
-    def may_have(self, h: np.ndarray) -> np.ndarray:
-        place = h >> np.uint64(64 - self.bits)
-        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where those stand that some item may have."""
+        at = np.arange(len(h))
+        for k in self.shifts:
+            place = (h[at] >> np.uint64(k)) & np.uint64((1 << self.bits) - 1)
+            at = at[(self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return at
 
 
 def _tokens(column: pa.Array) -> list[np.ndarray]:
@@ -167,7 +171,7 @@ def hashed_texts(docs: DataFrame, masks: list[str], known: Filter) -> DataFrame:
                 values, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for mask in masks:
                     s = seeds(h, mask)
-                    at = np.flatnonzero(known.may_have(s))
+                    at = known.places(s)
                     at = at[owner[at] == owner[at + len(mask) - 1]]
                     values.append(s[at])
                     whose.append(owner[at])

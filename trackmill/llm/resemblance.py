@@ -22,7 +22,9 @@ from trackmill.llm.common import binary_parts, joined_hashes, run_hashes, window
 BITS = 57  # of a shingle's hash; the level of its frequency stands above them
 SAMPLE = 1 << 25  # characters of the sample that frequencies are taken from
 HOT = 1 << 19  # shingles at most that have a frequency
-BLOCK = 2048  # sets of a group that are compared with each other at once
+LARGE = 32  # sets of a group from which on its pairs are counted together with those of the other large groups
+KNOWN = 32  # large groups at most that a set tells of itself
+BLOCK = 2048  # sets of a large group that are compared with each other at once
 _lower = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _inside = np.ones(256, bool)  # bytes of words: all but ASCII white space
 _inside[[*range(0x09, 0x0E), 0x20]] = False
@@ -91,6 +93,11 @@ def _longs(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, np.int64)) for v in rows.values()], list(rows))
 
 
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """A column of numbers, or the columns of lists of equally many numbers."""
+    return list(column.flatten().to_numpy().reshape(len(column), -1).T) if pa.types.is_list(column.type) else [column.to_numpy()]
+
+
 def _groups(batches, keys: int):
     """The columns of sorted batches as arrays, cut only between rows that differ in the first so many columns."""
     held: list[list[np.ndarray]] = []
@@ -106,7 +113,9 @@ def _groups(batches, keys: int):
 
     limit = 100_000
     for b in batches:
-        held.append([b.column(k).to_numpy() for k in range(b.num_columns)])
+        if not b.num_rows:
+            continue
+        held.append([c for k in range(b.num_columns) for c in _arrays(b.column(k))])
         rows += b.num_rows
         if rows > limit:
             yield whole(False)
@@ -183,42 +192,119 @@ def shared_only(entries: DataFrame) -> DataFrame:
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(keep, entries.schema)
 
 
-def _candidates(node, n, last, x, y, share: Fraction) -> pa.RecordBatch:
+def _others(root: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end): for each row of sorted groups, sorted by root in them, the first row after it with another root, and
+    where its group ends."""
+    new = np.concatenate([[True], group[1:] != group[:-1], [True]])
+    end = np.flatnonzero(new)[1:][np.cumsum(new[:-1]) - 1]
+    new[1:-1] |= root[1:] != root[:-1]
+    return np.flatnonzero(new)[1:][np.cumsum(new[:-1]) - 1], end
+
+
+def _pairs_by_step(first: np.ndarray, end: np.ndarray):
+    """All (x, y) with first[x] <= y < end[x], a y for each x at a time."""
+    at = first.copy()
+    rows = np.flatnonzero(at < end)
+    while len(rows):
+        yield rows, at[rows]
+        at[rows] += 1
+        rows = rows[at[rows] < end[rows]]
+
+
+def _candidates(node, n, last, x, y, weight, share: Fraction, most=None) -> pa.RecordBatch:
+    """The pairs (x, y) whose sizes allow for the resemblance; with most, those that can come to share enough shingles."""
     fits = share.denominator * np.minimum(n[x], n[y]) >= share.numerator * np.maximum(n[x], n[y])
-    x, y = x[fits], y[fits]
-    return _longs({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "need": fewest(n[x], n[y], last[x], last[y], share)})
+    x, y, weight, most = x[fits], y[fits], weight[fits], None if most is None else most[fits]
+    need = fewest(n[x], n[y], last[x], last[y], share)
+    if most is not None:
+        fits = most >= need
+        x, y, weight, need = x[fits], y[fits], weight[fits], need[fits]
+    return _longs({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "need": need, "weight": weight})
+
+
+_PAIRS = "a long, b long, need long, weight long"
+
+
+def small_pairs(entries: DataFrame, share: Fraction) -> DataFrame:
+    """_PAIRS: all pairs with different roots of a group of at most LARGE sets, with weight 1."""
+
+    def compare(batches):
+        for key, root, node, n, last in _groups(batches, 1):
+            if len(key):
+                for x, y in _pairs_by_step(*_others(root, key)):
+                    yield _candidates(node, n, last, x, y, np.ones(len(x), np.int64), share)
+
+    return entries.select("key", "root", "node", "n", "last").repartition("key").sortWithinPartitions("key", "root").mapInArrow(compare, _PAIRS)
+
+
+def _masks(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, masks): the keys that several rows of known name (0: none), and for each row the bits of its own."""
+    flat = np.sort(known.ravel())
+    flat = flat[flat != 0]
+    keys = ascending(flat[1:][flat[1:] == flat[:-1]])
+    masks, rows = np.zeros((len(known), len(keys) // 64 + 1), np.uint64), np.arange(len(known))
+    for column in known.T if len(keys) else ():
+        at = np.minimum(np.searchsorted(keys, column), len(keys) - 1)
+        mine = rows[keys[at] == column]
+        masks[mine, at[mine] // 64] |= np.uint64(1) << (at[mine] % 64).astype(np.uint64)
+    return keys, masks
 
 
-def all_pairs(entries: DataFrame, share: Fraction) -> DataFrame:
-    """(a, b, need): all pairs of a group with different roots, once for each key that they share.
+def large_pairs(entries: DataFrame, share: Fraction) -> DataFrame:
+    """_PAIRS: the pairs with different roots of groups of more than LARGE sets that can come to share enough shingles.
 
+    A set names up to KNOWN of its large groups. Of those that two sets both name only the first gives the pair, with
+    their number as its weight, so that a pair isn't given once for each line that a large group has in common; a group
+    that one of them doesn't name gives it with weight 1. rest is the number of a set's keys that it doesn't name.
     Groups of more than BLOCK sets are dealt out as pairs of blocks, so none is one task's work.
     """
-    large = entries.groupBy("key").agg(F.count("*").alias("n_key")).where(F.col("n_key") > BLOCK).select("key", F.ceil(F.col("n_key") / BLOCK).alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(1))
+    blocks = F.ceil(F.col("size") / BLOCK)
     both = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.least("mine", other) * (1 << 31) + F.greatest("mine", other))
-    dealt = entries.join(large, "key", "left").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
-    dealt = dealt.select("key", F.explode(both).alias("pair"), "root", "node", "n", "last", "mine").repartition("key", "pair").sortWithinPartitions("key", "pair", "root")
+    dealt = entries.withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
+    dealt = dealt.select("key", F.explode(both).alias("pair"), "root", "node", "n", "last", "mine", "rest", "known").repartition("key", "pair").sortWithinPartitions("key", "pair", "root")
 
     def compare(batches):
-        for key, pair, root, node, n, last, mine in _groups(batches, 2):
+        for key, pair, root, node, n, last, mine, rest, *known in _groups(batches, 2):
             if not len(key):
                 continue
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]), [True]])
-            end = np.flatnonzero(new)[1:][np.cumsum(new[:-1]) - 1]  # of a row's group
-            new[1:-1] |= root[1:] != root[:-1]
-            other = np.flatnonzero(new)[1:][np.cumsum(new[:-1]) - 1]  # the next row with another root
-            within = pair >> 31 == pair & ((1 << 31) - 1)
-            rows = np.flatnonzero(other < end)
-            while len(rows):
-                at = other[rows]
-                fits = within[rows] | (mine[rows] != mine[at])
-                if fits.any():
-                    yield _candidates(node, n, last, rows[fits], at[fits], share)
-                other[rows] += 1
-                rows = rows[other[rows] < end[rows]]
-
-    return dealt.mapInArrow(compare, "a long, b long, need long")
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]), [True]]))
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own = np.stack([k[a:z] for k in known], 1)
+                keys, masks = _masks(own)
+                names, named = (own == key[a]).any(1), np.count_nonzero(own, axis=1)
+                at = int(np.searchsorted(keys, key[a]))
+                before = np.zeros(masks.shape[1], np.uint64)  # bits of the keys before this one
+                before[: at // 64] = ~np.uint64(0)
+                before[at // 64 :][:1] = (np.uint64(1) << np.uint64(at % 64)) - np.uint64(1)
+                within = pair[a] >> 31 == pair[a] & ((1 << 31) - 1)
+                held = [c[a:z] for c in (node, n, last, rest)]
+                for x, y in _pairs_by_step(*_others(root[a:z], key[a:z])):
+                    if not within:
+                        apart = mine[a:z][x] != mine[a:z][y]
+                        x, y = x[apart], y[apart]
+                    common = masks[x] & masks[y]
+                    told = names[x] & names[y]
+                    weight = np.where(told, np.bitwise_count(common).sum(1), 1).astype(np.int64)
+                    p, q = held[3][x], held[3][y]  # what neither names, or, where one names no more of its groups, only one
+                    more = np.where((named[x] < own.shape[1]) & (named[y] < own.shape[1]), np.minimum(p, q), np.minimum(p + q, np.minimum(p + named[x], q + named[y]) - weight))
+                    most = np.where(told, weight + more, 1 << 60)
+                    first = ~told | ~(common & before).any(1)
+                    if first.any():
+                        yield _candidates(*held[:3], x[first], y[first], weight[first], share, most[first])
+
+    return dealt.mapInArrow(compare, _PAIRS)
+
+
+def all_pairs(entries: DataFrame, share: Fraction, folder: str) -> DataFrame:
+    """_PAIRS: pairs of sets (key, node, n, last, root) of different roots; the weights of a pair add up to the number of
+    keys that it shares, unless that can't be enough."""
+    sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LARGE), f"{folder}/sizes")
+    small = entries.join(sizes, "key", "left_anti")
+    large = written(entries.join(sizes, "key"), f"{folder}/large")
+    own = large.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, KNOWN).alias("named"))
+    own = own.join(entries.join(own.select("node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("all")), "node")
+    own = own.select("node", (F.col("all") - F.size("named")).alias("rest"), F.slice(F.concat("named", F.array_repeat(F.lit(0).cast("long"), KNOWN)), 1, KNOWN).alias("known"))
+    return small_pairs(small, share).union(large_pairs(large.join(own, "node"), share))
 
 
 def resembling(asked: DataFrame, docs: DataFrame, marks: DataFrame, words: int, share: Fraction, folder: str) -> DataFrame:
@@ -263,7 +349,7 @@ def prefix_links(entries: DataFrame, roots: DataFrame, docs: DataFrame, marks: D
     """(a, b): links between sets of different roots, all that there are. entries are those of shared_only; roots (node,
     root) tells which sets are known to be tied."""
     tied = entries.join(roots, "node", "left").select("key", "node", "n", "last", F.coalesce("root", "node").alias("root"))
-    pairs = all_pairs(tied, share).groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
+    pairs = all_pairs(written(tied, f"{folder}/tied"), share, folder).groupBy("a", "b", "need").agg(F.sum("weight").alias("shared")).where("shared >= need").select("a", "b")
     return resembling(pairs, docs, marks, words, share, folder)
 
 
