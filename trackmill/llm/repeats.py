@@ -4,7 +4,8 @@ Texts are kept once in sequential files of the shared folder, a chunk of documen
 minimizer (the 16-byte string in it with the smallest hash, the leftmost of equals), and equal strings have it at the
 same place. So documents are cut into segments, the runs of strings with one minimizer, and strings are compared only
 where the minimizer occurs in more than one document. The different segments of some minimizers are a collection whose
-Burrows-Wheeler transform and common prefixes are built column by column, from the last symbols to the first: there are
+Burrows-Wheeler transform and common prefixes are built column by column, from the last symbols to the first (a minimizer with one
+segment needs no transform: its strings are that segment's): there are
 at most as many rounds as a segment has bytes, however long the documents are. Strings with a common prefix of `length`
 are equal. All work between the shuffles is on whole columns of a chunk or of a bucket of minimizers; a minimizer or a
 segment counts once a chunk, however often it occurs there.
@@ -204,6 +205,11 @@ def _keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _home(chunk: int, buckets: int) -> int:
+    """The bucket that has a row of the chunk even if it is empty, so that no chunk gets lost on the way."""
+    return (chunk * 0x9E3779B97F4A7C15 >> 20) % buckets
+
+
 _ROWS = "bucket int, chunk long, data binary"
 
 
@@ -259,8 +265,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             start = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)))
             low, high = (f.reduceat(doc, start) if len(start) else doc for f in (np.minimum, np.maximum))
             bucket, rest = _keys(h[start], buckets)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            return _rows([(b, name, _pack(rest[x:y], low[x:y], low[x:y] != high[x:y])) for b, x, y in zip(range(buckets), edges[:-1].tolist(), edges[1:].tolist()) if x < y or not b])
+            edges, home = np.searchsorted(bucket, np.arange(buckets + 1)), _home(name, buckets)
+            return _rows([(b, name, _pack(rest[x:y], low[x:y], low[x:y] != high[x:y])) for b, x, y in zip(range(buckets), edges[:-1].tolist(), edges[1:].tolist()) if x < y or b == home])
 
         for b in batches:
             for i, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -298,11 +304,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             wanted = np.sort(np.concatenate([(np.int64(bucket) << 32) | _unpack(blob)[0].astype(np.int64) for bucket, blob in held]))
             first, count, h = segments(data, bounds, length)
             bucket, rest = _keys(h, buckets)
-            part = (rest >> np.uint32(24)).astype(np.uint8)
             key = (bucket << 32) | rest.astype(np.int64)
             at = np.searchsorted(wanted, key)
             mine = np.flatnonzero((at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == key)) if len(wanted) else np.zeros(0, np.int64)
-            first, count, bucket, part = first[mine], count[mine], bucket[mine], part[mine]
+            first, count, bucket, rest = first[mine], count[mine], bucket[mine], rest[mine]
             size = count + length - 1
             one = _hashes(data, first, size, 0x9E3779B97F4A7C15) + size.astype(np.uint64) * _M3
             order, start = _groups(one, _hashes(data, first, size, 0xC2B2AE3D27D4EB4F)) if len(first) else (mine, mine)
@@ -313,12 +318,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             doc = known[np.searchsorted(bounds, first, "right") - 1]
             low = np.minimum.reduceat(doc[order], start) if len(start) else doc
             by = np.argsort(bucket[head], kind="stable")
-            edges = np.searchsorted(bucket[head][by], np.arange(buckets + 1)).tolist()
+            edges, home = np.searchsorted(bucket[head][by], np.arange(buckets + 1)).tolist(), _home(name, buckets)
             rows = []
             for b, x, y in zip(range(buckets), edges, edges[1:]):
-                if x < y or not b:
+                if x < y or b == home:
                     own = by[x:y]
-                    rows.append((b, name, _pack(data[_spread(first[head[own]], size[head[own]])], size[head[own]].astype(np.uint8 if 2 * length < 256 else np.uint32), low[own], own.astype(np.uint32), part[head[own]])))
+                    rows.append((b, name, _pack(data[_spread(first[head[own]], size[head[own]])], size[head[own]].astype(np.uint8 if 2 * length < 256 else np.uint32), low[own], own.astype(np.uint32), rest[head[own]])))
             yield _rows(rows)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,9 +341,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             head = order[start]  # the different segments, each with its smallest id
             own = np.minimum.reduceat(low[order], start) if len(start) else low
             by = np.argsort(sub[head], kind="stable")
-            filled = np.cumsum(size[head[by]])
-            stops = np.flatnonzero(np.diff(sub[head[by]].astype(np.int64), append=-1)) + 1
-            found, where, x, at = [], np.zeros(len(head), np.int64), 0, 0
+            stops = np.flatnonzero(np.diff(sub[head[by]].astype(np.int64), append=-1)) + 1  # of each minimizer
+            alone = np.diff(stops, prepend=0) == 1  # its strings are in one segment, so their smallest id is the segment's
+            only = by[stops[alone] - 1]
+            where = np.zeros(len(head), np.int64)
+            where[only] = np.cumsum(count[head[only]]) - count[head[only]]
+            found = [np.repeat(own[only], count[head[only]])]
+            by = by[np.repeat(~alone, np.diff(stops, prepend=0))]
+            stops = np.cumsum(np.diff(stops, prepend=0)[~alone])
+            filled, x, at = np.cumsum(size[head[by]]), 0, len(found[0])
             for z, more in zip(stops.tolist(), [*stops[1:].tolist(), 0]):
                 if more and filled[more - 1] - (filled[x - 1] if x else 0) <= COLLECTION:
                     continue
@@ -347,7 +358,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 found.append(least_of_equals(data[_spread(begin[segs], size[segs])], size[segs], own[mine], length))
                 where[mine] = at + np.cumsum(count[segs]) - count[segs]
                 x, at = z, at + len(found[-1])
-            least = np.concatenate(found)[_spread(where[number], count)] if found else low
+            least = np.concatenate(found)[_spread(where[number], count)]
             ends = np.concatenate([[0], np.cumsum(count)])
             at, rows = 0, []
             for (chunk, _), part in zip(held, parts):
