@@ -24,6 +24,7 @@ SAMPLE = 1 << 25  # characters of the sample that frequencies are taken from
 HOT = 1 << 19  # shingles at most that have a frequency
 LARGE = 32  # sets of a group from which on its pairs are counted together with those of the other large groups
 KNOWN = 32  # large groups at most that a set tells of itself
+STEP = 1 << 21  # bytes of text that are worked on at once
 BLOCK = 2048  # sets of a large group that are compared with each other at once
 _lower = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _inside = np.ones(256, bool)  # bytes of words: all but ASCII white space
@@ -132,7 +133,7 @@ def frequent(docs: DataFrame, text_col: str, words: int, folder: str) -> tuple[n
 
     def each(batches):
         for batch in batches:
-            for part in windows_of(batch, ["text"]):
+            for part in windows_of(batch, ["text"], STEP):
                 yield _longs({"h": np.concatenate(sets_of(part.column(0), words))})
 
     counts = written(sample.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/frequent")
@@ -155,7 +156,7 @@ def sketches(docs: DataFrame, words: int, share: Fraction, hot: tuple[np.ndarray
 
     def of(batches):
         for batch in batches:
-            for part in windows_of(batch, ["text"]):
+            for part in windows_of(batch, ["text"], STEP):
                 h, at = shingles(part.column(2), words)
                 keys_of = (h >> np.uint64(64 - BITS)).astype(np.int64)
                 nodes, sizes, lasts, kept, prints = [], [], [], [], []
@@ -325,7 +326,7 @@ def resembling(asked: DataFrame, docs: DataFrame, marks: DataFrame, words: int,
         for batch in batches:
             mark = batch.column(0).to_numpy()
             batch = batch.filter(pa.array((filter_bits[mark >> 6 & top] >> (mark & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-            for part in windows_of(batch, ["text"]):
+            for part in windows_of(batch, ["text"], STEP):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets_of(part.column(1), words)], pa.binary())], ["mark", "set"])
 
     held = docs.select("mark", "text").mapInArrow(sets, "mark long, set binary").join(nodes, "mark").select("node", "set").dropDuplicates(["node"])
