@@ -27,7 +27,13 @@ def test_points_and_zones(spark):
     edge = [(0, c.hoop_y, False), (0, c.hoop_y + 6.74, False), (0, c.hoop_y + 6.76, True), (0, c.hoop_y + 6.75, False), (6.61, 0.5, True), (6.59, 0.5, False)]
     assert [one(spark, court.beyond_arc(c, F.lit(float(x)), F.lit(float(y))))[0] for x, y, _ in edge] == [w for *_, w in edge]
     assert one(spark, court.on_court(c, F.lit(0.0), F.lit(5.0)), court.on_court(c, F.lit(10.0), F.lit(5.0))) == (True, False)
-    assert court.court_lines(spark, "fiba").select("line").distinct().count() == 8
+    lines = {}
+    for r in sorted(court.court_lines(spark, "fiba_3x3").collect()):
+        lines.setdefault(r.line, []).append((r.x, r.y))
+    assert len(lines) == 8 and lines["far"] == [(-7.5, 11.0), (7.5, 11.0)] and len(lines["arc"]) == 120
+    assert lines["arc"][0] == pytest.approx((c.corner_x, c.arc_break_y)) and lines["arc"][-1] == pytest.approx((-c.corner_x, c.arc_break_y))
+    points = court.landmarks("fiba_3x3")
+    assert len(points) == 11 and points["top_right_corner"] == (7.5, 11.0) and points["arc_top"] == (0.0, c.hoop_y + c.arc_radius)
 
 
 def test_homography(spark):
@@ -62,7 +68,22 @@ def test_evaluation(spark):
     gt = [("v", 0, 10.0, "A", "inside_arc", True, 1), ("v", 1, 20.0, "A", "inside_arc", False, 0), ("v", 2, 30.0, "B", "beyond_arc", True, 2)]
     pred = [("v", 0, 10.4, "B", "inside_arc", True, 1), ("v", 1, 20.2, "B", "inside_arc", True, 1), ("v", 2, 45.0, "A", "ft", False, 0)]
     r = matching.evaluate(spark.createDataFrame(gt, s), spark.createDataFrame(pred, s), ["video"]).first()
-    assert (r.matched, round(r.recall, 3), round(r.precision, 3), r.made_accuracy, r.team_accuracy, r.swapped, r.points_error_b) == (2, 0.667, 0.667, 0.5, 1.0, True, -2)
+    assert (r.matched, round(r.recall, 3), round(r.precision, 3), r.made_accuracy, r.team_accuracy, r.swapped, r.points_error_b) == (2, 0.667, 0.667, 0.5, 1.0, True, 2)
+
+
+def test_unknown_teams_do_not_count(spark):
+    s = "video string, event_id int, timestamp_s double, team string, zone string, made boolean, points int"
+
+    def result(true, guessed):
+        gt, pred = ([("v", k, 10.0 * k, t, "ft", True, 1) for k, t in enumerate(ts)] for ts in (true, guessed))
+        return matching.evaluate(spark.createDataFrame(gt, s), spark.createDataFrame(pred, s), ["video"]).first()
+
+    r = result("A??", "AB?")
+    assert (r.team_accuracy, r.swapped, r.points_error_a, r.points_error_b, r.points_error) == (1.0, False, 0, None, 0)
+    r = result("?", "?")
+    assert (r.matched, r.team_accuracy, r.points_error_a, r.points_error_b) == (1, None, None, None)
+    r = result("AABB?", "BBA?B")
+    assert (r.team_accuracy, r.swapped, r.points_error_a, r.points_error_b) == (0.75, True, 1, 1)
 
 
 def test_votes(spark):

@@ -76,22 +76,28 @@ def points_for(rules: Column, zone: Column, made: Column) -> Column:
 
 
 def court_lines(spark: SparkSession, name: str, arc_points: int = 120) -> DataFrame:
-    """(line, seq, x, y): eight polylines of a half court."""
+    """(line, seq, x, y): the eight painted lines of a half court, the arc from right to left."""
     c = court(name)
-    w, a = c.width / 2, math.asin(min(1.0, c.corner_x / c.arc_radius))
-    arc = [(c.arc_radius * math.sin(t), c.hoop_y + c.arc_radius * math.cos(t)) for t in (-a + 2 * a * k / (arc_points - 1) for k in range(arc_points))]
-    ring = [(0.225 * math.cos(2 * math.pi * k / 36), c.hoop_y + 0.225 * math.sin(2 * math.pi * k / 36)) for k in range(37)]
+    side, lane, far = c.width / 2, c.lane / 2, c.half_length
+    widest = math.asin(min(1.0, c.corner_x / c.arc_radius))  # the arc's angle from straight ahead, where it meets the corners
+    turns = [widest * (1 - 2 * k / (arc_points - 1)) for k in range(arc_points)]
     lines = {
-        "baseline": [(-w, 0.0), (w, 0.0)], "left": [(-w, 0.0), (-w, c.half_length)], "right": [(w, 0.0), (w, c.half_length)],
-        "lane": [(-c.lane / 2, 0.0), (-c.lane / 2, c.ft_y), (c.lane / 2, c.ft_y), (c.lane / 2, 0.0)],
+        "baseline": [(-side, 0.0), (side, 0.0)], "far": [(-side, far), (side, far)],
+        "left": [(-side, 0.0), (-side, far)], "right": [(side, 0.0), (side, far)],
         "corner_left": [(-c.corner_x, 0.0), (-c.corner_x, c.arc_break_y)], "corner_right": [(c.corner_x, 0.0), (c.corner_x, c.arc_break_y)],
-        "arc": arc, "hoop": ring,
+        "arc": [(c.arc_radius * math.sin(u), c.hoop_y + c.arc_radius * math.cos(u)) for u in turns],
+        "lane": [(-lane, 0.0), (-lane, c.ft_y), (lane, c.ft_y), (lane, 0.0)],
     }
     return spark.createDataFrame([(k, i, float(x), float(y)) for k, v in lines.items() for i, (x, y) in enumerate(v)], "line string, seq int, x double, y double")
 
 
 def landmarks(name: str) -> dict[str, tuple[float, float]]:
-    """Named points of a court that a calibration can use."""
+    """Points of a court that a calibration can use, by the names that calibration files have for them (fixed values)."""
     c = court(name)
-    w, half = c.width / 2, c.lane / 2
-    return {"baseline_left": (-w, 0.0), "baseline_right": (w, 0.0), "lane_left": (-half, 0.0), "lane_right": (half, 0.0), "ft_left": (-half, c.ft_y), "ft_right": (half, c.ft_y), "arc_left": (-c.corner_x, 0.0), "arc_right": (c.corner_x, 0.0), "arc_top": (0.0, c.hoop_y + c.arc_radius), "hoop": (0.0, c.hoop_y), "half_left": (-w, c.half_length), "half_right": (w, c.half_length)}
+    side, lane, far, top = c.width / 2, c.lane / 2, c.half_length, c.hoop_y + c.arc_radius
+    return {
+        "baseline_left_corner": (-side, 0.0), "corner3_left_baseline": (-c.corner_x, 0.0), "lane_left_baseline": (-lane, 0.0),
+        "lane_right_baseline": (lane, 0.0), "corner3_right_baseline": (c.corner_x, 0.0), "baseline_right_corner": (side, 0.0),
+        "ft_line_left": (-lane, c.ft_y), "ft_line_right": (lane, c.ft_y), "arc_top": (0.0, top),
+        "top_left_corner": (-side, far), "top_right_corner": (side, far),
+    }

@@ -28,7 +28,7 @@ def player_table(df: DataFrame, team: str = "team", player: str = "player", made
     """Attempts, makes, share and points of each player; unknown teams and numbers ('?') come last in the order columns."""
     by = by or []
     known = df.select(*by, F.coalesce(team, F.lit("?")).alias("team"), F.coalesce(F.nullif(F.col(player), F.lit("")), F.lit("?")).alias("player"), F.col(made).cast("int").alias("m"), F.col(points).alias("p"))
-    return known.groupBy(*by, "team", "player").agg(F.count("*").alias("attempts"), F.sum("m").alias("made"), ratio(F.sum("m"), F.count("*")).alias("fg_pct"), F.sum("p").alias("points"))
+    return known.groupBy(*by, "team", "player").agg(F.count("*").alias("attempts"), F.sum("m").alias("made"), ratio(F.sum("m"), F.count("*"), 3).alias("fg_pct"), F.sum("p").alias("points"))
 
 
 def in_player_order(table: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from trackmill.functions import court as courts
 from trackmill.operators.aggregates import player_table, zone_statistics
 from trackmill.operators.common import scratch, written
 from trackmill.operators.composites import SHOT, assign_numbers, shooter_info, shot_teams, track_teams
-from trackmill.operators.matching import one_to_one
+from trackmill.operators.matching import in_window, one_to_one
 from trackmill.operators.sequences import clean_views, every_nth
 from trackmill.operators.shots import detect_shots
 from trackmill.operators.spatial import overlap_of_others
@@ -25,9 +25,10 @@ RELEASE_AFTER_S = 0.40  # fixed value: the ball leaves the hands this long after
 def shot_numbers(info: DataFrame, teams: DataFrame, persons: DataFrame, crops: DataFrame, numbers: list[int]) -> DataFrame:
     """(video, shot, number) by the vote over the shooter's crops (video, track, frame, probs) near the release."""
     shooters = info.where("track is not null").select(*SHOT, "release", "track")
-    own = shooters.join(crops.select("video", "track", "frame", "probs"), ["video", "track"]).where(F.col("frame").between(F.col("release") - 45, F.col("release") + 15))
-    covered = overlap_of_others(persons.select("video", "frame", "track", "box"), ["video", "frame"], "track", "box")
-    views = clean_views(every_nth(own, SHOT, "frame", 3).join(covered, ["video", "frame", "track"]), SHOT, "frame", "release", "overlap")
+    own = every_nth(in_window(shooters, crops.select("video", "track", "frame", "probs"), ["video", "track"], "release", "frame", 45, 15), SHOT, "frame", 3)
+    seen = persons.join(own.select("video", "frame").distinct(), ["video", "frame"], "left_semi")
+    covered = overlap_of_others(seen.select("video", "frame", "track", "box"), ["video", "frame"], "track", "box")
+    views = clean_views(own.join(covered, ["video", "frame", "track"]), SHOT, "frame", "release", "overlap")
     every = teams.select(*SHOT, "team").join(views.select(*SHOT, "probs"), SHOT, "left")
     return assign_numbers(every, numbers).select(*SHOT, "number")
 

@@ -13,7 +13,7 @@ from trackmill.functions import court as courts
 from trackmill.functions.geometry import foot_point, hand_distance, project
 from trackmill.functions.values import ratio
 from trackmill.operators.aggregates import majority, weighted_vote
-from trackmill.operators.matching import band_join, floor_aligned, nearest, one_to_one, unmatched
+from trackmill.operators.matching import band_join, floor_aligned, in_window, nearest, one_to_one, unmatched
 from trackmill.operators.sequences import every_nth
 from trackmill.operators.spatial import overlap_of_others
 
@@ -80,9 +80,10 @@ def track_teams(persons: DataFrame, keyframes: DataFrame, h, c: courts.Court, la
 def shot_teams(shooters: DataFrame, persons: DataFrame, label: str, tracks: DataFrame, before: int = 45, after: int = 15, step: int = 3, most: float = 0.15) -> DataFrame:
     """(video, shot, team): the vote over the shooter's views round the release; over those that nobody overlaps, if one of
     them is known; else the vote of the track (video, track, vote); else '?'."""
-    own = shooters.select(*SHOT, "release", "track").join(persons.select("video", "track", "frame", "box", label), ["video", "track"])
-    views = every_nth(own.where(F.col("frame").between(F.col("release") - before, F.col("release") + after)), SHOT, "frame", step)
-    covered = overlap_of_others(persons.select("video", "frame", "track", "box"), ["video", "frame"], "track", "box")
+    own = in_window(shooters.select(*SHOT, "release", "track"), persons.select("video", "track", "frame", label), ["video", "track"], "release", "frame", before, after)
+    views = every_nth(own, SHOT, "frame", step)
+    seen = persons.join(views.select("video", "frame").distinct(), ["video", "frame"], "left_semi")
+    covered = overlap_of_others(seen.select("video", "frame", "track", "box"), ["video", "frame"], "track", "box")
     views = views.join(covered, ["video", "frame", "track"])
     clean = F.col("overlap") <= most
     sure = F.max(clean & (F.col(label) != "?")).over(Window.partitionBy(*SHOT))

@@ -82,7 +82,8 @@ def swap_of(gt_team: Column, pred_team: Column, names: tuple[str, str] = ("A", "
 
 def evaluate(gt: DataFrame, pred: DataFrame, on: list[str], tolerance: float = 1.0) -> DataFrame:
     """For each key: matched, recall, precision, and the accuracy of make, zone and team over matched pairs; team names
-    are exchanged if that agrees strictly better; the error in points of each team, with the same exchange.
+    are exchanged if that agrees strictly better; the error in points of each team that the truth has and of all, never
+    below zero, with the same exchange. Pairs whose true team is unknown ('?' or null) don't count for the teams.
 
     gt and pred have event_id, timestamp_s, team, zone, made, points.
     """
@@ -91,11 +92,12 @@ def evaluate(gt: DataFrame, pred: DataFrame, on: list[str], tolerance: float = 1
     pairs = one_to_one(g, p, on, "g_event_id", "p_event_id", "g_timestamp_s", "p_timestamp_s", tolerance)
     both = pairs.join(g, [*on, "g_event_id"]).join(p, [*on, "p_event_id"])
     same, other = F.col("g_team") == F.col("p_team"), ((F.col("g_team") == "A") & (F.col("p_team") == "B")) | ((F.col("g_team") == "B") & (F.col("p_team") == "A"))
-    scored = both.groupBy(*on).agg(F.count("*").alias("matched"), F.count_if(F.col("g_made") == F.col("p_made")).alias("made_ok"), F.count_if(F.col("g_zone") == F.col("p_zone")).alias("zone_ok"), F.greatest(F.count_if(same), F.count_if(other)).alias("team_ok"), swap_of(F.col("g_team"), F.col("p_team")).alias("swapped"))
+    known = F.col("g_team") != "?"
+    scored = both.groupBy(*on).agg(F.count("*").alias("matched"), F.count_if(F.col("g_made") == F.col("p_made")).alias("made_ok"), F.count_if(F.col("g_zone") == F.col("p_zone")).alias("zone_ok"), F.greatest(F.count_if(known & same), F.count_if(known & other)).alias("team_ok"), F.count_if(known).alias("team_n"), swap_of(F.when(known, F.col("g_team")), F.col("p_team")).alias("swapped"))
 
     def totals(df, s):
         team = F.col(f"{s}_team")
-        return df.groupBy(*on).agg(F.count("*").alias(f"{s}_n"), *(F.coalesce(F.sum(F.when(team == t, F.col(f"{s}_points"))), F.lit(0)).alias(f"{s}_{t}") for t in ("A", "B")), F.coalesce(F.sum(f"{s}_points"), F.lit(0)).alias(f"{s}_all"))
+        return df.groupBy(*on).agg(F.count("*").alias(f"{s}_n"), *(F.sum(F.when(team == t, F.col(f"{s}_points"))).alias(f"{s}_{t}") for t in ("A", "B")), F.coalesce(F.sum(f"{s}_points"), F.lit(0)).alias(f"{s}_all"))
 
     swapped = F.coalesce("swapped", F.lit(False))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -103,8 +105,8 @@ def evaluate(gt: DataFrame, pred: DataFrame, on: list[str], tolerance: float = 1
         totals(g, "g").join(totals(p, "p"), on, "full").join(scored, on, "left")
         .select(
             *on, zero("matched").alias("matched"), ratio(zero("matched"), zero("g_n")).alias("recall"), ratio(zero("matched"), zero("p_n")).alias("precision"),
-            *(ratio(zero(f"{k}_ok"), zero("matched")).alias(f"{k}_accuracy") for k in ("made", "zone", "team")), swapped.alias("swapped"),
-            (F.when(swapped, zero("p_B")).otherwise(zero("p_A")) - zero("g_A")).alias("points_error_a"), (F.when(swapped, zero("p_A")).otherwise(zero("p_B")) - zero("g_B")).alias("points_error_b"), (zero("p_all") - zero("g_all")).alias("points_error"),
+            *(ratio(zero(f"{k}_ok"), zero("matched")).alias(f"{k}_accuracy") for k in ("made", "zone")), ratio(zero("team_ok"), zero("team_n")).alias("team_accuracy"), swapped.alias("swapped"),
+            F.abs(F.when(swapped, zero("p_B")).otherwise(zero("p_A")) - F.col("g_A")).alias("points_error_a"), F.abs(F.when(swapped, zero("p_A")).otherwise(zero("p_B")) - F.col("g_B")).alias("points_error_b"), F.abs(zero("p_all") - zero("g_all")).alias("points_error"),
         )
     )
 

@@ -33,10 +33,11 @@ def occlusion(df: DataFrame, on: list[str], row_id: str, box: str, grid: int = 1
     return df.select(*on, row_id).join(covered, [*on, row_id], "left").select(*on, row_id, (F.coalesce("_n", F.lit(0)) / float(grid * grid)).alias("occlusion"))
 
 
-def possession(points: DataFrame, boxes: DataFrame, on: list[str], track: str, box: str, x: Column, y: Column, grow: float = 0.15) -> DataFrame:
-    """(track, frames): in how many frames some point lies in a track's box, grown on each side."""
+def possession(points: DataFrame, boxes: DataFrame, on: list[str], track: str, box: str, x: Column, y: Column, aside: float = 0.1, above: float = 0.1, down_to: float = 0.8) -> DataFrame:
+    """(track, frames): in how many frames some point lies in a track's box, grown by shares of its width to both sides and
+    of its height upwards, and cut below at a share of its height: a ball at the feet isn't held."""
     b = F.col(box)
-    inside = x.between(b["x"] - grow * b["w"], b["x"] + (1 + grow) * b["w"]) & y.between(b["y"] - grow * b["h"], b["y"] + (1 + grow) * b["h"])
+    inside = x.between(b["x"] - aside * b["w"], b["x"] + (1 + aside) * b["w"]) & y.between(b["y"] - above * b["h"], b["y"] + down_to * b["h"])
     return boxes.join(points, on).where(inside).select(*on, track).distinct().groupBy(*[c for c in on if c != "frame"], track).agg(F.count("*").alias("frames"))
 
 

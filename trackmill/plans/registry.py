@@ -47,11 +47,11 @@ def g1_grouping_sets(spark, sf_dir):
 
 
 @query("""SELECT c_mktsegment AS team, o_orderstatus AS player, count(*) AS attempts, CAST(count(*) FILTER (o_totalprice > 100000) AS BIGINT) AS made,
-round(count(*) FILTER (o_totalprice > 100000) / count(*), 4) AS fg_pct, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS points FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
+round(count(*) FILTER (o_totalprice > 100000) / count(*), 3) AS fg_pct, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS points FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
 def g2_players_table(spark, sf_dir):
     both = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = both.select(F.col("c_mktsegment").alias("team"), F.col("o_orderstatus").alias("player"), (F.col("o_totalprice") > 100000).alias("made"), F.floor("o_totalprice").cast("long").alias("points"))
-    return aggregates.player_table(rows).withColumn("fg_pct", _R("fg_pct"))
+    return aggregates.player_table(rows)
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL), b AS (SELECT user_id, sum(n) AS known, max((n, event_type)) AS m FROM c GROUP BY user_id)
@@ -164,13 +164,13 @@ m AS (SELECT user_id, i, j FROM w WHERE i IS NOT NULL)"""
 
 
 @query(f"""WITH RECURSIVE {_PAIRS},
-x AS (SELECT user_id, event_id, event_type, CASE WHEN value > 50 THEN 'A' ELSE 'B' END AS team, CASE WHEN event_id % 3 = 0 THEN 'ft' ELSE 'inside_arc' END AS zone, value > 30 AS made FROM e),
+x AS (SELECT user_id, event_id, event_type, CASE WHEN event_id % 7 = 0 THEN '?' WHEN value > 50 THEN 'A' ELSE 'B' END AS team, CASE WHEN event_id % 3 = 0 THEN 'ft' ELSE 'inside_arc' END AS zone, value > 30 AS made FROM e),
 n AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS g, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'click' AND team = 'A') AS ga, count(*) FILTER (event_type = 'click' AND team = 'B') AS gb, count(*) FILTER (event_type = 'purchase' AND team = 'A') AS pa, count(*) FILTER (event_type = 'purchase' AND team = 'B') AS pb FROM x WHERE event_type IN ('click', 'purchase') GROUP BY 1),
-o AS (SELECT m.user_id, count(*) AS matched, count(*) FILTER (a.made = b.made) AS made_ok, count(*) FILTER (a.zone = b.zone) AS zone_ok, count(*) FILTER (a.team = b.team) AS same, count(*) FILTER (a.team <> b.team) AS other FROM m JOIN x a ON a.event_id = i JOIN x b ON b.event_id = j GROUP BY 1)
-SELECT user_id, coalesce(matched, 0) AS matched, coalesce(matched, 0) / nullif(g, 0) AS recall, coalesce(matched, 0) / nullif(p, 0) AS "precision", made_ok / matched AS made_accuracy, zone_ok / matched AS zone_accuracy, greatest(same, other) / matched AS team_accuracy, coalesce(other > same, false) AS swapped,
-CASE WHEN coalesce(other > same, false) THEN pb ELSE pa END - ga AS points_error_a, CASE WHEN coalesce(other > same, false) THEN pa ELSE pb END - gb AS points_error_b, p - g AS points_error FROM n LEFT JOIN o USING (user_id)""")
+o AS (SELECT m.user_id, count(*) AS matched, count(*) FILTER (a.made = b.made) AS made_ok, count(*) FILTER (a.zone = b.zone) AS zone_ok, count(*) FILTER (a.team <> '?') AS known, count(*) FILTER (a.team <> '?' AND a.team = b.team) AS same, count(*) FILTER (a.team <> '?' AND b.team <> '?' AND a.team <> b.team) AS other FROM m JOIN x a ON a.event_id = i JOIN x b ON b.event_id = j GROUP BY 1)
+SELECT user_id, coalesce(matched, 0) AS matched, coalesce(matched, 0) / nullif(g, 0) AS recall, coalesce(matched, 0) / nullif(p, 0) AS "precision", made_ok / matched AS made_accuracy, zone_ok / matched AS zone_accuracy, greatest(same, other) / nullif(known, 0) AS team_accuracy, coalesce(other > same, false) AS swapped,
+CASE WHEN ga > 0 THEN abs(CASE WHEN coalesce(other > same, false) THEN pb ELSE pa END - ga) END AS points_error_a, CASE WHEN gb > 0 THEN abs(CASE WHEN coalesce(other > same, false) THEN pa ELSE pb END - gb) END AS points_error_b, abs(p - g) AS points_error FROM n LEFT JOIN o USING (user_id)""")
 def g7_alignment_eval(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("user_id", "event_id", "event_type", (F.col("us") / 1e6).alias("timestamp_s"), F.when(F.col("value") > 50, "A").otherwise("B").alias("team"), F.when(F.col("event_id") % 3 == 0, "ft").otherwise("inside_arc").alias("zone"), (F.col("value") > 30).alias("made"), F.lit(1).alias("points"))
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "event_type", (F.col("us") / 1e6).alias("timestamp_s"), F.when(F.col("event_id") % 7 == 0, "?").when(F.col("value") > 50, "A").otherwise("B").alias("team"), F.when(F.col("event_id") % 3 == 0, "ft").otherwise("inside_arc").alias("zone"), (F.col("value") > 30).alias("made"), F.lit(1).alias("points"))
     return matching.evaluate(rows.where("event_type = 'click'"), rows.where("event_type = 'purchase'"), ["user_id"], 3600.0)
 
 

@@ -12,8 +12,8 @@ _FLOOR = [[0.0125, 0.0, -7.0], [0.0, 0.025, 0.0], [0.0, 0.0, 1.0]]
 
 
 def _persons(spark, sf_dir):
-    """Seven players at most in each third frame of ten videos, placed by quantities."""
-    video, frame = F.pmod("l_suppkey", F.lit(10)), F.pmod("l_partkey", F.lit(200)) * 3
+    """Seven players at most in each third frame of a video for each supplier, placed by quantities."""
+    video, frame = F.col("l_suppkey"), F.pmod("l_partkey", F.lit(200)) * 3
     rows = _read(spark, sf_dir, "lineitem").groupBy(video.alias("video"), frame.alias("frame"), F.col("l_linenumber").alias("track")).agg(F.min("l_quantity").alias("q"))
     return rows.select("video", "frame", "track", "q", geometry.box(F.col("q") * 20 + F.col("track") * 9, F.col("q") * 7 + F.col("track"), F.col("q") + 40, F.col("q") + 100).alias("box"))
 
@@ -23,13 +23,13 @@ def _ball(spark, sf_dir):
 
 
 def _shots(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").select(F.pmod("o_custkey", F.lit(10)).alias("video"), F.col("o_orderkey").alias("shot"), F.pmod(F.col("o_orderkey") * 7, F.lit(600)).alias("release"))
+    return _read(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 15).alias("video"), F.col("o_orderkey").alias("shot"), F.pmod(F.col("o_orderkey") * 7, F.lit(600)).alias("release"))
 
 
-_BASE = """p AS (SELECT *, q * 20 + track * 9 AS x, q * 7 + track AS y, q + 40 AS w, q + 100 AS h FROM (SELECT l_suppkey % 10 AS video, (l_partkey % 200) * 3 AS frame, l_linenumber AS track, min(l_quantity) AS q FROM lineitem GROUP BY ALL)),
+_BASE = """p AS (SELECT *, q * 20 + track * 9 AS x, q * 7 + track AS y, q + 40 AS w, q + 100 AS h FROM (SELECT l_suppkey AS video, (l_partkey % 200) * 3 AS frame, l_linenumber AS track, min(l_quantity) AS q FROM lineitem GROUP BY ALL)),
 f AS (SELECT video, frame, track, q, 0.0125 * (x + w / 2) - 7.0 AS fx, 0.025 * (y + h) AS fy FROM p),
 b AS (SELECT video, frame, max(q) * 20 AS bx, min(q) * 7 AS bv FROM p GROUP BY ALL),
-s AS (SELECT o_custkey % 10 AS video, o_orderkey AS shot, (o_orderkey * 7) % 600 AS release FROM orders),
+s AS (SELECT o_custkey // 15 AS video, o_orderkey AS shot, (o_orderkey * 7) % 600 AS release FROM orders),
 near AS (SELECT s.video, s.shot, p.track, median(sqrt(greatest(0, abs(bx - (x + w / 2)) - w / 2) ** 2 + (greatest(0, bv - (y + 0.45 * h)) + greatest(0, (y - 0.4 * h) - bv)) ** 2) / h) AS dist, count(*) AS n
 FROM s JOIN b ON b.video = s.video AND b.frame BETWEEN release - release % 3 AND release + 9 JOIN p ON p.video = b.video AND p.frame = b.frame GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY video, shot ORDER BY round(dist, 9), n DESC, track) AS rank FROM near),
@@ -93,7 +93,7 @@ def z4_track_teams(spark, sf_dir):
 
 
 @query(f"""WITH {_BASE}, {_TRACKS},
-o AS (SELECT a.video, a.frame, a.track, coalesce(max(greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) * greatest(0, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) / greatest(a.w * a.h, 1)), 0) AS overlap FROM p a LEFT JOIN p c ON a.video = c.video AND a.frame = c.frame AND a.track <> c.track GROUP BY ALL),
+o AS (SELECT a.video, a.frame, a.track, coalesce(max(CASE WHEN c.track IS NOT NULL THEN greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) * greatest(0, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) / greatest(a.w * a.h, 1) END), 0) AS overlap FROM p a LEFT JOIN p c ON a.video = c.video AND a.frame = c.frame AND a.track <> c.track GROUP BY ALL),
 view AS (SELECT best.video, shot, overlap <= 0.15 AS clean, CASE WHEN q < 6 THEN 'A' WHEN q < 14 THEN 'B' ELSE '?' END AS label FROM best JOIN p ON p.video = best.video AND p.track = best.track AND p.frame BETWEEN release - 45 AND release + 15 JOIN o ON o.video = p.video AND o.frame = p.frame AND o.track = p.track),
 used AS (SELECT * FROM (SELECT *, max(CAST(clean AND label <> '?' AS INTEGER)) OVER (PARTITION BY video, shot) AS sure FROM view) WHERE sure = 0 OR clean),
 voted AS (SELECT video, shot, CASE WHEN a > 0 AND a >= 0.6 * n THEN 'A' WHEN z > 0 AND z >= 0.6 * n THEN 'B' END AS v FROM (SELECT video, shot, count(*) FILTER (label = 'A') AS a, count(*) FILTER (label = 'B') AS z, count(*) FILTER (label <> '?') AS n FROM used GROUP BY ALL))
@@ -104,9 +104,9 @@ def z3_shot_teams(spark, sf_dir):
     return composites.shot_teams(found, _persons(spark, sf_dir).withColumn("label", _team()), "label", _track_teams(spark, sf_dir))
 
 
-@query(f"""WITH {_BASE} SELECT s.video, s.shot, p.track, count(DISTINCT p.frame) AS frames FROM s JOIN b ON b.video = s.video AND b.frame BETWEEN release - 12 AND release JOIN p ON p.video = b.video AND p.frame = b.frame AND bx BETWEEN x - 0.15 * w AND x + 1.15 * w AND bv BETWEEN y - 0.15 * h AND y + 1.15 * h GROUP BY ALL""")
+@query(f"""WITH {_BASE} SELECT s.video, s.shot, p.track, count(DISTINCT p.frame) AS frames FROM s JOIN b ON b.video = s.video AND b.frame BETWEEN (release - 12) - (release - 12) % 3 AND release JOIN p ON p.video = b.video AND p.frame = b.frame AND bx BETWEEN x - 0.1 * w AND x + 1.1 * w AND bv BETWEEN y - 0.1 * h AND y + 0.8 * h GROUP BY ALL""")
 def j4_possession(spark, sf_dir):
-    seen = matching.in_window(_shots(spark, sf_dir), _ball(spark, sf_dir), ["video"], "release", "frame", 12, 0)
+    seen = matching.in_window(_shots(spark, sf_dir), _ball(spark, sf_dir), ["video"], "release", "frame", 14, 0).where(F.col("frame") >= F.col("release") - 12 - F.pmod(F.col("release") - 12, F.lit(3)))
     persons = _persons(spark, sf_dir).select("video", "frame", "track", "box")
     boxes = seen.select("video", "shot", "frame").join(persons, ["video", "frame"])
     return spatial.possession(seen.select("video", "shot", "frame", "x", "y"), boxes, ["video", "shot", "frame"], "track", "box", F.col("x"), F.col("y"))
