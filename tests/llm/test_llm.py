@@ -148,6 +148,29 @@ def test_polyphase_is_the_filter_at_the_raised_rate(target):
     assert np.allclose(r(x), full[:: r.down], atol=1e-9)
 
 
+def test_log_mel_is_that_of_each_frame(monkeypatch):
+    """Frame by frame with a plain Fourier sum, the last samples included; blocks change nothing."""
+    r, filters = np.random.default_rng(3), audio.mel_filters()
+    for n in (1, 150, 200, 201, 279, 280, 281, 1003):
+        x = r.normal(size=n)
+        got, frames = audio.log_mel(x, filters), 1
+        while audio.FRAME + (frames - 1) * audio.HOP < n:
+            frames += 1
+        assert len(got) == frames
+        whole = np.concatenate([x, np.zeros(2000)])
+        wave = np.exp(-2j * np.pi * np.outer(np.arange(audio.FFT // 2 + 1), np.arange(audio.FRAME)) / audio.FFT)
+        for k in range(frames):
+            power = np.abs(wave @ (whole[k * audio.HOP : k * audio.HOP + audio.FRAME] * np.hanning(audio.FRAME))) ** 2
+            assert np.allclose(got[k], np.log10(np.maximum([sum(power * f) for f in filters.T], 1e-10)), atol=1e-6)
+    samples = r.integers(0, 256, 5000).astype(np.uint8)
+    for rates in ((16000, 8000), (16000, 6000), (8000, 16000)):
+        resample = audio.Resampler(*rates)
+        want = resample((samples - 128.0) / 128.0)
+        monkeypatch.setattr(audio, "BLOCK", 600)
+        assert np.allclose(resample(samples), want)
+        monkeypatch.undo()
+
+
 def test_hysteresis():
     assert audio.segments(np.array([0, 5, 3, 3, 0, 3, 5, 3.0]), 4, 1) == [(1, 4), (6, 8)]
     assert audio.segments(np.zeros(0), 1, 0) == []

@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import shared_dir
+from trackmill.llm.common import shared_dir, windows_of
 
 RATE, TARGET = 16_000, 8_000
 FRAME, HOP, FFT, MELS, PATCH = 200, 80, 256, 40, 96  # at TARGET: 25 ms, 10 ms; a tensor is PATCH frames by MELS
 FLOOR = -10.0
+BLOCK = 1 << 15  # samples that are resampled at once
+STEP = 1 << 22  # bytes of texts or media that are worked on at once
 
 
 def to_wav(samples: bytes, rate: int = RATE) -> bytes:
@@ -70,13 +72,19 @@ class Resampler:
                     self.phases[p, k + self.reach] = taps[i]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
+        """x is numbers, or unsigned 8-bit samples around 128. BLOCK outputs are worked on at once, with `reach` inputs more
+        on either side, so a long signal needs little more memory than its output."""
         n = -(-len(x) * self.up // self.down)
-        at = np.arange(n) * self.down
-        windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, self.reach), 2 * self.reach + 1)
-        out = np.empty(n)
-        for p in range(min(self.up, n)):
-            mine = slice(p, n, self.up)
-            out[mine] = windows[at[mine] // self.up] @ self.phases[at[p] % self.up]
+        out, step = np.empty(n), BLOCK // self.up * self.up
+        for a in range(0, n, step):
+            at = np.arange(a, min(a + step, n)) * self.down
+            low, high = int(at[0]) // self.up - self.reach, int(at[-1]) // self.up + self.reach + 1
+            part = x[max(low, 0) : min(high, len(x))]
+            if x.dtype == np.uint8:
+                part = (part - 128.0) / 128.0
+            windows = np.lib.stride_tricks.sliding_window_view(np.pad(part, (max(-low, 0), max(high - len(x), 0))), 2 * self.reach + 1)
+            for p in range(min(self.up, len(at))):
+                out[a + p : a + len(at) : self.up] = windows[at[p :: self.up] // self.up - low - self.reach] @ self.phases[at[p] % self.up]
         return out
 
 
@@ -89,9 +97,9 @@ def mel_filters(rate: int = TARGET) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    """[frame, mel] log10 energies of overlapping Hann frames; a short signal is one padded frame."""
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    """[frame, mel] log10 energies of overlapping Hann frames, one at least; zeros fill up the last one, so that no sample at
+    the end is left out."""
+    x = np.pad(x, (0, FRAME + max(0, -(-(len(x) - FRAME) // HOP)) * HOP - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     out = np.empty((len(frames), MELS))
     for a in range(0, len(frames), 1024):
@@ -139,8 +147,7 @@ def store_media(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
+            for part in windows_of(b, ["text"], STEP):
                 made = [padded(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([to_wav(data) for data, _ in made], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -165,7 +172,8 @@ def audio_features(media: DataFrame, *, media_col: str = "media", carry: tuple[s
     The samples are resampled from RATE to TARGET, cut into overlapping frames and turned into log-mel energies, which
     are stored as fixed-shape tensors with time spans (see unpack_tensors; null without `tensors`, when only their digest is wanted). spans are the
     stretches whose frame energy rises above the median by margin (log10) and hasn't yet fallen below it by as much.
-    Everything is computed row by row, so that equal media give equal values. Null media give null features.
+    Everything is computed row by row, so that equal media give equal values. Null media give null features. A medium is
+    read in blocks; what it needs in memory is its tensors and a few times its bytes.
     """
     fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.int64()), ("spans", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("tensors", pa.binary()), ("tensor_digest", pa.string())]
     carried = [media.schema[c] for c in carry]
@@ -173,8 +181,8 @@ def audio_features(media: DataFrame, *, media_col: str = "media", carry: tuple[s
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resample, filters, step = Resampler(RATE, TARGET), mel_filters(), HOP / TARGET
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part, rows = b.slice(a, 256), []
+            for part in windows_of(b, ["_media"], STEP):
+                rows = []
                 for data in part.column(len(carried)).to_pylist():
                     if data is None:
                         rows.append((None,) * 9)
@@ -182,7 +190,7 @@ def audio_features(media: DataFrame, *, media_col: str = "media", carry: tuple[s
                     payload, rate = from_wav(data)
                     if rate != RATE:
                         raise ValueError(f"{rate} samples a second, not {RATE}")
-                    mel = log_mel(resample((np.frombuffer(payload, np.uint8) - 128.0) / 128.0), filters)
+                    mel = log_mel(resample(np.frombuffer(payload, np.uint8)), filters)
                     energy = mel.mean(1)
                     middle = float(np.median(energy))
                     spans = [{"start_s": x * step, "end_s": y * step} for x, y in segments(energy, middle + margin, middle - margin)]

@@ -33,12 +33,12 @@ class UnigramCounter:
     New words are inserted into a trie in sorted order; each node is a prefix, and its forward score (the best sum of
     log probabilities over segmentations of the prefix, and how many tokens that has) is computed once, for all words
     that share it. A word's end stores its count. In sorted order only the path to the current word is open, so the trie
-    needs no more memory than its longest word; the counts of at most `most` words are kept. Characters without a piece
-    are one token a byte. Of equal scores fewer tokens win.
+    needs no more memory than its longest word; the counts of at most `most` words of up to `short` bytes are kept.
+    Characters without a piece are one token a byte. Of equal scores fewer tokens win.
     """
 
-    def __init__(self, pieces: dict[str, float], most: int = 600_000):
-        self.pieces, self.most, self.counts = pieces, most, {}
+    def __init__(self, pieces: dict[str, float], most: int = 600_000, short: int = 32):
+        self.pieces, self.most, self.short, self.counts = pieces, most, short, {}
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - 10.0
 
@@ -68,9 +68,14 @@ class UnigramCounter:
         """The tokens of texts given as words."""
         if len(self.counts) > self.most:
             self.counts.clear()
-        self.learn({w for words in texts for w in words}.difference(self.counts))
+        new = {w for words in texts for w in words}.difference(self.counts)
+        self.learn(new)
         get = self.counts.__getitem__
-        return [sum(map(get, words)) for words in texts]
+        found = [sum(map(get, words)) for words in texts]
+        for w in new:
+            if len(w) > self.short:
+                del self.counts[w]
+        return found
 
 
 def counter_of(path: str) -> UnigramCounter:
