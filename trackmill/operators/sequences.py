@@ -56,15 +56,30 @@ def fold(df: DataFrame, by: list[str], order: list[str], fields: list[str], keep
     return rows.select(*by, F.aggregate("_r", empty, lambda s, r: F.when(keep(s, r), F.concat(s, F.array(r))).otherwise(s)).alias(name))
 
 
+def _in_runs(df: DataFrame, by: list[str], order: list[str], until: Column, free_at_end: bool) -> DataFrame:
+    """df with _run, which counts the rows before and at which a run begins: where a row stands beyond `until` of all rows
+    before it in its key (or at it, if the end is free). What happens in one run doesn't depend on the others."""
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max(until).over(before)
+    marked = df.withColumn("_new", (reached.isNull() | (F.col(order[0]) > reached) | (F.lit(free_at_end) & (F.col(order[0]) == reached))).cast("int"))
+    return marked.withColumn("_run", F.sum("_new").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def suppress_overlaps(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Intervals in order of start, without those that begin at or before the end of the last one kept."""
-    kept = fold(df, by, [start, end], [start, end], lambda s, r: (F.size(s) == 0) | (r[start] > F.element_at(F.concat(s, F.array(r)), F.greatest(F.size(s), F.lit(1)))[end]))
+    """Intervals in order of start, without those that begin at or before the end of the last one kept.
+
+    A key is first cut into runs that nothing overlaps; only a run's rows are folded together, so that a busy key is a
+    sorted stream and never one array.
+    """
+    runs = _in_runs(df.select(*by, start, end), by, [start, end], F.col(end), False)
+    kept = fold(runs, [*by, "_run"], [start, end], [start, end], lambda s, r: (F.size(s) == 0) | (r[start] > F.element_at(F.concat(s, F.array(r)), F.greatest(F.size(s), F.lit(1)))[end]))
     return kept.select(*by, F.inline("kept"))
 
 
 def thin_out(df: DataFrame, by: list[str], at: str, apart: int) -> DataFrame:
-    """Rows in order, without those nearer than `apart` to one kept before."""
-    kept = fold(df, by, [at], [at], lambda s, r: (F.size(s) == 0) | (r[at] - F.element_at(F.concat(s, F.array(r)), F.greatest(F.size(s), F.lit(1)))[at] >= apart))
+    """Rows in order, without those nearer than `apart` to one kept before; a key is cut into runs at gaps that are as wide."""
+    runs = _in_runs(df.select(*by, at), by, [at], F.col(at) + apart, True)
+    kept = fold(runs, [*by, "_run"], [at], [at], lambda s, r: (F.size(s) == 0) | (r[at] - F.element_at(F.concat(s, F.array(r)), F.greatest(F.size(s), F.lit(1)))[at] >= apart))
     return kept.select(*by, F.inline("kept"))
 
 
