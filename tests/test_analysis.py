@@ -51,8 +51,9 @@ def test_analyze_and_its_files(spark, tmp_path):
     log = {r.video: r for r in spark.read.json(f"{path}/run_log").collect()}
     assert (log["v"].n_shots, log["w"].n_shots) == (2, 1) and log["v"].settings.rules == "3x3" and log["v"].processing_s > 0
     assert [(n.team, n.player) for n in log["v"].numbers] == [("A", "7"), ("B", "12")]
-    stats = {(s["video"], s["team"]): s["zones"] for s in map(json.loads, (r.value for r in spark.read.text(f"{path}/stats").collect()))}
-    assert stats["v", "*"]["*"]["attempts"] == 2 and stats["w", "A"]["ft"]["attempts"] in (0, 1) and ("w", "B") not in stats
+    stats = {r.video: json.loads(r.value) for r in spark.read.text(f"{path}/stats").collect()}
+    assert stats["v"]["rules"] == "3x3" and stats["v"]["total"]["overall"]["attempts"] == 2 and sorted(stats["v"]["teams"]) == ["A", "B"]
+    assert stats["w"]["teams"]["A"]["FT"]["attempts"] in (0, 1) and "B" not in stats["w"]["teams"] and [p["number"] for p in stats["v"]["players"]] == ["7", "12"]
     assert spark.read.option("header", True).csv(f"{path}/players").count() == 3
 
 

@@ -77,15 +77,34 @@ def count_errors(gt: DataFrame, pred: DataFrame, by: list[str], made: str) -> Da
 
 
 def tracking_quality(df: DataFrame, by: list[str], truth: str, found: str, error: str, size: str) -> DataFrame:
-    """Recall, median error and false alarms of positions: found within the larger of 20 px and three quarters of the size."""
-    hit = F.col(truth) & F.col(found) & (F.col(error) <= F.greatest(F.lit(20.0), 0.75 * F.col(size)))
-    return df.groupBy(*by).agg(F.count_if(F.col(truth)).alias("frames"), ratio(F.count_if(hit), F.count_if(F.col(truth))).alias("recall"), F.median(F.when(hit, F.col(error))).alias("median_error"), ratio(F.count_if(~F.col(truth) & F.col(found)), F.count_if(~F.col(truth))).alias("false_alarms"))
+    """(by, frames, recall, median_error, none_frames, false_alarms) of positions in labelled frames.
+
+    A ball is recalled if it is found within the larger of 20 px and three quarters of its size. The median is that of all
+    found balls' errors, the far ones too, and null without any. Rates over no frames are 0.
+    """
+    seen = F.col(truth) & F.col(found)
+    hit = seen & (F.col(error) <= F.greatest(F.lit(20.0), 0.75 * F.col(size)))
+    rate = lambda a, b: F.count_if(a) / F.greatest(F.count_if(b), F.lit(1))
+    return df.groupBy(*by).agg(F.count_if(F.col(truth)).alias("frames"), rate(hit, F.col(truth)).alias("recall"), F.median(F.when(seen, F.col(error))).alias("median_error"), F.count_if(~F.col(truth)).alias("none_frames"), rate(~F.col(truth) & F.col(found), ~F.col(truth)).alias("false_alarms"))
+
+
+def coverage(shots: DataFrame, points: DataFrame, on: list[str], start: str, frames: int, frame: str, reach: Column, ends: DataFrame | None = None, end: str = "frames") -> DataFrame:
+    """(on, start, covered, nearest): for each shot the share of its frames with a point, and the least reach of them.
+
+    ends (on, end) has the number of frames of each video: a shot's frames stop there. A shot with no frame of its own has a
+    null share. points has a row a frame at most.
+    """
+    last = F.col(start) + (frames - 1)
+    shots = shots.select(*on, start) if ends is None else shots.select(*on, start).join(ends.select(*on, end), on)
+    last = last if ends is None else F.least(last, F.col(end) - 1)
+    asked = shots.withColumn("_last", last).select(*on, start, F.explode_outer(F.when(F.col("_last") >= F.col(start), F.sequence(F.col(start), F.col("_last")))).alias(frame))
+    found = asked.join(points.select(*on, frame, reach.alias("_r")), [*on, frame], "left")
+    return found.groupBy(*on, start).agg(F.avg(F.when(F.col(frame).isNotNull(), F.col("_r").isNotNull().cast("double"))).alias("covered"), F.min("_r").alias("nearest"))
 
 
-def coverage(shots: DataFrame, points: DataFrame, on: list[str], start: str, frames: int, frame: str, reach: Column) -> DataFrame:
-    """For each shot the share of its frames with a point, and the least reach of them."""
-    asked = shots.select(*on, start, F.explode(F.sequence(F.col(start), F.col(start) + frames - 1)).alias(frame))
-    return asked.join(points.select(*on, frame, reach.alias("_r")), [*on, frame], "left").groupBy(*on, start).agg(F.avg(F.col("_r").isNotNull().cast("double")).alias("covered"), F.min("_r").alias("nearest"))
+def coverage_summary(df: DataFrame, by: list[str], reach: Column, most: float = 0.8) -> DataFrame:
+    """(by, shots, median_covered, well_covered, reached): coverage's rows in sum; reached counts those within a reach."""
+    return df.groupBy(*by).agg(F.count("*").alias("shots"), F.median("covered").alias("median_covered"), F.count_if(F.col("covered") >= most).alias("well_covered"), F.count_if(F.coalesce(F.col("nearest") <= reach, F.lit(False))).alias("reached"))
 
 
 def tumbling_votes(df: DataFrame, by: list[str], frame: str, width: int, truth: str, probs: str, least: float = 0.5) -> DataFrame:

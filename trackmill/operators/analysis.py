@@ -13,14 +13,13 @@ from trackmill.operators.aggregates import player_table, zone_statistics
 from trackmill.operators.common import scratch, written
 from trackmill.operators.composites import SHOT, assign_numbers, shooter_info, shot_teams, track_teams
 from trackmill.operators.matching import in_window, one_to_one
+from trackmill.operators.review import RELEASE_AFTER_S
 from trackmill.operators.sequences import clean_views, every_nth
 from trackmill.operators.shots import detect_shots
 from trackmill.operators.spatial import overlap_of_others
 from trackmill.operators.tracking import ball_track
 from trackmill.sources import writers
 
-RELEASE_AFTER_S = 0.40  # fixed value: the ball leaves the hands this long after the rise is seen to start
-
 
 def shot_numbers(info: DataFrame, teams: DataFrame, persons: DataFrame, crops: DataFrame, numbers: list[int]) -> DataFrame:
     """(video, shot, number) by the vote over the shooter's crops (video, track, frame, probs) near the release."""
@@ -77,12 +76,15 @@ def shot_features(shots: DataFrame, labels: DataFrame, fps: float = 30000 / 1001
 
 def write_run(events: DataFrame, path: str, settings: dict[str, str], started: float | None = None) -> None:
     """events, stats and players below path, each by video, and run_log: a line of JSON a video with its shots, known numbers
-    by team, the settings, the versions and the seconds since `started` (time.time())."""
+    by team, the settings, the versions and the seconds since `started` (time.time()). The rules that zones are named by are
+    settings["rules"], or 3x3."""
     writers.write_events(events, f"{path}/events")
     kept = events.sparkSession.read.option("header", True).schema(",".join(f"{f.name} {f.dataType.simpleString()}" for f in events.withColumn("made", F.col("made").cast("int")).select(*writers.EVENT_COLUMNS, "video").schema)).csv(f"{path}/events")
     kept = kept.withColumn("player", F.coalesce("player", F.lit("")))
-    writers.write_statistics(zone_statistics(kept, "team", "zone", F.col("made"), F.col("points"), courts.ZONES, by=["video"]), f"{path}/stats")
-    writers.write_players(player_table(kept, by=["video"]), f"{path}/players")
+    players = player_table(kept, by=["video"])
+    tried = kept.where("player <> ''").select("video").distinct()
+    writers.write_statistics(zone_statistics(kept, "team", "zone", F.col("made"), F.col("points"), courts.ZONES, by=["video"]), settings.get("rules", "3x3"), f"{path}/stats", players.join(tried, "video", "left_semi"))
+    writers.write_players(players, f"{path}/players")
     known = F.when(~F.col("player").isin("", "?"), F.struct("team", "player"))
     text = lambda d: F.create_map(*(F.lit(str(v)) for kv in sorted(d.items()) for v in kv)) if d else F.lit(None)
     log = kept.groupBy("video").agg(F.count("*").alias("n_shots"), F.array_sort(F.collect_set(known)).alias("numbers"))

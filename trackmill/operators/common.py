@@ -11,12 +11,23 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where the session names none (local tests)."""
+    """A new folder below spark.checkpoint.dir.
+
+    A local session that names none gets a temporary one; on a cluster, whose machines share no such folder, that raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _own[0]
+    if "://" not in base:
+        if base.startswith("file:"):
+            base = "file://" + base.removeprefix("file:")
+        else:
+            root = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+            base = root.rstrip("/") + base if not root.startswith("file") else "file://" + base
     return f"{base}/trackmill-{uuid.uuid4().hex}"
 
 

@@ -15,7 +15,7 @@ from trackmill.functions.values import ratio
 from trackmill.operators.aggregates import majority, weighted_vote
 from trackmill.operators.matching import band_join, floor_aligned, in_window, nearest, one_to_one, unmatched
 from trackmill.operators.sequences import every_nth
-from trackmill.operators.spatial import overlap_of_others
+from trackmill.operators.spatial import overlap_of_others, possession
 
 SHOT = ["video", "shot"]
 
@@ -28,9 +28,29 @@ def near_release(shots: DataFrame, persons: DataFrame, track: DataFrame, every:
     return both.groupBy(*SHOT, "track").agg(F.median(hand_distance(F.col("x"), F.col("y"), F.col("box"))).alias("dist"), F.count("*").alias("n"))
 
 
-def ranked_shooters(near: DataFrame) -> DataFrame:
-    """Candidates with their rank (from 1): nearest first, then most often seen, then the smallest track."""
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy(*SHOT).orderBy("dist", F.desc("n"), "track")))
+def ranked_shooters(near: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Candidates with their rank (from 1): nearest first, then most often seen, then the smallest track.
+
+    held (video, shot, track, frames), as held_before gives it, ranks those first who had the ball in more frames; a
+    player who had it but isn't seen near the release is a candidate too, with a null distance.
+    """
+    order = [F.col("dist").asc_nulls_last(), F.desc("n"), F.col("track")]
+    if held is not None:
+        near = near.join(held.select(*SHOT, "track", F.col("frames").alias("held")), [*SHOT, "track"], "full").withColumn("held", F.coalesce("held", F.lit(0)))
+        order = [F.desc("held"), *order]
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy(*SHOT).orderBy(*order)))
+
+
+def held_before(shots: DataFrame, persons: DataFrame, track: DataFrame, balls: DataFrame | None = None, every: int = 3, before: int = 12, least: float = 0.15) -> DataFrame:
+    """(video, shot, track, frames): in how many sampled frames before a release a player has the ball, by the track or, of
+    balls (video, frame, x, y, w, h, conf), by a raw detection of some confidence."""
+    first = F.col("release") - before
+    frames = F.explode(F.sequence((first - F.pmod(first, F.lit(every))).cast("int"), F.col("release").cast("int"), F.lit(every)))
+    points = track.where("x is not null and y is not null").select("video", "frame", F.col("x").alias("px"), F.col("y").alias("py"))
+    if balls is not None:
+        points = points.unionByName(balls.where(F.col("conf") >= least).select("video", "frame", (F.col("x") + F.col("w") / 2).alias("px"), (F.col("y") + F.col("h") / 2).alias("py")))
+    asked = shots.select(*SHOT, frames.alias("frame")).join(points, ["video", "frame"])
+    return possession(asked, persons.where("track >= 0").select("video", "frame", "track", "box"), ["video", "frame"], "track", "box", F.col("px"), F.col("py"), by=["shot"])
 
 
 def _floor(rows: DataFrame, persons: DataFrame, h, at: str, reach: int) -> DataFrame:

@@ -111,6 +111,14 @@ def evaluate(gt: DataFrame, pred: DataFrame, on: list[str], tolerance: float = 1
     )
 
 
+def with_labels(items: DataFrame, labels: DataFrame, on: list[str], value: str, default: Column | None = None) -> DataFrame:
+    """Items with the value of their label, or a default; of several labels of a key the largest value counts, and a key's
+    labels are brought down to one before the join, so items never multiply."""
+    one = labels.groupBy(*on).agg(F.max(value).alias(value))
+    out = items.join(one, on, "left")
+    return out if default is None else out.withColumn(value, F.coalesce(value, default))
+
+
 def unmatched(rows: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that no pair uses: misses of one side, extras of the other."""
     return rows.join(pairs.select(*keys).distinct(), keys, "left_anti")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.operators.common import scratch, written
 from trackmill.operators.sequences import fill_gaps, merge_candidates
 
 # Fixed values of the linker.
@@ -61,28 +62,34 @@ class Linker:
 def link_tracks(cands: DataFrame) -> DataFrame:
     """(video, track, frame, x, y, size, conf) of tracks with enough hits.
 
-    Each frame depends on the one before, so a video is one group; videos are short, and many run side by side.
+    Each frame depends on the one before, so a video is one group; videos are short, and many run side by side: they are dealt
+    over all shuffle partitions, as adaptive execution would put them together by bytes, not by work.
     """
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["frame", "det_seq"], kind="stable")
-        linker, out = Linker(), []
-        for frame, part in rows.groupby("frame", sort=True):
-            cx, cy, d, conf = (part[c].to_numpy() for c in ("cx", "cy", "d", "conf"))
-            out += [(track, int(frame), cx[j], cy[j], d[j], conf[j]) for track, j in linker.step(int(frame), cx, cy, conf)]
+        frames, cx, cy, conf = (rows[c].to_numpy() for c in ("frame", "cx", "cy", "conf"))
+        sizes, linker, out = rows["d"].to_numpy(), Linker(), []
+        starts = np.flatnonzero(np.diff(frames, prepend=frames[0] - 1))
+        for a, z in zip(starts, np.append(starts[1:], len(frames))):
+            frame = int(frames[a])
+            out += [(track, frame, cx[a + j], cy[a + j], sizes[a + j], conf[a + j]) for track, j in linker.step(frame, cx[a:z], cy[a:z], conf[a:z])]
         made = pd.DataFrame(out, columns=["track", "frame", "x", "y", "size", "conf"])
         made.insert(0, "video", rows["video"].iloc[0])
         hits = made.groupby("track")["conf"].agg(["size", "max"])
         good = hits.index[(hits["size"] >= MIN_HITS) | ((hits["size"] >= SURE_HITS) & (hits["max"] >= SURE_CONF))]
         return made[made["track"].isin(good)]
 
-    return cands.groupBy("video").applyInPandas(link, "video string, track long, frame int, x double, y double, size double, conf double")
+    kind = cands.schema["video"].dataType.simpleString()
+    dealt = cands.repartition(int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video")
+    return dealt.groupBy("video").applyInPandas(link, f"video {kind}, track long, frame int, x double, y double, size double, conf double")
 
 
 def ball_track(detections: DataFrame) -> DataFrame:
     """(video, frame, x, y, size, conf, track, state): detected rows (state 1) and short gaps filled (2); where tracks
-    meet in a frame, the one with more confidence in all wins, then the earlier one."""
-    tracks = link_tracks(candidates(detections))
+    meet in a frame, the one with more confidence in all wins, then the earlier one. The linked tracks are written once below
+    spark.checkpoint.dir, as their ranks and their gaps are worked out from them too."""
+    tracks = written(link_tracks(candidates(detections)), f"{scratch(detections.sparkSession)}/tracks")
     rank = tracks.groupBy("video", "track").agg(F.sum("conf").alias("score"), F.median("size").alias("middle"))
     seen = tracks.withColumn("state", F.lit(1))
     filled = fill_gaps(tracks, ["video", "track"], "frame", ["x", "y"]).join(rank.select("video", "track", F.col("middle").alias("size")), ["video", "track"]).withColumns({"conf": F.lit(0.0), "state": F.lit(2)})

@@ -5,11 +5,11 @@ Each takes an operator to the driver's tables; the operators take column names,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmill.functions import court, geometry, values
-from trackmill.operators import aggregates, matching, sequences, spatial
+from trackmill.operators import aggregates, matching, review, sequences, spatial
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -113,9 +113,12 @@ def g15_accuracy_at(spark, sf_dir):
     return aggregates.accuracy_at(rows, "label", "k", "c", (0.2, 0.3, 0.5)).select("level", _R("coverage").alias("coverage"), _R("accuracy").alias("accuracy"))
 
 
-@query(f"SELECT user_id, s // 3600 AS tumble, count(*) AS n, round(avg(value), 3) AS mean FROM ({_E}) GROUP BY ALL")
+@query(f"""WITH p AS ({_P}), k AS (SELECT team, vec_id // 20 AS w, label, unnest(probs) AS v, unnest(range(0, 10)) AS k FROM p WHERE list_max(probs) >= 0.3), m AS (SELECT team, w, label, k, sum(v) AS v FROM k GROUP BY ALL),
+o AS (SELECT team, w, label, arg_max(k, (v, -k)) AS class, max(v) / sum(v) AS share FROM m GROUP BY ALL)
+SELECT d.team, d.w AS "window", d.label, CAST(class AS INTEGER) AS class, round(coalesce(share, 0), 4) AS share, coalesce(class = d.label, false) AS "right" FROM (SELECT DISTINCT team, vec_id // 20 AS w, label FROM p) d LEFT JOIN o ON o.team = d.team AND o.w = d.w AND o.label = d.label""")
 def g15_tumbling(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("user_id", F.floor(F.col("s") / 3600).cast("long").alias("tumble")).agg(F.count("*").alias("n"), _R(F.avg("value"), 3).alias("mean"))
+    votes = aggregates.tumbling_votes(_probabilities(spark, sf_dir), ["team"], "vec_id", 20, "label", "probs", 0.3)
+    return votes.withColumns({"share": _R("share"), "class": F.col("class").cast("int")})
 
 
 @query("""SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'total' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n, CAST(count(*) FILTER (o_totalprice > 100000) AS BIGINT) AS big, round(count(*) FILTER (o_totalprice > 100000) / count(*), 4) AS share FROM orders GROUP BY ROLLUP (o_orderstatus)""")
@@ -183,8 +186,7 @@ def j3_window_range(spark, sf_dir):
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id")
 def j2_labels_left(spark, sf_dir):
-    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return _read(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(-1)))
+    return matching.with_labels(_read(spark, sf_dir, "documents").select("doc_id"), _read(spark, sf_dir, "labels"), ["doc_id"], "quality", F.lit(-1))
 
 
 def _boxes(spark, sf_dir):
@@ -209,7 +211,7 @@ def j10_overlap(spark, sf_dir):
     return spatial.overlap_of_others(_boxes(spark, sf_dir), ["frame"], "id", "box").withColumn("overlap", _R("overlap", 6))
 
 
-@query(f"{_PAIR}, c AS (SELECT b.*, unnest(range(0, 256)) AS k FROM b WHERE id <= 200) SELECT c.frame, c.id, count(*) FILTER (EXISTS (SELECT 1 FROM b o WHERE o.frame = c.frame AND o.id <> c.id AND o.id <= 200 AND c.x + (k % 16 + 0.5) / 16 * c.w BETWEEN o.x AND o.x + o.w AND c.y + (k // 16 + 0.5) / 16 * c.h BETWEEN o.y AND o.y + o.h)) / 256.0 AS occlusion FROM c GROUP BY ALL".replace(" WHERE id <= 200", "").replace(" AND o.id <= 200", ""))
+@query(f"{_PAIR}, c AS (SELECT b.*, unnest(range(0, 256)) AS k FROM b) SELECT c.frame, c.id, count(*) FILTER (EXISTS (SELECT 1 FROM b o WHERE o.frame = c.frame AND o.id <> c.id AND c.x + (k % 16 + 0.5) / 16 * c.w BETWEEN o.x AND o.x + o.w AND c.y + (k // 16 + 0.5) / 16 * c.h BETWEEN o.y AND o.y + o.h)) / 256.0 AS occlusion FROM c GROUP BY ALL")
 def j11_occlusion(spark, sf_dir):
     return spatial.occlusion(_boxes(spark, sf_dir), ["frame"], "id", "box")
 
@@ -253,7 +255,7 @@ def w1_rising_segments(spark, sf_dir):
     return _runs(spark, sf_dir).select("user_id", F.col("start").alias("start_n"), F.col("end").alias("end_n"), "n", "y_start", "y_end")
 
 
-@query(f"{_RUNS}, e2 AS (SELECT user_id, n, value FROM g), b AS (SELECT r.user_id, r.z, min((e2.n, e2.value)) AS f, max((e2.n, e2.value)) AS l FROM runs r JOIN e2 ON r.user_id = e2.user_id AND e2.n BETWEEN r.z - 3 AND r.z + 2 GROUP BY r.user_id, r.z) SELECT user_id, CAST(z AS INTEGER) AS at, round((l[2] - f[2]) / nullif(l[1] - f[1], 0), 4) AS speed FROM b".replace(" AS at,", " AS end_n,"))
+@query(f"{_RUNS}, e2 AS (SELECT user_id, n, value FROM g), b AS (SELECT r.user_id, r.z, min((e2.n, e2.value)) AS f, max((e2.n, e2.value)) AS l FROM runs r JOIN e2 ON r.user_id = e2.user_id AND e2.n BETWEEN r.z - 3 AND r.z + 2 GROUP BY r.user_id, r.z) SELECT user_id, CAST(z AS INTEGER) AS end_n, round((l[2] - f[2]) / nullif(l[1] - f[1], 0), 4) AS speed FROM b")
 def w2_speed(spark, sf_dir):
     rows = sequences.renumbered(_events(spark, sf_dir), ["user_id"], ["us", "event_id"], "n").select("user_id", (F.col("n") + 1).alias("n"), "value")
     ends = _runs(spark, sf_dir).select("user_id", F.col("end").alias("end_n"))
@@ -459,7 +461,56 @@ def c9_clean_views(spark, sf_dir):
     return sequences.clean_views(rows, ["l_orderkey"], "l_linenumber", "release", "overlap", 2, 2, 0.3).select("l_orderkey", "l_partkey", "l_linenumber")
 
 
-@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM c) WHERE k <= 3")
-def t3_top_candidates(spark, sf_dir):
-    counts = _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return counts.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).where("k <= 3").select("user_id", "event_type")
+@query("""SELECT l_returnflag AS split, count(*) FILTER (t) AS frames, round(count(*) FILTER (t AND f AND e <= greatest(20.0, 0.75 * z)) / greatest(count(*) FILTER (t), 1), 4) AS recall, round(median(e) FILTER (t AND f), 4) AS median_error,
+count(*) FILTER (NOT t) AS none_frames, round(count(*) FILTER (NOT t AND f) / greatest(count(*) FILTER (NOT t), 1), 4) AS false_alarms
+FROM (SELECT l_returnflag, l_linenumber % 3 > 0 AS t, l_discount > 0.02 AS f, l_quantity AS e, l_tax * 500 AS z FROM lineitem) GROUP BY 1""")
+def g13_tracking_quality(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("split"), (F.col("l_linenumber") % 3 > 0).alias("truth"), (F.col("l_discount") > 0.02).alias("found"), F.col("l_quantity").alias("error"), (F.col("l_tax") * 500).alias("size"))
+    out = aggregates.tracking_quality(rows, ["split"], "truth", "found", "error", "size")
+    return out.withColumns({c: _R(c) for c in ("recall", "median_error", "false_alarms")})
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS a FROM orders), n AS (SELECT l_orderkey AS k, CAST(epoch(l_shipdate) // 86400 AS BIGINT) AS d, min(l_quantity) AS r FROM lineitem GROUP BY ALL),
+z AS (SELECT l_orderkey AS k, CAST(max(epoch(l_shipdate) // 86400) AS BIGINT) AS z FROM lineitem GROUP BY 1),
+c AS (SELECT o.k, p, count(n.d) / nullif(least(45, greatest(0, z - a)), 0) AS covered, min(r) AS nearest FROM o JOIN z ON z.k = o.k LEFT JOIN n ON n.k = o.k AND n.d BETWEEN a AND least(a + 44, z - 1) GROUP BY o.k, p, a, z)
+SELECT p AS priority, count(*) AS shots, round(median(covered), 4) AS median_covered, count(*) FILTER (covered >= 0.03) AS well_covered, count(*) FILTER (nearest <= 20) AS reached FROM c GROUP BY 1""")
+def g14_coverage(spark, sf_dir):
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"), day("o_orderdate").alias("start"))
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), day("l_shipdate").alias("day"), "l_quantity")
+    points = lines.groupBy("key", "day").agg(F.min("l_quantity").alias("q"))
+    ends = lines.groupBy("key").agg(F.max("day").alias("frames"))
+    found = aggregates.coverage(o, points, ["key"], "start", 45, "day", F.col("q"), ends)
+    out = aggregates.coverage_summary(found.join(o.select("key", "priority"), "key"), ["priority"], F.lit(20), 0.03)
+    return out.withColumn("median_covered", _R("median_covered"))
+
+
+@query(r"""SELECT user_id, array_to_string(arg_min(n, event_id) FILTER (len(n) > 0), ',') AS jersey FROM (SELECT user_id, event_id, CASE WHEN event_id % 4 > 0 THEN [] ELSE regexp_extract_all(props, '\d') END AS n FROM events) GROUP BY 1""")
+def g20_first_known(spark, sf_dir):
+    found = F.when(F.col("event_id") % 4 > 0, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("props", F.lit(r"\d"), F.lit(0)))
+    rows = _read(spark, sf_dir, "events").select("user_id", "event_id", found.alias("n"))
+    return aggregates.first_known(rows, ["user_id"], "n", "event_id").select("user_id", F.array_join("n", ",").alias("jersey"))
+
+
+@query("SELECT o_orderkey, CAST(floor(a + k * (z - a) / 4.0) AS INTEGER) AS frame FROM (SELECT o_orderkey, o_custkey % 50 AS a, o_custkey % 50 + o_orderkey % 400 AS z FROM orders), unnest(range(0, 5)) AS u(k)")
+def w14_evenly_spaced(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("a"), (F.col("o_custkey") % 50 + F.col("o_orderkey") % 400).alias("z"))
+    return sequences.evenly_spaced(rows, "a", "z", 5, "frame").select("o_orderkey", "frame")
+
+
+@query("""SELECT o_custkey AS video, count(*) AS items, count(*) FILTER (k % 3 > 0) AS decided, count(*) FILTER (k % 3 = 1) AS ok, count(*) FILTER (k % 3 = 2) AS skip, count(*) FILTER (k % 3 = 0) AS to_go, count(*) FILTER (k % 3 = 1 AND k % 4 <> k % 5) AS changed,
+coalesce(min(k) FILTER (k % 3 = 0), min(k)) AS next, count(*) FILTER (o_orderstatus IN ('O', 'F') AND k % 7 > 0) AS complete FROM (SELECT *, o_orderkey AS k FROM orders) GROUP BY 1""")
+def c12_review_progress(spark, sf_dir):
+    k = F.col("k")
+    status = F.when(k % 3 == 1, "ok").when(k % 3 == 2, "skip")
+    items = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("video"), F.col("o_orderkey").alias("k"), "o_orderstatus").withColumn("status", status)
+    counts = review.progress(items, ["video"], "status", ["ok", "skip"], k % 4, k % 5)
+    team = F.when(F.col("o_orderstatus") == "O", "A").when(F.col("o_orderstatus") == "F", "B").otherwise("?")
+    done = items.groupBy("video").agg(F.count_if(review.is_complete(team, F.lit("1"), F.when(k % 7 == 0, "auto"))).alias("complete"))
+    return counts.join(review.first_undecided(items, ["video"], "k", "status").withColumnRenamed("k", "next"), "video").join(done, "video")
+
+
+@query("SELECT o_custkey AS video, o_orderkey % 5000 AS release, format('{:.3f}', round((o_orderkey % 5000) / 25.0 + 0.4, 3)) AS timestamp_s, CAST(o_orderkey % 5000 + 10 AS VARCHAR) AS frame, CASE WHEN o_totalprice > 100000 THEN '1' ELSE '0' END AS made, 'auto' AS note FROM orders")
+def c13_proposals(spark, sf_dir):
+    shots = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("video"), (F.col("o_orderkey") % 5000).alias("release"), (F.col("o_totalprice") > 100000).alias("made"))
+    return review.proposals(shots, 25.0).select("video", (F.col("frame").cast("long") - 10).alias("release"), "timestamp_s", "frame", "made", "note")

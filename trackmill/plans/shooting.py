@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackmill.functions import court, geometry
-from trackmill.operators import composites, datasets, matching, models, shots, spatial
-from trackmill.plans.registry import _E, _PAIRS, QUERIES, SQL, _P, _R, _probabilities, _read, query  # noqa: F401
+from trackmill.operators import analysis, composites, datasets, matching, models, shots, spatial, tracking
+from trackmill.plans.registry import _E, _PAIRS, QUERIES, SQL, _P, _R, _probabilities, _read, _share, query  # noqa: F401
 
 _FLOOR = [[0.0125, 0.0, -7.0], [0.0, 0.025, 0.0], [0.0, 0.0, 1.0]]
 
@@ -266,3 +266,68 @@ def b11_crop_index(spark, sf_dir):
     persons = _persons(spark, sf_dir)
     players = persons.select("video", "track").distinct().select("video", "track", F.when(F.col("track") % 2 == 0, "A").alias("team"), F.when(F.col("track") < 7, F.col("track") * 3).alias("number"))
     return datasets.crop_index(persons, players, every=6, least=120).drop("video", "track")
+
+
+@query(f"WITH {_BASE} SELECT video, shot, CAST(rank - 1 AS INTEGER) AS place, track, round(round(dist, 9), 6) AS dist, n FROM ranked WHERE rank <= 5")
+def t3_top_candidates(spark, sf_dir):
+    lists = composites.proposed_shooters(_shots(spark, sf_dir), _near(spark, sf_dir))
+    return lists.select("video", "shot", F.posexplode("candidates").alias("place", "c")).select("video", "shot", "place", F.col("c.id").alias("track"), _R("c.dist", 6).alias("dist"), F.col("c.n").alias("n"))
+
+
+@query(f"""WITH {_BASE}, a AS (SELECT video, shot, release, unnest(range(release - 12 - (release - 12) % 3 - CASE WHEN release < 12 AND (release - 12) % 3 <> 0 THEN 3 ELSE 0 END, release + 1, 3)) AS frame FROM s),
+held AS (SELECT a.video, a.shot, p.track, count(*) AS held FROM a JOIN b ON b.video = a.video AND b.frame = a.frame JOIN p ON p.video = a.video AND p.frame = a.frame WHERE bx BETWEEN x - 0.1 * w AND x + 1.1 * w AND bv BETWEEN y - 0.1 * h AND y + 0.8 * h GROUP BY ALL),
+u AS (SELECT video, shot, track, coalesce(held, 0) AS held, round(dist, 9) AS dist, n FROM near FULL JOIN held USING (video, shot, track))
+SELECT video, shot, track, held, round(dist, 6) AS dist, CAST(row_number() OVER (PARTITION BY video, shot ORDER BY held DESC, dist NULLS LAST, n DESC NULLS LAST, track) AS INTEGER) AS rank FROM u""")
+def t1_by_possession(spark, sf_dir):
+    held = composites.held_before(_shots(spark, sf_dir), _persons(spark, sf_dir), _ball(spark, sf_dir))
+    return composites.ranked_shooters(_near(spark, sf_dir), held).select("video", "shot", "track", "held", _R("dist", 6).alias("dist"), "rank")
+
+
+@query(f"""WITH {_BASE}, a AS (SELECT video, shot, release, shot % 7 + 1 AS track FROM s), g AS (SELECT video, frame, track * 10 + video % 3 AS gid, x + 15 AS x, y, w, h FROM p WHERE track < 6),
+i AS (SELECT DISTINCT p.* FROM a JOIN p ON p.video = a.video AND p.track = a.track AND p.frame BETWEEN release - 3 AND release + 12),
+u AS (SELECT i.video, i.frame, i.track, gid, {_share("i", "g")} AS iou FROM i JOIN g ON g.video = i.video AND g.frame = i.frame),
+v AS (SELECT video, frame, track, arg_max(gid, (iou, gid)) AS gid FROM u WHERE iou >= 0.5 GROUP BY ALL),
+c AS (SELECT a.video, a.shot, gid, count(*) AS n, -min(frame) AS f FROM a JOIN v ON v.video = a.video AND v.track = a.track AND v.frame BETWEEN release - 3 AND release + 12 GROUP BY ALL)
+SELECT a.video, a.shot, arg_max(gid, (n, f, gid)) AS gid FROM a LEFT JOIN c ON c.video = a.video AND c.shot = a.shot GROUP BY ALL""")
+def j7_track_owners(spark, sf_dir):
+    persons, b = _persons(spark, sf_dir), F.col("box")
+    truth = persons.where("track < 6").select("video", "frame", (F.col("track") * 10 + F.col("video") % 3).alias("gid"), geometry.box(b["x"] + 15, b["y"], b["w"], b["h"]).alias("true_box"))
+    tracks = _shots(spark, sf_dir).withColumn("track", (F.col("shot") % 7 + 1).cast("int"))
+    return spatial.track_owners(tracks, persons, truth, "gid", ["shot"])
+
+
+_THROWS = """c AS (SELECT c_custkey AS video, c_custkey % 13 + 2 AS vx, c_nationkey % 9 - 4 AS vy FROM customer),
+d AS (SELECT video, 0 AS track, k AS frame, 500.0 + vx * k AS x, 400.0 + vy * k AS y, 20.0 + video % 10 AS size, ((video * 7 + k * 11) % 40 + 24) / 64.0 AS conf, (video * 3 + k * k) % 7 <> 3 AS seen FROM c, unnest(range(0, 41)) AS u(k)
+UNION ALL SELECT video, 1, k, 4000.0 + vx * k, 900.0 - vy * k, 30.0 + video % 10, ((video * 5 + k * 3) % 40 + 24) / 64.0, (video + k * k) % 5 <> 1 FROM c, unnest(range(20, 61)) AS u(k))"""
+
+
+def _throws(spark, sf_dir):
+    """Detections of two balls for each customer, which fly straight, far from each other and with some frames missing."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video"), (F.col("c_custkey") % 13 + 2).alias("vx"), (F.col("c_nationkey") % 9 - 4).alias("vy"))
+    v, k = F.col("video"), F.col("frame")
+    one = c.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(40)))).where((v * 3 + k * k) % 7 != 3).select("video", "frame", (500.0 + F.col("vx") * k).alias("cx"), (400.0 + F.col("vy") * k).alias("cy"), (20.0 + v % 10).alias("s"), (((v * 7 + k * 11) % 40 + 24) / 64.0).alias("conf"))
+    two = c.withColumn("frame", F.explode(F.sequence(F.lit(20), F.lit(60)))).where((v + k * k) % 5 != 1).select("video", "frame", (4000.0 + F.col("vx") * k).alias("cx"), (900.0 - F.col("vy") * k).alias("cy"), (30.0 + v % 10).alias("s"), (((v * 5 + k * 3) % 40 + 24) / 64.0).alias("conf"))
+    s = F.col("s")
+    return one.withColumn("det_seq", k.cast("long")).unionByName(two.withColumn("det_seq", k.cast("long") + 100)).select("video", "det_seq", "frame", (F.col("cx") - s / 2).alias("x"), (F.col("cy") - s / 2).alias("y"), s.alias("w"), s.alias("h"), "conf")
+
+
+@query(f"""WITH {_THROWS}, n AS (SELECT *, lead(frame) OVER (PARTITION BY video, track ORDER BY frame) AS nx FROM d WHERE seen), s AS (SELECT video, track, sum(conf) AS score FROM n GROUP BY ALL),
+gaps AS (SELECT video, track, unnest(range(frame + 1, nx)) AS frame FROM n WHERE nx - frame BETWEEN 2 AND 12),
+e AS (SELECT video, track, frame, x, y, size, conf, 1 AS state FROM n UNION ALL SELECT d.video, d.track, d.frame, x, y, size, 0.0, 2 FROM gaps JOIN d ON d.video = gaps.video AND d.track = gaps.track AND d.frame = gaps.frame),
+r AS (SELECT e.*, row_number() OVER (PARTITION BY e.video, frame ORDER BY score DESC, e.track) AS k FROM e JOIN s ON s.video = e.video AND s.track = e.track)
+SELECT video, CAST(frame AS INTEGER) AS frame, round(CAST(x AS DOUBLE), 3) AS x, round(CAST(y AS DOUBLE), 3) AS y, CAST(size AS DOUBLE) AS size, CAST(conf AS DOUBLE) AS conf, CAST(track AS BIGINT) AS track, CAST(state AS INTEGER) AS state FROM r WHERE k = 1""")
+def z7_ball_track(spark, sf_dir):
+    return tracking.ball_track(_throws(spark, sf_dir)).withColumns({"x": _R("x", 3), "y": _R("y", 3)})
+
+
+_FEATURED = _PAIRS.replace("us / 1e6 AS at", "CAST(s AS DOUBLE) AS at").replace("JOIN t p ON", "JOIN f p ON").replace("p.at", "p.pat").replace("p.event_id AS j", "p.s AS j").replace("c AS (SELECT g.user_id", "f AS (SELECT user_id, s, event_type, min(value) AS value, min(t.at) AS pat FROM t GROUP BY ALL), c AS (SELECT g.user_id")
+
+
+@query(f"""WITH RECURSIVE {_FEATURED} SELECT m.user_id AS video, i AS event_id, a.at, a.value > 30 AS label_made, CASE WHEN a.event_id % 3 = 0 THEN 'ft' ELSE 'inside_arc' END AS label_zone, f.value > 30 AS pred_made, round(f.value, 4) AS feature
+FROM m JOIN t a ON a.event_id = i JOIN f ON f.user_id = m.user_id AND f.s = j AND f.event_type = 'purchase'""")
+def z13_shot_features(spark, sf_dir):
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("video"), "event_id", seconds.alias("s"), "value", "event_type")
+    labels = rows.where("event_type = 'click'").select("video", "event_id", F.col("s").cast("double").alias("timestamp_s"), (F.col("value") > 30).alias("made"), F.when(F.col("event_id") % 3 == 0, "ft").otherwise("inside_arc").alias("zone"))
+    found = rows.where("event_type = 'purchase'").groupBy("video", F.col("s").alias("release")).agg(F.min("value").alias("v")).select("video", "release", (F.col("v") > 30).alias("made"), F.array("v").alias("features"))
+    return analysis.shot_features(found, labels, 1.0, 3600.0).withColumn("feature", _R(F.get("features", F.lit(0)))).drop("features")

@@ -4,14 +4,46 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackmill.functions.geometry import cm_to_court
 from trackmill.functions.values import flag, integers_in, or_default, pairs_in
 from trackmill.operators.sequences import only_once
 
 EVENT_COLUMNS = ["event_id", "timestamp_s", "frame", "team", "zone", "made", "points", "court_x", "court_y", "confidence", "player", "shooter_track"]
-DETECTIONS = "video string, det_seq long, frame int, x float, y float, w float, h float, conf float, src int"
+DETECTIONS = "video string, frame int, x float, y float, w float, h float, conf float, src int"
+LABEL_COLUMNS = ["event_id", "timestamp_s", "frame", "team", "zone", "made", "note"]
+CALIBRATION = "court_standard string, image_size array<int>, image_points array<array<double>>, court_points array<array<double>>, rim_center array<double>, rim_edge array<array<double>>, note string, landmark_names array<string>"
+# Court corners of the outdoor recordings in centimetres, by the names of their keypoints.
+OUTDOOR_CORNERS = {"rku_0": (0, 0), "rku_1": (0, 1105), "rku_10": (1505, 0), "rku_11": (1505, 1105)}
+
+
+def read_detections(spark: SparkSession, path: str, pattern: str = "chunk_*.parquet") -> DataFrame:
+    """Detections of Parquet chunks below path/video=.../, with det_seq: a video's rows in the order of the chunks' names.
+
+    The order is that of (name, row in the file), so it doesn't depend on how the files are split among tasks. No chunk at
+    all raises, as does a path that isn't there.
+    """
+    raw = spark.read.schema(DETECTIONS).option("pathGlobFilter", pattern).parquet(path)
+    if raw.limit(1).inputFiles() == []:
+        raise FileNotFoundError(f"no chunks {pattern} below {path}")
+    placed = raw.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    seq = (F.row_number().over(Window.partitionBy("video").orderBy("_file", "_row")) - 1).cast("long")
+    return placed.select("video", seq.alias("det_seq"), *[c for c in raw.columns if c != "video"])
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Labels as strings, all of LABEL_COLUMNS whichever the file has; no rows if there is no file yet."""
+    try:
+        raw = spark.read.option("header", True).csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], ",".join(f"{c} string" for c in LABEL_COLUMNS))
+    by = [c for c in ("video",) if c in raw.columns]
+    return raw.select(*by, *((F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in LABEL_COLUMNS))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -20,7 +52,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     text = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     number = lambda c, kind, default: or_default(text(c), F.lit(default).cast("string")).cast(kind)
     known = lambda c, names, default: F.when((v := or_default(text(c), F.lit(default))).isin(names), v).otherwise(F.raise_error(F.concat(F.lit(f"unknown {c}: "), v)))
-    order = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("_file").orderBy("_place")) - 1
+    order = F.row_number().over(Window.partitionBy("_file").orderBy("_place")) - 1
     rows = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_place", F.monotonically_increasing_id())
     return rows.select(
         F.coalesce(or_default(text("event_id"), F.lit(None)).cast("int"), order).alias("event_id"), number("timestamp_s", "double", 0).alias("timestamp_s"), number("frame", "int", -1).alias("frame"),
@@ -60,15 +92,33 @@ def read_keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", f"map<string,struct<{value}>>")).alias("key", "v")).select("key", "v.*")
 
 
-def read_calibration(path_text: str) -> dict:
-    """A calibration's JSON, checked: four or more pairs of points, as many in the image as on the court."""
-    c = json.loads(path_text)
-    if len(c["image_points"]) < 4 or len(c["image_points"]) != len(c["court_points"]):
-        raise ValueError("a calibration takes four or more pairs of points")
-    return c
+def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
+    """A row of CALIBRATION's fields for each JSON file (file), the rim null where there is none.
+
+    Fewer than four pairs of points, or not as many in the image as on the court, raise.
+    """
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", CALIBRATION).alias("c"))
+    n, m = (F.coalesce(F.size(f"c.{k}_points"), F.lit(-1)) for k in ("image", "court"))
+    bad = F.concat(F.lit("a calibration takes four or more pairs of points: "), F.col("file"))
+    return whole.select("file", "c.*", F.when((n < 4) | (n != m), F.raise_error(bad).cast("boolean")).otherwise(True).alias("_ok")).where("_ok").drop("_ok")
+
+
+def outdoor_calibration(keypoints: DataFrame) -> DataFrame:
+    """The calibration (CALIBRATION's fields, no rim) of the outdoor recordings from their keypoints (name, x, y)."""
+    corners = F.explode(F.array(*(F.struct(F.lit(k).alias("i"), F.lit(n).alias("name"), F.lit(float(x)).alias("cx"), F.lit(float(y)).alias("cy")) for k, (n, (x, y)) in enumerate(OUTDOOR_CORNERS.items()))))
+    known = keypoints.sparkSession.range(1).select(corners.alias("c")).select("c.*")
+    at = cm_to_court(F.col("cx"), F.col("cy"))
+    pairs = F.array_sort(F.collect_list(F.struct("i", "name", F.array("x", "y").alias("image"), F.array(at["x"], at["y"]).alias("court"))))
+    found = keypoints.join(F.broadcast(known), "name").agg(pairs.alias("p"))  # four names at most
+    none = lambda kind: F.lit(None).cast(kind)
+    return found.select(
+        F.lit("fiba_3x3").alias("court_standard"), F.array(F.lit(3840), F.lit(2160)).alias("image_size"), F.col("p.image").alias("image_points"), F.col("p.court").alias("court_points"),
+        none("array<double>").alias("rim_center"), none("array<array<double>>").alias("rim_edge"), F.lit("from outdoor court keypoints").alias("note"), F.col("p.name").alias("landmark_names"),
+    )
 
 
 def read_model(text: str, features: list[str]) -> dict:
+    """A model's parameters from JSON; one that was fitted on other features raises."""
     model = json.loads(text)
     if model["features"] != features:
         raise ValueError("the model was fitted on other features")
