@@ -17,10 +17,13 @@ _own: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees.
 
-    Only a session that names no such folder (a local test) gets a temporary one.
+    A local session that names no such folder (a test) gets a temporary one; on a cluster, whose machines share none, that
+    raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _own[0]
