@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trackmill.llm.audio import op4_audio
 from trackmill.llm.decontam import op10_decontamination
+from trackmill.llm.infill import OP11_SQL, op11_fill_in_middle
 from trackmill.llm.mixing import OP2_SQL, op2_mixing
 from trackmill.llm.repeats import op3_repeats
 from trackmill.llm.sharding import op7_sharding
@@ -13,5 +14,9 @@ from trackmill.llm.tokenfiles import op8_token_files
 from trackmill.llm.toxicity import op9_toxicity
 from trackmill.llm.warc import OP1_SQL, op1_warc
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_repeats, op4_audio, op5_simhash, op6_token_counts, op7_sharding, op8_token_files, op9_toxicity, op10_decontamination)}
-SQL = {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL}
+_ALL = (
+    op1_warc, op2_mixing, op3_repeats, op4_audio, op5_simhash, op6_token_counts, op7_sharding, op8_token_files, op9_toxicity, op10_decontamination,
+    op11_fill_in_middle,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL = {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op11_fill_in_middle": OP11_SQL}
