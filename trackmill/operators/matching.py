@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions.values import ratio
-from trackmill.operators.common import scratch, written
+from trackmill.operators import choices
 
 
 def band_join(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, below, above, how: str = "inner", width=None) -> DataFrame:
@@ -53,24 +53,11 @@ def carried_forward(df: DataFrame, by: list[str], order: list[str], value: str)
 def one_to_one(gt: DataFrame, pred: DataFrame, on: list[str], gt_id: str, pred_id: str, gt_at: str, pred_at: str, tolerance) -> DataFrame:
     """(on, gt_id, pred_id, delta): pairs within the tolerance, taken nearest first, each row used once.
 
-    Pairs are in strict order of (delta, gt_id, pred_id). In each round those that come first for both of their rows are
-    taken, and the pairs of rows in use fall away; that gives the same pairs as taking them one by one. Rounds are
-    written tables, and stop when no pair is left. Choices are grouped minima, so a busy key is summed up before it moves.
+    Pairs are in strict order of (delta, gt_id, pred_id), and taken in blocks of neighbouring rows (see choices).
     """
     pairs = band_join(gt.select(*on, gt_id, gt_at), pred.select(*on, pred_id, pred_at), on, gt_at, pred_at, tolerance, tolerance)
-    left = pairs.select(*on, gt_id, pred_id, F.abs(F.col(pred_at) - F.col(gt_at)).alias("delta"))
-    folder, done, k = scratch(gt.sparkSession), None, 0
-    left = written(left, f"{folder}/pairs-0")
-    while k == 0 or not left.isEmpty():
-        k += 1
-        rank = F.struct("delta", gt_id, pred_id)
-        by_gt = left.groupBy(*on, gt_id).agg(F.min(rank).alias("_g"))
-        by_pred = left.groupBy(*on, pred_id).agg(F.min(rank).alias("_p"))
-        first = left.join(by_gt, [*on, gt_id]).join(by_pred, [*on, pred_id]).where((rank == F.col("_g")) & (rank == F.col("_p")))
-        taken = written(first.select(*on, gt_id, pred_id, "delta"), f"{folder}/taken-{k}")
-        done = taken if done is None else done.unionByName(taken)
-        left = written(left.join(taken.select(*on, gt_id), [*on, gt_id], "left_anti").join(taken.select(*on, pred_id), [*on, pred_id], "left_anti"), f"{folder}/pairs-{k}")
-    return done
+    named = pairs.select(*on, gt_id, pred_id, F.abs(F.col(pred_at) - F.col(gt_at)).alias("delta"), F.col(gt_at).alias("_at"))
+    return choices.pairs_one_to_one(named, on, gt_id, pred_id, "delta", "_at").select(*on, gt_id, pred_id, "delta")
 
 
 def swap_of(gt_team: Column, pred_team: Column, names: tuple[str, str] = ("A", "B")) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.operators import choices
+
 
 def rising_segments(df: DataFrame, by: list[str], frame: str, y: str, gap: int = 3, least: float = 0.5, down: bool = True) -> DataFrame:
     """(by, start, end, n, y_start, y_end): maximal runs of rows, each at most gap + 1 frames after the last and better
@@ -56,60 +58,20 @@ def fold(df: DataFrame, by: list[str], order: list[str], fields: list[str], keep
     return rows.select(*by, F.aggregate("_r", empty, lambda s, r: F.when(keep(s, r), F.concat(s, F.array(r))).otherwise(s)).alias(name))
 
 
-def _in_runs(df: DataFrame, by: list[str], order: list[str], until: Column, free_at_end: bool) -> DataFrame:
-    """df with _run, which counts the rows before and at which a run begins: where a row stands beyond `until` of all rows
-    before it in its key (or at it, if the end is free). What happens in one run doesn't depend on the others."""
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.max(until).over(before)
-    marked = df.withColumn("_new", (reached.isNull() | (F.col(order[0]) > reached) | (F.lit(free_at_end) & (F.col(order[0]) == reached))).cast("int"))
-    return marked.withColumn("_run", F.sum("_new").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
 def suppress_overlaps(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Intervals in order of start, without those that begin at or before the end of the last one kept.
-
-    A key is first cut into runs that nothing overlaps; only a run's rows are folded together, so that a busy key is a
-    sorted stream and never one array.
-    """
-    runs = _in_runs(df.select(*by, start, end), by, [start, end], F.col(end), False)
-    kept = fold(runs, [*by, "_run"], [start, end], [start, end], lambda s, r: (F.size(s) == 0) | (r[start] > F.element_at(F.concat(s, F.array(r)), F.greatest(F.size(s), F.lit(1)))[end]))
-    return kept.select(*by, F.inline("kept"))
+    """Intervals in order of start, without those that begin at or before the end of the last one kept; for keys of any size."""
+    return choices.chained(df, by, start, end, touching=False)
 
 
 def thin_out(df: DataFrame, by: list[str], at: str, apart: int) -> DataFrame:
-    """Rows in order, without those nearer than `apart` to one kept before; a key is cut into runs at gaps that are as wide."""
-    runs = _in_runs(df.select(*by, at), by, [at], F.col(at) + apart, True)
-    kept = fold(runs, [*by, "_run"], [at], [at], lambda s, r: (F.size(s) == 0) | (r[at] - F.element_at(F.concat(s, F.array(r)), F.greatest(F.size(s), F.lit(1)))[at] >= apart))
-    return kept.select(*by, F.inline("kept"))
+    """Rows in order, without those nearer than `apart` to one kept before; for keys of any size."""
+    return choices.chained(df.select(*by, at, (F.col(at) + apart).alias("_until")), by, at, "_until", touching=True).select(*by, at)
 
 
 def peaks(df: DataFrame, by: list[str], at: str, score: str, least: float, apart: float) -> DataFrame:
-    """The highest scores first, down to `least`, each more than `apart` from all kept ones; equal scores by `at`.
-
-    In each round the rows that are the best within their reach are taken, and those that they reach fall away; that gives
-    the same rows as taking them one by one. Rows meet within buckets of the axis, so a busy key is spread, and rounds are
-    written tables. Of rows at the same place one can be kept. Rows without a place are left out.
-    """
-    from trackmill.operators.common import scratch, written
-
-    width = max(float(apart), 1.0)
-    near = lambda c: F.explode(F.array(*(F.floor(F.col(c) / width) + k for k in (-1, 0, 1))))
-    keys, reach = ", ".join(f"`{c}`" for c in [*by, "_b"]), f"{float(apart)!r}D"
-    best = F.expr(f"max(struct(`{score}`, -`{at}`)) OVER (PARTITION BY {keys} ORDER BY CAST(`{at}` AS DOUBLE) RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)")
-    rows = df.where((F.col(score) >= least) & F.col(at).isNotNull()).groupBy(*by, at).agg(F.max(score).alias(score))
-    folder, done, k = scratch(df.sparkSession), None, 0
-    left = written(rows, f"{folder}/left-0")
-    while k == 0 or not left.isEmpty():
-        k += 1
-        met = left.withColumn("_b", near(at)).withColumn("_best", best).where((F.floor(F.col(at) / width) == F.col("_b")) & (F.col("_best") == F.struct(F.col(score), -F.col(at))))
-        taken = written(met.select(*by, at, score), f"{folder}/taken-{k}")
-        done = taken if done is None else done.unionByName(taken)
-        beside = taken.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(at).alias("_at"), near(at).alias("_b"))
-        same = (F.floor(F.col(at) / width) == F.col("_b")) & (F.abs(F.col(at) - F.col("_at")) <= apart)
-        for c in by:
-            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-        left = written(left.join(beside, same, "left_anti"), f"{folder}/left-{k}")
-    return done
+    """The highest scores first, down to `least`, each more than `apart` from all kept ones; equal scores by `at`. Of rows at
+    the same place one can be kept. Rows without a place are left out; for keys of any size."""
+    return choices.peaks(df, by, at, score, least, apart)
 
 
 def moving_sum(df: DataFrame, by: list[str], order: str, value: str, reach: int, name: str) -> DataFrame:
