@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackmill.functions import court, geometry
-from trackmill.operators import analysis, composites, datasets, matching, models, shots, spatial, tracking
+from trackmill.operators import analysis, composites, datasets, matching, models, persons, shots, spatial, tracking
 from trackmill.plans.registry import _E, _PAIRS, QUERIES, SQL, _P, _R, _probabilities, _read, _share, query  # noqa: F401
 
 _FLOOR = [[0.0125, 0.0, -7.0], [0.0, 0.025, 0.0], [0.0, 0.0, 1.0]]
@@ -331,3 +331,28 @@ def z13_shot_features(spark, sf_dir):
     labels = rows.where("event_type = 'click'").select("video", "event_id", F.col("s").cast("double").alias("timestamp_s"), (F.col("value") > 30).alias("made"), F.when(F.col("event_id") % 3 == 0, "ft").otherwise("inside_arc").alias("zone"))
     found = rows.where("event_type = 'purchase'").groupBy("video", F.col("s").alias("release")).agg(F.min("value").alias("v")).select("video", "release", (F.col("v") > 30).alias("made"), F.array("v").alias("features"))
     return analysis.shot_features(found, labels, 1.0, 3600.0).withColumn("feature", _R(F.get("features", F.lit(0)))).drop("features")
+
+
+_WALKS = """c AS (SELECT s_suppkey AS video, s_suppkey % 5 + 2 AS v, unnest(range(0, 40)) AS k FROM supplier),
+d AS (SELECT video, k AS frame, 0 AS who, 100 + v * k AS x, 300 AS y, 0.9 AS conf FROM c
+UNION ALL SELECT video, k, 1, 100 + v * (34 - k), 330, CASE WHEN k BETWEEN 12 AND 22 THEN 0.3 ELSE 0.8 END FROM c WHERE k < 2 OR (video + k) % 11 <> 5
+UNION ALL SELECT video, k, 2, 2000 + k, 900, CASE WHEN k % 2 = 0 THEN 0.55 ELSE 0.05 END FROM c WHERE k % 7 = 3)"""
+
+
+def _walks(spark, sf_dir):
+    """Two persons for each supplier who walk through each other; the one behind is half hidden there (unsure boxes), and
+    unseen in some frames; and boxes that are too unsure to begin a track."""
+    c = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("video"), (F.col("s_suppkey") % 5 + 2).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
+    k, v = F.col("k"), F.col("v")
+    box = lambda who, x, y, conf: c.select("video", k.alias("frame"), F.lit(who).alias("det_seq"), x.cast("double").alias("x"), F.lit(y).alias("y"), F.lit(60.0).alias("w"), F.lit(160.0).alias("h"), conf.alias("conf"))
+    one = box(0, 100 + v * k, 300.0, F.lit(0.9))
+    two = box(1, 100 + v * (34 - k), 330.0, F.when(k.between(12, 22), 0.3).otherwise(0.8)).where((F.col("frame") < 2) | ((F.col("video") + F.col("frame")) % 11 != 5))
+    none = box(2, 2000 + k, 900.0, F.when(k % 2 == 0, 0.55).otherwise(0.05)).where("frame % 7 = 3")
+    return one.unionByName(two).unionByName(none)
+
+
+@query(f"""WITH {_WALKS}, n AS (SELECT *, row_number() OVER w AS n, max(CASE WHEN conf >= 0.5 THEN frame END) OVER w AS sure FROM d WINDOW w AS (PARTITION BY video, who ORDER BY frame)),
+s AS (SELECT *, max(CASE WHEN conf >= 0.5 THEN n END) OVER (PARTITION BY video, who ORDER BY frame) AS sure_n FROM n)
+SELECT video, frame, who AS det_seq, CASE WHEN who < 2 AND (conf >= 0.5 OR n - sure_n = frame - sure) THEN CAST(who AS BIGINT) END AS track_id FROM s""")
+def s2_person_tracks(spark, sf_dir):
+    return persons.person_tracks(_walks(spark, sf_dir)).select("video", F.col("frame").cast("long").alias("frame"), "det_seq", "track_id")

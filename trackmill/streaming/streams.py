@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from trackmill.operators.persons import PersonLinker, linked
 from trackmill.operators.tracking import Linker
 
 
@@ -50,3 +52,30 @@ def live_tracks(cands: DataFrame) -> DataFrame:
 
     schema = "video string, track long, frame int, x double, y double, size double, conf double"
     return cands.groupBy("video").applyInPandasWithState(link, schema, "open string", "append", GroupStateTimeout.NoTimeout)
+
+
+class _Persons(StatefulProcessor):
+    """A video's person tracks, kept as JSON between batches."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("tracks", "tracks string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        linker = PersonLinker.of(json.loads(self.held.get()[0])) if self.held.exists() else PersonLinker()
+        past = -1 if linker.now is None else linker.now
+        part = pd.concat(list(rows)).sort_values(["frame", "det_seq"], kind="stable").reset_index(drop=True)
+        track = linked(linker, part, past)
+        self.held.update((json.dumps(linker.state()),))
+        yield part[["video", "frame", "det_seq"]].assign(track_id=track)
+
+    def close(self) -> None:
+        pass
+
+
+def live_person_tracks(detections: DataFrame) -> DataFrame:
+    """(video, frame, det_seq, track_id) of each detection as its batch comes, -1 without a track; detections are as
+    person_tracks takes them. A video's state is its open tracks. Its frames must come in order over the batches, and a frame
+    whole in one batch; a row of a frame that is past has -1. Needs the RocksDB state store provider."""
+    schema = "video string, frame long, det_seq long, track_id long"
+    rows = detections.select(F.col("video").cast("string").alias("video"), F.col("frame").cast("long").alias("frame"), F.col("det_seq").cast("long").alias("det_seq"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("x", "y", "w", "h", "conf")))
+    return rows.groupBy("video").transformWithStateInPandas(_Persons(), schema, "append", "none")
