@@ -196,11 +196,13 @@ def test_events_round_trip(spark, tmp_path):
 def test_other_readers(spark, tmp_path):
     (tmp_path / "mot.txt").write_text("1,2.0,3,4,5,6,0.9\n2,3,1,1,1,1\nbad,1\n")
     assert [(r.frame, r.track_id, r.score) for r in readers.read_mot(spark, str(tmp_path / "mot.txt")).collect()] == [(1, 2, 0.9), (2, 3, 1.0)]
-    (tmp_path / "flow.csv").write_text('168 (Game  start),"1: 9, 5: 6. 6: 6","x","Offense: 2, 6; Defense: 1, 4"\nnothing,,,\n')
+    lines = ['168 (Game  start),"1: 9, 2: 9, 4: 10, 5: 6. 6: 6, 7: 11","Offense: 2, 6, 7; Defense: 1, 4, 5"', 'nothing,,,', '170 (x),"1: 2","no sides","Offense: 3; Defense: 4"', '171 (y)', '172 (z),3 : 4, Offense: 8']
+    (tmp_path / "flow.csv").write_text("\n".join(lines) + "\n")
     flow = readers.read_flow(spark, str(tmp_path / "flow.csv"))
-    r = flow.first()
-    assert (r.frame, r.label, r.jersey, r.offense, r.defense) == (168, "Game start", {1: 9, 5: 6, 6: 6}, [2, 6], [1, 4])
-    assert {x.id: x.team for x in readers.team_membership(flow.withColumn("v", F.lit(1)), ["v"]).collect()} == {2: "A", 6: "A", 1: "B", 4: "B"}
+    r = {x.frame: x for x in flow.collect()}
+    assert (r[168].label, r[168].jersey, r[168].offense, r[168].defense) == ("Game start", {1: 9, 2: 9, 4: 10, 5: 6, 6: 6, 7: 11}, [2, 6, 7], [1, 4, 5])
+    assert [(r[k].jersey, r[k].offense, r[k].defense) for k in (170, 171, 172)] == [({1: 2}, [], []), ({}, [], []), ({3: 4}, [8], [])]
+    assert {x.id: x.team for x in readers.team_membership(flow.withColumn("v", F.lit(1)), ["v"]).collect()} == {2: "A", 6: "A", 7: "A", 1: "B", 4: "B", 5: "B"}
     (tmp_path / "d.json").write_text('{"10": {"status": "ok"}, "2": {"status": "none"}}')
     assert [r.key for r in readers.read_keyed_json(spark, str(tmp_path / "d.json"), "status:string").orderBy(F.col("key").cast("int")).collect()] == ["2", "10"]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.functions.court import points_for
 from trackmill.functions.values import ratio
 from trackmill.operators import choices
 
@@ -67,13 +68,16 @@ def swap_of(gt_team: Column, pred_team: Column, names: tuple[str, str] = ("A", "
     return F.count_if(gt_team == other) > F.count_if(gt_team == pred_team)
 
 
-def evaluate(gt: DataFrame, pred: DataFrame, on: list[str], tolerance: float = 1.0) -> DataFrame:
+def evaluate(gt: DataFrame, pred: DataFrame, on: list[str], tolerance: float = 1.0, rules: str | None = None) -> DataFrame:
     """For each key: matched, recall, precision, and the accuracy of make, zone and team over matched pairs; team names
     are exchanged if that agrees strictly better; the error in points of each team that the truth has and of all, never
     below zero, with the same exchange. Pairs whose true team is unknown ('?' or null) don't count for the teams.
 
-    gt and pred have event_id, timestamp_s, team, zone, made, points.
+    gt and pred have event_id, timestamp_s, team, zone and made. With rules, points follow from these, the zone and made, as
+    labels have none of their own; without, both sides have a column points.
     """
+    if rules is not None:
+        gt, pred = (df.withColumn("points", points_for(F.lit(rules), F.col("zone"), F.col("made"))) for df in (gt, pred))
     fields = ["event_id", "timestamp_s", "team", "zone", "made", "points"]
     g, p = (df.select(*on, *(F.col(c).alias(f"{s}_{c}") for c in fields)) for df, s in ((gt, "g"), (pred, "p")))
     pairs = one_to_one(g, p, on, "g_event_id", "p_event_id", "g_timestamp_s", "p_timestamp_s", tolerance)

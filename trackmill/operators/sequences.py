@@ -78,21 +78,23 @@ def moving_sum(df: DataFrame, by: list[str], order: str, value: str, reach: int,
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-reach, reach)))
 
 
-def merge_candidates(df: DataFrame, by: list[str], seq: str, x: str, y: str, d: str, conf: str, share: float = 0.7) -> DataFrame:
+def merge_candidates(df: DataFrame, by: list[str], seq: str, x: str, y: str, d: str, conf: str, share: float = 0.7, slot: str | None = None) -> DataFrame:
     """Candidates of a frame in input order; one that is near a kept one merges into it, and takes its place if surer.
 
-    Near: centres closer than share times the larger diameter; the first such kept candidate counts.
+    Near: centres closer than share times the larger diameter; the first such kept candidate counts. `slot` names a column for
+    the place itself: the seq of the candidate that took it first.
     """
-    row = F.struct(seq, x, y, d, conf)
+    row = F.struct(seq, x, y, d, conf, F.col(seq).alias("_slot"))
     rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_r"))
 
     def merge(s, r):
         close = lambda k: F.hypot(k[x] - r[x], k[y] - r[y]) < share * F.greatest(k[d], r[d])
         hits = F.filter(F.transform(s, lambda k, i: F.when(close(k), i)), lambda i: i.isNotNull())
-        replaced = F.transform(s, lambda k, i: F.when((i == F.element_at(hits, 1)) & (r[conf] > k[conf]), r).otherwise(k))
+        replaced = F.transform(s, lambda k, i: F.when((i == F.element_at(hits, 1)) & (r[conf] > k[conf]), r.withField("_slot", k["_slot"])).otherwise(k))
         return F.when(F.size(hits) == 0, F.concat(s, F.array(r))).otherwise(replaced)
 
-    return rows.select(*by, F.inline(F.aggregate("_r", F.slice("_r", 1, 0), merge)))
+    merged = rows.select(*by, F.inline(F.aggregate("_r", F.slice("_r", 1, 0), merge)))
+    return merged.withColumnRenamed("_slot", slot) if slot else merged.drop("_slot")
 
 
 def best_boxes(df: DataFrame, by: list[str], seq: str, conf: str, box: str, most: int = 3, overlap: float = 0.3) -> DataFrame:

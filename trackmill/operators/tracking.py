@@ -16,11 +16,12 @@ GATE, GATE_MISSED, GATE_SPEED, MIN_HITS, SURE_HITS, SURE_CONF = 45.0, 20.0, 1.5,
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """Detections (video, det_seq, frame, x, y, w, h, conf) of a fitting size and shape, merged within each frame."""
+    """Detections (video, det_seq, frame, x, y, w, h, conf) of a fitting size and shape, merged within each frame; a merged
+    one's det_seq is that of the one that came first, so that its turn stays the same."""
     low, high = F.greatest(F.least("w", "h"), F.lit(1e-6)), F.greatest("w", "h")
     fit = df.withColumn("d", (F.col("w") + F.col("h")) / 2.0).where((F.col("conf") >= MIN_CONF) & F.col("d").between(SIZE_LOW, SIZE_HIGH) & (high / low <= ASPECT))
     rows = fit.select("video", "frame", "det_seq", (F.col("x") + F.col("w") / 2.0).cast("double").alias("cx"), (F.col("y") + F.col("h") / 2.0).cast("double").alias("cy"), F.col("d").cast("double").alias("d"), F.col("conf").cast("double").alias("conf"))
-    return merge_candidates(rows, ["video", "frame"], "det_seq", "cx", "cy", "d", "conf")
+    return merge_candidates(rows, ["video", "frame"], "det_seq", "cx", "cy", "d", "conf", slot="_slot").withColumn("det_seq", F.col("_slot")).drop("_slot")
 
 
 class Linker:

@@ -167,14 +167,14 @@ m AS (SELECT user_id, i, j FROM w WHERE i IS NOT NULL)"""
 
 
 @query(f"""WITH RECURSIVE {_PAIRS},
-x AS (SELECT user_id, event_id, event_type, CASE WHEN event_id % 7 = 0 THEN '?' WHEN value > 50 THEN 'A' ELSE 'B' END AS team, CASE WHEN event_id % 3 = 0 THEN 'ft' ELSE 'inside_arc' END AS zone, value > 30 AS made FROM e),
-n AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS g, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'click' AND team = 'A') AS ga, count(*) FILTER (event_type = 'click' AND team = 'B') AS gb, count(*) FILTER (event_type = 'purchase' AND team = 'A') AS pa, count(*) FILTER (event_type = 'purchase' AND team = 'B') AS pb FROM x WHERE event_type IN ('click', 'purchase') GROUP BY 1),
+x AS (SELECT user_id, event_id, event_type, CASE WHEN event_id % 7 = 0 THEN '?' WHEN value > 50 THEN 'A' ELSE 'B' END AS team, ['ft', 'inside_arc', 'beyond_arc'][event_id % 3 + 1] AS zone, value > 30 AS made, CASE WHEN value > 30 THEN [1, 2, 3][event_id % 3 + 1] ELSE 0 END AS pt FROM e),
+n AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS g, count(*) FILTER (event_type = 'purchase') AS p, sum(pt) FILTER (event_type = 'click' AND team = 'A') AS ga, sum(pt) FILTER (event_type = 'click' AND team = 'B') AS gb, coalesce(sum(pt) FILTER (event_type = 'purchase' AND team = 'A'), 0) AS pa, coalesce(sum(pt) FILTER (event_type = 'purchase' AND team = 'B'), 0) AS pb, coalesce(sum(pt) FILTER (event_type = 'click'), 0) AS gs, coalesce(sum(pt) FILTER (event_type = 'purchase'), 0) AS ps FROM x WHERE event_type IN ('click', 'purchase') GROUP BY 1),
 o AS (SELECT m.user_id, count(*) AS matched, count(*) FILTER (a.made = b.made) AS made_ok, count(*) FILTER (a.zone = b.zone) AS zone_ok, count(*) FILTER (a.team <> '?') AS known, count(*) FILTER (a.team <> '?' AND a.team = b.team) AS same, count(*) FILTER (a.team <> '?' AND b.team <> '?' AND a.team <> b.team) AS other FROM m JOIN x a ON a.event_id = i JOIN x b ON b.event_id = j GROUP BY 1)
 SELECT user_id, coalesce(matched, 0) AS matched, coalesce(matched, 0) / nullif(g, 0) AS recall, coalesce(matched, 0) / nullif(p, 0) AS "precision", made_ok / matched AS made_accuracy, zone_ok / matched AS zone_accuracy, greatest(same, other) / nullif(known, 0) AS team_accuracy, coalesce(other > same, false) AS swapped,
-CASE WHEN ga > 0 THEN abs(CASE WHEN coalesce(other > same, false) THEN pb ELSE pa END - ga) END AS points_error_a, CASE WHEN gb > 0 THEN abs(CASE WHEN coalesce(other > same, false) THEN pa ELSE pb END - gb) END AS points_error_b, abs(p - g) AS points_error FROM n LEFT JOIN o USING (user_id)""")
+CAST(abs(CASE WHEN coalesce(other > same, false) THEN pb ELSE pa END - ga) AS BIGINT) AS points_error_a, CAST(abs(CASE WHEN coalesce(other > same, false) THEN pa ELSE pb END - gb) AS BIGINT) AS points_error_b, CAST(abs(ps - gs) AS BIGINT) AS points_error FROM n LEFT JOIN o USING (user_id)""")
 def g7_alignment_eval(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("user_id", "event_id", "event_type", (F.col("us") / 1e6).alias("timestamp_s"), F.when(F.col("event_id") % 7 == 0, "?").when(F.col("value") > 50, "A").otherwise("B").alias("team"), F.when(F.col("event_id") % 3 == 0, "ft").otherwise("inside_arc").alias("zone"), (F.col("value") > 30).alias("made"), F.lit(1).alias("points"))
-    return matching.evaluate(rows.where("event_type = 'click'"), rows.where("event_type = 'purchase'"), ["user_id"], 3600.0)
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "event_type", (F.col("us") / 1e6).alias("timestamp_s"), F.when(F.col("event_id") % 7 == 0, "?").when(F.col("value") > 50, "A").otherwise("B").alias("team"), F.element_at(F.array(F.lit("ft"), F.lit("inside_arc"), F.lit("beyond_arc")), (F.col("event_id") % 3 + 1).cast("int")).alias("zone"), (F.col("value") > 30).alias("made"))
+    return matching.evaluate(rows.where("event_type = 'click'"), rows.where("event_type = 'purchase'"), ["user_id"], 3600.0, "5v5")
 
 
 @query("SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) BETWEEN -30 AND 60 GROUP BY 1 HAVING count(l_orderkey) > 0")

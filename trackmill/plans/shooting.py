@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.functions import court, geometry
@@ -356,3 +359,64 @@ s AS (SELECT *, max(CASE WHEN conf >= 0.5 THEN n END) OVER (PARTITION BY video,
 SELECT video, frame, who AS det_seq, CASE WHEN who < 2 AND (conf >= 0.5 OR n - sure_n = frame - sure) THEN CAST(who AS BIGINT) END AS track_id FROM s""")
 def s2_person_tracks(spark, sf_dir):
     return persons.person_tracks(_walks(spark, sf_dir)).select("video", F.col("frame").cast("long").alias("frame"), "det_seq", "track_id")
+
+
+_RIVALS = """c AS (SELECT c_custkey AS video, c_custkey % 5 + 3 AS vx, c_nationkey % 7 - 3 AS vy, c_custkey % 4 AS kind, unnest(range(0, 48)) AS k FROM customer),
+d AS (SELECT video, k AS frame, 0 AS det_seq, 500.0 + vx * k AS cx, 400.0 + vy * k + (k % 3) * 2 AS cy, 24.0 AS w, 24.0 AS h, ((video + k * 3) % 40 + 20) / 64.0 AS conf FROM c WHERE (video + k * k) % 9 <> 4 AND k < 40
+UNION ALL SELECT video, k, 1, 500.0 + vx * (44 - k), 404.0 + vy * (36 - k), 32.0, 26.0, ((video * 3 + k * 7) % 40 + 20) / 64.0 FROM c WHERE (video + k) % 6 <> 2 OR k < 3
+UNION ALL SELECT video, k, 2, 508.0 + vx * k, 396.0 + vy * k, 20.0, 20.0, ((video * 11 + k) % 64) / 64.0 FROM c WHERE k % 4 = kind
+UNION ALL SELECT video, k, 3, 560.0 + (video * 13 + k * 29) % 400, 420.0 + (video * 7 + k * 17) % 160, 20.0, 20.0 + k % 30, ((video * 5 + k * 13) % 32 + 4) / 64.0 FROM c WHERE k % 3 = 1
+UNION ALL SELECT video, k, 4, 500.0 + vx * k, 400.0 + vy * k, CASE kind WHEN 0 THEN 6.0 WHEN 1 THEN 130.0 ELSE 24.0 END, CASE kind WHEN 0 THEN 6.0 WHEN 1 THEN 130.0 ELSE 60.0 END, 1.0 FROM c WHERE k % 2 = 0
+UNION ALL SELECT video, k, 5, 3000.0 + k * 3, 2000.0 - k * k, 40.0, 40.0, 0.75 FROM c WHERE k IN (5, 6 + kind))"""
+
+
+def _rivals(spark, sf_dir):
+    """Detections for each customer that contest each other: two balls that fly through each other with frames missing,
+    detections beside the first that merge with it or rival it, others at random places of all confidences and shapes, some
+    too small, too large or too long, and a ball that is seen twice."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video"), (F.col("c_custkey") % 5 + 3).alias("vx"), (F.col("c_nationkey") % 7 - 3).alias("vy"), (F.col("c_custkey") % 4).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(47))).alias("k"))
+    v, k, vx, vy, kind = (F.col(n) for n in ("video", "k", "vx", "vy", "kind"))
+    real = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
+
+    def seen(seq, keep, cx, cy, w, h, conf):
+        left, top = real(cx) - real(w) / 2, real(cy) - real(h) / 2
+        return c.where(keep).select("video", F.lit(seq).cast("long").alias("det_seq"), k.alias("frame"), left.alias("x"), top.alias("y"), real(w).alias("w"), real(h).alias("h"), real(conf).alias("conf"))
+
+    odd = F.when(kind == 0, 6.0).when(kind == 1, 130.0)
+    parts = [
+        seen(0, ((v + k * k) % 9 != 4) & (k < 40), 500 + vx * k, 400 + vy * k + (k % 3) * 2, 24, 24, ((v + k * 3) % 40 + 20) / 64),
+        seen(1, ((v + k) % 6 != 2) | (k < 3), 500 + vx * (44 - k), 404 + vy * (36 - k), 32, 26, ((v * 3 + k * 7) % 40 + 20) / 64),
+        seen(2, k % 4 == kind, 508 + vx * k, 396 + vy * k, 20, 20, ((v * 11 + k) % 64) / 64),
+        seen(3, k % 3 == 1, 560 + (v * 13 + k * 29) % 400, 420 + (v * 7 + k * 17) % 160, 20, 20 + k % 30, ((v * 5 + k * 13) % 32 + 4) / 64),
+        seen(4, k % 2 == 0, 500 + vx * k, 400 + vy * k, F.coalesce(odd, F.lit(24.0)), F.coalesce(odd, F.lit(60.0)), 1),
+        seen(5, (k == 5) | (k == 6 + kind), 3000 + k * 3, 2000 - k * k, 40, 40, 0.75),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+_NEAR = "sqrt((o.x - c[1].x) ** 2 + (o.y - c[1].y) ** 2) < 0.7 * greatest(o.d, c[1].d)"
+_LINKED = f"""{_RIVALS}, fit AS (SELECT *, (w + h) / 2 AS size FROM d WHERE conf >= 0.15 AND (w + h) / 2 BETWEEN 8 AND 100 AND greatest(w, h) / greatest(least(w, h), 1e-6) <= 1.7),
+g AS (SELECT video, frame, list([{{'x': CAST(cx AS DOUBLE), 'y': CAST(cy AS DOUBLE), 'd': CAST(size AS DOUBLE), 'conf': CAST(conf AS DOUBLE)}}] ORDER BY det_seq) AS c FROM fit GROUP BY ALL),
+m AS (SELECT video, frame, list_reduce(c, lambda a, c: CASE WHEN len(list_filter(a, lambda o: {_NEAR})) = 0 THEN a || c
+  ELSE list_transform(a, lambda o, i: CASE WHEN i = list_position(list_transform(a, lambda o: {_NEAR}), true) AND c[1].conf > o.conf THEN c[1] ELSE o END) END) AS c FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY frame) AS k FROM m),
+w AS (SELECT video, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS frame, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, vx DOUBLE, vy DOUBLE, last BIGINT, hits BIGINT)[]) AS open, CAST(0 AS BIGINT) AS made, CAST([] AS STRUCT(t BIGINT, j BIGINT)[]) AS got FROM (SELECT DISTINCT video FROM r)
+UNION ALL SELECT video, k, frame, list_transform(alive, lambda t, i: CASE WHEN len(list_filter(pairs, lambda p: p.i = i)) = 0 THEN t ELSE
+    {{'id': t.id, 'x': c[list_filter(pairs, lambda p: p.i = i)[1].j].x, 'y': c[list_filter(pairs, lambda p: p.i = i)[1].j].y,
+      'vx': CASE WHEN t.hits = 1 THEN 0 ELSE 0.5 * t.vx END + CASE WHEN t.hits = 1 THEN 1 ELSE 0.5 END * ((c[list_filter(pairs, lambda p: p.i = i)[1].j].x - t.x) / (frame - t.last)),
+      'vy': CASE WHEN t.hits = 1 THEN 0 ELSE 0.5 * t.vy END + CASE WHEN t.hits = 1 THEN 1 ELSE 0.5 END * ((c[list_filter(pairs, lambda p: p.i = i)[1].j].y - t.y) / (frame - t.last)),
+      'last': frame, 'hits': t.hits + 1}} END)
+    || list_transform(new, lambda j, n: {{'id': made + n - 1, 'x': c[j].x, 'y': c[j].y, 'vx': 0.0, 'vy': 0.0, 'last': frame, 'hits': 1}}),
+  made + len(new), list_transform(pairs, lambda p: {{'t': alive[p.i].id, 'j': p.j}}) || list_transform(new, lambda j, n: {{'t': made + n - 1, 'j': j}})
+  FROM (SELECT *, list_filter(range(1, len(c) + 1), lambda j: c[j].conf >= 0.3 AND NOT list_contains(list_transform(pairs, lambda p: p.j), j)) AS new FROM
+    (SELECT *, CASE WHEN len(all_pairs) = 0 THEN [] ELSE list_reduce(list_transform(list_sort(all_pairs), lambda p: [p]), lambda a, p: CASE WHEN len(list_filter(a, lambda q: q.i = p[1].i OR q.j = p[1].j)) = 0 THEN a || p ELSE a END) END AS pairs FROM
+      (SELECT *, list_filter(flatten(list_transform(range(1, len(alive) + 1), lambda i: list_transform(range(1, len(c) + 1), lambda j:
+          {{'cost': sqrt((c[j].x - (alive[i].x + alive[i].vx * (frame - alive[i].last))) ** 2 + (c[j].y - (alive[i].y + alive[i].vy * (frame - alive[i].last))) ** 2) /
+              (45 + 20 * (frame - alive[i].last - 1) + 1.5 * sqrt(alive[i].vx ** 2 + alive[i].vy ** 2) * (frame - alive[i].last)) - 0.3 * c[j].conf, 'i': i, 'j': j}}))), lambda p: p.cost + 0.3 * c[p.j].conf < 1) AS all_pairs FROM
+        (SELECT w.video, r.k, r.frame, r.c, w.made, list_filter(w.open, lambda t: r.frame - t.last <= 12) AS alive FROM w JOIN r ON r.video = w.video AND r.k = w.k + 1)))))"""
+
+
+@query(f"""WITH RECURSIVE {_LINKED}, t AS (SELECT video, frame, k, unnest(got) AS g FROM w), x AS (SELECT t.video, g.t AS track, t.frame, r.c[g.j] AS c FROM t JOIN r ON r.video = t.video AND r.k = t.k)
+SELECT video, track, CAST(frame AS INTEGER) AS frame, c.x AS x, c.y AS y, c.d AS size, c.conf AS conf FROM x WINDOW t AS (PARTITION BY video, track) QUALIFY count(*) OVER t >= 4 OR count(*) OVER t >= 2 AND max(c.conf) OVER t >= 0.6""")
+def s1_contested_tracks(spark, sf_dir):
+    return tracking.link_tracks(tracking.candidates(_rivals(spark, sf_dir)))

@@ -69,14 +69,17 @@ def read_mot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.size(f) >= 6).select(real(0).cast("int").alias("frame"), real(1).cast("int").alias("track_id"), *(real(k + 2).alias(n) for k, n in enumerate("xywh")), F.coalesce(F.get(f, F.lit(6)).try_cast("double"), F.lit(1.0)).alias("score"))
 
 
+# Fixed values of the game-flow format: a row's first field, and an "id: number" pair.
+FLOW_HEAD, FLOW_PAIR = r"^\s*(\d+)\s*\((.*)\)\s*$", r"(\d+)\s*:\s*(\d+)"
+
+
 def read_flow(spark: SparkSession, path: str) -> DataFrame:
-    """Game-flow rows `frame (label), jersey pairs, sides`; other rows are left out. Sides are split at the first ';'."""
-    pattern = r"^\s*(\d+)\s*\((.*)\)\s*$"
-    rows = spark.read.option("multiLine", True).csv(path, schema="c0 string, c1 string, c2 string, c3 string").where(F.col("c0").rlike(pattern))
-    text = F.coalesce("c3", "c2", F.lit(""))
-    sides = F.split(text, ";", 2)
-    jersey = F.when(F.col("c1").rlike(r"\d+\s*:\s*\d+"), F.col("c1")).otherwise(F.coalesce("c2", F.lit("")))
-    return rows.select(F.regexp_extract("c0", pattern, 1).cast("int").alias("frame"), F.trim(F.regexp_replace(F.regexp_extract("c0", pattern, 2), r"\s+", " ")).alias("label"), pairs_in(jersey).alias("jersey"), integers_in(F.get(sides, F.lit(0))).alias("offense"), integers_in(F.coalesce(F.get(sides, F.lit(1)), F.lit(""))).alias("defense"))
+    """Game-flow rows `frame (label), jersey pairs, sides`; other rows are left out. The third field, the sides, is split at
+    its first ';'; rows without it have no sides."""
+    rows = spark.read.option("multiLine", True).option("ignoreLeadingWhiteSpace", True).csv(path, schema="c0 string, c1 string, c2 string").where(F.col("c0").rlike(FLOW_HEAD))
+    side = lambda k: integers_in(F.coalesce(F.get(F.split("c2", ";", 2), F.lit(k)), F.lit("")))
+    label = F.trim(F.regexp_replace(F.regexp_extract("c0", FLOW_HEAD, 2), r"\s+", " "))
+    return rows.select(F.regexp_extract("c0", FLOW_HEAD, 1).cast("int").alias("frame"), label.alias("label"), pairs_in(F.coalesce("c1", F.lit(""))).alias("jersey"), side(0).alias("offense"), side(1).alias("defense"))
 
 
 def team_membership(flow: DataFrame, by: list[str]) -> DataFrame:
