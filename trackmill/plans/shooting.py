@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.functions import court, geometry
+from trackmill.functions import court, geometry, values
 from trackmill.operators import analysis, composites, datasets, matching, models, persons, shots, spatial, tracking
 from trackmill.plans.registry import _E, _PAIRS, QUERIES, SQL, _P, _R, _probabilities, _read, _share, query  # noqa: F401
 
@@ -420,3 +420,52 @@ UNION ALL SELECT video, k, frame, list_transform(alive, lambda t, i: CASE WHEN l
 SELECT video, track, CAST(frame AS INTEGER) AS frame, c.x AS x, c.y AS y, c.d AS size, c.conf AS conf FROM x WINDOW t AS (PARTITION BY video, track) QUALIFY count(*) OVER t >= 4 OR count(*) OVER t >= 2 AND max(c.conf) OVER t >= 0.6""")
 def s1_contested_tracks(spark, sf_dir):
     return tracking.link_tracks(tracking.candidates(_rivals(spark, sf_dir)))
+
+
+_TRIALS = "e AS (SELECT event_type AS fold, CAST(value > 40 AS INTEGER) AS x1, user_id % 2 AS x2, CAST((event_id * 7919) % 1000 < 250 + CASE WHEN value > 40 THEN 350 ELSE 0 END + 200 * (user_id % 2) AS INTEGER) AS y FROM events), c AS (SELECT fold, x1, x2, count(*) AS n, sum(y) AS y FROM e GROUP BY ALL), t AS (SELECT x1, x2, sum(n) AS n, sum(y) AS y FROM c GROUP BY ALL)"
+
+
+def _trials(spark, sf_dir):
+    """Events with two traits and their product, so that a model without a penalty gives each cell its own share of successes."""
+    a, b = (F.col("value") > 40).cast("int"), (F.col("user_id") % 2).cast("int")
+    rows = _read(spark, sf_dir, "events").select(F.col("event_type").alias("fold"), a.alias("x1"), b.alias("x2"), ((F.col("event_id") * 7919) % 1000 < 250 + 350 * a + 200 * b).cast("int").alias("y"))
+    return rows.withColumn("x", F.array(*(F.col(c).cast("double") for c in ("x1", "x2")), (F.col("x1") * F.col("x2")).cast("double")))
+
+
+@query(f"WITH {_TRIALS} SELECT c.fold, c.x1, CAST(c.x2 AS INTEGER) AS x2, round((t.y - c.y) / (t.n - c.n), 6) AS prob FROM c JOIN t ON c.x1 = t.x1 AND c.x2 = t.x2 UNION ALL SELECT 'all', x1, CAST(x2 AS INTEGER), round(y / n, 6) FROM t")
+def m1_fit_by_fold(spark, sf_dir):
+    rows = _trials(spark, sf_dir)
+    fitted = models.fit_by_fold(rows, "fold", "x", "y", penalty=0.0)
+    cells, x = rows.select("x1", "x2", "x").distinct(), F.col("x")
+    scored = [cells.select(F.lit("all" if f is ... else f).alias("fold"), "x1", "x2", _R(values.logistic([F.get(x, F.lit(i)) for i in range(3)], m["mean"], m["std"], m["w"], m["b"]), 6).alias("prob")) for f, m in fitted.items()]
+    return functools.reduce(DataFrame.unionByName, scored)
+
+
+@query(f"WITH {_TRIALS} SELECT c.fold, CAST(sum(c.n) AS BIGINT) AS n, CAST(sum(CASE WHEN (t.y - c.y) / (t.n - c.n) > 0.5 THEN c.y ELSE c.n - c.y END) AS BIGINT) AS \"right\" FROM c JOIN t ON c.x1 = t.x1 AND c.x2 = t.x2 GROUP BY c.fold")
+def m2_leave_one_out(spark, sf_dir):
+    return models.leave_one_out(_trials(spark, sf_dir), "fold", "x", "y", penalty=0.0)
+
+
+_COLOURS = """c AS (SELECT c_custkey AS id, c_custkey % 37 = 5 AS stray, CASE WHEN c_custkey % 37 = 5 OR c_custkey % 2 = 0 THEN 3 ELSE 11 END AS hue, (c_custkey % 20) / 20.0 AS saturated FROM customer),
+b AS (SELECT *, unnest(range(0, 72)) AS i FROM c), v AS (SELECT *, CASE WHEN stray AND i // 4 = 7 THEN 40 + i % 4 WHEN i // 4 = hue THEN 1 + (id * (i % 4 + 1)) % 7 WHEN i // 4 = hue + 1 AND NOT stray THEN 1 ELSE 0 END AS m FROM b),
+u AS (SELECT id, hue, saturated, i, sqrt(m / sum(m) OVER (PARTITION BY id)) AS v FROM v), k AS (SELECT hue, i, avg(v) AS v FROM u GROUP BY ALL),
+f AS (SELECT u.id, u.saturated, k.hue, sqrt(sum((u.v - k.v) ** 2)) AS d FROM u JOIN k ON k.i = u.i GROUP BY ALL), n AS (SELECT id, saturated, min(d) AS d, arg_min(hue, d) AS hue FROM f GROUP BY ALL)"""
+
+
+def _colours(spark, sf_dir):
+    """A colour vector for each customer: hues of one of two groups, or mostly of a third one; and a share of saturated pixels."""
+    k = F.col("c_custkey")
+    stray = k % 37 == 5
+    hue = F.when(stray | (k % 2 == 0), 3).otherwise(11)
+    mass = lambda i: F.when(stray & (F.floor(i / 4) == 7), 40 + i % 4).when(F.floor(i / 4) == hue, 1 + (k * (i % 4 + 1)) % 7).when((F.floor(i / 4) == hue + 1) & ~stray, 1).otherwise(0).cast("double")
+    rows = _read(spark, sf_dir, "customer").select(k.alias("id"), (F.col("c_custkey") % 20 / 20.0).alias("saturated"), F.transform(F.sequence(F.lit(0), F.lit(71)), mass).alias("m"))
+    total = F.aggregate("m", F.lit(0.0), lambda s, x: s + x)
+    return rows.select("id", "saturated", F.transform("m", lambda x: F.sqrt(x / total)).alias("v"))
+
+
+@query(f"WITH {_COLOURS} SELECT id, CASE WHEN saturated < 0.15 OR d > 1.25 * (SELECT quantile_cont(d, 0.975) FROM n) THEN '?' WHEN hue = 3 THEN 'A' ELSE 'B' END AS team, round(d, 6) AS d FROM n")
+def m3_team_colours(spark, sf_dir):
+    rows = _colours(spark, sf_dir)
+    model = models.team_colours(rows, "v")
+    far = F.least(*(F.sqrt(values.squared_distance(F.col("v"), F.array(*(F.lit(x) for x in c)))) for c in model["centres"]))
+    return rows.select("id", models.team_of(F.col("v"), F.col("saturated"), model).alias("team"), _R(far, 6).alias("d"))
