@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_operators import flight
 from trackmill.functions.court import court
 from trackmill.operators import analysis
+from trackmill.operators.common import Stages
 from trackmill.operators.shots import detect_shots
 from trackmill.sources import readers
 
@@ -32,7 +33,8 @@ def test_analyze_and_its_files(spark, tmp_path):
     detections, persons, cameras = parts(spark)
     crops = persons.select("video", "track", "frame", F.when(F.col("track") == 1, F.array(F.lit(0.9), F.lit(0.1))).otherwise(F.array(F.lit(0.2), F.lit(0.8))).alias("probs"))
     started = time.time()
-    events = analysis.analyze(detections, persons, cameras, "fiba_3x3", fps=30.0, crops=crops, numbers=[7, 12])
+    stages = Stages()
+    events = analysis.analyze(detections, persons, cameras, "fiba_3x3", fps=30.0, crops=crops, numbers=[7, 12], stages=stages)
     assert events.columns == ["video", *readers.EVENT_COLUMNS]
     got = {(r.video, r.event_id): r for r in events.collect()}
     assert sorted(got) == [("v", 0), ("v", 1), ("w", 0)]
@@ -46,10 +48,12 @@ def test_analyze_and_its_files(spark, tmp_path):
     assert empty.count() == 0
 
     path = str(tmp_path / "run")
-    analysis.write_run(events, path, {"rules": "3x3", "standard": "fiba_3x3"}, started)
+    analysis.write_run(events, path, {"rules": "3x3", "standard": "fiba_3x3"}, started, stages)
     assert readers.read_events(spark, f"{path}/events").count() == 3
     log = {r.video: r for r in spark.read.json(f"{path}/run_log").collect()}
     assert (log["v"].n_shots, log["w"].n_shots) == (2, 1) and log["v"].settings.rules == "3x3" and log["v"].processing_s > 0
+    assert [(s.stage, s.n_rows) for s in log["v"].stages if s.stage != "track"] == [("shots", 3), ("shooters", 3), ("events", 3), ("outputs", 3)]
+    assert all(s.seconds > 0 for s in log["w"].stages) and log["v"].stages[0].n_rows >= 150
     assert [(n.team, n.player) for n in log["v"].numbers] == [("A", "7"), ("B", "12")]
     stats = {r.video: json.loads(r.value) for r in spark.read.text(f"{path}/stats").collect()}
     assert stats["v"]["rules"] == "3x3" and stats["v"]["total"]["overall"]["attempts"] == 2 and sorted(stats["v"]["teams"]) == ["A", "B"]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -34,3 +36,20 @@ def scratch(spark: SparkSession) -> str:
 def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Stages:
+    """Written tables with a record of each: its seconds and rows, counted while it is written, without a job of its own."""
+
+    def __init__(self):
+        self.records: list[tuple[str, float, int]] = []
+
+    def written(self, name: str, df: DataFrame, path: str) -> DataFrame:
+        seen, start = Observation(name), time.monotonic()
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("n_rows")), path)
+        self.records.append((name, round(time.monotonic() - start, 3), seen.get["n_rows"]))
+        return out
+
+    def lap(self, name: str, start: float, rows: int) -> None:
+        """A stage that isn't a table: started at time.monotonic() `start`."""
+        self.records.append((name, round(time.monotonic() - start, 3), rows))
