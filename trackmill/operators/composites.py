@@ -53,6 +53,58 @@ def held_before(shots: DataFrame, persons: DataFrame, track: DataFrame, balls: D
     return possession(asked, persons.where("track >= 0").select("video", "frame", "track", "box"), ["video", "frame"], "track", "box", F.col("px"), F.col("py"), by=["shot"])
 
 
+CHOICE_FEATURES = ["d_near", "d_late", "d_min", "held_short", "held_long", "ball_above", "x_off", "jump", "rel_height", "is_nearest"]
+
+
+def choice_features(shots: DataFrame, persons: DataFrame, track: DataFrame, balls: DataFrame | None = None, most: int = 5, least: float = 0.15) -> DataFrame:
+    """(video, shot, track, features): CHOICE_FEATURES of the `most` players whose hands are nearest to the ball until 18
+    frames after a release, for a model that ranks them (models.fit_choice, models.ranked_by_choice).
+
+    At a frame a player has the first box that is at most one frame away. Distances are near_release's: its median of 9
+    frames (3 if unseen), the median from the 9th to the 18th, the least of all 18. Held: the share of sampled frames before
+    the release in which a ball, tracked or (balls) a raw detection, lies in the box, over 15 and from 45 to 15 frames.
+    Then the ball's height above the box and its distance aside until the 12th frame, in box sizes; how far the feet rise
+    above where they were 6 frames before; the median height of the boxes against the tallest candidate; and 1 for the nearest.
+
+    One range join takes each candidate's boxes from 46 frames before a release to 19 after it; all else is joined by video
+    and frame, and summed up by shot and player.
+    """
+    near9 = near_release(shots, persons, track).select(*SHOT, "track", F.col("dist").alias("near"))
+    wide = near_release(shots, persons, track, ahead=18)
+    order = Window.partitionBy(*SHOT)
+    cands = wide.withColumn("k", F.row_number().over(order.orderBy("dist", "track"))).where(F.col("k") <= most).join(shots.select(*SHOT, "release"), SHOT)
+    cands = cands.select(*SHOT, "track", "k", F.col("release").cast("long").alias("release")).join(near9, [*SHOT, "track"], "left")
+    first = F.row_number().over(order.orderBy(F.coalesce("near", F.lit(9.0)), "k")) == 1
+    cands = cands.select(*SHOT, "track", "release", F.coalesce("near", F.lit(3.0)).alias("near"), first.cast("double").alias("first"))
+    own = band_join(cands.select(*SHOT, "track", "release"), persons.select("video", "track", F.col("frame").cast("long").alias("seen"), "box"), ["video", "track"], "release", "seen", 46, 19)
+    tall = own.where(F.col("seen").between(F.col("release") - 6, F.col("release") + 18)).groupBy(*SHOT, "track").agg(F.median("box.h").alias("tall"))
+    boxes = own.withColumn("frame", F.explode(F.array(*(F.col("seen") + d for d in (-1, 0, 1))))).groupBy(*SHOT, "track", "release", "frame").agg(F.min_by("box", "seen").alias("box"))
+    boxes = boxes.withColumn("at", F.col("frame") - F.col("release")).where(F.col("at").between(-45, 18))
+    there = track.where("x is not null and y is not null").select("video", F.col("frame").cast("long").alias("frame"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    points = there.select("video", "frame", F.col("bx").alias("px"), F.col("by").alias("py"))
+    if balls is not None:
+        points = points.unionByName(balls.where(F.col("conf") >= least).select("video", F.col("frame").cast("long").alias("frame"), (F.col("x") + F.col("w") / 2).alias("px"), (F.col("y") + F.col("h") / 2).alias("py")))
+    b = F.col("box")
+    inside = F.col("px").between(b["x"] - 0.1 * b["w"], b["x"] + 1.1 * b["w"]) & F.col("py").between(b["y"] - 0.1 * b["h"], b["y"] + 0.8 * b["h"])
+    sampled = boxes.where((F.col("at") <= 3) & (F.pmod("frame", F.lit(3)) == 0))
+    held = sampled.join(points, ["video", "frame"], "left").groupBy(*SHOT, "track", "frame", "at").agg(F.coalesce(F.max(inside), F.lit(False)).alias("has"))
+    share = lambda a, z: F.coalesce(F.try_divide(F.count_if(F.col("at").between(a, z) & F.col("has")), F.count_if(F.col("at").between(a, z))), F.lit(0.0))
+    held = held.groupBy(*SHOT, "track").agg(share(-15, 3).alias("short"), share(-45, -15).alias("long"))
+    met = boxes.where("at >= -6").join(there, ["video", "frame"], "left").withColumn("d", F.when(F.col("bx").isNotNull() & (F.col("at") >= 0), hand_distance(F.col("bx"), F.col("by"), b)))
+    early = F.col("d").isNotNull() & (F.col("at") <= 12)
+    feet = b["y"] + b["h"]
+    sums = met.groupBy(*SHOT, "track").agg(
+        F.median(F.when(F.col("at") >= 9, F.col("d"))).alias("late"), F.min("d").alias("least"), F.avg(F.when(early, (b["y"] - F.col("by")) / b["h"])).alias("above"), F.avg(F.when(early, F.abs(F.col("bx") - (b["x"] + b["w"] / 2)) / b["w"])).alias("aside"),
+        F.max(F.when(F.col("at") == -6, F.struct(feet.alias("feet"), b["h"].alias("h")))).alias("before"), F.min(F.when(F.col("at").between(0, 15), feet)).alias("highest"),
+    )
+    rows = cands.join(sums, [*SHOT, "track"], "left").join(held, [*SHOT, "track"], "left").join(tall, [*SHOT, "track"], "left")
+    jump = (F.col("before.feet") - F.col("highest")) / F.col("before.h")
+    height = F.try_divide(F.col("tall"), F.max("tall").over(order))
+    columns = [F.col("near"), (F.col("late"), 3.0), (F.col("least"), 3.0), (F.col("short"), 0.0), (F.col("long"), 0.0), (F.col("above"), -1.0), (F.col("aside"), 2.0), (jump, 0.0), (height, 1.0), F.col("first")]
+    features = F.array(*(F.coalesce(c[0], F.lit(c[1])) if isinstance(c, tuple) else c for c in columns))
+    return rows.select(*SHOT, "track", features.alias("features"))
+
+
 def _floor(rows: DataFrame, persons: DataFrame, h, at: str, reach: int) -> DataFrame:
     """rows (video, shot, track, at) with frame, fx, fy: the track's place on the floor at the nearest frame within reach."""
     p = project(h, foot_point(F.col("box"))["x"], foot_point(F.col("box"))["y"])

@@ -469,3 +469,23 @@ def m3_team_colours(spark, sf_dir):
     model = models.team_colours(rows, "v")
     far = F.least(*(F.sqrt(values.squared_distance(F.col("v"), F.array(*(F.lit(x) for x in c)))) for c in model["centres"]))
     return rows.select("id", models.team_of(F.col("v"), F.col("saturated"), model).alias("team"), _R(far, 6).alias("d"))
+
+
+_FEATURES = """cand AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY video, shot ORDER BY round(dist, 9), track) AS k FROM
+    (SELECT s.video, s.shot, s.release, p.track, median(sqrt(greatest(0, abs(bx - (x + w / 2)) - w / 2) ** 2 + (greatest(0, bv - (y + 0.45 * h)) + greatest(0, (y - 0.4 * h) - bv)) ** 2) / h) AS dist FROM s JOIN b ON b.video = s.video AND b.frame BETWEEN release - release % 3 AND release + 18 JOIN p ON p.video = b.video AND p.frame = b.frame GROUP BY ALL) c) WHERE k <= 5),
+c AS (SELECT cand.*, near.dist AS near, row_number() OVER (PARTITION BY cand.video, cand.shot ORDER BY coalesce(round(near.dist, 9), 9), k) = 1 AS lead FROM cand LEFT JOIN near ON near.video = cand.video AND near.shot = cand.shot AND near.track = cand.track),
+own AS (SELECT c.video, c.shot, c.track, c.release, p.frame AS seen, x, y, w, h FROM c JOIN p ON p.video = c.video AND p.track = c.track AND p.frame BETWEEN release - 46 AND release + 19),
+tall AS (SELECT video, shot, track, median(h) AS tall FROM own WHERE seen BETWEEN release - 6 AND release + 18 GROUP BY ALL),
+bx AS (SELECT *, seen + unnest([-1, 0, 1]) AS frame FROM own), box AS (SELECT *, frame - release AS d FROM bx WHERE frame - release BETWEEN -45 AND 18 QUALIFY row_number() OVER (PARTITION BY video, shot, track, frame ORDER BY seen) = 1),
+m AS (SELECT box.*, b.bx, b.bv, CASE WHEN d >= 0 AND bx IS NOT NULL THEN sqrt(greatest(0, abs(bx - (x + w / 2)) - w / 2) ** 2 + (greatest(0, bv - (y + 0.45 * h)) + greatest(0, (y - 0.4 * h) - bv)) ** 2) / h END AS dist,
+  coalesce(bx BETWEEN x - 0.1 * w AND x + 1.1 * w AND bv BETWEEN y - 0.1 * h AND y + 0.8 * h, false) AS has FROM box LEFT JOIN b ON b.video = box.video AND b.frame = box.frame),
+ft AS (SELECT video, shot, track, median(dist) FILTER (d >= 9) AS late, min(dist) AS least, avg((y - bv) / h) FILTER (d BETWEEN 0 AND 12) AS above, avg(abs(bx - (x + w / 2)) / w) FILTER (d BETWEEN 0 AND 12) AS aside,
+  (max(y + h) FILTER (d = -6) - min(y + h) FILTER (d BETWEEN 0 AND 15)) / max(h) FILTER (d = -6) AS jump,
+  count(*) FILTER (has AND frame % 3 = 0 AND d BETWEEN -15 AND 3) / nullif(count(*) FILTER (frame % 3 = 0 AND d BETWEEN -15 AND 3), 0) AS short, count(*) FILTER (has AND frame % 3 = 0 AND d BETWEEN -45 AND -15) / nullif(count(*) FILTER (frame % 3 = 0 AND d BETWEEN -45 AND -15), 0) AS long FROM m GROUP BY ALL)"""
+
+
+@query(f"""WITH {_BASE}, {_FEATURES} SELECT c.video, c.shot, c.track, round(coalesce(near, 3), 6) AS d_near, round(coalesce(late, 3), 6) AS d_late, round(coalesce(least, 3), 6) AS d_min, round(coalesce(short, 0), 6) AS held_short, round(coalesce(long, 0), 6) AS held_long, round(coalesce(above, -1), 6) AS ball_above, round(coalesce(aside, 2), 6) AS x_off,
+round(coalesce(jump, 0), 6) AS jump, round(coalesce(tall / max(tall) OVER (PARTITION BY c.video, c.shot), 1), 6) AS rel_height, CAST(lead AS DOUBLE) AS is_nearest FROM c LEFT JOIN ft ON ft.video = c.video AND ft.shot = c.shot AND ft.track = c.track LEFT JOIN tall ON tall.video = c.video AND tall.shot = c.shot AND tall.track = c.track""")
+def m4_choice_features(spark, sf_dir):
+    found = composites.choice_features(_shots(spark, sf_dir), _persons(spark, sf_dir), _ball(spark, sf_dir))
+    return found.select("video", "shot", "track", *(_R(F.get("features", F.lit(i)), 6).alias(n) for i, n in enumerate(composites.CHOICE_FEATURES)))
