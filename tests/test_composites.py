@@ -128,3 +128,27 @@ def test_keypoints_and_video_info(spark, tmp_path):
     (tmp_path / "i.json").write_text(json.dumps({"streams": [{"codec_type": "audio"}, {"codec_type": "video", "codec_name": "hevc", "width": 3840, "height": 2160, "r_frame_rate": "30000/1001"}], "format": {"duration": "10.0"}}))
     r = readers.read_video_info(spark, str(tmp_path / "i.json")).first()
     assert (r.width, r.codec, r.n_frames, r.duration_s) == (3840, "hevc", 300, 10.0) and r.fps == pytest.approx(29.97003)
+
+
+def test_areas_and_torsos():
+    r = np.random.default_rng(2)
+    for high, wide, h, w in ((10, 7, 4, 3), (12, 12, 3, 4), (5, 9, 5, 9), (3, 2, 7, 5)):
+        image = r.integers(0, 256, (high, wide, 3)).astype(np.uint8)
+        fine = np.kron(image, np.ones((h, w, 1))).reshape(h, high, w, wide, 3).mean((1, 3))  # each pixel as h x w parts
+        assert np.abs(pixels.area_means(image, h, w).astype(float) - fine).max() <= 0.5 + 1e-9
+    frame = r.integers(0, 256, (300, 200, 3)).astype(np.uint8)
+    torso = pixels.torso_image(frame, -5.0, 100.0, 60.0, 150.0)
+    assert (torso == pixels.letterbox(frame[122:182, 0:55])).all()
+    assert pixels.torso_image(frame, 0.0, 0.0, 7.0, 100.0) is None and pixels.torso_image(frame, 0.0, 0.0, 100.0, 10.0) is None
+    assert pixels.letterbox(frame[:0]).tolist() == [[[114] * 3] * 128] * 128
+
+
+def test_moving_pixels(spark):
+    orange, black = [0, 128, 255], [0, 0, 0]
+    pictures = {0: [orange, black, black], 1: [black, orange, black], 2: [black, orange, orange], 4: [orange, orange, black], 5: None, 6: [orange] * 3}
+    rows = [("v", f, None if p is None else bytes(x for c in p for x in c), 1, 3) for f, p in pictures.items()] + [("v", 7, bytes(orange * 2), 1, 2), (None, 1, None, 1, 1)]
+    df = spark.createDataFrame(rows, "video string, frame int, image binary, height int, width int")
+    for piece in (1, 2, 3, 900):
+        assert {r.frame: r.score for r in pixels.moving_score(df, piece=piece).collect()} == {0: 0, 1: 1, 2: 1, 4: 0, 5: 0, 6: 0, 7: 0}
+    assert {r.frame: r.score for r in pixels.moving_score(df, step=2, piece=3).collect()} == {0: 0, 1: 0, 2: 2, 4: 1, 5: 0, 6: 1, 7: 0}
+    assert pixels.moving_score(df.limit(0)).count() == 0

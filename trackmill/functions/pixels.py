@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bins and limits of a colour vector; hue runs to 180, saturation and brightness to 255.
@@ -47,19 +48,77 @@ def court_hue(bgr: np.ndarray) -> float | None:
     return float(np.median(coloured)) if len(bgr) and len(coloured) >= 0.3 * len(bgr) else None
 
 
-def letterbox(bgr: np.ndarray, size: int, fill: int = 114) -> np.ndarray:
-    """The image scaled to fit a square, by nearest pixels, in the middle of an even grey."""
+def area_means(image: np.ndarray, high: int, wide: int) -> np.ndarray:
+    """The image at another size: each new pixel is the mean of the area that it covers, parts of pixels by their share.
+
+    Sums up to each place, also between two pixels, come from running sums; an area's is a difference of two, first along
+    the rows and then along the columns.
+    """
+    out = image.astype(float)
+    for axis, size in ((0, high), (1, wide)):
+        n = out.shape[axis]
+        upto = np.concatenate([np.zeros_like(out.take([0], axis)), np.cumsum(out, axis)], axis)
+        edges = np.arange(size + 1) * (n / size)
+        whole = np.minimum(edges.astype(int), n - 1)
+        part = (edges - whole).reshape([-1 if k == axis else 1 for k in range(out.ndim)])
+        out = np.diff(upto.take(whole, axis) + part * out.take(whole, axis), axis=axis) * (size / n)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def letterbox(bgr: np.ndarray, size: int = 128, fill: int = 114) -> np.ndarray:
+    """The image scaled by areas to fit a square, in the middle of an even grey."""
     out = np.full((size, size, 3), fill, np.uint8)
     if bgr.size:
-        high, wide = bgr.shape[:2]
-        scale = size / max(high, wide)
-        h, w = max(1, round(high * scale)), max(1, round(wide * scale))
-        rows, cols = np.minimum(((np.arange(h) + 0.5) / scale).astype(int), high - 1), np.minimum(((np.arange(w) + 0.5) / scale).astype(int), wide - 1)
+        scale = size / max(bgr.shape[:2])
+        h, w = (max(1, round(n * scale)) for n in bgr.shape[:2])
         top, left = (size - h) // 2, (size - w) // 2
-        out[top : top + h, left : left + w] = bgr[rows][:, cols]
+        out[top : top + h, left : left + w] = area_means(bgr, h, w)
     return out
 
 
+def torso_image(bgr: np.ndarray, x: float, y: float, w: float, h: float, size: int = 128) -> np.ndarray | None:
+    """The square picture of a person's torso (the band from 0.15 to 0.55 of the box's height); null under 8 pixels."""
+    left, top, right, down = max(0, int(x)), max(0, int(y + 0.15 * h)), min(bgr.shape[1], int(x + w)), min(bgr.shape[0], int(y + 0.55 * h))
+    return None if right - left < 8 or down - top < 8 else letterbox(bgr[top:down, left:right], size)
+
+
+# Fixed values of the search for a flying ball: hues, least saturation and brightness of its colour, and least change of grey.
+BALL_HUES, BALL_SATURATION, BALL_VALUE, GREY_CHANGE = (3, 20), 130, 80, 25
+GREY = (1868, 9617, 4899)  # fixed values: weights of blue, green and red in grey, in parts of 2^14
+
+
+def moving_pixels(bgr: np.ndarray, before: np.ndarray | None) -> int:
+    """How many pixels have the ball's colour and another grey than in the frame before."""
+    if before is None or before.shape != bgr.shape:
+        return 0
+    h, s, v = np.moveaxis(hsv(bgr), -1, 0)
+    grey = lambda x: (x.astype(np.int32) @ np.array(GREY, np.int32) + (1 << 13)) >> 14
+    coloured = (h >= BALL_HUES[0]) & (h <= BALL_HUES[1]) & (s >= BALL_SATURATION) & (v >= BALL_VALUE)
+    return int((coloured & (np.abs(grey(bgr) - grey(before)) > GREY_CHANGE)).sum())
+
+
+def moving_score(frames: DataFrame, step: int = 1, piece: int = 900) -> DataFrame:
+    """(video, frame, score) of frames (video, frame, image, height, width): moving_pixels against the frame `step` before, 0
+    if that is missing, null or of another size.
+
+    A window hands each frame the one before it; so that a long video is many tasks, its frames are cut into pieces, and
+    the last frame of a piece also stands at the head of the next one. Frames whose video or number is null are left out.
+    """
+    rows = frames.where(F.col("video").isNotNull() & F.col("frame").isNotNull()).withColumn("_piece", F.floor(F.col("frame") / piece))
+    heads = rows.withColumns({"_piece": F.floor((F.col("frame") + step) / piece), "_head": F.lit(True)}).where(F.col("_piece") != F.floor(F.col("frame") / piece))
+    both = rows.withColumn("_head", F.lit(False)).unionByName(heads)
+    there = Window.partitionBy("video", "_piece").orderBy("frame").rangeBetween(-step, -step)
+    old = both.withColumn("_old", F.last(F.struct("image", "height", "width")).over(there)).where(~F.col("_head"))
+    pairs = old.withColumn("_before", F.when((F.col("_old.height") == F.col("height")) & (F.col("_old.width") == F.col("width")), F.col("_old.image")))
+
+    @F.pandas_udf("long")
+    def score(data: pd.Series, old: pd.Series, high: pd.Series, wide: pd.Series) -> pd.Series:
+        image = lambda d, h, w: np.frombuffer(d, np.uint8).reshape(int(h), int(w), 3)
+        return pd.Series([0 if d is None or o is None else moving_pixels(image(d, h, w), image(o, h, w)) for d, o, h, w in zip(data, old, high, wide)], dtype="int64")
+
+    return pairs.select("video", "frame", score("image", "_before", "height", "width").alias("score"))
+
+
 def colour_column(image: str, height: str, width: str, hue: str | None = None):
     """A struct (vector, share) for each image of a frame; a null image has no vector and share 0."""
 

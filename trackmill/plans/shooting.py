@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.functions import court, geometry, values
+from trackmill.functions import court, geometry, pixels, values
 from trackmill.operators import analysis, composites, datasets, matching, models, persons, shots, spatial, tracking
 from trackmill.plans.registry import _E, _PAIRS, QUERIES, SQL, _P, _R, _probabilities, _read, _share, query  # noqa: F401
 
@@ -489,3 +489,32 @@ round(coalesce(jump, 0), 6) AS jump, round(coalesce(tall / max(tall) OVER (PARTI
 def m4_choice_features(spark, sf_dir):
     found = composites.choice_features(_shots(spark, sf_dir), _persons(spark, sf_dir), _ball(spark, sf_dir))
     return found.select("video", "shot", "track", *(_R(F.get("features", F.lit(i)), 6).alias(n) for i, n in enumerate(composites.CHOICE_FEATURES)))
+
+
+_PIXELS = """v AS (SELECT s_suppkey AS video, unnest(range(0, 24)) AS frame FROM supplier), f AS (SELECT * FROM v WHERE (video + frame * frame) % 11 <> 3), x AS (SELECT video, frame, unnest(range(0, 64)) AS p FROM f),
+c AS (SELECT video, frame, p, CASE WHEN (p * 5 + video) % 3 = 0 AND video % 4 = 0 THEN 2 ELSE (p * 7 + frame * (video % 5 + 1) + video) % 4 END AS c FROM x)"""
+
+
+def _pictures(spark, sf_dir):
+    """Pictures of 8 x 8 pixels in four colours (orange, dim orange, green, black), 24 a supplier, some of them missing."""
+    rows = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("video"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("frame"))
+    rows = rows.where((F.col("video") + F.col("frame") * F.col("frame")) % 11 != 3)
+    v, f = F.col("video"), F.col("frame")
+    kind = lambda p: F.when(((p * 5 + v) % 3 == 0) & (v % 4 == 0), 2).otherwise((p * 7 + f * (v % 5 + 1) + v) % 4).cast("int")
+    inks = F.array(*(F.lit(x) for x in ("0080FF", "00468C", "00FF00", "000000")))
+    image = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.element_at(inks, kind(p) + 1)), ""))
+    return rows.select("video", "frame", image.alias("image"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+
+
+@query(f"""WITH {_PIXELS}, g AS (SELECT *, [152, 83, 150, 0][c + 1] AS g FROM c)
+SELECT f.video, f.frame, count(*) FILTER (a.c < 2 AND abs(a.g - b.g) > 25) AS score FROM f LEFT JOIN g a ON a.video = f.video AND a.frame = f.frame LEFT JOIN g b ON b.video = a.video AND b.frame = a.frame - 1 AND b.p = a.p GROUP BY ALL""")
+def w11_moving_colour(spark, sf_dir):
+    return pixels.moving_score(_pictures(spark, sf_dir), piece=7)
+
+
+@query(f"""WITH {_PIXELS}, n AS (SELECT video, frame, count(*) FILTER (c < 3) AS n, count(*) FILTER (c < 2) AS orange, count(*) FILTER (c = 2) AS green FROM c GROUP BY ALL)
+SELECT video, frame, n / 64 AS share, CASE WHEN n >= 20 THEN round(sqrt(orange / n), 6) END AS orange, CASE WHEN n >= 20 THEN round(sqrt(green / n), 6) END AS green FROM n""")
+def h16_colour_vectors(spark, sf_dir):
+    rows = _pictures(spark, sf_dir).select("video", "frame", pixels.colour_column("image", "height", "width").alias("c"))
+    at = lambda k: _R(F.get("c.vector", F.lit(k)), 6)
+    return rows.select("video", "frame", "c.share", at(7).alias("orange"), at(27).alias("green"))
