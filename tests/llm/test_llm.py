@@ -306,12 +306,18 @@ def test_unigram_counts(docs, rows, nothing):
 
     counter = tokencount.UnigramCounter(pieces)
     tried = ["".join(p) for n in range(1, 6) for p in itertools.product("abé", repeat=n)]
-    assert counter.count([[w.encode()] for w in tried]) == [brute(w) for w in tried]
+    assert counter.counts(tried) == [brute(w) for w in tried]
+    sharing = tokencount.UnigramCounter(pieces)
+    assert sharing.counts(sorted(tried)[:50]) + sharing.counts(sorted(tried)[50:]) == [brute(w) for w in sorted(tried)]
+    assert sharing.nodes == len({("▁" + w)[:k] for w in tried for k in range(1, len(w) + 2)}) < counter.nodes  # each prefix once
     import public_tokenizers
 
-    found = tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
-    assert sorted((r.doc_id or 0, r.n_words) for r in found) == sorted((i or 0, len(words(t))) for i, t, *_ in rows) and all((r.n_tokens > 0) == (r.n_words > 0) for r in found)
-    assert tokencount.count_tokens(nothing, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    alone = tokencount.UnigramCounter(tokencount.unigram_pieces(path))
+    want = sorted(((i or 0), len(words(t)), sum(alone.counts([w.decode() for w in words(t)]))) for i, t, *_ in rows)
+    for hot in (0, 30, tokencount.HOT):
+        assert sorted((r.doc_id or 0, r.n_words, r.n_tokens) for r in tokencount.count_tokens(docs, path, hot=hot).collect()) == want
+    assert tokencount.count_tokens(nothing, path).count() == 0
 
 
 # shards

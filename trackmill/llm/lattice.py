@@ -7,20 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.llm.common import binary_parts, shared_dir, windows_of, word_spans, written
+from trackmill.llm.common import shared_dir, windows_of, written
 from trackmill.llm.tokencount import unigram_pieces
+from trackmill.llm.vocabulary import HOT, STEP, sums_by_text, word_counts
 
-STEP = 1 << 22  # bytes of text that are worked on at once
-HOT = 1 << 17  # at most so many of the most frequent words are held by every task; the others are joined
 CHARS = 1 << 18  # characters of words that are worked on at once
 LONG = 1 << 10  # characters of a word that is worked on alone
-_inside = np.ones(256, bool)
-_inside[[*range(9, 14), 32]] = False  # bytes between words
 _lattices: dict[str, Lattice] = {}
 
 
@@ -133,30 +128,6 @@ def lattice_of(path: str) -> Lattice:
     return _lattices[path]
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(forms, form, edges): the different words of lower-cased texts, which one stands at each place, and where texts begin."""
-    data, begins, ends = binary_parts(pc.ascii_lower(texts))
-    starts, stops, edges = word_spans(data, begins, ends, _inside)
-    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
-    kept = np.concatenate([data[_inside[data]], np.zeros(0, np.uint8)])
-    forms = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
-    return forms.dictionary, forms.indices.to_numpy().astype(np.int64), edges
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c, seen): of each word of texts (text, held_out), how often it stands in training texts, and in all."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in windows_of(batch, ["text"], STEP):
-                forms, form, edges = _words(b.column(0))
-                train = np.repeat(~b.column(1).to_numpy(zero_copy_only=False), np.diff(edges))
-                seen, c = np.bincount(form, minlength=len(forms)), np.bincount(form[train], minlength=len(forms))
-                yield pa.RecordBatch.from_arrays([forms, pa.array(c.astype(np.int64)), pa.array(seen.astype(np.int64))], ["word", "c", "seen"])
-
-    return texts.mapInArrow(count, "word string, c long, seen long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
-
-
 def held_out_of(doc_id: Column) -> Column:
     """Whether a document's text isn't learned from: the crc32 of its id as text is divisible by 10; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10, F.lit(0)) == 0
@@ -201,7 +172,6 @@ def score_texts(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col
     other columns don't matter; without training texts known words have no share. An empty table gives an empty table.
     """
     folder = shared_dir(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
     out = F.coalesce(held_out, F.lit(True)) if held_out is not None else held_out_of(F.col(id_col))
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), out.alias("held_out"), F.col(id_col).alias("doc_id"))
 
@@ -211,51 +181,18 @@ def score_texts(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col
             for b in windows_of(batch, ["word"], STEP):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lattice.marginals(b.column(0).to_pylist()))], ["word", "c", "seen", "spelled"])
 
-    words = written(word_counts(texts).mapInArrow(spell, "word string, c long, seen long, spelled double"), f"{folder}/words")
+    counts = word_counts(texts.select("text", (~F.col("held_out")).alias("counted")), lower=True)
+    words = written(counts.mapInArrow(spell, "word string, c long, seen long, spelled double"), f"{folder}/words")
     learned = Learned(words, texts.where(~F.col("held_out")).count())
     terms = words.select("word", "seen", (F.col("c") > 0).cast("long").alias("known"), learned.base(F.col("c")).alias("base"), learned.score(F.col("c"), F.col("spelled")).alias("score"))
     pieces = len(unigram_pieces(model)) + 1
-    end = terms.sparkSession.range(1).select(learned.base(F.lit(learned.ends)).alias("base"), learned.score(F.lit(learned.ends), F.lit(-math.log(pieces))).alias("score")).first()
-    at_end = (int(learned.ends > 0), end["base"], end["score"])
-
-    level = F.floor(F.log2("seen") * 8).cast("int")  # words of a like number of occurrences: a few hundred levels
-    least, room = None, hot
-    for row in sorted(words.groupBy(level.alias("k")).count().collect(), key=lambda r: -r["k"]):
-        room -= row["count"]
-        if room < 0:
-            break
-        least = row["k"]
-    common = terms.where(level >= least).select("word", "known", "base", "score").toArrow() if least is not None else None
-    rare = terms if least is None else terms.where(level < least)
-    held = docs.sparkSession.sparkContext.broadcast(common)
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
-        names = table.column("word").combine_chunks() if table is not None else pa.array([], pa.string())
-        values = np.array([table.column(c).to_numpy() for c in ("known", "base", "score")]) if table is not None else np.zeros((3, 0))
-        number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for b in windows_of(batch, ["text"], STEP):
-                forms, form, edges = _words(b.column(0))
-                found = pc.index_in(forms, names)
-                here = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)[form] if len(forms) else np.zeros(0, np.int64)
-                owner = np.repeat(np.arange(b.num_rows), np.diff(edges))
-                hot_at, cold_at = np.flatnonzero(here >= 0), np.flatnonzero(here < 0)
-                sums = [np.bincount(owner[hot_at], v[here[hot_at]], b.num_rows) for v in values]
-                code, n = np.unique(owner[cold_at] * max(len(forms), 1) + form[cold_at], return_counts=True)
-                whose = code // max(len(forms), 1)
-                lists = pa.array(np.searchsorted(whose, np.arange(b.num_rows + 1)).astype(np.int32))
-                left = [pa.ListArray.from_arrays(lists, x) for x in (forms.take(pa.array(code % max(len(forms), 1))), pa.array(n.astype(np.int64)))]
-                yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(b.num_rows)), b.column(2), b.column(1), pa.array(np.diff(edges) + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *left], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "times"])
-                number += b.num_rows
-
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, words array<string>, times array<long>"
-    met = written(texts.mapInArrow(look_up, schema), f"{folder}/met")
-    apart = met.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
-    joined = apart.join(rare.select("word", F.col("known").alias("k"), F.col("base").alias("b"), F.col("score").alias("s")), "word")
-    rest = joined.groupBy("row").agg(F.sum(F.col("n") * F.col("k")).alias("k"), F.sum(F.col("n") * F.col("b")).alias("b"), F.sum(F.col("n") * F.col("s")).alias("s"))
-    total = lambda ours, more, last: (F.col(ours) + F.coalesce(F.col(more), F.lit(0)) + F.lit(last)).alias({"known": "n_known", "base": "base_score"}.get(ours, ours))
-    return met.drop("words", "times").join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", total("known", "k", at_end[0]), F.lit(learned.tokens).cast("long").alias("train_tokens"), total("base", "b", at_end[1]), total("score", "s", at_end[2]))
+    ends = F.lit(learned.ends)
+    end = docs.sparkSession.range(1).select(learned.base(ends).alias("base"), learned.score(ends, F.lit(-math.log(pieces))).alias("score")).first()
+    found = sums_by_text(texts, terms, folder, lower=True, hot=hot)
+    return found.select(
+        "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("known") + int(learned.ends > 0)).alias("n_known"), F.lit(learned.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + end["base"]).alias("base_score"), (F.col("score") + end["score"]).alias("score"),
+    )
 
 
 def op13_lattice_scores(spark, sf_dir: str) -> DataFrame:

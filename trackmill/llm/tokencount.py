@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_counters: dict[str, UnigramCounter] = {}
+from trackmill.llm.common import shared_dir, written
+from trackmill.llm.vocabulary import HOT, sums_by_text, word_counts
 
 
 def unigram_pieces(path: str) -> dict[str, float]:
@@ -30,23 +30,26 @@ def unigram_pieces(path: str) -> dict[str, float]:
 class UnigramCounter:
     """How many tokens the best segmentation of each word has.
 
-    New words are inserted into a trie in sorted order; each node is a prefix, and its forward score (the best sum of
-    log probabilities over segmentations of the prefix, and how many tokens that has) is computed once, for all words
-    that share it. A word's end stores its count. In sorted order only the path to the current word is open, so the trie
-    needs no more memory than its longest word; the counts of at most `most` words of up to `short` bytes are kept.
-    Characters without a piece are one token a byte. Of equal scores fewer tokens win.
+    Words are inserted into a trie in sorted order; each node is a prefix, and its forward score (the best sum of log
+    probabilities over segmentations of the prefix, and how many tokens that has) is computed once, for all words that share
+    it. A word's end stores its count. In sorted order only the path to the current word is open, also from one call to the
+    next, so the trie needs no more memory than its longest word. Characters without a piece are one token a byte. Of equal
+    scores fewer tokens win.
     """
 
-    def __init__(self, pieces: dict[str, float], most: int = 600_000, short: int = 32):
-        self.pieces, self.most, self.short, self.counts = pieces, most, short, {}
+    def __init__(self, pieces: dict[str, float]):
+        self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - 10.0
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        get, longest, unknown, before = self.pieces.get, self.longest, self.unknown, ""
-        best, used = [0.0], [0]  # of each prefix of the word before
-        for word, raw in sorted((f"▁{w.decode()}", w) for w in words):
-            same, most = 0, min(len(word), len(before))
+        self.path, self.best, self.used = "", [0.0], [0]  # the word before, and the scores and counts of its prefixes
+        self.nodes = 0
+
+    def counts(self, words: Iterable[str]) -> list[int]:
+        """The tokens of each word. Words may come in any order, but share prefixes with the word before only."""
+        get, longest, unknown, best, used, before, out = self.pieces.get, self.longest, self.unknown, self.best, self.used, self.path, []
+        for bare in words:
+            word, same = f"▁{bare}", 0
+            most = min(len(word), len(before))
             while same < most and word[same] == before[same]:
                 same += 1
             del best[same + 1 :], used[same + 1 :]
@@ -61,47 +64,43 @@ class UnigramCounter:
                             score, count = s, used[start] + 1
                 best.append(score)
                 used.append(count)
-            self.counts[raw] = used[len(word)]
+            self.nodes += len(word) - same
+            out.append(used[len(word)])
             before = word
+        self.path = before
+        return out
+
 
-    def count(self, texts: list[list[bytes]]) -> list[int]:
-        """The tokens of texts given as words."""
-        if len(self.counts) > self.most:
-            self.counts.clear()
-        new = {w for words in texts for w in words}.difference(self.counts)
-        self.learn(new)
-        get = self.counts.__getitem__
-        found = [sum(map(get, words)) for words in texts]
-        for w in new:
-            if len(w) > self.short:
-                del self.counts[w]
-        return found
+def counted_words(words: DataFrame, model: str) -> DataFrame:
+    """words (word and others) with n_tokens. Words are dealt to tasks by ranges and sorted there, so that words with a common
+    prefix stand together over the whole corpus: a prefix is scored once, but where a range begins within it."""
+    others = [c for c in words.columns if c != "word"]
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = UnigramCounter(unigram_pieces(model))
+        for b in batches:
+            n = counter.counts(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], ["word", *others, "n_tokens"])
 
-def counter_of(path: str) -> UnigramCounter:
-    """This worker process's counter: the words that it knows serve its later tasks too."""
-    if path not in _counters:
-        _counters[path] = UnigramCounter(unigram_pieces(path))
-    return _counters[path]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.select("word", *others).schema.fields)
+    return words.select("word", *others).repartitionByRange("word").sortWithinPartitions("word").mapInArrow(count, f"{kinds}, n_tokens long")
 
 
-def count_tokens(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_tokens) of each row of docs.
 
-    Words stand between ASCII white space and are segmented one by one, each with a word mark before it. No shuffle is
-    needed: a task counts its own documents. model is the path of a SentencePiece file that all tasks can read. Null and
-    empty texts have no tokens; ids may repeat or be null; other columns don't matter.
+    Words stand between ASCII white space and are segmented one by one, each with a word mark before it. The different words
+    of the corpus meet in Spark; each is segmented once, in the trie of its range (counted_words), and written below
+    spark.checkpoint.dir. A second pass over the texts adds their words' counts up (see sums_by_text): the most frequent
+    words, at most `hot`, are held by every task, the others joined. model is the path of a SentencePiece file that all
+    tasks can read. Null and empty texts have no tokens; ids may repeat or be null; other columns don't matter; an empty
+    table gives an empty table.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(model)
-        for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
-                words = [(t or "").encode().split() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array([len(w) for w in words], np.int64)), pa.array(np.array(counter.count(words), np.int64))], ["doc_id", "n_words", "n_tokens"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, "doc_id long, n_words long, n_tokens long")
+    folder = shared_dir(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    counts = written(word_counts(texts.select("text", F.lit(False).alias("counted")), lower=False).select("word", "seen"), f"{folder}/counts")
+    words = written(counted_words(counts, model), f"{folder}/words")
+    return sums_by_text(texts, words, folder, lower=False, hot=hot)
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
