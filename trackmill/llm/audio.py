@@ -118,10 +118,11 @@ def segments(energy: np.ndarray, on: float, off: float) -> list[tuple[int, int]]
 
 
 def pack_tensors(mel: np.ndarray) -> bytes:
-    """The log-mel frames as an Arrow IPC stream: fixed-shape tensors [PATCH, MELS] with their time spans in seconds."""
+    """The log-mel frames as an Arrow IPC stream: fixed-shape tensors [PATCH, MELS] of whole hundredths, with their time spans
+    in seconds."""
     n = -(-len(mel) // PATCH)
-    block = np.full((n * PATCH, MELS), FLOOR, np.float32)
-    block[: len(mel)] = mel
+    block = np.full((n * PATCH, MELS), FLOOR * 100.0, np.int16)
+    block[: len(mel)] = np.rint(mel.astype(np.float32) * 100.0)
     step = HOP / TARGET
     start = np.arange(n) * PATCH * step
     end = np.minimum(start + PATCH * step, len(mel) * step)
@@ -133,7 +134,7 @@ def pack_tensors(mel: np.ndarray) -> bytes:
 
 
 def unpack_tensors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tensors [n, PATCH, MELS], starts, ends) of pack_tensors."""
+    """(tensors [n, PATCH, MELS] in hundredths, starts, ends) of pack_tensors."""
     table = pa.ipc.open_stream(data).read_all().combine_chunks()
     tensor = table.column("tensor").chunk(0)
     return tensor.to_numpy_ndarray(), table.column("start_s").to_numpy(), table.column("end_s").to_numpy()
@@ -158,24 +159,22 @@ def store_media(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
 
 def tensor_digest(stored: bytes) -> str:
     """What stored tensors hold, in few characters: tensors, last time, mean, checksum of the values in hundredths."""
-    block, _, end = unpack_tensors(stored)
-    near = np.rint(block * 100.0).astype(np.int16)
-    return f"{len(block)}|{end[-1]:.2f}|{near.mean():.1f}|{zlib.crc32(near.tobytes()):08x}"
+    near, _, end = unpack_tensors(stored)
+    return f"{len(near)}|{end[-1]:.2f}|{near.mean():.1f}|{zlib.crc32(near.tobytes()):08x}"
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, spans array<struct<start_s:double,end_s:double>>, tensors binary, tensor_digest string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, spans array<struct<start_s:double,end_s:double>>, tensors binary"
 
 
-def audio_features(media: DataFrame, *, media_col: str = "media", carry: tuple[str, ...] = ("doc_id", "n_bytes"), tensors: bool = True, margin: float = 0.5) -> DataFrame:
+def audio_features(media: DataFrame, *, media_col: str = "media", carry: tuple[str, ...] = ("doc_id", "n_bytes"), margin: float = 0.5) -> DataFrame:
     """For each row of media: FEATURES, after the carried columns.
 
     The samples are resampled from RATE to TARGET, cut into overlapping frames and turned into log-mel energies, which
-    are stored as fixed-shape tensors with time spans (see unpack_tensors; null without `tensors`, when only their digest is wanted). spans are the
-    stretches whose frame energy rises above the median by margin (log10) and hasn't yet fallen below it by as much.
+    are stored as fixed-shape tensors with time spans (see unpack_tensors). spans are the stretches whose frame energy rises above the median by margin (log10) and hasn't yet fallen below it by as much.
     Everything is computed row by row, so that equal media give equal values. Null media give null features. A medium is
     read in blocks; what it needs in memory is its tensors and a few times its bytes.
     """
-    fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.int64()), ("spans", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("tensors", pa.binary()), ("tensor_digest", pa.string())]
+    fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.int64()), ("spans", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("tensors", pa.binary())]
     carried = [media.schema[c] for c in carry]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +184,7 @@ def audio_features(media: DataFrame, *, media_col: str = "media", carry: tuple[s
                 rows = []
                 for data in part.column(len(carried)).to_pylist():
                     if data is None:
-                        rows.append((None,) * 9)
+                        rows.append((None,) * 8)
                         continue
                     payload, rate = from_wav(data)
                     if rate != RATE:
@@ -194,16 +193,30 @@ def audio_features(media: DataFrame, *, media_col: str = "media", carry: tuple[s
                     energy = mel.mean(1)
                     middle = float(np.median(energy))
                     spans = [{"start_s": x * step, "end_s": y * step} for x, y in segments(energy, middle + margin, middle - margin)]
-                    packed = pack_tensors(mel)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), len(mel), spans, packed if tensors else None, tensor_digest(packed)))
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), len(mel), spans, pack_tensors(mel)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], *(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields))], [*(f.name for f in carried), *(n for n, _ in fields)])
 
     return media.select(*carry, F.col(media_col).alias("_media")).mapInArrow(features, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", " + FEATURES)
 
 
+def stored_features(features: DataFrame, folder: str) -> DataFrame:
+    """features, written below folder and read back, with tensor_digest taken from the tensors that were read."""
+    features.write.option("compression", "zstd").parquet(f"{folder}/tensors")
+    table = features.sparkSession.read.schema(features.schema).parquet(f"{folder}/tensors")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in windows_of(b, ["tensors"], STEP):
+                found = [None if t is None else tensor_digest(t) for t in part.column("tensors").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, "tensor_digest"])
+
+    return table.mapInArrow(digest, table.select("*", F.lit(None).cast("string").alias("tensor_digest")).schema)
+
+
 def op4_audio(spark, sf_dir: str) -> DataFrame:
-    """Every document's bytes stored as audio, read back and turned into features."""
+    """Every document's bytes stored as audio, read back and turned into tensors, which are stored and read back too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = audio_features(store_media(docs, shared_dir(spark)), tensors=False)
+    folder = shared_dir(spark)
+    found = stored_features(audio_features(store_media(docs, folder)), folder)
     feature = F.concat_ws("|", "frames", F.size("spans"), "tensor_digest")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

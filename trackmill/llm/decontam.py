@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from trackmill.llm.common import binary_parts, run_hashes, shared_dir, windows_of, word_spans, written
 
-# Fixed masks: 1 is a token that counts. With 12 tokens and any two of them replaced, one of the first two masks still hits.
+# Fixed masks: 1 is a token that counts. In a stretch of LEAST tokens or more, with matches at its ends and at most REPLACED
+# of them replaced, one of these is whole: it takes 23 % to leave none (a test goes through all stretches, not samples).
 MASKS = ("11111", "111011", "1101011")
 LEAST = 12  # tokens of an overlap; shorter items have to be there as a whole
 SHORT = ("1", "11", "111", "1111")  # masks of items of so few tokens; those of more, but under LEAST, have the third
@@ -231,10 +232,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     return sides.repartition("row").sortWithinPartitions("row", "item").mapInArrow(verify, SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that overlap a benchmark item of at least 5 tokens; rows without an id stay. Shorter
-    items are common phrases, which clean documents have too."""
-    leaks = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, shortest=5).select(F.col("doc_id").alias("_leak")).distinct()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shortest: int = 5) -> DataFrame:
+    """docs without the documents that overlap a benchmark item of at least `shortest` tokens; rows without an id stay. Items
+    of fewer tokens are phrases that clean documents have too; with shortest=1 these remove documents as well."""
+    leaks = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, shortest=shortest).select(F.col("doc_id").alias("_leak")).distinct()
     return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")
 
 
