@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions import court as courts
-from trackmill.functions.geometry import foot_point, hand_distance, project
+from trackmill.functions.geometry import foot_point, hand_distance, overlap_share, project
 from trackmill.functions.values import ratio
 from trackmill.operators.aggregates import majority, weighted_vote
 from trackmill.operators.matching import band_join, floor_aligned, in_window, nearest, one_to_one, unmatched
-from trackmill.operators.sequences import every_nth
-from trackmill.operators.spatial import overlap_of_others, possession
+from trackmill.operators.spatial import possession
 
 SHOT = ["video", "shot"]
 
@@ -149,17 +148,23 @@ def track_teams(persons: DataFrame, keyframes: DataFrame, h, c: courts.Court, la
     return majority(looks, ["video", "track"], "label")
 
 
-def shot_teams(shooters: DataFrame, persons: DataFrame, label: str, tracks: DataFrame, before: int = 45, after: int = 15, step: int = 3, most: float = 0.15) -> DataFrame:
+def shot_teams(shooters: DataFrame, persons: DataFrame, label: str, tracks: DataFrame, before: int = 45, after: int = 15, step: int = 3, most: float = 0.15, least: float = 0.6) -> DataFrame:
     """(video, shot, team): the vote over the shooter's views round the release; over those that nobody overlaps, if one of
-    them is known; else the vote of the track (video, track, vote); else '?'."""
-    own = in_window(shooters.select(*SHOT, "release", "track"), persons.select("video", "track", "frame", label), ["video", "track"], "release", "frame", before, after)
-    views = every_nth(own, SHOT, "frame", step)
-    seen = persons.join(views.select("video", "frame").distinct(), ["video", "frame"], "left_semi")
-    covered = overlap_of_others(seen.select("video", "frame", "track", "box"), ["video", "frame"], "track", "box")
-    views = views.join(covered, ["video", "frame", "track"])
-    clean = F.col("overlap") <= most
-    sure = F.max(clean & (F.col(label) != "?")).over(Window.partitionBy(*SHOT))
-    voted = majority(views.withColumn("_sure", sure).where(~F.col("_sure") | clean), SHOT, label)
+    them is known; else the vote of the track (video, track, vote); else '?'. A vote takes the share `least` of the known views.
+
+    How far others cover a view is worked out once a frame, over its few persons, before shots meet their views.
+    """
+    frames = persons.groupBy("video", "frame").agg(F.collect_list(F.struct("track", "box", label)).alias("_p"))  # few persons
+    person = F.col("_o")
+    covered = F.array_max(F.transform(F.filter("_p", lambda q: q["track"] != person["track"]), lambda q: overlap_share(person["box"], q["box"])))
+    looks = frames.select("video", "frame", "_p", F.explode("_p").alias("_o")).select("video", "frame", person["track"].alias("track"), person[label].alias(label), F.coalesce(covered <= most, F.lit(True)).alias("_clean"))
+    own = in_window(shooters.select(*SHOT, "release", "track"), looks, ["video", "track"], "release", "frame", before, after)
+    first = F.min("frame").over(Window.partitionBy(*SHOT))  # of a shot's few views
+    views = own.withColumn("_first", first).where((F.pmod(F.col("frame") - F.col("_first"), F.lit(step)) == 0) & (F.col(label) != "?"))
+    counts = views.groupBy(*SHOT, label).agg(F.count("*").alias("_n"), F.count_if("_clean").alias("_c"))
+    used = F.when(F.sum("_c").over(Window.partitionBy(*SHOT)) > 0, F.col("_c")).otherwise(F.col("_n"))
+    best = counts.withColumn("_u", used).groupBy(*SHOT).agg(F.max(F.struct("_u", label)).alias("_b"), F.sum("_u").alias("_all"))
+    voted = best.select(*SHOT, F.when(F.col("_b._u") >= least * F.col("_all"), F.col(f"_b.{label}")).otherwise("?").alias("vote"))
     both = shooters.select(*SHOT, "track").join(voted.select(*SHOT, F.nullif("vote", F.lit("?")).alias("_v")), SHOT, "left").join(tracks.select("video", "track", F.col("vote").alias("_t")), ["video", "track"], "left")
     return both.select(*SHOT, F.coalesce("_v", "_t", F.lit("?")).alias("team"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions import court, geometry, pixels, values
 from trackmill.operators import analysis, composites, datasets, matching, models, persons, shots, spatial, tracking
+from trackmill.operators.common import scratch, written
 from trackmill.plans.registry import _E, _PAIRS, QUERIES, SQL, _P, _R, _probabilities, _read, _share, query  # noqa: F401
 
 _FLOOR = [[0.0125, 0.0, -7.0], [0.0, 0.025, 0.0], [0.0, 0.0, 1.0]]
@@ -102,9 +103,13 @@ used AS (SELECT * FROM (SELECT *, max(CAST(clean AND label <> '?' AS INTEGER)) O
 voted AS (SELECT video, shot, CASE WHEN a > 0 AND a >= 0.6 * n THEN 'A' WHEN z > 0 AND z >= 0.6 * n THEN 'B' END AS v FROM (SELECT video, shot, count(*) FILTER (label = 'A') AS a, count(*) FILTER (label = 'B') AS z, count(*) FILTER (label <> '?') AS n FROM used GROUP BY ALL))
 SELECT best.video, best.shot, coalesce(v, vote, '?') AS team FROM best LEFT JOIN voted USING (video, shot) LEFT JOIN tracks ON tracks.video = best.video AND tracks.track = best.track""")
 def z3_shot_teams(spark, sf_dir):
-    best = composites.ranked_shooters(_near(spark, sf_dir)).where("rank = 1").select("video", "shot", "track")
-    found = _shots(spark, sf_dir).join(best, ["video", "shot"], "left")
-    return composites.shot_teams(found, _persons(spark, sf_dir).withColumn("label", _team()), "label", _track_teams(spark, sf_dir))
+    people = written(_persons(spark, sf_dir).withColumn("label", _team()), f"{scratch(spark)}/persons")  # five steps read them
+    ball = people.groupBy("video", "frame").agg((F.max("q") * 20).alias("x"), (F.min("q") * 7).alias("y"))
+    near = composites.near_release(_shots(spark, sf_dir), people, ball).withColumn("dist", F.round("dist", 9))
+    best = composites.ranked_shooters(near).where("rank = 1").select("video", "shot", "track")
+    keyframes = _shots(spark, sf_dir).select("video", F.col("release").alias("frame")).distinct()
+    tracks = composites.track_teams(people, keyframes, _FLOOR, court.court("fiba_3x3"), F.col("label"))
+    return composites.shot_teams(_shots(spark, sf_dir).join(best, ["video", "shot"], "left"), people, "label", tracks)
 
 
 @query(f"""WITH {_BASE} SELECT s.video, s.shot, p.track, count(DISTINCT p.frame) AS frames FROM s JOIN b ON b.video = s.video AND b.frame BETWEEN (release - 12) - (release - 12) % 3 AND release JOIN p ON p.video = b.video AND p.frame = b.frame AND bx BETWEEN x - 0.1 * w AND x + 1.1 * w AND bv BETWEEN y - 0.1 * h AND y + 0.8 * h GROUP BY ALL""")
