@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +78,25 @@ def solve_homography(source: list, target: list) -> np.ndarray:
     return h / h[2, 2]
 
 
+def homography_column(source: Column, target: Column) -> Column:
+    """(h, error) for each row's point pairs (arrays of [x, y]): the map's nine numbers and the mean distance by which it misses
+    the target points; null where there are fewer than four pairs, or not as many on both sides."""
+
+    @F.pandas_udf("h array<double>, error double")
+    def solved(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, q in zip(a, b):
+            if p is None or q is None or len(p) != len(q) or len(p) < 4:
+                rows.append((None, None))
+                continue
+            p, q = np.stack(p), np.stack(q)
+            h = solve_homography(p, q)
+            rows.append((h.ravel().tolist(), reprojection_error(h, p, q)))
+        return pd.DataFrame(rows, columns=["h", "error"])
+
+    return solved(source, target)
+
+
 def project(h, x: Column, y: Column) -> Column:
     """A point mapped by a homography: nine numbers, or an array column of nine."""
     k = (lambda i: h[i]) if isinstance(h, Column) else (lambda i: F.lit(float(np.asarray(h).ravel()[i])))
