@@ -128,3 +128,23 @@ def colour_column(image: str, height: str, width: str, hue: str | None = None):
         return pd.DataFrame(looks, columns=["vector", "share"])
 
     return vectors(F.col(image), F.col(height), F.col(width), F.col(hue).cast("double") if hue else F.lit(None).cast("double"))
+
+
+def court_hue_column(image: str):
+    """court_hue of each image of floor pixels (bytes of blue, green, red); null for a null image."""
+
+    @F.pandas_udf("double")
+    def hues(data: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else court_hue(np.frombuffer(d, np.uint8).reshape(-1, 3)) for d in data], dtype="float64")
+
+    return hues(F.col(image))
+
+
+def letterbox_column(image: str, height: str, width: str, size: int):
+    """letterbox of each image of a frame, as bytes; null for a null image."""
+
+    @F.pandas_udf("binary")
+    def boxed(data: pd.Series, high: pd.Series, wide: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else letterbox(np.frombuffer(d, np.uint8).reshape(int(h), int(w), 3), size).tobytes() for d, h, w in zip(data, high, wide)], dtype=object)
+
+    return boxed(F.col(image), F.col(height), F.col(width))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,12 @@ def court_overlay(spark: SparkSession, name: str, to_image) -> DataFrame:
     """(line, seq, x, y): the court's lines in the image, by the homography from the court (nine numbers)."""
     p = project(to_image, F.col("x"), F.col("y"))
     return court_lines(spark, name).select("line", "seq", p.alias("_p")).select("line", "seq", "_p.x", "_p.y")
+
+
+def court_overlays(cameras: DataFrame, name: str) -> DataFrame:
+    """(video, line, seq, x, y): the court's lines (a few hundred points) in each video's image; cameras: (video, to_image), the
+    homography from the court as nine numbers."""
+    lines = json.dumps([r.asDict() for r in court_lines(cameras.sparkSession, name).collect()])
+    each = F.explode(F.from_json(F.lit(lines), "array<struct<line:string,seq:int,x:double,y:double>>"))
+    p = project(F.col("to_image"), F.col("l.x"), F.col("l.y"))
+    return cameras.select("video", "to_image", each.alias("l")).select("video", "l.line", "l.seq", p.alias("_p")).select("video", "line", "seq", "_p.x", "_p.y")

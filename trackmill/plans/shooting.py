@@ -523,3 +523,45 @@ def h16_colour_vectors(spark, sf_dir):
     rows = _pictures(spark, sf_dir).select("video", "frame", pixels.colour_column("image", "height", "width").alias("c"))
     at = lambda k: _R(F.get("c.vector", F.lit(k)), 6)
     return rows.select("video", "frame", "c.share", at(7).alias("orange"), at(27).alias("green"))
+
+
+@query(f"WITH {_PIXELS} SELECT video, frame, CASE WHEN count(*) FILTER (c < 3) >= 0.3 * 64 THEN median(CASE WHEN c < 2 THEN 15.0 ELSE 60.0 END) FILTER (c < 3) END AS hue FROM c GROUP BY ALL")
+def h17_court_hues(spark, sf_dir):
+    return _pictures(spark, sf_dir).select("video", "frame", pixels.court_hue_column("image").alias("hue"))
+
+
+@query(f"""WITH {_PIXELS}, i AS (SELECT video, frame, p // 16 AS y, (p % 8) // 2 AS x, unnest(range(0, 3)) AS k, c FROM c), means AS (SELECT video, frame, y, x, k, round_even(avg([[0, 128, 255], [0, 70, 140], [0, 255, 0], [0, 0, 0]][c + 1][k + 1]), 0) AS v FROM i GROUP BY ALL)
+SELECT video, frame, string_agg(printf('%02X', CAST(v AS INTEGER)), '' ORDER BY y, x, k) AS pixels FROM means GROUP BY video, frame""")
+def h18_letterbox(spark, sf_dir):
+    """Pictures at half their size: each pixel is the mean of four."""
+    return _pictures(spark, sf_dir).select("video", "frame", F.hex(pixels.letterbox_column("image", "height", "width", 4)).alias("pixels"))
+
+
+@query(f"WITH {_PIXELS} SELECT video, frame, count(*) FILTER (c = 3) / 64 AS black, count(DISTINCT c) / 4 AS kinds FROM c GROUP BY ALL")
+def m8_batch_scores(spark, sf_dir):
+    """A stand-in for a model that is loaded once a task and asked for batches of pictures."""
+
+    def load():
+        import numpy as np
+
+        def model(images):
+            x = [np.frombuffer(i, np.uint8).reshape(-1, 3) for i in images]
+            return [[float((p == 0).all(1).mean()), len(np.unique(p, axis=0)) / 4] for p in x]
+
+        return model
+
+    found = models.batch_scores(_pictures(spark, sf_dir), "image", load, 2)
+    return found.select("video", "frame", F.col("probs")[0].alias("black"), F.col("probs")[1].alias("kinds"))
+
+
+@query("""WITH c AS (SELECT s_suppkey AS k FROM supplier), v AS (SELECT 1.575 + sqrt(6.75 * 6.75 - 6.6 * 6.6) AS cut, asin(6.6 / 6.75) AS wide), l AS (
+SELECT unnest(['baseline', 'baseline', 'far', 'far', 'left', 'left', 'right', 'right', 'lane', 'lane', 'lane', 'lane']) AS line, unnest([0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 2, 3]) AS seq, unnest([-7.5, 7.5, -7.5, 7.5, -7.5, -7.5, 7.5, 7.5, -2.45, -2.45, 2.45, 2.45]) AS x, unnest([0, 0, 11, 11, 0, 11, 0, 11, 0, 5.8, 5.8, 0]) AS y
+UNION ALL SELECT line, seq, sign * 6.6, CASE WHEN seq = 0 THEN 0 ELSE cut END FROM v, (SELECT unnest(['corner_left', 'corner_left', 'corner_right', 'corner_right']) AS line, unnest([0, 1, 0, 1]) AS seq, unnest([-1, -1, 1, 1]) AS sign)
+UNION ALL SELECT 'arc', i, 6.75 * sin(wide * (1 - 2 * i / 119)), 1.575 + 6.75 * cos(wide * (1 - 2 * i / 119)) FROM v, range(0, 120) t(i))
+SELECT k AS video, line, CAST(seq AS INTEGER) AS seq, round(CAST(((k % 9 + 20) * x + 3 * y + 900) / (0.01 * (k % 4) * y + 1) AS DOUBLE), 4) AS x, round(CAST((-(k % 7 + 15) * y + 800) / (0.01 * (k % 4) * y + 1) AS DOUBLE), 4) AS y FROM c, l""")
+def h7_court_overlays(spark, sf_dir):
+    k = F.col("s_suppkey")
+    h = [k % 9 + 20, F.lit(3), F.lit(900), F.lit(0), -(k % 7 + 15), F.lit(800), F.lit(0), 0.01 * (k % 4), F.lit(1)]
+    cameras = _read(spark, sf_dir, "supplier").select(k.alias("video"), F.array(*(v.cast("double") for v in h)).alias("to_image"))
+    found = datasets.court_overlays(cameras, "fiba_3x3")
+    return found.select("video", "line", "seq", _R("x", 4).alias("x"), _R("y", 4).alias("y"))
