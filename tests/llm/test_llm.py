@@ -277,6 +277,19 @@ def test_near_duplicates_are_decided_on_their_shingles(spark, monkeypatch):
     assert {2 * k + 1 for k in range(60) if k % 6 in (2, 3)} <= kept and not {2 * k + 1 for k in range(60) if k % 6 not in (2, 3)} & kept
 
 
+def test_frequencies_are_of_all_texts(spark, monkeypatch, tmp_path):
+    """A shingle's level follows from all different texts, however many ranges its hashes are counted in."""
+    monkeypatch.setattr(resemblance, "SAMPLE", 2000, raising=False)  # characters that it was once taken from
+    texts = [prose(40, k) + " " + prose(12, 1000 + k % 30) for k in range(300)] + [prose(30, 1)] * 40 + ["", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    n = collections.Counter(s for t in set(filter(None, texts)) for s in {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)})
+    for k, size in enumerate((1 << 22, 20)):
+        monkeypatch.setattr(resemblance, "RANGE", size, raising=False)
+        h, levels = resemblance.frequent(docs, "text", 5, str(tmp_path / str(k)))
+        assert (h[1:] > h[:-1]).all()
+        assert sorted(levels.tolist()) == sorted(c.bit_length() for c in n.values() if c > 1)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (41, 40), (60, 60)] + [(100, k) for k in range(101, 160)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), shared_dir(spark)).collect()}

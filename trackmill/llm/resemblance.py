@@ -1,7 +1,7 @@
 """Near-duplicates by the exact resemblance (Jaccard) of their sets of word shingles, found by prefix filtering.
 
 Under any one order of all shingles, two sets of resemblance t or more share one of the first n - ceil(t n) + 1 shingles
-of each. So those prefixes are joined, which misses no pair. The order puts shingles that are common in a sample last;
+of each. So those prefixes are joined, which misses no pair. The order puts shingles that many texts have last;
 it decides how many candidates there are, never which pairs are found. Candidates are then counted out: a pair whose
 prefixes share too few shingles for t can't have it. What is left is decided on the whole sets.
 Shingles are told apart by 57 bits of a hash, sets by 64 bits.
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from trackmill.llm.common import binary_parts, joined_hashes, run_hashes, windows_of, word_spans, written
 
 BITS = 57  # of a shingle's hash; the level of its frequency stands above them
-SAMPLE = 1 << 25  # characters of the sample that frequencies are taken from
+COUNTED = 40  # top bits of a hash by which shingles are counted: others that share them have the same frequency
+RANGE = 1 << 22  # characters of text whose shingles are counted in one range of hashes, unless there are RANGES of them
+RANGES = 1 << 10
 HOT = 1 << 19  # shingles at most that have a frequency
 LARGE = 32  # sets of a group from which on its pairs are counted together with those of the other large groups
 KNOWN = 32  # large groups at most that a set tells of itself
@@ -126,17 +128,51 @@ def _groups(batches, keys: int):
 
 
 def frequent(docs: DataFrame, text_col: str, words: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, levels): the shingles that a sample of the texts holds most often, ascending, and the bit lengths of
-    their numbers of texts."""
+    """(shingles, levels): the shingles, by COUNTED bits, that most different texts hold, ascending, and the bit lengths of
+    their numbers of texts.
+
+    All shingles of all texts are counted. Ranges of hashes, a power of two whose number follows the input, are dealt out
+    with the 32 bits below the range's; a task sorts a range and counts its runs.
+    """
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 + chars // SAMPLE)) == 0).select(F.col(text_col).alias("text")).distinct()
+    ranges = 1 << 8
+    while ranges < RANGES and ranges * RANGE < chars:
+        ranges *= 2
+    low = COUNTED - 8  # bits of a hash below its first eight, which name its range with the next ones
 
     def each(batches):
         for batch in batches:
             for part in windows_of(batch, ["text"], STEP):
-                yield _longs({"h": np.concatenate(sets_of(part.column(0), words))})
+                h = np.sort(np.concatenate(sets_of(part.column(0), words)) >> (BITS - COUNTED))
+                edges = np.searchsorted(h, np.arange(ranges + 1) * ((1 << COUNTED) // ranges))
+                tail = (h & ((1 << low) - 1)).astype(np.uint32)
+                at = np.flatnonzero(np.diff(edges))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([tail[edges[k] : edges[k + 1]].tobytes() for k in at.tolist()], pa.binary())], ["k", "tail"])
+
+    def count(batches):
+        now, held = None, []
+
+        def runs():
+            tail = np.sort(np.concatenate(held))
+            begins = np.flatnonzero(np.concatenate([[True], tail[1:] != tail[:-1]]))
+            n = np.diff(np.append(begins, len(tail)))
+            several = n > 1
+            top = now * 256 // ranges
+            return _longs({"h": tail[begins[several]].astype(np.int64) | top << low, "n": n[several]})
 
-    counts = written(sample.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/frequent")
+        for batch in batches:
+            for k, tail in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and k != now:
+                    yield runs()
+                    held = []
+                now = k
+                held.append(np.frombuffer(tail.as_buffer(), np.uint32))
+        if held:
+            yield runs()
+
+    texts = docs.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).dropDuplicates(["mark"]).select("text")
+    dealt = texts.mapInArrow(each, "k long, tail binary").repartition("k").sortWithinPartitions("k")
+    counts = written(dealt.mapInArrow(count, "h long, n long"), f"{folder}/frequent")
     least, total = 1001, 0
     for n, sets in sorted(counts.groupBy(F.least("n", F.lit(1000)).alias("k")).count().collect(), reverse=True):
         total += sets
@@ -164,8 +200,9 @@ def sketches(docs: DataFrame, words: int, share: Fraction, hot: tuple[np.ndarray
                     found = ascending(keys_of[a:z])
                     keys = found
                     if len(common) and len(found):
-                        place = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                        keys = np.sort(found | np.where(common[place] == found, levels[place], 0) << BITS)
+                        counted = found >> (BITS - COUNTED)
+                        place = np.minimum(np.searchsorted(common, counted), len(common) - 1)
+                        keys = np.sort(found | np.where(common[place] == counted, levels[place], 0) << BITS)
                     own = keys[: prefix_length(len(found), share)]
                     nodes.append(node_of(found))
                     sizes.append(len(found))
