@@ -7,6 +7,7 @@ import io
 import itertools
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -290,6 +291,43 @@ def test_frequencies_are_of_all_texts(spark, monkeypatch, tmp_path):
         assert sorted(levels.tolist()) == sorted(c.bit_length() for c in n.values() if c > 1)
 
 
+def test_links_of_relatives_grow_with_the_sets(spark, tmp_path):
+    """Many close relatives that the fingerprints haven't tied: links connect them, and aren't their pairs."""
+    base, size = [f"c{i}" for i in range(204)], 90
+    texts = [" ".join([*base[: 2 * k], f"d{k}", *base[2 * k + 1 :]]) for k in range(size)]
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "doc_id long, mark long, text string")
+    share, folder = Fraction(4, 5), str(tmp_path)
+    rows = resemblance.sketches(docs, 5, share, resemblance.frequent(docs, "text", 5, folder), 2)
+    entries = resemblance.shared_only(rows.selectExpr("explode(prefix) AS key", "node", "n", "last"))
+    alone = spark.createDataFrame([], "node long, root long")
+    found = resemblance.prefix_links(entries, alone, docs, rows.select("node", "mark"), 5, share, f"{folder}/rest").collect()
+    assert size - 1 <= len(found) < 4 * size
+    assert {r.root for r in components.components(spark.createDataFrame(found, "a long, b long"), f"{folder}/ties").collect()} == {min(r.node for r in rows.collect())}
+
+
+@pytest.mark.parametrize("known", [0, 1000])
+def test_sets_with_a_key_in_common_meet(spark, monkeypatch, tmp_path, known):
+    """Any two sets of different roots that share a key meet in a pair of blocks, whether by key or as tied groups."""
+    monkeypatch.setattr(resemblance, "BLOCK", 3)
+    monkeypatch.setattr(resemblance, "KNOWN", known, raising=False)
+    r = random.Random(6)
+    ring = {(key, node % 80) for key in range(20) for node in range(100 + 4 * key, 106 + 4 * key)}  # keys in a chain: one tied group
+    copies = {(key, node) for key in range(30, 60) for node in range(200, 212)}  # the same sets under many keys
+    root = {node: node - node % r.choice((1, 2, 3)) for node in range(300)}
+    rows = [(1000 + key, node, root[node]) for key, node in sorted(ring | copies)]
+    groups = resemblance.large_groups(spark.createDataFrame(rows, "key long, node long, root long"), str(tmp_path)).collect()
+    met = collections.defaultdict(list)
+    for g in groups:
+        met[g.group, g.pair].append(g)
+    low = (1 << 31) - 1
+    seen = {(x.node, y.node) for (_, p), v in met.items() for x in v for y in v if x.node < y.node and x.root != y.root and {x.mine, y.mine} == {p >> 31, p & low}}
+    want = {(a, b) for k, a in ring | copies for m, b in ring | copies if k == m and a < b and root[a] != root[b]}
+    assert want <= seen
+    assert max(map(len, met.values())) <= 20
+    by_key = any(1000 <= g.group < 1020 for g in groups) and len({g.group for g in groups}) > 2
+    assert by_key == (known == 0)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (41, 40), (60, 60)] + [(100, k) for k in range(101, 160)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), shared_dir(spark)).collect()}

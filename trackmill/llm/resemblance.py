@@ -3,7 +3,9 @@
 Under any one order of all shingles, two sets of resemblance t or more share one of the first n - ceil(t n) + 1 shingles
 of each. So those prefixes are joined, which misses no pair. The order puts shingles that many texts have last;
 it decides how many candidates there are, never which pairs are found. Candidates are then counted out: a pair whose
-prefixes share too few shingles for t can't have it. What is left is decided on the whole sets.
+prefixes share too few shingles for t can't have it. What is left is decided on the whole sets. That is for shingles of
+few sets. Sets that share one of many sets meet as a whole, in tasks that count out what each two have in common and give
+no more links than connect them, so that what is made grows with the sets and not with their pairs.
 Shingles are told apart by 57 bits of a hash, sets by 64 bits.
 """
 
@@ -18,16 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.llm.common import binary_parts, joined_hashes, run_hashes, windows_of, word_spans, written
+from trackmill.llm.components import components
 
 BITS = 57  # of a shingle's hash; the level of its frequency stands above them
 COUNTED = 40  # top bits of a hash by which shingles are counted: others that share them have the same frequency
 RANGE = 1 << 22  # characters of text whose shingles are counted in one range of hashes, unless there are RANGES of them
 RANGES = 1 << 10
 HOT = 1 << 19  # shingles at most that have a frequency
-LARGE = 32  # sets of a group from which on its pairs are counted together with those of the other large groups
-KNOWN = 32  # large groups at most that a set tells of itself
+LARGE = 8  # sets of a group up to which its pairs are rows
+KNOWN = 32  # blocks of tied groups up to which they are surely compared as one
 STEP = 1 << 21  # bytes of text that are worked on at once
-BLOCK = 2048  # sets of a large group that are compared with each other at once
+BLOCK = 512  # sets that are compared with as many others at once
 _lower = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _inside = np.ones(256, bool)  # bytes of words: all but ASCII white space
 _inside[[*range(0x09, 0x0E), 0x20]] = False
@@ -249,110 +252,135 @@ def _pairs_by_step(first: np.ndarray, end: np.ndarray):
         rows = rows[at[rows] < end[rows]]
 
 
-def _candidates(node, n, last, x, y, weight, share: Fraction, most=None) -> pa.RecordBatch:
-    """The pairs (x, y) whose sizes allow for the resemblance; with most, those that can come to share enough shingles."""
+def _candidates(node, n, last, x, y, share: Fraction) -> pa.RecordBatch:
+    """The pairs (x, y) whose sizes allow for the resemblance."""
     fits = share.denominator * np.minimum(n[x], n[y]) >= share.numerator * np.maximum(n[x], n[y])
-    x, y, weight, most = x[fits], y[fits], weight[fits], None if most is None else most[fits]
-    need = fewest(n[x], n[y], last[x], last[y], share)
-    if most is not None:
-        fits = most >= need
-        x, y, weight, need = x[fits], y[fits], weight[fits], need[fits]
-    return _longs({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "need": need, "weight": weight})
+    x, y = x[fits], y[fits]
+    return _longs({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "need": fewest(n[x], n[y], last[x], last[y], share)})
 
 
-_PAIRS = "a long, b long, need long, weight long"
+_PAIRS = "a long, b long, need long"
 
 
 def small_pairs(entries: DataFrame, share: Fraction) -> DataFrame:
-    """_PAIRS: all pairs with different roots of a group of at most LARGE sets, with weight 1."""
+    """_PAIRS: all pairs with different roots of groups of at most LARGE sets, once for each key that they share."""
 
     def compare(batches):
         for key, root, node, n, last in _groups(batches, 1):
             if len(key):
                 for x, y in _pairs_by_step(*_others(root, key)):
-                    yield _candidates(node, n, last, x, y, np.ones(len(x), np.int64), share)
+                    yield _candidates(node, n, last, x, y, share)
 
     return entries.select("key", "root", "node", "n", "last").repartition("key").sortWithinPartitions("key", "root").mapInArrow(compare, _PAIRS)
 
 
-def _masks(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, masks): the keys that several rows of known name (0: none), and for each row the bits of its own."""
-    flat = np.sort(known.ravel())
-    flat = flat[flat != 0]
-    keys = ascending(flat[1:][flat[1:] == flat[:-1]])
-    masks, rows = np.zeros((len(known), len(keys) // 64 + 1), np.uint64), np.arange(len(known))
-    for column in known.T if len(keys) else ():
-        at = np.minimum(np.searchsorted(keys, column), len(keys) - 1)
-        mine = rows[keys[at] == column]
-        masks[mine, at[mine] // 64] |= np.uint64(1) << (at[mine] % 64).astype(np.uint64)
-    return keys, masks
+def dealt_blocks(groups: DataFrame) -> DataFrame:
+    """(group, main, near, far, copies) of each group of (group, node, root) that has several roots: its most common root,
+    the blocks of the strays (sets of other roots) and of the rest, and how many sets all blocks take that are compared.
+
+    The sets of one root needn't be compared with each other, so only strays are, with each other and with the rest.
+    """
+    sizes = groups.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
+    strays, rest = F.col("all") - F.col("main.n"), F.col("main.n")
+    near, far = F.ceil(strays / BLOCK), F.ceil(rest / BLOCK)
+    return sizes.where(strays > 0).select("group", F.col("main.root").alias("main"), near.alias("near"), far.alias("far"), (strays * (near + far) + rest * near).alias("copies"))
 
 
-def large_pairs(entries: DataFrame, share: Fraction) -> DataFrame:
-    """_PAIRS: the pairs with different roots of groups of more than LARGE sets that can come to share enough shingles.
+def large_groups(entries: DataFrame, folder: str) -> DataFrame:
+    """(group, pair, node, root): sets of different roots that share a key, of entries (key, node, root), together under a
+    pair of blocks, which any two sets of different roots with a key in common have in common.
 
-    A set names up to KNOWN of its large groups. Of those that two sets both name only the first gives the pair, with
-    their number as its weight, so that a pair isn't given once for each line that a large group has in common; a group
-    that one of them doesn't name gives it with weight 1. rest is the number of a set's keys that it doesn't name.
-    Groups of more than BLOCK sets are dealt out as pairs of blocks, so none is one task's work.
+    Keys that are tied by sets are one group, as close relatives share many keys: a set is in it once. If that has more
+    than KNOWN blocks and its keys one by one take fewer sets, each of its keys is a group.
     """
-    blocks = F.ceil(F.col("size") / BLOCK)
-    both = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.least("mine", other) * (1 << 31) + F.greatest("mine", other))
-    dealt = entries.withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
-    dealt = dealt.select("key", F.explode(both).alias("pair"), "root", "node", "n", "last", "mine", "rest", "known").repartition("key", "pair").sortWithinPartitions("key", "pair", "root")
+    tied = components(entries.select(F.col("key").alias("a"), F.col("node").alias("b")), f"{folder}/ties").select(F.col("node").alias("key"), F.col("root").alias("whole"))
+    entries = written(entries.join(tied, "key").select("whole", "key", "node", "root"), f"{folder}/large")
+    wholes, keys = entries.select(F.col("whole").alias("group"), "node", "root").distinct(), entries.select(F.col("key").alias("group"), "node", "root")
+    by_key = written(dealt_blocks(keys), f"{folder}/keys")
+    by_whole = written(dealt_blocks(wholes), f"{folder}/wholes")
+    owners = entries.select("whole", "key").distinct()
+    apart = by_whole.where(F.col("near") + F.col("far") > KNOWN).select(F.col("group").alias("whole"), "copies")
+    apart = apart.join(by_key.select(F.col("group").alias("key"), F.col("copies").alias("own")).join(owners, "key"), "whole").groupBy("whole").agg(F.first("copies").alias("copies"), F.sum("own").alias("own")).where("own < copies").select("whole")
+    apart = written(apart, f"{folder}/apart")
+    alone = owners.join(apart, "whole").select(F.col("key").alias("group"))
+    whole = wholes.join(by_whole.join(apart.withColumnRenamed("whole", "group"), "group", "left_anti"), "group")
+    each = keys.join(by_key.join(alone, "group"), "group")
+    both = whole.union(each.select(whole.columns))
+    stray, spread = F.col("root") != F.col("main"), F.xxhash64("node")
+    mine = F.when(stray, F.pmod(spread, "near")).otherwise(F.col("near") + F.pmod(spread, "far"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("near") - 1 + F.when(stray, F.col("far")).otherwise(0))
+    pairs = F.transform(others, lambda other: F.least("mine", other) * (1 << 31) + F.greatest("mine", other))
+    return both.withColumn("mine", mine).select("group", F.explode(pairs).alias("pair"), "mine", "node", "root")
+
+
+def spanning_pairs(pair: int, mine: np.ndarray, root: np.ndarray, sets: list[np.ndarray], share: Fraction) -> list[tuple[int, int]]:
+    """Pairs of sets of different roots that have the resemblance and connect all that such pairs connect; of two different
+    blocks, only pairs of one with the other count."""
+    across = pair >> 31 != pair & ((1 << 31) - 1)
+    left, right = (np.flatnonzero(mine == b) for b in (pair >> 31, pair & ((1 << 31) - 1)))
+    if not len(left) or not len(right):
+        return []
+    n = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    owner = np.repeat(np.arange(len(sets)), n)
+    theirs = (mine == pair & ((1 << 31) - 1))[owner]
+    owner, posted = owner[theirs], ids[theirs]
+    owner = owner[np.argsort(posted, kind="stable")]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(posted, minlength=int(ids.max()) + 1))])
+    label, found = np.unique(root, return_inverse=True)[1], []
+    for x in left.tolist():
+        own = ids[ends[x] - n[x] : ends[x]]
+        begin, many = offsets[own], offsets[own + 1] - offsets[own]
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        common = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((common > 0) & (common * (share.numerator + share.denominator) >= share.numerator * (n[x] + n)) & (across | (np.arange(len(sets)) > x)))
+        near = near[(root[near] != root[x]) & (label[near] != label[x])]
+        while len(near):
+            found.append((x, int(near[0])))
+            label[label == label[near[0]]] = label[x]
+            near = near[label[near] != label[x]]
+    return found
+
+
+def large_links(groups: DataFrame, held: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b): links that connect what the sets of large_groups, held (node, set), connect by resemblance."""
 
     def compare(batches):
-        for key, pair, root, node, n, last, mine, rest, *known in _groups(batches, 2):
-            if not len(key):
+        now, rows = None, []
+
+        def links():
+            pair, mine, node, root = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in (1, 2, 3, 4))
+            sets = [np.frombuffer(v.as_buffer(), np.int64) for b in rows for v in b.column(5)]
+            found = spanning_pairs(int(pair[0]), mine, root, sets, share)
+            x, y = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+            return _longs({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]), [True]]))
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                own = np.stack([k[a:z] for k in known], 1)
-                keys, masks = _masks(own)
-                names, named = (own == key[a]).any(1), np.count_nonzero(own, axis=1)
-                at = int(np.searchsorted(keys, key[a]))
-                before = np.zeros(masks.shape[1], np.uint64)  # bits of the keys before this one
-                before[: at // 64] = ~np.uint64(0)
-                before[at // 64 :][:1] = (np.uint64(1) << np.uint64(at % 64)) - np.uint64(1)
-                within = pair[a] >> 31 == pair[a] & ((1 << 31) - 1)
-                held = [c[a:z] for c in (node, n, last, rest)]
-                for x, y in _pairs_by_step(*_others(root[a:z], key[a:z])):
-                    if not within:
-                        apart = mine[a:z][x] != mine[a:z][y]
-                        x, y = x[apart], y[apart]
-                    common = masks[x] & masks[y]
-                    told = names[x] & names[y]
-                    weight = np.where(told, np.bitwise_count(common).sum(1), 1).astype(np.int64)
-                    p, q = held[3][x], held[3][y]  # what neither names, or, where one names no more of its groups, only one
-                    more = np.where((named[x] < own.shape[1]) & (named[y] < own.shape[1]), np.minimum(p, q), np.minimum(p + q, np.minimum(p + named[x], q + named[y]) - weight))
-                    most = np.where(told, weight + more, 1 << 60)
-                    first = ~told | ~(common & before).any(1)
-                    if first.any():
-                        yield _candidates(*held[:3], x[first], y[first], weight[first], share, most[first])
-
-    return dealt.mapInArrow(compare, _PAIRS)
-
-
-def all_pairs(entries: DataFrame, share: Fraction, folder: str) -> DataFrame:
-    """_PAIRS: pairs of sets (key, node, n, last, root) of different roots; the weights of a pair add up to the number of
-    keys that it shares, unless that can't be enough."""
-    sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LARGE), f"{folder}/sizes")
-    small = entries.join(sizes, "key", "left_anti")
-    large = written(entries.join(sizes, "key"), f"{folder}/large")
-    own = large.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, KNOWN).alias("named"))
-    own = own.join(entries.join(own.select("node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("all")), "node")
-    own = own.select("node", (F.col("all") - F.size("named")).alias("rest"), F.slice(F.concat("named", F.array_repeat(F.lit(0).cast("long"), KNOWN)), 1, KNOWN).alias("known"))
-    return small_pairs(small, share).union(large_pairs(large.join(own, "node"), share))
+            group, pair = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (pair[1:] != pair[:-1])) + 1).tolist(), len(group)]
+            for a, z in zip(cuts, cuts[1:]):
+                if rows and now != (group[a], pair[a]):
+                    yield links()
+                    rows = []
+                now = group[a], pair[a]
+                rows.append(batch.slice(a, z - a))
+        if rows:
+            yield links()
 
+    dealt = groups.join(held, "node").select("group", "pair", "mine", "node", "root", "set").repartition("group", "pair").sortWithinPartitions("group", "pair")
+    return dealt.mapInArrow(compare, "a long, b long")
 
-def resembling(asked: DataFrame, docs: DataFrame, marks: DataFrame, words: int, share: Fraction, folder: str) -> DataFrame:
-    """(a, b): those of the different pairs asked for whose sets have the resemblance.
 
-    marks (node, mark) tells a text for each set. Only the texts of sets that are asked for are read again as sets: a
+def sets_named(nodes: DataFrame, docs: DataFrame, marks: DataFrame, words: int, folder: str) -> DataFrame:
+    """(node, set) of the sets named by nodes (node, repeats don't matter).
+
+    marks (node, mark) tells a text for each set. Only the texts of sets that are named are read again as sets: a
     filter of 2^24 bits, whatever the input's size, comes before the exact join.
     """
-    asked = written(asked, f"{folder}/asked")
-    nodes = written(asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct().join(marks, "node"), f"{folder}/nodes")
+    nodes = written(nodes.distinct().join(marks, "node"), f"{folder}/nodes")
     top = (1 << 18) - 1
     filter_bits = np.zeros(1 << 18, np.uint64)
     word, bit = F.shiftright("mark", 6).bitwiseAND(F.lit(top)), F.expr("shiftleft(1L, cast(mark & 63 as int))")
@@ -367,7 +395,15 @@ def resembling(asked: DataFrame, docs: DataFrame, marks: DataFrame, words: int,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets_of(part.column(1), words)], pa.binary())], ["mark", "set"])
 
     held = docs.select("mark", "text").mapInArrow(sets, "mark long, set binary").join(nodes, "mark").select("node", "set").dropDuplicates(["node"])
-    held = written(held, f"{folder}/sets")
+    return written(held, f"{folder}/sets")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def decided(asked: DataFrame, held: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b): those of the different pairs asked for whose sets, held (node, set), have the resemblance."""
     both = asked.join(held.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
     def decide(batches):
@@ -380,15 +416,29 @@ def resembling(asked: DataFrame, docs: DataFrame, marks: DataFrame, words: int,
                     near.append(common * (share.numerator + share.denominator) >= share.numerator * (len(x) + len(y)))
                 yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(near, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
-    return written(both.mapInArrow(decide, "a long, b long"), f"{folder}/near")
+    return both.mapInArrow(decide, "a long, b long")
+
+
+def resembling(asked: DataFrame, docs: DataFrame, marks: DataFrame, words: int, share: Fraction, folder: str) -> DataFrame:
+    """(a, b): those of the different pairs asked for whose sets have the resemblance."""
+    asked = written(asked, f"{folder}/asked")
+    return written(decided(asked, sets_named(ends_of(asked), docs, marks, words, folder), share), f"{folder}/near")
 
 
 def prefix_links(entries: DataFrame, roots: DataFrame, docs: DataFrame, marks: DataFrame, words: int, share: Fraction, folder: str) -> DataFrame:
-    """(a, b): links between sets of different roots, all that there are. entries are those of shared_only; roots (node,
-    root) tells which sets are known to be tied."""
-    tied = entries.join(roots, "node", "left").select("key", "node", "n", "last", F.coalesce("root", "node").alias("root"))
-    pairs = all_pairs(written(tied, f"{folder}/tied"), share, folder).groupBy("a", "b", "need").agg(F.sum("weight").alias("shared")).where("shared >= need").select("a", "b")
-    return resembling(pairs, docs, marks, words, share, folder)
+    """(a, b): links between sets of different roots, enough to connect all that such links connect. entries are those of
+    shared_only; roots (node, root) tells which sets are known to be tied.
+
+    Two sets that share a key of more than LARGE sets meet under it. Of others the small groups give all keys that they
+    share, so that pairs of too few can go.
+    """
+    tied = written(entries.join(roots, "node", "left").select("key", "node", "n", "last", F.coalesce("root", "node").alias("root")), f"{folder}/tied")
+    sizes = written(tied.groupBy("key").agg(F.count("*").alias("size"), (F.min("root") < F.max("root")).alias("apart")).where(F.col("size") > LARGE).select("key", "apart"), f"{folder}/sizes")
+    pairs = small_pairs(tied.join(sizes, "key", "left_anti"), share).groupBy("a", "b", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("a", "b")
+    asked = written(pairs, f"{folder}/asked")
+    groups = written(large_groups(tied.join(sizes.where("apart"), "key").select("key", "node", "root"), folder), f"{folder}/groups")
+    held = sets_named(ends_of(asked).union(groups.select("node")), docs, marks, words, folder)
+    return written(decided(asked, held, share).union(large_links(groups, held, share)), f"{folder}/near")
 
 
 def print_of(h: np.ndarray, width: int) -> bytes:
