@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from trackmill.functions import geometry, pixels
+from trackmill.functions import court, geometry, pixels
 
 
 def test_homographies_by_row(spark):
@@ -22,3 +22,9 @@ def test_pictures_by_row(spark):
     assert hues == [60.0, None, None]
     boxed = [r[0] for r in df.select(pixels.letterbox_column("image", "h", "w", 4)).collect()]
     assert bytes(boxed[0]) == bytes([0, 255, 0] * 16) and boxed[1] is None and len(boxed[2]) == 48
+
+
+def test_edges_of_the_free_throw_spot(spark):
+    rows = spark.createDataFrame([(1.47, 6.4), (-1.47, 5.6), (0.0, 6.4000001), (0.0, 5.5999999), (1.4700001, 6.0)], "x double, y double")
+    spot = court.at_ft_spot(court.court("fiba_3x3"), F.col("x"), F.col("y"))
+    assert [r.s for r in rows.select(spot.alias("s")).collect()] == [True, True, False, False, False]
