@@ -52,3 +52,10 @@ def test_choice_model(spark):
     assert all(abs(q.s - 1) < 1e-9 for q in found.groupBy("g").agg(F.sum("p").alias("s")).collect())
     none = models.fit_choice(x, np.zeros(400), group)
     assert none["w"] == [0.0] * 3 and models.fit_choice(np.zeros((0, 2)), np.zeros(0), np.zeros(0, int))["w"] == [0.0, 0.0]
+
+
+def test_equal_utilities_go_by_the_id(spark):
+    """-7 (dist - 0.8) + 0.7 (n - 4) is the same for (d, 4), (d + 0.1, 5) and (d + 0.2, 6), but not in doubles."""
+    rows = [(g, i, d, n) for g, d in enumerate(0.1 + k / 101 for k in range(40)) for i, d, n in ((1, d + 0.1, 5), (2, d, 4), (3, d + 0.2, 6))]
+    found = models.ranked_by_choice(spark.createDataFrame(rows, "g int, i int, dist double, n int"), ["g"], "i", [F.col("dist"), F.col("n")], {"mean": [0.8, 4.0], "std": [0.3, 1.0], "w": [-2.1, 0.7]})
+    assert all(r["rank"] == r.i for r in found.collect())

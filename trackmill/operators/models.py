@@ -51,15 +51,15 @@ def fit_choice(x: np.ndarray, chosen: np.ndarray, group: np.ndarray, rounds: int
 
 
 def ranked_by_choice(df: DataFrame, by: list[str], row_id: str, features: list[Column], model: dict) -> DataFrame:
-    """df with p, each candidate's probability within its key, and its rank; equals go by row_id. A null feature counts
-    as the mean."""
+    """df with p, each candidate's probability within its key, and its rank; equals (to nine decimals of the utility) go by
+    row_id. A null feature counts as the mean."""
     from pyspark.sql import Window
 
     terms = [F.coalesce((f.cast("double") - m) / s * w, F.lit(0.0)) for f, m, s, w in zip(features, *(map(float, model[k]) for k in ("mean", "std", "w")))]
     over = Window.partitionBy(*by)
     rows = df.withColumn("_u", sum(terms, F.lit(0.0)))
     rows = rows.withColumn("_e", F.exp(F.col("_u") - F.max("_u").over(over)))
-    return rows.withColumn("p", F.col("_e") / F.sum("_e").over(over)).withColumn("rank", F.row_number().over(over.orderBy(F.desc("_u"), row_id))).drop("_u", "_e")
+    return rows.withColumn("p", F.col("_e") / F.sum("_e").over(over)).withColumn("rank", F.row_number().over(over.orderBy(F.desc(F.round("_u", 9)), row_id))).drop("_u", "_e")
 
 
 def _summed(rows: DataFrame, per_batch: Callable[[pa.RecordBatch], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:

@@ -260,7 +260,7 @@ _CHOICE = {"mean": [0.8, 4.0], "std": [0.5, 1.0], "w": [-2.0, 0.5]}
 SELECT video, shot, track, round(e / sum(e) OVER (PARTITION BY video, shot), 5) AS p, row_number() OVER (PARTITION BY video, shot ORDER BY round(u, 9) DESC, track) AS rank FROM e""")
 def m4_choice_rank(spark, sf_dir):
     near = composites.near_release(_shots(spark, sf_dir), _persons(spark, sf_dir), _ball(spark, sf_dir))
-    found = models.ranked_by_choice(near, ["video", "shot"], "track", [F.round("dist", 10), F.col("n")], _CHOICE)
+    found = models.ranked_by_choice(near, ["video", "shot"], "track", [F.col("dist"), F.col("n")], _CHOICE)
     return found.select("video", "shot", "track", _R("p", 5).alias("p"), F.col("rank").cast("long").alias("rank"))
 
 
