@@ -152,3 +152,10 @@ def test_moving_pixels(spark):
         assert {r.frame: r.score for r in pixels.moving_score(df, piece=piece).collect()} == {0: 0, 1: 1, 2: 1, 4: 0, 5: 0, 6: 0, 7: 0}
     assert {r.frame: r.score for r in pixels.moving_score(df, step=2, piece=3).collect()} == {0: 0, 1: 0, 2: 2, 4: 1, 5: 0, 6: 1, 7: 0}
     assert pixels.moving_score(df.limit(0)).count() == 0
+
+
+def test_equally_near_shooters_go_by_their_track(spark):
+    """Distances that differ in their last bits only are equal."""
+    near = spark.createDataFrame([("v", 0, 2, 0.1 + 0.2, 4), ("v", 0, 1, 0.3 + 2e-13, 4), ("v", 0, 3, 0.3, 5)], "video string, shot int, track int, dist double, n long")
+    ranks = {r.track: r["rank"] for r in composites.ranked_shooters(near).collect()}
+    assert ranks == {3: 1, 1: 2, 2: 3}

@@ -28,12 +28,12 @@ def near_release(shots: DataFrame, persons: DataFrame, track: DataFrame, every:
 
 
 def ranked_shooters(near: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """Candidates with their rank (from 1): nearest first, then most often seen, then the smallest track.
+    """Candidates with their rank (from 1): nearest first (to nine decimals), then most often seen, then the smallest track.
 
     held (video, shot, track, frames), as held_before gives it, ranks those first who had the ball in more frames; a
     player who had it but isn't seen near the release is a candidate too, with a null distance.
     """
-    order = [F.col("dist").asc_nulls_last(), F.desc("n"), F.col("track")]
+    order = [F.round("dist", 9).asc_nulls_last(), F.desc("n"), F.col("track")]
     if held is not None:
         near = near.join(held.select(*SHOT, "track", F.col("frames").alias("held")), [*SHOT, "track"], "full").withColumn("held", F.coalesce("held", F.lit(0)))
         order = [F.desc("held"), *order]
