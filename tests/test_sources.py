@@ -133,3 +133,12 @@ def test_coverage_ends_with_the_video(spark):
 def test_first_known_and_typed(spark):
     df = spark.createDataFrame([("a", 1, []), ("a", 2, [4]), ("a", 3, [5]), ("b", 1, None)], "k string, o int, v array<int>")
     assert {r.k: r.v for r in aggregates.first_known(df, ["k"], "v", "o").collect()} == {"a": [4], "b": None}
+
+
+def test_labels_of_equal_times(spark, tmp_path):
+    labels = spark.createDataFrame([("v", 5.0, k, str(k)) for k in (7, 3, 9, 1, 8)], "video string, timestamp_s double, event_id int, team string").repartition(3)
+    placed = lambda path: [r.team for r in sorted(readers.read_labels(spark, path).collect(), key=lambda r: int(r.event_id))]
+    writers.write_labels(labels, ["video"], str(tmp_path / "a"))
+    assert placed(str(tmp_path / "a")) == ["1", "3", "7", "8", "9"]
+    writers.write_labels(labels, ["video"], str(tmp_path / "b"), order=[F.col("event_id") % 4, F.col("event_id")])
+    assert placed(str(tmp_path / "b")) == ["8", "1", "9", "3", "7"]

@@ -90,9 +90,12 @@ def model_text(model: dict, features: list[str]) -> str:
     return json.dumps({"features": features, "mean": numbers(model["mean"]), "std": numbers(model["std"]), "w": numbers(model["w"]), "b": float(model["b"]), "threshold": float(model["threshold"])}, indent=1)
 
 
-def write_labels(df: DataFrame, by: list[str], path: str) -> None:
-    """Labels in order of time, numbered from 0 within a video."""
-    renumbered(df.drop("event_id"), by, ["timestamp_s"], "event_id").write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
+def write_labels(df: DataFrame, by: list[str], path: str, order: list[str | Column] | None = None) -> None:
+    """Labels in order of time, numbered from 0 within a video; equal times go by the event_id that they had, if any. `order`
+    is another order, of columns of df."""
+    had = [c for c in ("event_id",) if c in df.columns]
+    numbered = renumbered(df, by, order or ["timestamp_s", *had], "_number").drop("event_id").withColumnRenamed("_number", "event_id")
+    numbered.write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
 
 
 def write_by_video(df: DataFrame, path: str) -> None:
