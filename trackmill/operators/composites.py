@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trackmill.functions import court as courts
 from trackmill.functions.geometry import foot_point, hand_distance, overlap_share, project
 from trackmill.functions.values import ratio
+from trackmill.operators import releases
 from trackmill.operators.aggregates import majority, weighted_vote
 from trackmill.operators.matching import band_join, floor_aligned, in_window, nearest, one_to_one, unmatched
 from trackmill.operators.spatial import possession
@@ -21,10 +22,7 @@ SHOT = ["video", "shot"]
 
 def near_release(shots: DataFrame, persons: DataFrame, track: DataFrame, every: int = 3, ahead: int = 9) -> DataFrame:
     """(video, shot, track, dist, n): each player's median distance of the hands to the ball after a release, on sampled frames."""
-    frames = F.explode(F.sequence(F.col("release") - F.pmod("release", F.lit(every)), F.col("release") + ahead, F.lit(every)))
-    seen = shots.select(*SHOT, frames.alias("frame")).join(track.where("x is not null and y is not null").select("video", "frame", "x", "y"), ["video", "frame"])
-    both = seen.join(persons.where("track >= 0").select("video", "frame", "track", "box"), ["video", "frame"])
-    return both.groupBy(*SHOT, "track").agg(F.median(hand_distance(F.col("x"), F.col("y"), F.col("box"))).alias("dist"), F.count("*").alias("n"))
+    return releases.near_rows(shots, persons, track, every, ahead)
 
 
 def ranked_shooters(near: DataFrame, held: DataFrame | None = None) -> DataFrame:
@@ -65,78 +63,44 @@ def choice_features(shots: DataFrame, persons: DataFrame, track: DataFrame, ball
     Then the ball's height above the box and its distance aside until the 12th frame, in box sizes; how far the feet rise
     above where they were 6 frames before; the median height of the boxes against the tallest candidate; and 1 for the nearest.
 
-    One range join takes each candidate's boxes from 46 frames before a release to 19 after it; all else is joined by video
-    and frame, and summed up by shot and player.
+    Shots, persons and balls of a stretch of a video meet in a task (see pieces), which makes no rows but the answers.
     """
-    near9 = near_release(shots, persons, track).select(*SHOT, "track", F.col("dist").alias("near"))
-    wide = near_release(shots, persons, track, ahead=18)
-    order = Window.partitionBy(*SHOT)
-    cands = wide.withColumn("k", F.row_number().over(order.orderBy("dist", "track"))).where(F.col("k") <= most).join(shots.select(*SHOT, "release"), SHOT)
-    cands = cands.select(*SHOT, "track", "k", F.col("release").cast("long").alias("release")).join(near9, [*SHOT, "track"], "left")
-    first = F.row_number().over(order.orderBy(F.coalesce("near", F.lit(9.0)), "k")) == 1
-    cands = cands.select(*SHOT, "track", "release", F.coalesce("near", F.lit(3.0)).alias("near"), first.cast("double").alias("first"))
-    own = band_join(cands.select(*SHOT, "track", "release"), persons.select("video", "track", F.col("frame").cast("long").alias("seen"), "box"), ["video", "track"], "release", "seen", 46, 19)
-    tall = own.where(F.col("seen").between(F.col("release") - 6, F.col("release") + 18)).groupBy(*SHOT, "track").agg(F.median("box.h").alias("tall"))
-    boxes = own.withColumn("frame", F.explode(F.array(*(F.col("seen") + d for d in (-1, 0, 1))))).groupBy(*SHOT, "track", "release", "frame").agg(F.min_by("box", "seen").alias("box"))
-    boxes = boxes.withColumn("at", F.col("frame") - F.col("release")).where(F.col("at").between(-45, 18))
-    there = track.where("x is not null and y is not null").select("video", F.col("frame").cast("long").alias("frame"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    points = there.select("video", "frame", F.col("bx").alias("px"), F.col("by").alias("py"))
+    points = track.select("video", "frame", "x", "y")
     if balls is not None:
-        points = points.unionByName(balls.where(F.col("conf") >= least).select("video", F.col("frame").cast("long").alias("frame"), (F.col("x") + F.col("w") / 2).alias("px"), (F.col("y") + F.col("h") / 2).alias("py")))
-    b = F.col("box")
-    inside = F.col("px").between(b["x"] - 0.1 * b["w"], b["x"] + 1.1 * b["w"]) & F.col("py").between(b["y"] - 0.1 * b["h"], b["y"] + 0.8 * b["h"])
-    sampled = boxes.where((F.col("at") <= 3) & (F.pmod("frame", F.lit(3)) == 0))
-    held = sampled.join(points, ["video", "frame"], "left").groupBy(*SHOT, "track", "frame", "at").agg(F.coalesce(F.max(inside), F.lit(False)).alias("has"))
-    share = lambda a, z: F.coalesce(F.try_divide(F.count_if(F.col("at").between(a, z) & F.col("has")), F.count_if(F.col("at").between(a, z))), F.lit(0.0))
-    held = held.groupBy(*SHOT, "track").agg(share(-15, 3).alias("short"), share(-45, -15).alias("long"))
-    met = boxes.where("at >= -6").join(there, ["video", "frame"], "left").withColumn("d", F.when(F.col("bx").isNotNull() & (F.col("at") >= 0), hand_distance(F.col("bx"), F.col("by"), b)))
-    early = F.col("d").isNotNull() & (F.col("at") <= 12)
-    feet = b["y"] + b["h"]
-    sums = met.groupBy(*SHOT, "track").agg(
-        F.median(F.when(F.col("at") >= 9, F.col("d"))).alias("late"), F.min("d").alias("least"), F.avg(F.when(early, (b["y"] - F.col("by")) / b["h"])).alias("above"), F.avg(F.when(early, F.abs(F.col("bx") - (b["x"] + b["w"] / 2)) / b["w"])).alias("aside"),
-        F.max(F.when(F.col("at") == -6, F.struct(feet.alias("feet"), b["h"].alias("h")))).alias("before"), F.min(F.when(F.col("at").between(0, 15), feet)).alias("highest"),
-    )
-    rows = cands.join(sums, [*SHOT, "track"], "left").join(held, [*SHOT, "track"], "left").join(tall, [*SHOT, "track"], "left")
-    jump = (F.col("before.feet") - F.col("highest")) / F.col("before.h")
-    height = F.try_divide(F.col("tall"), F.max("tall").over(order))
-    columns = [F.col("near"), (F.col("late"), 3.0), (F.col("least"), 3.0), (F.col("short"), 0.0), (F.col("long"), 0.0), (F.col("above"), -1.0), (F.col("aside"), 2.0), (jump, 0.0), (height, 1.0), F.col("first")]
-    features = F.array(*(F.coalesce(c[0], F.lit(c[1])) if isinstance(c, tuple) else c for c in columns))
-    return rows.select(*SHOT, "track", features.alias("features"))
-
-
-def _floor(rows: DataFrame, persons: DataFrame, h, at: str, reach: int) -> DataFrame:
-    """rows (video, shot, track, at) with frame, fx, fy: the track's place on the floor at the nearest frame within reach."""
+        points = points.unionByName(balls.where(F.col("conf") >= least).select("video", "frame", (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y")))
+    return releases.choice_rows(shots, persons, track, points, most)
+
+
+def _placed(persons: DataFrame, h, c: courts.Court) -> DataFrame:
+    """persons with their place on the floor (fx, fy) and whether it is on the court."""
     p = project(h, foot_point(F.col("box"))["x"], foot_point(F.col("box"))["y"])
-    places = persons.select("video", "track", "frame", p["x"].alias("fx"), p["y"].alias("fy"))
-    return nearest(rows, places, ["video", "track"], ["shot", at], at, "frame", reach, "frame")
+    return persons.select("video", "frame", "track", "box", p["x"].alias("fx"), p["y"].alias("fy")).withColumn("court", courts.on_court(c, F.col("fx"), F.col("fy"), 0.3))
+
+
+def _calm(most_moved: float, least_gap: float) -> Column:
+    return F.coalesce(F.col("moved") <= most_moved, F.lit(False)) & F.coalesce(F.col("gap") >= least_gap, F.lit(True))
 
 
-def free_throw_context(shooters: DataFrame, persons: DataFrame, h, c: courts.Court, fps: float = 29.97, still: float = 2.0, most_moved: float = 0.4, least_gap: float = 2.5) -> DataFrame:
-    """(video, shot, moved, gap, still): shooters (video, shot, release, track) that stood still before, with nobody near.
+def free_throw_context(shooters: DataFrame, persons: DataFrame, h, c: courts.Court, fps: float = 29.97, still: float = 2.0, most_moved: float = 0.4, least_gap: float = 2.5, track: DataFrame | None = None) -> DataFrame:
+    """(video, shot, moved, gap, still): shooters (video, shot, release, track) that stood still before, with nobody near. With the
+    ball's track they are those of shooter_info, and shooters needs no track.
 
     moved and gap are null without an earlier place or without another player on the court; no earlier place is no free
     throw, no other player is no hindrance.
     """
-    now = _floor(shooters.select(*SHOT, "release", "track"), persons, h, "release", 3).where("fx is not null").select(*SHOT, "release", "track", F.col("fx").alias("x0"), F.col("fy").alias("y0"))
-    back = F.array(*(F.col("release") - round(k * fps / 2) for k in range(1, int(still * 2) + 1)))
-    before = _floor(now.select("video", "shot", "track", F.explode(back).alias("at")), persons, h, "at", 3).where("fx is not null").select(*SHOT, "fx", "fy")
-    moved = now.join(before, SHOT).groupBy(*SHOT).agg(F.max(F.hypot(F.col("fx") - F.col("x0"), F.col("fy") - F.col("y0"))).alias("moved"))
-    p = project(h, foot_point(F.col("box"))["x"], foot_point(F.col("box"))["y"])
-    others = persons.select("video", "frame", F.col("track").alias("other"), p["x"].alias("ox"), p["y"].alias("oy")).where(courts.on_court(c, F.col("ox"), F.col("oy"), 0.3))
-    close = band_join(now, others, ["video"], "release", "frame", 1, 1).where("other <> track")
-    gap = close.groupBy(*SHOT).agg(F.min(F.hypot(F.col("ox") - F.col("x0"), F.col("oy") - F.col("y0"))).alias("gap"))
-    calm = F.coalesce(F.col("moved") <= most_moved, F.lit(False)) & F.coalesce(F.col("gap") >= least_gap, F.lit(True))
-    return now.select(*SHOT).join(moved, SHOT, "left").join(gap, SHOT, "left").select(*SHOT, "moved", "gap", calm.alias("still"))
+    found = releases.stood(shooters, _placed(persons, h, c), track, _earlier(fps, still))
+    return found.where("seen").select(*SHOT, "moved", "gap", _calm(most_moved, least_gap).alias("still"))
+
+
+def _earlier(fps: float, still: float) -> list[int]:
+    return [round(k * fps / 2) for k in range(1, int(still * 2) + 1)]
 
 
 def shooter_info(shots: DataFrame, persons: DataFrame, track: DataFrame, h, c: courts.Court, fps: float = 29.97) -> DataFrame:
     """(video, shot, release, track, score, frame, court_x, court_y, zone) of each shot; nulls where there is nobody or no place."""
-    best = ranked_shooters(near_release(shots, persons, track)).where("rank = 1").select(*SHOT, "track", F.col("dist").alias("score"))
-    found = shots.select(*SHOT, "release").join(best, SHOT, "left")
-    placed = _floor(found, persons, h, "release", 12)
-    calm = free_throw_context(found.where("track is not null"), persons, h, c, fps).select(*SHOT, "still")
-    zone = F.when(F.col("fx").isNotNull(), courts.zone_of(c, F.col("fx"), F.col("fy"), F.coalesce("still", F.lit(False))))
-    return placed.join(calm, SHOT, "left").select(*SHOT, "release", "track", "score", "frame", F.col("fx").alias("court_x"), F.col("fy").alias("court_y"), zone.alias("zone"))
+    found = releases.stood(shots, _placed(persons, h, c), track, _earlier(fps, 2.0))
+    zone = F.when(F.col("fx").isNotNull(), courts.zone_of(c, F.col("fx"), F.col("fy"), F.col("seen") & _calm(0.4, 2.5)))
+    return found.select(*SHOT, "release", "track", "score", F.col("frame").cast(persons.schema["frame"].dataType).alias("frame"), F.col("fx").alias("court_x"), F.col("fy").alias("court_y"), zone.alias("zone"))
 
 
 def track_teams(persons: DataFrame, keyframes: DataFrame, h, c: courts.Court, label: Column, every: int = 3) -> DataFrame:
