@@ -61,9 +61,7 @@ calm AS (SELECT now.video, now.shot, moved, gap, coalesce(moved <= 3.0, false) A
 
 @query(f"WITH {_BASE}, {_CALM} SELECT video, shot, round(moved, 6) AS moved, round(gap, 6) AS gap, still FROM calm")
 def w9_free_throw_context(spark, sf_dir):
-    best = composites.ranked_shooters(_near(spark, sf_dir)).where("rank = 1").select("video", "shot", "track")
-    found = _shots(spark, sf_dir).join(best, ["video", "shot"])
-    calm = composites.free_throw_context(found, _persons(spark, sf_dir), _FLOOR, court.court("fiba_3x3"), most_moved=3.0, least_gap=0.8)
+    calm = composites.free_throw_context(_shots(spark, sf_dir), _persons(spark, sf_dir), _FLOOR, court.court("fiba_3x3"), most_moved=3.0, least_gap=0.8, track=_ball(spark, sf_dir))
     return calm.withColumns({"moved": _R("moved", 6), "gap": _R("gap", 6)})
 
 
