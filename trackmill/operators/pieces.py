@@ -45,30 +45,37 @@ def in_pieces(asking: DataFrame, others: dict[str, DataFrame], before: int, afte
                 own.append(t.select([c for c in columns if c[0] != "_"]).take(pa.array(at)).append_column("code", pa.array(code[at])))
             return work(own[0], dict(zip(keys, own[1:]))) if len(own[0]) else ()
 
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= ROWS:
-                t = pa.Table.from_batches(held).combine_chunks()
-                code = _stretches(t)
-                cut = int(np.searchsorted(code, code[-1]))
-                if cut:
-                    yield from tables(t.slice(0, cut), code[:cut])
-                held, rows = t.slice(cut).combine_chunks().to_batches(), len(t) - cut
-        if rows:
-            t = pa.Table.from_batches(held).combine_chunks()
-            yield from tables(t, _stretches(t))
+        for t, code in whole_groups(batches, ["video", "_piece"]):
+            yield from tables(t, code)
 
     n = int(asking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return both.repartition(n, "video", "_piece").sortWithinPartitions("video", "_piece").mapInArrow(run, schema)
 
 
-def _stretches(t: pa.Table) -> np.ndarray:
-    """The number of each row's stretch, from 0 on, of sorted rows."""
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, number of each row's group) of about ROWS sorted rows at a time, cut only between groups."""
+    held: list[pa.RecordBatch] = []
+    rows, limit = 0, ROWS
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= limit:
+            t = pa.Table.from_batches(held).combine_chunks()
+            code = _group_numbers(t, by)
+            cut = int(np.searchsorted(code, code[-1]))
+            if cut:
+                yield t.slice(0, cut), code[:cut]
+            held, rows = t.slice(cut).combine_chunks().to_batches(), len(t) - cut
+            limit = max(ROWS, 2 * rows)
+    if rows:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, _group_numbers(t, by)
+
+
+def _group_numbers(t: pa.Table, by: list[str]) -> np.ndarray:
+    """The number of each row's group, from 0 on, of sorted rows."""
     new = np.zeros(len(t), bool)
-    for name in ("video", "_piece"):
+    for name in by:
         c = t.column(name).combine_chunks()
         a, b = c.slice(1), c.slice(0, len(c) - 1)
         differ = pc.fill_null(pc.not_equal(a, b), True)

@@ -26,6 +26,11 @@ def _ball(spark, sf_dir):
     return _persons(spark, sf_dir).groupBy("video", "frame").agg((F.max("q") * 20).alias("x"), (F.min("q") * 7).alias("y"))
 
 
+def _by_video(rows):
+    """rows dealt over all tasks by video before they are multiplied, so that what follows by video isn't shuffled again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video")
+
+
 def _shots(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 15).alias("video"), F.col("o_orderkey").alias("shot"), F.pmod(F.col("o_orderkey") * 7, F.lit(600)).alias("release"))
 
@@ -310,6 +315,7 @@ UNION ALL SELECT video, 1, k, 4000.0 + vx * k, 900.0 - vy * k, 30.0 + video % 10
 def _throws(spark, sf_dir):
     """Detections of two balls for each customer, which fly straight, far from each other and with some frames missing."""
     c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video"), (F.col("c_custkey") % 13 + 2).alias("vx"), (F.col("c_nationkey") % 9 - 4).alias("vy"))
+    c = _by_video(c)
     v, k = F.col("video"), F.col("frame")
     one = c.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(40)))).where((v * 3 + k * k) % 7 != 3).select("video", "frame", (500.0 + F.col("vx") * k).alias("cx"), (400.0 + F.col("vy") * k).alias("cy"), (20.0 + v % 10).alias("s"), (((v * 7 + k * 11) % 40 + 24) / 64.0).alias("conf"))
     two = c.withColumn("frame", F.explode(F.sequence(F.lit(20), F.lit(60)))).where((v + k * k) % 5 != 1).select("video", "frame", (4000.0 + F.col("vx") * k).alias("cx"), (900.0 - F.col("vy") * k).alias("cy"), (30.0 + v % 10).alias("s"), (((v * 5 + k * 3) % 40 + 24) / 64.0).alias("conf"))
@@ -377,7 +383,8 @@ def _rivals(spark, sf_dir):
     """Detections for each customer that contest each other: two balls that fly through each other with frames missing,
     detections beside the first that merge with it or rival it, others at random places of all confidences and shapes, some
     too small, too large or too long, and a ball that is seen twice."""
-    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video"), (F.col("c_custkey") % 5 + 3).alias("vx"), (F.col("c_nationkey") % 7 - 3).alias("vy"), (F.col("c_custkey") % 4).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(47))).alias("k"))
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video"), (F.col("c_custkey") % 5 + 3).alias("vx"), (F.col("c_nationkey") % 7 - 3).alias("vy"), (F.col("c_custkey") % 4).alias("kind"))
+    c = _by_video(c).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(47))))
     v, k, vx, vy, kind = (F.col(n) for n in ("video", "k", "vx", "vy", "kind"))
     real = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
 
@@ -422,7 +429,7 @@ UNION ALL SELECT video, k, frame, list_transform(alive, lambda t, i: CASE WHEN l
 @query(f"""WITH RECURSIVE {_LINKED}, t AS (SELECT video, frame, k, unnest(got) AS g FROM w), x AS (SELECT t.video, g.t AS track, t.frame, r.c[g.j] AS c FROM t JOIN r ON r.video = t.video AND r.k = t.k)
 SELECT video, track, CAST(frame AS INTEGER) AS frame, c.x AS x, c.y AS y, c.d AS size, c.conf AS conf FROM x WINDOW t AS (PARTITION BY video, track) QUALIFY count(*) OVER t >= 4 OR count(*) OVER t >= 2 AND max(c.conf) OVER t >= 0.6""")
 def s1_contested_tracks(spark, sf_dir):
-    return tracking.link_tracks(tracking.candidates(_rivals(spark, sf_dir)))
+    return tracking.tracks_of(_rivals(spark, sf_dir))
 
 
 _TRIALS = "e AS (SELECT event_type AS fold, CAST(value > 40 AS INTEGER) AS x1, user_id % 2 AS x2, CAST((event_id * 7919) % 1000 < 250 + CASE WHEN value > 40 THEN 350 ELSE 0 END + 200 * (user_id % 2) AS INTEGER) AS y FROM events), c AS (SELECT fold, x1, x2, count(*) AS n, sum(y) AS y FROM e GROUP BY ALL), t AS (SELECT x1, x2, sum(n) AS n, sum(y) AS y FROM c GROUP BY ALL)"
