@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trackmill.functions import court
-from trackmill.operators import composites, pieces
+from trackmill.operators import composites, pieces, shots
 
 
 def test_rows_meet_over_the_ends_of_stretches(spark):
@@ -27,3 +27,16 @@ def test_shots_and_players_are_shuffled_once(spark):
     ball = spark.range(300).select(F.lit("v").alias("video"), F.col("id").cast("int").alias("frame"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
     for found in (composites.choice_features(shots, persons, ball), composites.shooter_info(shots, persons, ball, [[1, 0, 0], [0, 1, 0], [0, 0, 1]], court.court("fiba_3x3"))):
         assert found.count() == 5 and found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
+def test_a_dealt_track_is_not_shuffled_again(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    videos = spark.range(20).select(F.col("id").alias("video")).repartition(n, "video")
+    k = F.col("frame")
+    y = F.when(k <= 25, 400 + 1000 * (25 - k) * (25 - k) / 625.0).otherwise(400 + 1100 * (k - 25) * (k - 25) / 900.0)
+    track = videos.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(60)))).select("video", "frame", F.lit(1800.0).alias("x"), y.alias("y"))
+    rims = spark.range(20).select(F.col("id").alias("video"), F.lit(1800.0).alias("rx"), F.lit(840.0).alias("ry"), F.lit(33.0).alias("rr"))
+    found = shots.detect_shots(track, rims)
+    assert [(r.release, r.apex, r.cross, r.dx, r.made) for r in found.collect()] == [(0, 25, 44, 0.0, True)] * 20
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 2 and plan.index("Generate") < plan.index("Exchange ")  # videos and rims; the track comes after

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.functions.values import logistic
-from trackmill.operators.matching import band_join
-from trackmill.operators.sequences import fold, rising_segments
+from trackmill.operators.pieces import numbers, spread, whole, whole_groups
 
 
 BALL_TO_RIM = 0.53  # fixed value: a ball is 24 cm wide, a rim 45 cm
@@ -35,7 +36,8 @@ def detect_shots(track: DataFrame, rims: DataFrame, fps: float = 30.0, model: di
 
     track has (video, frame, x, y) and may have size, rims (video, rx, ry, rr) with a row a video. A flight rises for four
     frames and 150 px at least, from 2.5 rim radii below the rim to 10 px above it, and comes near the rim on its way down.
-    Windows are joins on integer frames; only the rule that shots don't overlap looks at a video's few shots in order.
+    A video's track lies in one task, sorted, where its runs, falls and what is round a crossing are ranges of rows; many videos
+    are looked at at once. A track that is dealt by video over all shuffle partitions isn't shuffled again.
     features holds the make model's nine numbers, null for a shot that never came down through the rim's level. With a model
     (mean, std, w, b, threshold) it decides made and confidence instead of the rule. Rows without a place are left out, as
     are videos without a rim.
@@ -44,39 +46,27 @@ def detect_shots(track: DataFrame, rims: DataFrame, fps: float = 30.0, model: di
         track = track.withColumn("size", F.lit(None).cast("double"))
     track = track.where("frame is not null and x is not null and y is not null").select("video", "frame", "x", "y", "size")
     down, after = int(1.5 * fps), int(0.5 * fps)
-    rx, ry, rr = F.col("rx"), F.col("ry"), F.col("rr")
-    runs = rising_segments(track, ["video"], "frame", "y", 3, 0.5).join(rims.select("video", "rx", "ry", "rr"), "video")
-    long = (F.col("end") - F.col("start") + 1 >= 4) & (F.col("y_start") - F.col("y_end") >= 150)
-    flights = runs.where(long & (F.col("y_start") - ry >= 2.5 * rr) & (ry - F.col("y_end") >= 10))
-    flights = flights.select("video", F.col("start").alias("release"), F.col("end").alias("apex"), (F.col("y_end") - ry).alias("height"), "rx", "ry", "rr")
-
-    fall = band_join(flights, track.drop("size"), ["video"], "apex", "frame", 0, down - 1)
-    near = (F.abs(F.col("x") - rx) <= 4 * rr) & (F.abs(F.col("y") - ry) <= 3 * rr)
-    top = (F.col("frame") == F.col("apex")) & (F.abs(F.col("x") - rx) <= 9 * rr)
-    by = ["video", "release", "apex", "height", "rx", "ry", "rr"]
-    w = Window.partitionBy("video", "release").orderBy("frame")
-    steps = fall.withColumn("y0", F.lag("y").over(w)).withColumn("x0", F.lag("x").over(w))
-    at = F.try_divide(ry - F.col("y0"), F.col("y") - F.col("y0"))
-    first = F.min(F.when((F.col("y0") < ry) & (ry <= F.col("y")), F.struct(F.col("frame").alias("cross"), (F.col("x0") + at * (F.col("x") - F.col("x0")) - rx).alias("dx"))))
-    shots = steps.groupBy(*by).agg(F.bool_or(near | top).alias("close"), first.alias("c")).where("close").select(*by, "c.cross", "c.dx").withColumn("until", F.coalesce("cross", "apex"))
-    kept = fold(shots, ["video"], ["release"], ["release", *by[2:], "cross", "dx", "until"], lambda s, r: (F.size(s) == 0) | (r["release"] > F.element_at(F.concat(s, F.array(r)), F.greatest(F.size(s), F.lit(1)))["until"]))
-    kept = kept.select("video", F.inline("kept"))
-
-    around = band_join(kept, track, ["video"], "until", "frame", 6, max(after - 1, 12))  # the apex at least: no shot is lost
-    t, below = F.col("frame") - F.col("cross"), F.col("y") - ry
-    net = t.between(0, after - 1)
-    deep = net & (below >= 2.5 * rr)
-
-    def mean_speed(value: str, a: int, b: int):
-        ends = [f(F.when(t.between(a, b), F.struct("frame", value))) for f in (F.min, F.max)]
-        return F.try_divide(ends[1][value] - ends[0][value], ends[1]["frame"] - ends[0]["frame"])
-
-    size = F.max(F.when(t == 0, F.try_divide(F.col("size"), rr * (2 * BALL_TO_RIM))))
-    full = around.groupBy(*by, "cross", "dx").agg(
-        F.bool_or(deep).alias("deep"), F.bool_or(deep & (F.abs(F.col("x") - rx) <= 1.6 * rr)).alias("under"), F.bool_or(net & (-below >= 0.5 * rr)).alias("bounce"),
-        mean_speed("x", -6, 0).alias("vin"), mean_speed("x", 3, 12).alias("vout"), mean_speed("y", -6, 0).alias("fin"), mean_speed("y", 3, 12).alias("fout"),
-        F.max(F.when(net, below / rr)).alias("depth"), size.alias("size"),
-    )
+    real = lambda c: F.col(c).cast("double").alias(c)
+    track = track.select("video", "frame", real("x"), real("y"), real("size"), F.lit(0).alias("_kind"))
+    rims = rims.where("video is not null and rx is not null and ry is not null and rr is not null").select("video", real("rx"), real("ry"), real("rr"), F.lit(1).alias("_kind"))
+    n = int(track.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = track.where("video is not null").repartition(n, "video").unionByName(rims.repartition(n, "video"), allowMissingColumns=True)
+    dealt = both.repartition(n, "video").sortWithinPartitions("video", "_kind", "frame")
+
+    def run(batches):
+        for t, video in whole_groups(batches, ["video"]):
+            ball = whole(t, "_kind") == 0
+            row, rim = np.flatnonzero(ball), np.full((3, int(video[-1]) + 1), np.nan)
+            rim[:, video[~ball]] = [numbers(t, c)[~ball] for c in ("rx", "ry", "rr")]
+            at, columns = _shots_of(video[row], whole(t, "frame")[row], *(numbers(t, c)[row] for c in ("x", "y", "size")), rim, down, after)
+            out = t.select(["video"]).take(pa.array(row[at]))
+            for c in columns.items():
+                out = out.append_column(*c)
+            yield from out.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    kind = track.schema["frame"].dataType
+    found = dealt.mapInArrow(run, f"video {track.schema['video'].dataType.simpleString()}, release long, apex long, cross long, dx double, height double, rr double, deep boolean, under boolean, bounce boolean, vin double, vout double, fin double, fout double, depth double, size double")
+    full, rr = found.withColumns({c: F.col(c).cast(kind) for c in ("release", "apex", "cross")}), F.col("rr")
     braked = F.coalesce((F.abs("vin") > 4) & (F.abs("vout") <= 0.5 * F.abs("vin")), F.lit(False))
     off = F.abs("dx") / rr
     made = F.coalesce(F.col("cross").isNotNull() & (off <= 0.85) & F.col("deep") & (F.col("under") | braked) & ~F.col("bounce"), F.lit(False))
@@ -87,3 +77,59 @@ def detect_shots(track: DataFrame, rims: DataFrame, fps: float = 30.0, model: di
         return out
     by_model = made_by_model(F.col("features"), model)
     return out.withColumn("_m", by_model).withColumn("made", F.col("_m.made")).withColumn("confidence", F.col("_m.confidence")).drop("_m")
+
+
+def _shots_of(video: np.ndarray, frame: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, rim: np.ndarray, down: int, after: int) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(row of the release, columns) of the shots in tracks sorted by video (from 0 on) and frame; rim has rx, ry, rr by video."""
+    n = len(video)
+    base, wide = (int(frame.min()), int(frame.max() - frame.min()) + 1) if n else (0, 1)
+    place = video * wide + (frame - base)
+    row_of = lambda v, f, side="left": np.searchsorted(place, v * wide + np.clip(f - base, -1 if side == "right" else 0, wide - (side == "right")), side)
+    goes_on = np.zeros(n, bool)
+    goes_on[1:] = (video[1:] == video[:-1]) & (np.diff(frame) <= 4) & (y[:-1] - y[1:] > 0.5)
+    begin = np.flatnonzero(~goes_on)
+    end = np.append(begin[1:], n)[: len(begin)] - 1
+    rx, ry, rr = rim[:, video[begin]]
+    height = y[end] - ry
+    good = (frame[end] - frame[begin] + 1 >= 4) & (y[begin] - y[end] >= 150) & (y[begin] - ry >= 2.5 * rr) & (-height >= 10)
+    begin, end, rx, ry, rr, height = (c[good] for c in (begin, end, rx, ry, rr, height))
+
+    i, k = spread(end, row_of(video[end], frame[end] + down - 1, "right"))
+    aside, below = np.abs(x[k] - rx[i]), y[k] - ry[i]
+    near = (aside <= 4 * rr[i]) & (np.abs(below) <= 3 * rr[i]) | (k == end[i]) & (aside <= 9 * rr[i])
+    close = np.bincount(i[near], minlength=len(end)) > 0
+    back = np.maximum(k - 1, 0)
+    through = np.flatnonzero((k > end[i]) & (y[back] < ry[i]) & (below >= 0))
+    which, first = np.unique(i[through], return_index=True)
+    k = k[through[first]]
+    cross, dx = np.full(len(end), -1), np.full(len(end), np.nan)
+    cross[which] = k
+    dx[which] = x[k - 1] + (ry[which] - y[k - 1]) / (y[k] - y[k - 1]) * (x[k] - x[k - 1]) - rx[which]
+    until = frame[np.where(cross >= 0, cross, end)]
+    kept, now, last = [], -1, 0
+    for j, v, at, to in zip(np.flatnonzero(close).tolist(), *(c[close].tolist() for c in (video[begin], frame[begin], until))):
+        if v != now or at > last:
+            kept.append(j)
+            now, last = v, to
+    begin, end, rx, ry, rr, height, cross, dx = (c[kept] for c in (begin, end, rx, ry, rr, height, cross, dx))
+
+    some, v, at = cross >= 0, video[begin], frame[cross]
+    i, k = spread(np.where(some, row_of(v, at), 0), np.where(some, row_of(v, at + after - 1, "right"), 0))
+    below = y[k] - ry[i]
+    deep = below >= 2.5 * rr[i]
+    any_of = lambda where: pa.array(np.bincount(i[where], minlength=len(begin)) > 0, mask=~some)
+    depth = np.full(len(begin), np.nan)
+    np.fmax.at(depth, i, below / rr[i])
+
+    def speed(value: np.ndarray, a: int, z: int) -> pa.Array:
+        low, high = row_of(v, at + a), row_of(v, at + z, "right") - 1
+        known = some & (high > low)
+        low, high = np.where(known, low, 0), np.where(known, high, 0)
+        return pa.array((value[high] - value[low]) / np.where(known, frame[high] - frame[low], 1), mask=~known)
+
+    real = lambda c: pa.array(c, from_pandas=True)
+    return begin, {
+        "release": pa.array(frame[begin]), "apex": pa.array(frame[end]), "cross": pa.array(at, mask=~some), "dx": real(dx), "height": real(height), "rr": real(rr),
+        "deep": any_of(deep), "under": any_of(deep & (np.abs(x[k] - rx[i]) <= 1.6 * rr[i])), "bounce": any_of(-below >= 0.5 * rr[i]),
+        "vin": speed(x, -6, 0), "vout": speed(x, 3, 12), "fin": speed(y, -6, 0), "fout": speed(y, 3, 12), "depth": real(depth), "size": real(np.where(some, size[cross] / (rr * (2 * BALL_TO_RIM)), np.nan)),
+    }

@@ -232,7 +232,7 @@ def _flights(spark, sf_dir):
     """A ball thrown for each order: how high, how far and how it drifts after the rim come from the order's numbers."""
     o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), F.pmod("o_custkey", F.lit(41)).alias("skew"), F.pmod("o_orderkey", F.lit(7)).alias("lift"), F.pmod((F.col("o_totalprice") * 100).cast("decimal(20,0)").cast("long"), F.lit(90)).alias("drift"))
     k, lift = F.col("frame"), F.col("lift") * 70
-    rows = o.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(60)))).where((F.col("video") + k) % 11 != 3)
+    rows = _by_video(o).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(60)))).where((F.col("video") + k) % 11 != 3)
     x = 1400.0 + (F.col("drift") + 330) * k / 30.0 + F.when(k > 46, (F.col("skew") - 60) * (k - 46) / 5.0).otherwise(0)
     y = F.when(k <= 25, 440.0 + lift + (1060 - lift) * (25 - k) * (25 - k) / 625.0).otherwise(440.0 + lift + 1060 * (k - 25) * (k - 25) / 900.0)
     return rows.select("video", "frame", x.alias("x"), y.alias("y"))
