@@ -110,6 +110,32 @@ def test_repeats(docs, rows, nothing, chunk):
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("part", [1, 300])
+def test_repeats_in_parts_of_buckets(docs, rows, monkeypatch, part):
+    whole = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    monkeypatch.setattr(repeats, "PART", part)
+    monkeypatch.setattr(repeats, "STRINGS", part)
+    assert {r.doc_id: r for r in repeats.remove_repeats(docs, chunk_bytes=5000, buckets=4).collect()} == whole
+
+
+def test_parts_are_bounded():
+    r = np.random.default_rng(6)
+    blobs, every = [], []
+    for _ in range(5):
+        size = r.integers(50, 85, 400)
+        rest = r.integers(0, 1 << 32, 400, dtype=np.uint32)
+        data = r.integers(0, 255, size.sum(), dtype=np.uint8)
+        blobs.append(repeats._pack(data, size.astype(np.uint8), np.arange(400), np.arange(400, dtype=np.uint32), rest))
+        every += [(bytes(d), int(k)) for d, k in zip(np.split(data, np.cumsum(size)[:-1]), rest)]
+    found = []
+    for parts in repeats._in_parts(blobs, 20_000):
+        assert sum(a.nbytes for p in parts for a in p) < 40_000
+        mine = [(bytes(d), int(k)) for p in parts for d, k in zip(np.split(p[0], np.cumsum(p[1].astype(int))[:-1]), p[4])]
+        assert not {k for _, k in mine} & {k for _, k in found}
+        found += mine
+    assert sorted(found) == sorted(every)
+
+
 def test_repeats_with_passages(spark):
     passage = prose(30, 77)
     rows = [(i, prose(i % 9, i) + passage[i % 40 :] + prose(i % 7, 1000 + i) + passage[: 40 + i % 30]) for i in range(60)]

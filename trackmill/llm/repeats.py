@@ -31,6 +31,8 @@ SLICE = 1 << 20  # bytes that are hashed at once
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 NO_ID = (1 << 63) - 1
 END = 0xFF  # stands before a segment's first byte; no byte of UTF-8
+PART = 1 << 24  # unpacked bytes of a bucket that are compared at once, but for a minimizer with more
+STRINGS = 1 << 20  # strings of a chunk that are judged at once
 COLLECTION = 1 << 18  # bytes of segments that are sorted together, but for a minimizer with more
 
 
@@ -210,6 +212,24 @@ def _home(chunk: int, buckets: int) -> int:
     return (chunk * 0x9E3779B97F4A7C15 >> 20) % buckets
 
 
+def _in_parts(blobs: list[bytes], most: int) -> Iterator[list[list[np.ndarray]]]:
+    """The unpacked segments (data, size, low, own, rest) of a bucket's blobs, those of a range of minimizers of each blob at a
+    time, so that about `most` bytes are held, however large the bucket is."""
+    total = sum(zstandard.frame_content_size(b) for b in blobs)
+    n = -(-total // most)
+    if n <= 1:
+        yield [_unpack(b) for b in blobs]
+        return
+    for k in range(n):
+        part = []
+        for b in blobs:
+            data, size, low, own, rest = _unpack(b)
+            mine = np.flatnonzero((rest.astype(np.uint64) * np.uint64(n)) >> np.uint64(32) == k)
+            wide = size.astype(np.int64)
+            part.append([data[_spread((np.cumsum(wide) - wide)[mine], wide[mine])], size[mine], low[mine], own[mine], rest[mine]])
+        yield part
+
+
 _ROWS = "bucket int, chunk long, data binary"
 
 
@@ -329,7 +349,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each string of each segment the smallest id that has it."""
         for bucket, held in _by(batches, "bucket"):
-            parts = [_unpack(blob) for _, blob in held]
+            for k, parts in enumerate(_in_parts([blob for _, blob in held], PART)):
+                yield from answers(bucket, [(chunk, part) for (chunk, _), part in zip(held, parts) if not k or len(part[1])])
+
+    def answers(bucket: int, held: list[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            parts = [part for _, part in held]
             data = np.concatenate([p[0] for p in parts])
             size = np.concatenate([p[1] for p in parts]).astype(np.int64)
             low = np.concatenate([p[2] for p in parts])
@@ -379,9 +404,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             begin = np.zeros(len(own), np.int64)
             begin[own] = np.cumsum(many) - many
             place = np.searchsorted(bounds, first, "right") - 1
-            doc = np.repeat(known[place], count)
-            gone = (low[_spread(begin[number], count)] < doc) & (doc != NO_ID)
-            starts, place = _spread(first, count)[gone], np.repeat(place, count)[gone]
+            found, filled, x = [(np.zeros(0, np.int64), place[:0])], np.cumsum(count), 0
+            while x < len(first):
+                z = max(x + 1, int(np.searchsorted(filled, (filled[x - 1] if x else 0) + STRINGS, "right")))
+                doc = np.repeat(known[place[x:z]], count[x:z])
+                gone = (low[_spread(begin[number[x:z]], count[x:z])] < doc) & (doc != NO_ID)
+                found.append((_spread(first[x:z], count[x:z])[gone], np.repeat(place[x:z], count[x:z])[gone]))
+                x = z
+            starts, place = (np.concatenate(c) for c in zip(*found))
             new = np.flatnonzero((np.diff(starts, prepend=-length - 1) > length) | (np.diff(place, prepend=-1) != 0))  # strings that go on without a gap are one span
             low, high = starts[new], (np.append(starts[new[1:] - 1], starts[-1:]) if len(new) else starts) + length
             edges = np.searchsorted(place[new], np.arange(len(known) + 1)).tolist()
