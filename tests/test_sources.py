@@ -142,3 +142,21 @@ def test_labels_of_equal_times(spark, tmp_path):
     assert placed(str(tmp_path / "a")) == ["1", "3", "7", "8", "9"]
     writers.write_labels(labels, ["video"], str(tmp_path / "b"), order=[F.col("event_id") % 4, F.col("event_id")])
     assert placed(str(tmp_path / "b")) == ["8", "1", "9", "3", "7"]
+
+
+def test_many_calibrations_share_files(spark, tmp_path):
+    pair = lambda x, y: F.array(F.lit(x), F.lit(y))
+    square = F.array(pair(0.0, 0.0), pair(1.0, 0.0), pair(1.0, 1.0), pair(0.0, 1.0))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = spark.range(0, 300, 1, 3).select(
+        F.concat(F.lit("v"), "id").alias("video"), F.lit("fiba_3x3").alias("court_standard"), F.array(F.lit(8), F.lit(6)).alias("image_size"), square.alias("image_points"), square.alias("court_points"),
+        F.when(F.col("id") % 2 == 0, pair(1.0, 2.0)).alias("rim_center"), none("array<array<double>>").alias("rim_edge"), none("string").alias("note"), none("array<string>").alias("landmark_names"),
+    )
+    writers.write_calibrations(rows, str(tmp_path / "many"), lines=True)
+    assert len(list((tmp_path / "many").rglob("part-*"))) == 3
+    back = readers.read_calibrations(spark, str(tmp_path / "many"), lines=True)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.select(*back.columns).collect()))
+    bad = rows.limit(1).withColumn("court_points", F.slice("court_points", 1, 3))
+    writers.write_calibrations(bad, str(tmp_path / "bad"), lines=True)
+    with pytest.raises(Exception, match="four or more"):
+        readers.read_calibrations(spark, str(tmp_path / "bad"), lines=True).collect()

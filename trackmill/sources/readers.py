@@ -95,15 +95,23 @@ def read_keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", f"map<string,struct<{value}>>")).alias("key", "v")).select("key", "v.*")
 
 
-def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
-    """A row of CALIBRATION's fields for each JSON file (file), the rim null where there is none.
+def read_calibrations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A row of CALIBRATION's fields for each JSON file (file), the rim null where there is none; or for each line of files that
+    name the video in it (`lines`, video).
 
     Fewer than four pairs of points, or not as many in the image as on the court, raise.
     """
+    if lines:
+        found = spark.read.text(path).select(F.from_json("value", f"video string, {CALIBRATION}").alias("c")).select("c.*")
+        return _checked(found, "video")
     whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", CALIBRATION).alias("c"))
-    n, m = (F.coalesce(F.size(f"c.{k}_points"), F.lit(-1)) for k in ("image", "court"))
-    bad = F.concat(F.lit("a calibration takes four or more pairs of points: "), F.col("file"))
-    return whole.select("file", "c.*", F.when((n < 4) | (n != m), F.raise_error(bad).cast("boolean")).otherwise(True).alias("_ok")).where("_ok").drop("_ok")
+    return _checked(whole.select("file", "c.*"), "file")
+
+
+def _checked(found: DataFrame, name: str) -> DataFrame:
+    n, m = (F.coalesce(F.size(f"{k}_points"), F.lit(-1)) for k in ("image", "court"))
+    bad = F.concat(F.lit("a calibration takes four or more pairs of points: "), F.coalesce(F.col(name), F.lit("?")))
+    return found.withColumn("_ok", F.when((n < 4) | (n != m), F.raise_error(bad).cast("boolean")).otherwise(True)).where("_ok").drop("_ok")
 
 
 def outdoor_calibration(keypoints: DataFrame) -> DataFrame:

@@ -78,9 +78,14 @@ def write_keyed_json(df: DataFrame, by: list[str], key: str, path: str, numeric:
     keyed_json(df, by, key, numeric).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(path)
 
 
-def write_calibrations(df: DataFrame, path: str) -> None:
-    """A JSON object for each row of CALIBRATION's fields, by video."""
-    fields = F.struct(*(part.split(" ")[0] for part in CALIBRATION.split(", ")))
+def write_calibrations(df: DataFrame, path: str, lines: bool = False) -> None:
+    """A JSON object for each row of CALIBRATION's fields, by video; or, for very many videos, with the video as a line of files
+    that hold many (`lines`), as a file for each would take far longer to make and to find than its line."""
+    names = [part.split(" ")[0] for part in CALIBRATION.split(", ")]
+    if lines:
+        df.select(F.to_json(F.struct(F.col("video").cast("string").alias("video"), *names), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+        return
+    fields = F.struct(*names)
     df.select("video", F.to_json(fields, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy("video").text(path)
 
 
