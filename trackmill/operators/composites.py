@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions import court as courts
-from trackmill.functions.geometry import foot_point, hand_distance, overlap_share, project
+from trackmill.functions.geometry import foot_point, overlap_share, project
 from trackmill.functions.values import ratio
 from trackmill.operators import releases
 from trackmill.operators.aggregates import majority, weighted_vote
-from trackmill.operators.matching import band_join, floor_aligned, in_window, nearest, one_to_one, unmatched
+from trackmill.operators.matching import floor_aligned, in_window, one_to_one, unmatched
 from trackmill.operators.spatial import possession
 
 SHOT = ["video", "shot"]
